@@ -147,6 +147,74 @@ bleu AS (
 )
 
 
+def _sent_words(x: str) -> str:
+    return (f"list_transform(list_filter(string_split({x}, '.'), lambda p_: length(p_) > 0), "
+            f"lambda p_: CASE WHEN len({tok('p_')}) = 0 THEN [''] ELSE {tok('p_')} END)")
+
+
+# ROUGE-L: LCS table row by row (recursive), then the back-trace walk (recursive);
+# the union of LCS words over all sentence pairs is a distinct count.
+ROUGE_L = f"""rl_s AS (
+  SELECT model, case_id, {_sent_words('ref')} AS rs, {_sent_words('gen')} AS hs FROM prep),
+rsent AS (SELECT model, case_id, generate_subscripts(rs, 1) AS si, unnest(rs) AS x FROM rl_s),
+hsent AS (SELECT model, case_id, generate_subscripts(hs, 1) AS sj, unnest(hs) AS y FROM rl_s),
+sp AS (SELECT r.model, r.case_id, si, sj, x, y FROM rsent r JOIN hsent h ON h.model = r.model AND h.case_id = r.case_id),
+dp AS (
+  SELECT model, case_id, si, sj, 0 AS i, list_transform(range(0, len(y) + 1), lambda z_: 0) AS row FROM sp
+  UNION ALL
+  SELECT d.model, d.case_id, d.si, d.sj, d.i + 1,
+         list_reduce(list_transform(range(1, len(s.y) + 1), lambda j_: [j_]),
+           lambda acc_, jj_: list_append(acc_, CASE WHEN s.x[d.i + 1] = s.y[jj_[1]] THEN d.row[jj_[1]] + 1
+                                             ELSE greatest(d.row[jj_[1] + 1], acc_[jj_[1]]) END), [0])
+  FROM dp d JOIN sp s ON s.model = d.model AND s.case_id = d.case_id AND s.si = d.si AND s.sj = d.sj
+  WHERE d.i < len(s.x)),
+walk AS (
+  SELECT model, case_id, si, sj, len(x) AS i, len(y) AS j, NULL::VARCHAR AS w FROM sp
+  UNION ALL
+  SELECT b.model, b.case_id, b.si, b.sj,
+         CASE WHEN s.x[b.i] = s.y[b.j] OR pr.row[b.j + 1] > cu.row[b.j] THEN b.i - 1 ELSE b.i END,
+         CASE WHEN s.x[b.i] = s.y[b.j] THEN b.j - 1 WHEN pr.row[b.j + 1] > cu.row[b.j] THEN b.j ELSE b.j - 1 END,
+         CASE WHEN s.x[b.i] = s.y[b.j] THEN s.x[b.i] END
+  FROM walk b
+  JOIN sp s ON s.model = b.model AND s.case_id = b.case_id AND s.si = b.si AND s.sj = b.sj
+  JOIN dp cu ON cu.model = b.model AND cu.case_id = b.case_id AND cu.si = b.si AND cu.sj = b.sj AND cu.i = b.i
+  JOIN dp pr ON pr.model = b.model AND pr.case_id = b.case_id AND pr.si = b.si AND pr.sj = b.sj AND pr.i = b.i - 1
+  WHERE b.i > 0 AND b.j > 0),
+lcs AS (SELECT model, case_id, count(DISTINCT w) AS total FROM walk WHERE w IS NOT NULL GROUP BY model, case_id),
+rouge_l AS (
+  SELECT r.model, r.case_id,
+    CASE WHEN len(r.rs) = 0 OR len(r.hs) = 0 THEN NULL
+         ELSE {fscore('coalesce(l.total, 0)', 'len(list_distinct(flatten(r.hs)))', 'len(list_distinct(flatten(r.rs)))')}
+    END AS "ROUGE-L"
+  FROM rl_s r LEFT JOIN lcs l ON l.model = r.model AND l.case_id = r.case_id)"""
+
+
+def sql_metric_rouge_l() -> str:
+    rl = r6('"ROUGE-L"')
+    return "WITH RECURSIVE " + PREDS + ",\n" + ROUGE_L + f'\nSELECT model, case_id, {rl} AS "ROUGE-L" FROM rouge_l'
+
+
+def _all_metrics_ctes() -> str:
+    return PREDS + ",\n" + ROUGE12 + ",\n" + BLEU + ",\n" + ROUGE_L
+
+
+def sql_eval_detail() -> str:
+    b, r1, r2, rl = r6('b."BLEU"'), r6('a."ROUGE-1"'), r6('a."ROUGE-2"'), r6('l."ROUGE-L"')
+    return ("WITH RECURSIVE " + _all_metrics_ctes() + f"""
+SELECT a.model, a.case_id, a."EM", {b} AS "BLEU", {r1} AS "ROUGE-1", {r2} AS "ROUGE-2", {rl} AS "ROUGE-L"
+FROM rouge12 a JOIN bleu b ON b.model = a.model AND b.case_id = a.case_id
+JOIN rouge_l l ON l.model = a.model AND l.case_id = a.case_id""")
+
+
+def sql_eval_summary() -> str:
+    return ("WITH RECURSIVE " + _all_metrics_ctes() + f"""
+SELECT a.model, count(*) AS n_samples, {r6('avg(a."EM")')} AS "EM", {r6('avg(b."BLEU")')} AS "BLEU",
+       {r6('avg(a."ROUGE-1")')} AS "ROUGE-1", {r6('avg(a."ROUGE-2")')} AS "ROUGE-2", {r6('avg(l."ROUGE-L")')} AS "ROUGE-L"
+FROM rouge12 a JOIN bleu b ON b.model = a.model AND b.case_id = a.case_id
+JOIN rouge_l l ON l.model = a.model AND l.case_id = a.case_id
+GROUP BY a.model""")
+
+
 def _q(body: str, ctes: str) -> str:
     return f"WITH {ctes}\n{body}"
 
