@@ -37,7 +37,7 @@ def exact_match(ref, gen) -> Column:
     return F.when(_c(ref) == _c(gen), F.lit(1)).otherwise(F.lit(0)).cast("int")
 
 
-def _f_score(overlap: Column, n_hyp: Column, n_ref: Column) -> Column:
+def f_score(overlap: Column, n_hyp: Column, n_ref: Column) -> Column:
     p = F.when(n_hyp == 0, F.lit(0.0)).otherwise(overlap / n_hyp)
     r = F.when(n_ref == 0, F.lit(0.0)).otherwise(overlap / n_ref)
     return F.lit(2.0) * ((p * r) / (p + r + F.lit(ROUGE_F_EPSILON)))
@@ -49,7 +49,7 @@ def rouge_n(ref, gen, n: int, on_empty: str = "null") -> Column:
     hyp_set = F.array_distinct(ngrams(rouge_words(gen), n))
     ref_set = F.array_distinct(ngrams(rouge_words(ref), n))
     overlap = F.size(F.array_intersect(hyp_set, ref_set))
-    f = _f_score(overlap, F.size(hyp_set), F.size(ref_set))
+    f = f_score(overlap, F.size(hyp_set), F.size(ref_set))
     return _undefined_guard(ref, gen, f, on_empty)
 
 
@@ -160,6 +160,11 @@ def _rouge_l_udf(ref: pd.Series, gen: pd.Series) -> pd.Series:
     )
 
 
+def rouge_l_raw(ref, gen) -> Column:
+    """ROUGE-L without the undefined guard (the UDF itself returns null then)."""
+    return _rouge_l_udf(_c(ref), _c(gen))
+
+
 def rouge_l(ref, gen, on_empty: str = "null") -> Column:
     ref, gen = _c(ref), _c(gen)
     return _undefined_guard(ref, gen, _rouge_l_udf(ref, gen), on_empty)

@@ -55,8 +55,11 @@ def nan_str(c, policy: str = "literal_nan") -> Column:
 
 
 def tokens(c) -> Column:
-    """Python ``str.split()`` with no argument: runs of whitespace separate, no empties."""
-    return F.filter(F.split(_c(c), WS_CLASS + "+"), lambda x: x != F.lit(""))
+    """Python ``str.split()`` with no argument: runs of whitespace separate, no empties.
+
+    Splitting on whole runs leaves an empty piece only at either end; removing
+    empty strings (a codegen'd array function, no lambda) drops exactly those."""
+    return F.array_remove(F.split(_c(c), WS_CLASS + "+", -1), "")
 
 
 def ngrams(words, n: int) -> Column:
@@ -77,10 +80,7 @@ def rouge_words(c) -> Column:
     whitespace inside each piece and split it on single spaces (a piece made only
     of spaces therefore yields one empty word)."""
     pieces = F.filter(F.split(_c(c), r"\.", -1), lambda s: F.length(s) > 0)
-    per_piece = F.transform(
-        pieces,
-        lambda s: F.when(F.size(tokens(s)) == 0, F.array(F.lit(""))).otherwise(tokens(s)),
-    )
+    per_piece = F.transform(F.transform(pieces, tokens), lambda w: F.when(F.size(w) == 0, F.array(F.lit(""))).otherwise(w))
     return F.flatten(per_piece)
 
 

@@ -7,8 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigen.functions.metrics import bleu4, exact_match, prepared, rouge_l, rouge_n
-from lexigen.functions.text import n_sentences
+from lexigen.functions.metrics import bleu4, exact_match, f_score, prepared, rouge_l_raw
+from lexigen.functions.text import n_sentences, ngrams, rouge_words
 
 METRICS = ["EM", "BLEU", "ROUGE-1", "ROUGE-2", "ROUGE-L"]
 
@@ -39,21 +39,51 @@ def score_detail(
     metrics: list[str] | None = None,
 ) -> DataFrame:
     """Keep every input column and add EM, BLEU, ROUGE-1/2/L (one column each, so
-    pruning a metric prunes its work)."""
-    df = stack_predictions(preds)
-    ref, gen = "_ref", "_gen"
-    df = df.withColumn(ref, prepared(reference, null_policy)).withColumn(gen, prepared(generated, null_policy))
+    pruning a metric prunes its work).
+
+    Shared intermediates (prepared text, sentence counts, word lists, n-gram
+    sets, overlap sizes) are computed once each in their own projection; the
+    metric formulas then only combine plain numeric columns. Written as one
+    nested expression, each intermediate would be re-evaluated inside every
+    conditional branch that uses it.
+    """
     want = metrics or METRICS
+    rouge_ns = [n for n, m in ((1, "ROUGE-1"), (2, "ROUGE-2")) if m in want]
+    df = stack_predictions(preds)
+    base = list(df.columns)
+    df = df.select("*", prepared(reference, null_policy).alias("_ref"), prepared(generated, null_policy).alias("_gen"))
+    df = df.select("*", n_sentences("_ref").alias("_sr"), n_sentences("_gen").alias("_sg"))
+    undefined = (F.col("_sr") == 0) | (F.col("_sg") == 0)
+    if rouge_ns:
+        df = df.select("*", rouge_words("_ref").alias("_wr"), rouge_words("_gen").alias("_wg"))
+        df = df.select(
+            "*",
+            *[F.array_distinct(ngrams("_wg", n)).alias(f"_h{n}") for n in rouge_ns],
+            *[F.array_distinct(ngrams("_wr", n)).alias(f"_r{n}") for n in rouge_ns],
+        )
+        df = df.select(
+            "*",
+            *[F.size(F.array_intersect(f"_h{n}", f"_r{n}")).alias(f"_o{n}") for n in rouge_ns],
+            *[F.size(f"_h{n}").alias(f"_nh{n}") for n in rouge_ns],
+            *[F.size(f"_r{n}").alias(f"_nr{n}") for n in rouge_ns],
+        )
+
+    def guard(v):
+        if on_empty == "null":
+            return F.when(undefined, F.lit(None).cast("double")).otherwise(v)
+        if on_empty == "zero":
+            return F.when(undefined, F.lit(0.0)).otherwise(v)
+        raise ValueError(f"unknown on_empty {on_empty!r}")
+
     exprs = {
-        "EM": lambda: exact_match(ref, gen),
-        "BLEU": lambda: bleu4(ref, gen),
-        "ROUGE-1": lambda: rouge_n(ref, gen, 1, on_empty),
-        "ROUGE-2": lambda: rouge_n(ref, gen, 2, on_empty),
-        "ROUGE-L": lambda: rouge_l(ref, gen, on_empty),
+        "EM": lambda: exact_match("_ref", "_gen"),
+        "BLEU": lambda: bleu4("_ref", "_gen"),
+        "ROUGE-1": lambda: guard(f_score(F.col("_o1"), F.col("_nh1"), F.col("_nr1"))),
+        "ROUGE-2": lambda: guard(f_score(F.col("_o2"), F.col("_nh2"), F.col("_nr2"))),
+        "ROUGE-L": lambda: guard(rouge_l_raw("_ref", "_gen")),
     }
     cols = [exprs[m]().alias(m) for m in want]
-    undefined = ((n_sentences(ref) == 0) | (n_sentences(gen) == 0)).alias("_undefined")
-    return df.select("*", *cols, undefined).drop(ref, gen)
+    return df.select(*[F.col(f"`{c}`") for c in base], *cols, undefined.alias("_undefined"))
 
 
 def summarize(detail: DataFrame, by: str = "model", with_undefined: bool = False) -> DataFrame:
