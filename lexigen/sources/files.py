@@ -55,7 +55,14 @@ def _csv_ready(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Overwrite ``path`` with a header CSV that ``read_predictions`` reads back."""
-    _csv_ready(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (
+        _csv_ready(df).write.mode("overwrite")
+        .option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def write_pairs(df: DataFrame, path: str) -> None:
