@@ -49,8 +49,16 @@ def batch_generate(
     factory: Callable,
     batch_size: int = GENERATION_BATCH_SIZE,
     strip_output: bool = True,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``out_col`` = generator(prompt) to every row (``mapInPandas``)."""
+    """Add ``out_col`` = generator(prompt) to every row (``mapInPandas``).
+
+    ``partitions`` spreads the prompts round-robin over that many tasks first
+    (generation costs far more per row than reading, so scan-sized partitions
+    would leave most workers idle); no key is involved, so no skew.
+    """
+    if partitions:
+        df = df.repartition(partitions)
     schema = StructType(list(df.schema.fields) + [StructField(out_col, StringType(), True)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

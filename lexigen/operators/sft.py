@@ -126,10 +126,13 @@ def build_vocab(df: DataFrame, col: str, size: int) -> DataFrame:
 def vocab_ids(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     """Word ids of ``col`` from a vocabulary table (unknown -> UNK_ID), first ``max_len``.
 
-    The vocabulary is broadcast (its size is fixed by ``build_vocab``); each
-    row's word list is rebuilt from at most ``max_len`` (pos, id) pairs.
+    The vocabulary is broadcast (its size is fixed by ``build_vocab``). Words are
+    regrouped by a per-row id, not by ``key``, so a group never holds more than
+    ``max_len`` entries even when one key value repeats across many rows.
     """
-    ex = df.select(key, F.posexplode(F.slice(tokens(col), 1, max_len)).alias("pos", "token"))
+    rows = df.select(key, F.slice(tokens(col), 1, max_len).alias("_t")).withColumn("_row", F.monotonically_increasing_id())
+    ex = rows.select("_row", key, F.posexplode("_t").alias("pos", "token"))
     j = ex.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
-    g = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))).alias("_p"))
+    pair = F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id"))
+    g = j.groupBy("_row", key).agg(F.sort_array(F.collect_list(pair)).alias("_p"))
     return g.select(key, F.transform("_p", lambda s: s["id"]).alias("ids"))
