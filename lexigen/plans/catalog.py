@@ -25,7 +25,8 @@ from lexigen.operators import sft as S
 from lexigen.operators import split as SP
 from lexigen.operators.training_log import training_rollup
 from lexigen.plans import fixtures as FX
-from lexigen.session import ship_package
+from lexigen.session import scratch_path, ship_package
+from lexigen.sources import files as IO
 
 SPLIT_SEED = 42
 TEST_FRACTION = 0.2
@@ -206,6 +207,20 @@ def q_attach(spark, d):
     return I.attach(cases.select("case_id", "output_impression"), outs, "case_id", check_unique=False)
 
 
+def q_pairs_json_roundtrip(spark, d):
+    """Pairs written as JSON Lines to the shared scratch folder and read back."""
+    path = scratch_path(spark, "pairs_json")
+    IO.write_pairs(PA.to_pairs(FX.cases(spark, d)), path)
+    return IO.read_pairs(spark, path, multiline=False)
+
+
+def q_predictions_csv_roundtrip(spark, d):
+    """Predictions (with quotes, newlines, empty and missing cells) through CSV and back."""
+    path = scratch_path(spark, "pred_csv")
+    IO.write_predictions(FX.finetuned_predictions(FX.cases(spark, d)), path)
+    return IO.read_predictions(spark, path)
+
+
 def q_text_functions(spark, d):
     conv = FX.table(spark, d, "conversations")
     t = F.col("text")

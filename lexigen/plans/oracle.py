@@ -459,6 +459,17 @@ def sql_attach() -> str:
               "ON p.case_id = c.case_id AND p.model = 'finetuned'", PREDS)
 
 
+def sql_pairs_json_roundtrip() -> str:
+    return _q("SELECT input_findings AS prompt, output_impression AS response FROM cases", CASES)
+
+
+def sql_predictions_csv_roundtrip() -> str:
+    # An empty cell reads back as missing, as with pandas.
+    return _q("SELECT nullif(c.input_findings, '') AS prompt, nullif(p.reference, '') AS reference, "
+              "nullif(p.generated, '') AS generated FROM preds p "
+              "JOIN cases c USING (case_id) WHERE p.model = 'finetuned'", PREDS)
+
+
 def sql_text_functions() -> str:
     return (
         f"SELECT conv_id, turn, CAST(length({strip('text')}) AS BIGINT) AS stripped_len, "

@@ -42,6 +42,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder."""
+    import uuid
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/lexigen/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
@@ -49,8 +56,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     never reruns when a later stage or a lost executor replays the plan.
     """
     spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/lexigen/{name}-{os.getpid()}-{id(df)}"
+    path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

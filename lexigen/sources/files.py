@@ -30,7 +30,8 @@ def read_pairs(spark: SparkSession, path: str, multiline: bool = True) -> DataFr
 
 
 def read_predictions(spark: SparkSession, path: str, model: str | None = None, schema: StructType = PRED_SCHEMA) -> DataFrame:
-    """Prediction CSV with a header; quoted cells may hold commas, quotes and newlines."""
+    """Prediction CSV with a header; quoted cells may hold commas, quotes and newlines.
+    An empty cell reads as null (as a pandas reader makes it missing)."""
     df = (
         spark.read.schema(schema)
         .option("header", True)
