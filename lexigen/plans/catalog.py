@@ -36,10 +36,16 @@ BASELINE_WORDS = 12
 VOCAB_SIZE = 1000
 
 
+def _spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Round-robin over the shuffle partitions before Python-heavy work (generation,
+    LCS): the small case table comes out of its join in one or two partitions."""
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """Baseline (stand-in generator through batch inference) and tuned stand-in, stacked."""
     ship_package(spark)
-    cases = FX.cases(spark, d)
+    cases = _spread(spark, FX.cases(spark, d))
     base = I.predict(PA.to_pairs(cases), I.LeadingTokens(BASELINE_WORDS))
     tuned = FX.finetuned_predictions(cases)
     return E.stack_predictions({"baseline": base, "finetuned": tuned})
