@@ -2,10 +2,13 @@
 per-epoch batches.
 
 A global ``row_number()`` without ``partitionBy`` runs in one task. Instead the
-rows are ordered by an md5 hash (uniform), bucketed by its first hex digits,
-ranked inside each bucket in parallel, and shifted by the row count of all
-earlier buckets. The offset table has at most ``16**prefix_len`` rows per
-partition group, so broadcasting it is bounded whatever the data size.
+rows are range-partitioned on the full sort key (md5 order hash, then a
+tiebreak), sorted inside each partition, numbered by position, and shifted by
+the row count of all earlier partitions. Range boundaries are sampled on the
+whole composite key, so rows sharing one hash value (a key repeated over a
+large share of the data) are still spread over many partitions; the offset
+table has one row per (partition, group), so broadcasting it is bounded by the
+partition count, not by the data.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_POS_BITS = 33  # monotonically_increasing_id: partition id above, row position below
+
 
 def order_hash(keys: list[str], *salt) -> Column:
     """md5 of ``key|...|salt`` (all parts as text)."""
@@ -20,36 +25,46 @@ def order_hash(keys: list[str], *salt) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def bucketed_rank(
+def global_rank(
     df: DataFrame,
     hash_col: Column,
-    tiebreak: list[str],
+    tiebreak: list,
     partition_by: list[str] | None = None,
     rank_col: str = "rank",
     total_col: str | None = None,
-    prefix_len: int = 4,
+    num_partitions: int | None = None,
 ) -> DataFrame:
-    """1-based rank of every row by (hash, tiebreak) within ``partition_by`` groups,
-    without a single-task window. ``tiebreak`` should make the order total
-    (a unique key)."""
+    """1-based rank of every row by (hash, *tiebreak) within ``partition_by`` groups."""
+    spark = df.sparkSession
     part = list(partition_by or [])
-    h = df.withColumn("_h", hash_col).withColumn("_b", F.substring("_h", 1, prefix_len))
-    counts = h.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*part)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*part, "_h", *tiebreak]
+    y = (
+        df.withColumn("_h", hash_col)
+        .repartitionByRange(n, *keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), _POS_BITS))
+    )
+    counts = y.groupBy("_pid", *part).agg(F.count(F.lit(1)).alias("_n"))
+    earlier_parts = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    earlier_groups = Window.partitionBy("_pid").orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
+        "_pid",
         *part,
-        "_b",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-        F.sum("_n").over(whole).alias("_tot"),
+        F.coalesce(F.sum("_n").over(earlier_parts), F.lit(0)).alias("_goff"),
+        F.coalesce(F.sum("_n").over(earlier_groups), F.lit(0)).alias("_loff"),
+        F.sum("_n").over(Window.partitionBy(*part)).alias("_tot"),
     )
-    inner = Window.partitionBy(*part, "_b").orderBy("_h", *tiebreak)
-    out = h.join(F.broadcast(offsets), [*part, "_b"]).withColumn(
-        rank_col, (F.row_number().over(inner) + F.col("_off")).cast("long")
+    out = y.join(F.broadcast(offsets), ["_pid", *part]).withColumn(
+        rank_col, (F.col("_pos") - F.col("_loff") + F.col("_goff") + 1).cast("long")
     )
     if total_col:
         out = out.withColumnRenamed("_tot", total_col)
-    return out.drop("_h", "_b", "_off", "_tot")
+    return out.drop("_h", "_pid", "_pos", "_goff", "_loff", "_tot")
+
+
+bucketed_rank = global_rank
 
 
 def exact_split(
@@ -57,7 +72,7 @@ def exact_split(
 ) -> DataFrame:
     """Seeded shuffle then exact cut: ``ceil(test * n)`` rows labelled ``test``, the rest ``train``."""
     keys = [key] if isinstance(key, str) else list(key)
-    ranked = bucketed_rank(df, order_hash(keys, seed), keys, rank_col="_rank", total_col="_n_all")
+    ranked = global_rank(df, order_hash(keys, seed), keys, rank_col="_rank", total_col="_n_all")
     is_test = F.col("_rank") <= F.ceil(F.lit(float(test)) * F.col("_n_all"))
     return ranked.withColumn(split_col, F.when(is_test, "test").otherwise("train")).drop("_rank", "_n_all")
 
@@ -78,5 +93,5 @@ def assign_batches(
     keys = [key] if isinstance(key, str) else list(key)
     ep = list(range(epochs)) if isinstance(epochs, int) else list(epochs)
     x = df.withColumn(epoch_col, F.explode(F.array(*[F.lit(e) for e in ep])))
-    ranked = bucketed_rank(x, order_hash(keys + [epoch_col], seed), keys, [epoch_col], rank_col="_rank")
+    ranked = global_rank(x, order_hash(keys + [epoch_col], seed), keys, [epoch_col], rank_col="_rank")
     return ranked.withColumn(batch_col, F.floor((F.col("_rank") - 1) / F.lit(size)).cast("long")).drop("_rank")

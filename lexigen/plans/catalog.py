@@ -96,7 +96,7 @@ def q_exact_split(spark, d):
 
 def q_global_rank(spark, d):
     docs = FX.table(spark, d, "documents").select("doc_id")
-    return SP.bucketed_rank(docs, SP.order_hash(["doc_id"], SPLIT_SEED), ["doc_id"])
+    return SP.global_rank(docs, SP.order_hash(["doc_id"], SPLIT_SEED), ["doc_id"])
 
 
 def q_split_pairs(spark, d):
