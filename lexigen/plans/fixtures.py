@@ -12,10 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigen.functions.text import WS_CLASS, strip, tokens
+from lexigen.session import spread
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A given table, pruned to ``columns`` and spread over the cores when the
+    file reads as fewer splits than cores (pruning first keeps the spread small)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if columns:
+        df = df.select(*columns)
+    return spread(df)
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:

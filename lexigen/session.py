@@ -42,6 +42,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a DataFrame over the cluster's cores when it has fewer
+    partitions than that (a small file read as one split); a no-op for
+    inputs that already split into enough tasks, as large inputs do."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
     import uuid
