@@ -2,13 +2,18 @@
 per-epoch batches.
 
 A global ``row_number()`` without ``partitionBy`` runs in one task. Instead the
-rows are range-partitioned on the full sort key (md5 order hash, then a
-tiebreak), sorted inside each partition, numbered by position, and shifted by
-the row count of all earlier partitions. Range boundaries are sampled on the
-whole composite key, so rows sharing one hash value (a key repeated over a
-large share of the data) are still spread over many partitions; the offset
-table has one row per (partition, group), so broadcasting it is bounded by the
-partition count, not by the data.
+rows are ordered by an md5 hash (uniform), bucketed by its first hex digits,
+ranked inside each bucket in parallel, and shifted by the row count of all
+earlier buckets. Buckets are defined by hash values, so the bucket counts and
+the ranked rows always agree, however often a stage is recomputed. The offset
+table has at most ``16**prefix_len`` rows per partition group, so
+broadcasting it is bounded whatever the data size.
+
+The order hash covers all key columns. When one key value repeats over a
+large share of rows, pass the columns that tell those rows apart as further
+key columns: each row then hashes on its own and the repeats spread over all
+buckets instead of filling one. Only rows equal in every key column stay
+together (their order among themselves does not matter).
 """
 
 from __future__ import annotations
@@ -16,8 +21,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_POS_BITS = 33  # monotonically_increasing_id: partition id above, row position below
-
 
 def order_hash(keys: list[str], *salt) -> Column:
     """md5 of ``key|...|salt`` (all parts as text)."""
@@ -28,40 +31,33 @@ def order_hash(keys: list[str], *salt) -> Column:
 def global_rank(
     df: DataFrame,
     hash_col: Column,
-    tiebreak: list,
+    tiebreak: list[str],
     partition_by: list[str] | None = None,
     rank_col: str = "rank",
     total_col: str | None = None,
-    num_partitions: int | None = None,
+    prefix_len: int = 4,
 ) -> DataFrame:
-    """1-based rank of every row by (hash, *tiebreak) within ``partition_by`` groups."""
-    spark = df.sparkSession
+    """1-based rank of every row by (hash, tiebreak) within ``partition_by`` groups,
+    without a single-task window. ``tiebreak`` should make the order total
+    (a unique key)."""
     part = list(partition_by or [])
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*part, "_h", *tiebreak]
-    y = (
-        df.withColumn("_h", hash_col)
-        .repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), _POS_BITS))
-    )
-    counts = y.groupBy("_pid", *part).agg(F.count(F.lit(1)).alias("_n"))
-    earlier_parts = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    earlier_groups = Window.partitionBy("_pid").orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    h = df.withColumn("_h", hash_col).withColumn("_b", F.substring("_h", 1, prefix_len))
+    counts = h.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*part)
     offsets = counts.select(
-        "_pid",
         *part,
-        F.coalesce(F.sum("_n").over(earlier_parts), F.lit(0)).alias("_goff"),
-        F.coalesce(F.sum("_n").over(earlier_groups), F.lit(0)).alias("_loff"),
-        F.sum("_n").over(Window.partitionBy(*part)).alias("_tot"),
+        "_b",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+        F.sum("_n").over(whole).alias("_tot"),
     )
-    out = y.join(F.broadcast(offsets), ["_pid", *part]).withColumn(
-        rank_col, (F.col("_pos") - F.col("_loff") + F.col("_goff") + 1).cast("long")
+    inner = Window.partitionBy(*part, "_b").orderBy("_h", *tiebreak)
+    out = h.join(F.broadcast(offsets), [*part, "_b"]).withColumn(
+        rank_col, (F.row_number().over(inner) + F.col("_off")).cast("long")
     )
     if total_col:
         out = out.withColumnRenamed("_tot", total_col)
-    return out.drop("_h", "_pid", "_pos", "_goff", "_loff", "_tot")
+    return out.drop("_h", "_b", "_off", "_tot")
 
 
 bucketed_rank = global_rank

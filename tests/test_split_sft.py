@@ -24,22 +24,24 @@ def test_exact_split_sizes_disjoint_and_stable(spark):
 
 def test_rank_is_a_permutation(spark):
     docs = FX.table(spark, SF_MID, "documents").select("doc_id")
-    r = SP.global_rank(docs, SP.order_hash(["doc_id"], 42), ["doc_id"], num_partitions=5)
+    r = SP.global_rank(docs, SP.order_hash(["doc_id"], 42), ["doc_id"], prefix_len=2)
     ranks = sorted(x[0] for x in r.select("rank").collect())
     assert ranks == list(range(1, docs.count() + 1))
 
 
 def test_rank_spreads_a_repeated_key(spark):
-    """A key holding a third of the rows still ranks exactly, over many partitions."""
+    """A key value holding a third of the rows: with the row column as a further
+    key the repeats hash apart, land in many buckets, and still rank exactly."""
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("row")
     )
-    r = SP.global_rank(df, SP.order_hash(["k"], 1), ["row"], num_partitions=8)
+    h = SP.order_hash(["k", "row"], 1)
+    buckets = df.filter("k = 7").select(F.substring(h, 1, 4).alias("b")).distinct().count()
+    assert buckets > 900
+    r = SP.global_rank(df, h, ["k", "row"])
     assert sorted(x[0] for x in r.select("rank").collect()) == list(range(1, 3001))
-    ranks = {x["row"]: x["rank"] for x in r.collect()}
-    order = sorted(ranks, key=lambda row: ranks[row])
-    hot = [row for row in order if row % 3 == 0]
-    assert hot == sorted(hot)  # ties broken by the tiebreak column
+    split = SP.exact_split(df, ["k", "row"], 0.2, 1)
+    assert split.filter("split = 'test'").count() == 600
 
 
 def test_batches_full_but_last(spark):
