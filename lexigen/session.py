@@ -45,7 +45,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin a DataFrame over the cluster's cores when it has fewer
     partitions than that (a small file read as one split); a no-op for
-    inputs that already split into enough tasks, as large inputs do."""
+    inputs that already split into enough tasks, as large inputs do.
+
+    Meant for scans: counting the partitions of a plan that contains a
+    shuffle would run that shuffle early."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
