@@ -110,16 +110,23 @@ def _rouge_sentences(text: str):
 
 
 def _lcs_words(x, y):
-    """Words on the LCS back-trace of x (reference) against y (hypothesis)."""
+    """Words on the LCS back-trace of x (reference) against y (hypothesis).
+
+    Table: T[i][j] = T[i-1][j-1] + 1 on equal words, else max(T[i-1][j], T[i][j-1]).
+    Back-trace from the end: diagonal on equal words, else up when
+    T[i-1][j] > T[i][j-1], else left."""
     n, m = len(x), len(y)
-    t = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        xi, row, prev = x[i - 1], t[i], t[i - 1]
-        for j in range(1, m + 1):
-            if xi == y[j - 1]:
-                row[j] = prev[j - 1] + 1
-            else:
-                row[j] = prev[j] if prev[j] > row[j - 1] else row[j - 1]
+    if n * m > _NUMPY_CELLS:
+        t = _lcs_table_np(x, y)
+    else:
+        t = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(1, n + 1):
+            xi, row, prev = x[i - 1], t[i], t[i - 1]
+            for j in range(1, m + 1):
+                if xi == y[j - 1]:
+                    row[j] = prev[j - 1] + 1
+                else:
+                    row[j] = prev[j] if prev[j] > row[j - 1] else row[j - 1]
     out = set()
     i, j = n, m
     while i > 0 and j > 0:
@@ -134,6 +141,25 @@ def _lcs_words(x, y):
     return out
 
 
+_NUMPY_CELLS = 4096
+
+
+def _lcs_table_np(x, y):
+    """The same table, one row at a time with numpy: a row is the running
+    maximum of max(T[i-1][j], T[i-1][j-1] + [x_i = y_j])."""
+    import numpy as np
+
+    ids: dict = {}
+    xa = np.fromiter((ids.setdefault(w, len(ids)) for w in x), dtype=np.int64, count=len(x))
+    ya = np.fromiter((ids.setdefault(w, len(ids)) for w in y), dtype=np.int64, count=len(y))
+    t = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)
+    for i in range(1, len(x) + 1):
+        prev = t[i - 1]
+        cand = np.maximum(prev[1:], prev[:-1] + (ya == xa[i - 1]))
+        np.maximum.accumulate(cand, out=t[i, 1:])
+    return t
+
+
 def rouge_l_summary(ref: str, hyp: str):
     """Summary-level ROUGE-L F (union of per-sentence LCS word sets); None if undefined."""
     rs, hs = _rouge_sentences(ref), _rouge_sentences(hyp)

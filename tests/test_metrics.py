@@ -99,3 +99,23 @@ def test_summary_skips_nan_and_is_partition_independent(spark):
         assert all(x == pytest.approx(y, abs=1e-12) for x, y in zip(a[2:], b[2:]))
     df = spark.createDataFrame([("m", float("nan")), ("m", 1.0)], "model string, BLEU double")
     assert summarize(df).collect()[0]["BLEU"] == 1.0
+
+
+def test_lcs_numpy_table_equals_loop():
+    import random
+
+    from lexigen.functions import metrics as M
+
+    rnd = random.Random(7)
+    for _ in range(200):
+        x = [rnd.choice("abcde") for _ in range(rnd.randint(1, 90))]
+        y = [rnd.choice("abcde") for _ in range(rnd.randint(1, 90))]
+        old = M._NUMPY_CELLS
+        try:
+            M._NUMPY_CELLS = 10**12
+            slow = M._lcs_words(x, y)
+            M._NUMPY_CELLS = 0
+            fast = M._lcs_words(x, y)
+        finally:
+            M._NUMPY_CELLS = old
+        assert slow == fast
