@@ -34,18 +34,27 @@ def start_scoring(
     detail_path: str,
     checkpoint: str,
     summary_table: str | None = None,
+    summary_path: str | None = None,
     available_now: bool = True,
 ) -> list[StreamingQuery]:
-    """Append scored rows to Parquet; optionally keep the running summary in a
-    table (``complete`` mode). Checkpoints make both restartable."""
+    """Append scored rows to Parquet; keep the running per-model summary as a
+    Parquet table rewritten each micro-batch (``summary_path``) and/or an
+    in-session table (``summary_table``). Checkpoints make every query
+    restartable after a failure."""
     base = checkpoint.rstrip("/")
+
+    def trig(w):
+        return w.trigger(availableNow=True) if available_now else w
+
     w = detail_stream(preds).writeStream.format("parquet").option("path", detail_path)
-    w = w.option("checkpointLocation", f"{base}/detail").outputMode("append")
-    w = w.trigger(availableNow=True) if available_now else w
-    out = [w.start()]
+    out = [trig(w.option("checkpointLocation", f"{base}/detail").outputMode("append")).start()]
+    if summary_path:
+        def write_summary(batch: DataFrame, _epoch: int) -> None:
+            batch.write.mode("overwrite").parquet(summary_path)
+
+        s = summary_stream(preds).writeStream.outputMode("complete").foreachBatch(write_summary)
+        out.append(trig(s.option("checkpointLocation", f"{base}/summary_path")).start())
     if summary_table:
         s = summary_stream(preds).writeStream.outputMode("complete").format("memory").queryName(summary_table)
-        s = s.option("checkpointLocation", f"{base}/summary")
-        s = s.trigger(availableNow=True) if available_now else s
-        out.append(s.start())
+        out.append(trig(s.option("checkpointLocation", f"{base}/summary_table")).start())
     return out

@@ -149,10 +149,13 @@ def test_streaming_scoring(spark, tmp_dir):
     p = predictions(spark, SF_SMALL).select("prompt", "reference", "generated", "model")
     p.write.parquet(src)
     qs = start_scoring(read_prediction_stream(spark, src), os.path.join(tmp_dir, "out"),
-                       os.path.join(tmp_dir, "ckpt"), summary_table="stream_summary")
+                       os.path.join(tmp_dir, "ckpt"), summary_table="stream_summary",
+                       summary_path=os.path.join(tmp_dir, "summary"))
     for q in qs:
         q.awaitTermination(120)
     out = spark.read.parquet(os.path.join(tmp_dir, "out"))
     assert out.count() == p.count()
     summ = {r["model"]: r["n_samples"] for r in spark.sql("select * from stream_summary").collect()}
     assert sum(summ.values()) == p.count()
+    stored = {r["model"]: r["n_samples"] for r in spark.read.parquet(os.path.join(tmp_dir, "summary")).collect()}
+    assert stored == summ
