@@ -44,7 +44,11 @@ def f_score(overlap: Column, n_hyp: Column, n_ref: Column) -> Column:
 
 
 def rouge_n(ref, gen, n: int, on_empty: str = "null") -> Column:
-    """ROUGE-N F over *sets* of n-grams of the period-split word lists."""
+    """ROUGE-N F over *sets* of n-grams of the period-split word lists.
+
+    A single self-contained column; ``operators.evaluate.score_detail`` computes
+    the same value with its intermediates staged in projections, which is the
+    faster form for whole tables."""
     ref, gen = _c(ref), _c(gen)
     hyp_set = F.array_distinct(ngrams(rouge_words(gen), n))
     ref_set = F.array_distinct(ngrams(rouge_words(ref), n))

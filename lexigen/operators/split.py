@@ -63,19 +63,77 @@ def global_rank(
 bucketed_rank = global_rank
 
 
+# Copies of one row beyond this many are generated in chunks spread over tasks.
+COPY_CHUNK = 10_000
+
+
+def _weighted_start(
+    g: DataFrame, hash_col: Column, order: list[str], part: list[str], weight: str, prefix_len: int = 4
+) -> DataFrame:
+    """For rows that each stand for ``weight`` identical rows: the 1-based rank of
+    the first of them (``_start``) and the group total (``_tot``), ordered by
+    (hash, *order) within ``part`` groups; bucketed like ``global_rank``."""
+    x = g.withColumn("_h", hash_col).withColumn("_b", F.substring("_h", 1, prefix_len))
+    sums = x.groupBy(*part, "_b").agg(F.sum(weight).alias("_n"))
+    before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        *part,
+        "_b",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+        F.sum("_n").over(Window.partitionBy(*part)).alias("_tot"),
+    )
+    inner = Window.partitionBy(*part, "_b").orderBy("_h", *order).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(weight).over(inner), F.lit(0)) + F.col("_off") + 1
+    return x.join(F.broadcast(offsets), [*part, "_b"]).withColumn("_start", start.cast("long")).drop("_h", "_b", "_off")
+
+
+def _expand_copies(x: DataFrame, count: str) -> DataFrame:
+    """One row per copy, numbered ``_idx`` = 0..count-1. Large groups of copies are
+    cut into chunks first and the chunk rows spread round-robin, so no task
+    generates more than ``COPY_CHUNK`` copies of one row."""
+    c = F.col(count)
+    small = x.filter(c <= COPY_CHUNK).withColumn("_idx", F.explode(F.sequence(F.lit(0).cast("long"), c - 1)))
+    big = (
+        x.filter(c > COPY_CHUNK)
+        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((c - 1) / COPY_CHUNK).cast("long"))))
+        .repartition(x.sparkSession.sparkContext.defaultParallelism)
+    )
+    lo = F.col("_chunk") * COPY_CHUNK
+    big = big.withColumn("_idx", F.explode(F.sequence(lo, F.least(c, lo + COPY_CHUNK) - 1))).drop("_chunk")
+    return small.unionByName(big)
+
+
+def _collapse(df: DataFrame) -> DataFrame:
+    """Identical rows -> one row and its count (map-side combined, so a group of
+    copies holding most of the data collapses before the shuffle)."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+
+
 def exact_split(
-    df: DataFrame, key: str | list[str], test: float = 0.2, seed: int = 42, split_col: str = "split"
+    df: DataFrame,
+    key: str | list[str] | None = None,
+    test: float = 0.2,
+    seed: int = 42,
+    split_col: str = "split",
 ) -> DataFrame:
-    """Seeded shuffle then exact cut: ``ceil(test * n)`` rows labelled ``test``, the rest ``train``."""
-    keys = [key] if isinstance(key, str) else list(key)
-    ranked = global_rank(df, order_hash(keys, seed), keys, rank_col="_rank", total_col="_n_all")
-    is_test = F.col("_rank") <= F.ceil(F.lit(float(test)) * F.col("_n_all"))
-    return ranked.withColumn(split_col, F.when(is_test, "test").otherwise("train")).drop("_rank", "_n_all")
+    """Seeded shuffle then exact cut: ``ceil(test * n)`` rows labelled ``test``, the rest ``train``.
+
+    Rows are ordered by md5 of the ``key`` columns (all columns when None), ties
+    by the key and then the other columns. Identical rows are counted once and
+    regenerated after ranking, so copies never crowd one task.
+    """
+    cols = list(df.columns)
+    keys = cols if key is None else ([key] if isinstance(key, str) else list(key))
+    order = keys + [c for c in cols if c not in keys]
+    ranked = _weighted_start(_collapse(df), order_hash(keys, seed), order, [], "_c")
+    rows = _expand_copies(ranked, "_c")
+    is_test = (F.col("_start") + F.col("_idx")) <= F.ceil(F.lit(float(test)) * F.col("_tot"))
+    return rows.select(*cols, F.when(is_test, "test").otherwise("train").alias(split_col))
 
 
 def assign_batches(
     df: DataFrame,
-    key: str | list[str],
+    key: str | list[str] | None = None,
     size: int = 6,
     epochs: int | list[int] = 1,
     seed: int = 42,
@@ -85,9 +143,14 @@ def assign_batches(
     """Per-epoch reshuffle into batches of ``size`` (last one may be short).
 
     Every row appears once per epoch; epochs are generated in place (no join).
+    Ordering and copies are handled as in ``exact_split``.
     """
-    keys = [key] if isinstance(key, str) else list(key)
+    cols = list(df.columns)
+    keys = cols if key is None else ([key] if isinstance(key, str) else list(key))
+    order = keys + [c for c in cols if c not in keys]
     ep = list(range(epochs)) if isinstance(epochs, int) else list(epochs)
-    x = df.withColumn(epoch_col, F.explode(F.array(*[F.lit(e) for e in ep])))
-    ranked = global_rank(x, order_hash(keys + [epoch_col], seed), keys, [epoch_col], rank_col="_rank")
-    return ranked.withColumn(batch_col, F.floor((F.col("_rank") - 1) / F.lit(size)).cast("long")).drop("_rank")
+    g = _collapse(df).withColumn(epoch_col, F.explode(F.array(*[F.lit(e) for e in ep])))
+    ranked = _weighted_start(g, order_hash(keys + [epoch_col], seed), order, [epoch_col], "_c")
+    rows = _expand_copies(ranked, "_c")
+    batch = F.floor((F.col("_start") + F.col("_idx") - 1) / F.lit(size)).cast("long")
+    return rows.select(*cols, epoch_col, batch.alias(batch_col))

@@ -101,3 +101,24 @@ def test_vocab_top_k_and_ids(spark):
     assert all(a["n"] >= b["n"] for a, b in zip(rows, rows[1:]))
     ids = S.vocab_ids(docs, "doc_id", "text", v).collect()
     assert all(len(r["ids"]) <= S.MAX_LEN for r in ids)
+
+
+def test_split_with_a_group_of_copies(spark):
+    """A third of the rows are one row copied: exact sizes, copies regenerated."""
+    from lexigen.operators import split as SPM
+
+    old = SPM.COPY_CHUNK
+    SPM.COPY_CHUNK = 50  # force the chunked path on a small input
+    try:
+        base = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 5).alias("v"))
+        copies = spark.range(1000).select(F.lit(-1).cast("long").alias("k"), F.lit(9).cast("long").alias("v"))
+        df = base.unionByName(copies)
+        out = SPM.exact_split(df, "k", 0.2, 3)
+        assert out.count() == 3000
+        assert out.filter("split = 'test'").count() == 600
+        assert out.filter("k = -1").count() == 1000
+        b = SPM.assign_batches(df, "k", size=7, epochs=2)
+        sizes = sorted(r["count"] for r in b.groupBy("epoch", "batch_id").count().collect())
+        assert sum(sizes) == 6000 and sizes.count(7) == len(sizes) - 2
+    finally:
+        SPM.COPY_CHUNK = old
