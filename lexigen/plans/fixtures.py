@@ -15,13 +15,18 @@ from lexigen.functions.text import WS_CLASS, strip, tokens
 from lexigen.session import spread
 
 
+# Tables whose rows carry long text; CPU work on them is worth spreading.
+TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """A given table, pruned to ``columns`` and spread over the cores when the
-    file reads as fewer splits than cores (pruning first keeps the spread small)."""
+    """A given table, pruned to ``columns``. Text tables are spread over the cores
+    when the file reads as fewer splits than cores (pruning first keeps the
+    spread small); for short numeric rows a shuffle would cost more than it saves."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if columns:
         df = df.select(*columns)
-    return spread(df)
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:

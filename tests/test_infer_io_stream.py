@@ -159,3 +159,18 @@ def test_streaming_scoring(spark, tmp_dir):
     assert sum(summ.values()) == p.count()
     stored = {r["model"]: r["n_samples"] for r in spark.read.parquet(os.path.join(tmp_dir, "summary")).collect()}
     assert stored == summ
+
+
+def test_report_and_materialize(spark, tmp_dir):
+    from lexigen.operators.evaluate import evaluate
+    from lexigen.plans.catalog import predictions
+    from lexigen.session import materialize
+
+    detail, summary = evaluate(predictions(spark, SF_SMALL))
+    IO.write_report(detail, None, os.path.join(tmp_dir, "report"))
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(
+        os.path.join(tmp_dir, "report", "summary"))
+    assert {r["model"] for r in back.collect()} == {"baseline", "finetuned"}
+    assert spark.read.parquet(os.path.join(tmp_dir, "report", "_detail_parquet")).count() == detail.count()
+    m = materialize(detail.select("model", "case_id"), "detail-ids")
+    assert m.count() == detail.count()
