@@ -67,12 +67,21 @@ bucketed_rank = global_rank
 COPY_CHUNK = 10_000
 
 
-def _weighted_start(
+def _weighted_ranked_copies(
     g: DataFrame, hash_col: Column, order: list[str], part: list[str], weight: str, prefix_len: int = 4
 ) -> DataFrame:
-    """For rows that each stand for ``weight`` identical rows: the 1-based rank of
-    the first of them (``_start``) and the group total (``_tot``), ordered by
-    (hash, *order) within ``part`` groups; bucketed like ``global_rank``."""
+    """Rows of ``g`` each stand for ``weight`` identical rows. Returns one row per
+    copy with ``_start`` (1-based rank of the first copy), ``_idx`` (0-based copy
+    number) and ``_tot`` (rows in the ``part`` group), ordered by (hash, *order).
+
+    Bucketed like ``global_rank``: per-bucket weight sums (at most
+    ``16**prefix_len`` rows per group) are broadcast as offsets, and a running sum
+    inside each bucket gives each row its start. Copies are regenerated in place
+    for rows standing for at most ``COPY_CHUNK`` rows. Larger groups of copies are
+    ranked again within their own buckets only (the bucket list is bounded by the
+    bucket count), cut into chunks, spread round-robin and then regenerated, so no
+    task generates more than ``COPY_CHUNK`` copies of a row.
+    """
     x = g.withColumn("_h", hash_col).withColumn("_b", F.substring("_h", 1, prefix_len))
     sums = x.groupBy(*part, "_b").agg(F.sum(weight).alias("_n"))
     before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,24 +92,25 @@ def _weighted_start(
         F.sum("_n").over(Window.partitionBy(*part)).alias("_tot"),
     )
     inner = Window.partitionBy(*part, "_b").orderBy("_h", *order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(weight).over(inner), F.lit(0)) + F.col("_off") + 1
-    return x.join(F.broadcast(offsets), [*part, "_b"]).withColumn("_start", start.cast("long")).drop("_h", "_b", "_off")
+    start = (F.coalesce(F.sum(weight).over(inner), F.lit(0)) + F.col("_off") + 1).cast("long")
 
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(offsets), [*part, "_b"]).withColumn("_start", start)
 
-def _expand_copies(x: DataFrame, count: str) -> DataFrame:
-    """One row per copy, numbered ``_idx`` = 0..count-1. Large groups of copies are
-    cut into chunks first and the chunk rows spread round-robin, so no task
-    generates more than ``COPY_CHUNK`` copies of one row."""
-    c = F.col(count)
-    small = x.filter(c <= COPY_CHUNK).withColumn("_idx", F.explode(F.sequence(F.lit(0).cast("long"), c - 1)))
+    c = F.col(weight)
+    small = ranked(x).filter(c <= COPY_CHUNK).withColumn("_idx", F.explode(F.sequence(F.lit(0).cast("long"), c - 1)))
+    big_buckets = x.filter(c > COPY_CHUNK).select(*part, "_b").distinct()
+    in_big = x.join(F.broadcast(big_buckets), [*part, "_b"], "left_semi")
+    lo = F.col("_chunk") * COPY_CHUNK
     big = (
-        x.filter(c > COPY_CHUNK)
+        ranked(in_big)
+        .filter(c > COPY_CHUNK)
         .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((c - 1) / COPY_CHUNK).cast("long"))))
-        .repartition(x.sparkSession.sparkContext.defaultParallelism)
+        .repartition(g.sparkSession.sparkContext.defaultParallelism)
+        .withColumn("_idx", F.explode(F.sequence(lo, F.least(c, lo + COPY_CHUNK) - 1)))
+        .drop("_chunk")
     )
-    lo = F.col("_chunk") * COPY_CHUNK
-    big = big.withColumn("_idx", F.explode(F.sequence(lo, F.least(c, lo + COPY_CHUNK) - 1))).drop("_chunk")
-    return small.unionByName(big)
+    return small.unionByName(big).drop("_h", "_b", "_off")
 
 
 def _collapse(df: DataFrame) -> DataFrame:
@@ -125,8 +135,7 @@ def exact_split(
     cols = list(df.columns)
     keys = cols if key is None else ([key] if isinstance(key, str) else list(key))
     order = keys + [c for c in cols if c not in keys]
-    ranked = _weighted_start(_collapse(df), order_hash(keys, seed), order, [], "_c")
-    rows = _expand_copies(ranked, "_c")
+    rows = _weighted_ranked_copies(_collapse(df), order_hash(keys, seed), order, [], "_c")
     is_test = (F.col("_start") + F.col("_idx")) <= F.ceil(F.lit(float(test)) * F.col("_tot"))
     return rows.select(*cols, F.when(is_test, "test").otherwise("train").alias(split_col))
 
@@ -150,7 +159,6 @@ def assign_batches(
     order = keys + [c for c in cols if c not in keys]
     ep = list(range(epochs)) if isinstance(epochs, int) else list(epochs)
     g = _collapse(df).withColumn(epoch_col, F.explode(F.array(*[F.lit(e) for e in ep])))
-    ranked = _weighted_start(g, order_hash(keys + [epoch_col], seed), order, [epoch_col], "_c")
-    rows = _expand_copies(ranked, "_c")
+    rows = _weighted_ranked_copies(g, order_hash(keys + [epoch_col], seed), order, [epoch_col], "_c")
     batch = F.floor((F.col("_start") + F.col("_idx") - 1) / F.lit(size)).cast("long")
     return rows.select(*cols, epoch_col, batch.alias(batch_col))
