@@ -77,18 +77,26 @@ def ngrams(words, n: int) -> Column:
     return out
 
 
+# Stands for an all-blank sentence while the text is cut into words (a noncharacter).
+_BLANK = "\uffff"
+
+
 def rouge_words(c) -> Column:
     """Word list used by ROUGE: split on '.', drop zero-length pieces, collapse
     whitespace inside each piece and split it on single spaces (a piece made only
-    of spaces therefore yields one empty word)."""
-    pieces = F.filter(F.split(_c(c), r"\.", -1), lambda s: F.length(s) > 0)
-    per_piece = F.transform(F.transform(pieces, tokens), lambda w: F.when(F.size(w) == 0, F.array(F.lit(""))).otherwise(w))
-    return F.flatten(per_piece)
+    of whitespace therefore yields one empty word).
+
+    Computed without a per-sentence lambda: every all-blank piece is first
+    replaced by a marker, then periods become spaces, the text is cut into words
+    and the marker turns into the empty word."""
+    marked = F.regexp_replace(_c(c), r"(\A|\.)" + WS_CLASS + r"+(?=\.|\z)", "$1" + _BLANK)
+    words = tokens(F.translate(marked, ".", " "))
+    return F.transform(words, lambda w: F.when(w == F.lit(_BLANK), F.lit("")).otherwise(w))
 
 
 def n_sentences(c) -> Column:
     """Number of ROUGE sentences (zero means the metric is undefined)."""
-    return F.size(F.filter(F.split(_c(c), r"\.", -1), lambda s: F.length(s) > 0))
+    return F.size(F.regexp_extract_all(_c(c), F.lit(r"[^.]+"), 0))
 
 
 def after_last(c, marker: str) -> Column:

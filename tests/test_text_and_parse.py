@@ -98,3 +98,19 @@ def test_fixture_parses_have_known_answers(spark):
     raw = FX.list_raw(FX.cases(spark, SF_SMALL))
     bad = raw.select("expected", F.array_join(parse_list("raw"), "|").alias("p")).filter("p <> expected")
     assert bad.count() == 0
+
+
+_dots = st.text(alphabet=st.sampled_from(list("ab. \t\n　 x")), max_size=20)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(_dots, min_size=1, max_size=5))
+def test_rouge_words_and_sentences_match_python(spark, texts):
+    from lexigen.functions.text import n_sentences, rouge_words
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", rouge_words("t").alias("w"), n_sentences("t").alias("n")).collect()
+    for r in rows:
+        pieces = [" ".join(p.split()) for p in r["t"].split(".") if len(p) > 0]
+        assert r["n"] == len(pieces)
+        assert r["w"] == [w for p in pieces for w in p.split(" ")]
