@@ -67,40 +67,58 @@ bucketed_rank = global_rank
 COPY_CHUNK = 10_000
 
 
+# A bucket holding at least this many rows and 8 times the mean is split further.
+HOT_BUCKET_MIN = 100_000
+
+
 def _weighted_ranked_copies(
     g: DataFrame, hash_col: Column, order: list[str], part: list[str], weight: str, prefix_len: int = 4
 ) -> DataFrame:
     """Rows of ``g`` each stand for ``weight`` identical rows. Returns one row per
     copy with ``_start`` (1-based rank of the first copy), ``_idx`` (0-based copy
-    number) and ``_tot`` (rows in the ``part`` group), ordered by (hash, *order).
-
-    Bucketed like ``global_rank``: per-bucket weight sums (at most
-    ``16**prefix_len`` rows per group) are broadcast as offsets, and a running sum
-    inside each bucket gives each row its start. Copies are regenerated in place
-    for rows standing for at most ``COPY_CHUNK`` rows. Larger groups of copies are
-    ranked again within their own buckets only (the bucket list is bounded by the
-    bucket count), cut into chunks, spread round-robin and then regenerated, so no
-    task generates more than ``COPY_CHUNK`` copies of a row.
+    number) and ``_tot`` (rows in the ``part`` group).
+
+    Rows are bucketed by the first hex digits of the order hash; per-bucket
+    weight sums (at most ``16**prefix_len`` rows per group) are broadcast as
+    offsets and a running sum inside each bucket gives each row its start. A
+    bucket far above the mean (one key value repeated over many distinct rows)
+    is split again by a hash of the whole row, so it spreads over up to 256
+    tasks; the order is then (hash prefix, row-hash prefix, hash, *order), still
+    total and seeded. Copies are regenerated in place for rows standing for at
+    most ``COPY_CHUNK`` rows; larger groups are ranked again within their own
+    buckets only, cut into chunks, spread round-robin and then regenerated.
     """
+    data_cols = [c for c in g.columns if c != weight]
     x = g.withColumn("_h", hash_col).withColumn("_b", F.substring("_h", 1, prefix_len))
-    sums = x.groupBy(*part, "_b").agg(F.sum(weight).alias("_n"))
-    before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    b_sums = x.groupBy(*part, "_b").agg(F.sum(weight).alias("_n"))
+    limit = F.greatest(F.lit(HOT_BUCKET_MIN), F.avg("_n").over(Window.partitionBy(*part)) * 8)
+    hot = (
+        b_sums.withColumn("_limit", limit)
+        .filter(F.col("_n") >= F.col("_limit"))
+        .select(*part, "_b", F.lit(True).alias("_hot"))
+    )
+    row_hash = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in data_cols]))
+    x = x.join(F.broadcast(hot), [*part, "_b"], "left").withColumn(
+        "_s", F.when(F.col("_hot"), F.substring(row_hash, 1, 2)).otherwise(F.lit(""))
+    ).drop("_hot")
+    bk = [*part, "_b", "_s"]
+    sums = x.groupBy(*bk).agg(F.sum(weight).alias("_n"))
+    before = Window.partitionBy(*part).orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        *part,
-        "_b",
+        *bk,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         F.sum("_n").over(Window.partitionBy(*part)).alias("_tot"),
     )
-    inner = Window.partitionBy(*part, "_b").orderBy("_h", *order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*bk).orderBy("_h", *order).rowsBetween(Window.unboundedPreceding, -1)
     start = (F.coalesce(F.sum(weight).over(inner), F.lit(0)) + F.col("_off") + 1).cast("long")
 
     def ranked(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(offsets), [*part, "_b"]).withColumn("_start", start)
+        return rows.join(F.broadcast(offsets), bk).withColumn("_start", start)
 
     c = F.col(weight)
     small = ranked(x).filter(c <= COPY_CHUNK).withColumn("_idx", F.explode(F.sequence(F.lit(0).cast("long"), c - 1)))
-    big_buckets = x.filter(c > COPY_CHUNK).select(*part, "_b").distinct()
-    in_big = x.join(F.broadcast(big_buckets), [*part, "_b"], "left_semi")
+    big_buckets = x.filter(c > COPY_CHUNK).select(*bk).distinct()
+    in_big = x.join(F.broadcast(big_buckets), bk, "left_semi")
     lo = F.col("_chunk") * COPY_CHUNK
     big = (
         ranked(in_big)
@@ -110,7 +128,7 @@ def _weighted_ranked_copies(
         .withColumn("_idx", F.explode(F.sequence(lo, F.least(c, lo + COPY_CHUNK) - 1)))
         .drop("_chunk")
     )
-    return small.unionByName(big).drop("_h", "_b", "_off")
+    return small.unionByName(big).drop("_h", "_b", "_s", "_off")
 
 
 def _collapse(df: DataFrame) -> DataFrame:

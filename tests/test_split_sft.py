@@ -122,3 +122,26 @@ def test_split_with_a_group_of_copies(spark):
         assert sum(sizes) == 6000 and sizes.count(7) == len(sizes) - 2
     finally:
         SPM.COPY_CHUNK = old
+
+
+def test_split_with_a_hot_key_of_distinct_rows(spark):
+    """One key value on a third of the rows, all rows different: the hot bucket is
+    split by row hash and the split stays exact and stable."""
+    from lexigen.operators import split as SPM
+
+    old = SPM.HOT_BUCKET_MIN
+    SPM.HOT_BUCKET_MIN = 100
+    try:
+        df = spark.range(3000).select(
+            F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")
+        )
+        a = SPM.exact_split(df, "k", 0.2, 5)
+        b = SPM.exact_split(df.repartition(7), "k", 0.2, 5)
+        ta = {tuple(r) for r in a.filter("split = 'test'").select("k", "v").collect()}
+        tb = {tuple(r) for r in b.filter("split = 'test'").select("k", "v").collect()}
+        assert len(ta) == 600 and ta == tb
+        assert a.count() == 3000
+        bt = SPM.assign_batches(df, "k", size=10, epochs=1)
+        assert sorted(r["count"] for r in bt.groupBy("batch_id").count().collect()) == [10] * 300
+    finally:
+        SPM.HOT_BUCKET_MIN = old
