@@ -102,7 +102,13 @@ def _weighted_ranked_copies(
         "_s", F.when(F.col("_hot"), F.substring(row_hash, 1, 2)).otherwise(F.lit(""))
     ).drop("_hot")
     bk = [*part, "_b", "_s"]
-    sums = x.groupBy(*bk).agg(F.sum(weight).alias("_n"))
+    # Sums per (bucket, sub-bucket): taken from the bucket sums for ordinary
+    # buckets; only rows of hot buckets are aggregated again.
+    plain = b_sums.join(F.broadcast(hot), [*part, "_b"], "left_anti").select(*part, "_b", F.lit("").alias("_s"), "_n")
+    split_hot = x.join(F.broadcast(hot.drop("_hot")), [*part, "_b"], "left_semi").groupBy(*bk).agg(
+        F.sum(weight).alias("_n")
+    )
+    sums = plain.unionByName(split_hot)
     before = Window.partitionBy(*part).orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         *bk,
