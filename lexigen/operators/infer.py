@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
 from lexigen.functions.prompts import (
     COMPLETION_HEAD,
@@ -51,7 +51,12 @@ def batch_generate(
     strip_output: bool = True,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``out_col`` = generator(prompt) to every row (``mapInPandas``).
+    """Add ``out_col`` = generator(prompt) to every row.
+
+    An iterator pandas UDF: the generator is built once per Python worker before
+    the first batch, and only the prompt column travels to Python (the other
+    columns stay in the JVM). It is marked non-deterministic so the optimizer
+    never duplicates or re-orders the generation step.
 
     ``partitions`` spreads the prompts round-robin over that many tasks first
     (generation costs far more per row than reading, so scan-sized partitions
@@ -59,21 +64,20 @@ def batch_generate(
     """
     if partitions:
         df = df.repartition(partitions)
-    schema = StructType(list(df.schema.fields) + [StructField(out_col, StringType(), True)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         gen = _generator(factory)
-        for pdf in batches:
-            prompts = pdf[prompt_col].tolist()
+        for prompts_s in batches:
+            prompts = prompts_s.tolist()
             outs: list = []
             for i in range(0, len(prompts), batch_size):
                 outs.extend(gen(prompts[i : i + batch_size]))
             if strip_output:
                 outs = [None if o is None else o.strip() for o in outs]
-            pdf[out_col] = outs
-            yield pdf
+            yield pd.Series(outs, dtype=object)
 
-    return df.mapInPandas(run, schema)
+    udf = F.pandas_udf(run, StringType()).asNondeterministic()
+    return df.withColumn(out_col, udf(F.col(prompt_col)))
 
 
 def predict(
