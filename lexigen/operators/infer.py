@@ -130,6 +130,22 @@ class LeadingTokens:
         return gen
 
 
+class EveryNthWord:
+    """Stand-in completion model: every ``n``-th word of the whole findings."""
+
+    def __init__(self, n: int = 8):
+        self.n = n
+        self.cache_key = ("every", n)
+
+    def __call__(self):
+        n = self.n
+
+        def gen(prompts):
+            return [" ".join(_between(p, COMPLETION_HEAD, COMPLETION_TAIL).split()[::n]) for p in prompts]
+
+        return gen
+
+
 class ListEcho:
     """Stand-in list model: the first sentences of the findings as a Python list."""
 

@@ -32,7 +32,7 @@ SPLIT_SEED = 42
 TEST_FRACTION = 0.2
 TRAIN_BATCH = 6
 EPOCHS = 7
-BASELINE_WORDS = 12
+BASELINE_STRIDE = 8
 VOCAB_SIZE = 1000
 
 
@@ -40,7 +40,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     """Baseline (stand-in generator through batch inference) and tuned stand-in, stacked."""
     ship_package(spark)
     cases = FX.cases(spark, d)
-    base = I.predict(PA.to_pairs(cases), I.LeadingTokens(BASELINE_WORDS))
+    base = I.predict(PA.to_pairs(cases), I.EveryNthWord(BASELINE_STRIDE))
     tuned = FX.finetuned_predictions(cases)
     return E.stack_predictions({"baseline": base, "finetuned": tuned})
 
@@ -76,7 +76,7 @@ def q_metric_rouge_l(spark, d):
 
 def q_predict_baseline(spark, d):
     ship_package(spark)
-    return I.predict(PA.to_pairs(FX.cases(spark, d)), I.LeadingTokens(BASELINE_WORDS))
+    return I.predict(PA.to_pairs(FX.cases(spark, d)), I.EveryNthWord(BASELINE_STRIDE))
 
 
 def q_pairs(spark, d):

@@ -57,14 +57,14 @@ CASES = """cases AS (
 PREDS = CASES + f""",
 preds AS (
   SELECT 'baseline' AS model, case_id, output_impression AS reference,
-         array_to_string({tok('input_findings')}[1:{C.BASELINE_WORDS}], ' ') AS generated
+         array_to_string(list_filter({tok('input_findings')}, lambda w_, i_: (i_ - 1) % {C.BASELINE_STRIDE} = 0), ' ') AS generated
   FROM cases
   UNION ALL
   SELECT 'finetuned' AS model, case_id, output_impression AS reference,
          CASE WHEN case_id % 19 = 0 THEN output_impression
               WHEN case_id % 23 = 0 THEN ''
               WHEN case_id % 29 = 0 THEN NULL
-              ELSE array_to_string(list_transform({tok('output_impression')}[1:40],
+              ELSE array_to_string(list_transform({tok('output_impression')},
                      lambda w_, i_: CASE WHEN i_ % 7 = 0 THEN 'x' ELSE w_ END), ' ') END AS generated
   FROM cases),
 prep AS (
@@ -275,7 +275,8 @@ def completion_prompt(x: str) -> str:
 def sql_predict_baseline() -> str:
     return _q(
         f"SELECT case_id, input_findings AS prompt, output_impression AS reference, "
-        f"array_to_string({tok('input_findings')}[1:{C.BASELINE_WORDS}], ' ') AS generated FROM cases",
+        f"array_to_string(list_filter({tok('input_findings')}, lambda w_, i_: (i_ - 1) % {C.BASELINE_STRIDE} = 0), ' ') "
+        "AS generated FROM cases",
         CASES,
     )
 
