@@ -4,6 +4,7 @@ folder, and shipping this package to Python workers."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -34,10 +35,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a fresh local one only
-    when the session has none (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Unset, a local session (one machine) gets a fresh temporary folder; on a cluster
+    that would scatter the files over the machines, so it is an error there."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="lexigen-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
     return d

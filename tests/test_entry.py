@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from lexigen.plans import catalog, oracle
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -17,7 +18,9 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(catalog.all_queries()) == set(oracle.all_sql())
+    assert set(catalog.all_queries()) <= set(E.queries())
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +37,7 @@ def _norm(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle.all_sql()))
 def test_oracle_agrees(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     res = duck.execute(E.oracle_sql()[name])
