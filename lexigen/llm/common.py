@@ -7,12 +7,14 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words and is stripped from lines.
 BLANKS = " \t\n\x0b\x0c\r"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: What str.split() would also cut at, beyond BLANKS.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -73,6 +75,12 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The input without columns that new ones would clash with: the new one replaces them."""
+    taken = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
+
+
 def with_columns(batch: pa.RecordBatch, keep: list[str], **new: pa.Array) -> pa.RecordBatch:
     """The kept columns of a batch and new ones."""
     return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *new.values()], names=[*keep, *new])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigen.llm.common import texts_of
+from lexigen.llm.common import texts_of, without
 from lexigen.llm.token_counts import chunks, default_vocabulary
 from lexigen.session import materialize, spread
 
@@ -136,6 +136,7 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", max_tokens: int = 4096, max_
     ``piece`` and ``length``; other columns stay. The table is read twice, so hand in a stored one."""
     max_pieces = max_pieces or max_tokens
     max_cost = max_cost or max_tokens**2
+    pieces = without(pieces, "pack_group", "sequence_id", "offset")
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, -(-total // (max_tokens * group_sequences)))
     dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups)))

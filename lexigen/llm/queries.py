@@ -8,9 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigen.llm.line_dedup import dedup_lines
+from lexigen.llm.line_quality import judge_lines
 from lexigen.llm.packing import pack_documents
 from lexigen.llm.pieces import piece_digests
 from lexigen.llm.token_counts import count_tokens
+from lexigen.llm.url_filter import filter_urls
+
+#: Rules of the URL query (fixed values).
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,17 +32,111 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), max_tokens=4096)
 
 
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = judge_lines(table(spark, sf_dir, "documents"))
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+
+
 def op5_subword_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return done.select("doc_id", F.col("dedup_lines").alias("n_lines"), F.col("dedup_dropped").alias("n_dropped"), F.sha2("dedup_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts,
         op2_best_fit_packing,
+        op3_line_quality,
         op5_subword_pieces,
+        op6_url_filter,
+        op8_line_dedup,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_OP3 = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
+win AS (
+  SELECT doc_id, i, list_slice(ws, i, i + 4) AS five
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1))) AS i FROM w)
+),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM rep) GROUP BY doc_id),
+ln AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (
+  SELECT doc_id, sum(c - 1) AS n FROM (
+    SELECT doc_id, line, count(*) AS c FROM ln WHERE regexp_matches(line, '{_WORD}') GROUP BY doc_id, line)
+  GROUP BY doc_id
+),
+norm AS (
+  SELECT doc_id, source, t, len(x) AS n_words,
+    regexp_replace(translate(array_to_string(x, ' '), '{_UP}', '{_LOW}'), '[0-9]+', '0', 'g') AS line
+  FROM (SELECT doc_id, source, t, regexp_extract_all(line, '{_WORD}') AS x FROM ln) WHERE len(x) > 0
+),
+hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
+freq AS (SELECT source, line, count(DISTINCT t) AS n FROM norm GROUP BY source, line HAVING count(DISTINCT t) > 100),
+over AS (SELECT f.source, f.line FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 0.02 * h.n),
+lost AS (
+  SELECT n.doc_id, sum(n.n_words) AS n FROM norm n JOIN over o ON n.source IS NOT DISTINCT FROM o.source AND n.line = o.line
+  GROUP BY n.doc_id
+),
+m AS (
+  SELECT d.doc_id, len(w.ws) AS n_words, length(array_to_string(w.ws, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(d.t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_removed_words
+  FROM d JOIN w USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN lost USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words,
+  (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_removed_words < 0.9 * n_words AS kept
+FROM m
+"""
+
+_OP6 = rf"""
+WITH r AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+s AS (SELECT page_id, rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS h FROM r),
+u AS (
+  SELECT page_id, translate(h, '{_UP}', '{_LOW}') AS host, regexp_extract(substr(coalesce(rest, ''), length(h) + 1), '^[^?#]*') AS path FROM s
+),
+f AS (
+  SELECT *, CASE
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/'
+  END AS rule FROM u
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM f
+"""
+
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+_OP8 = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+k AS (SELECT doc_id, i, line, translate(trim(line, {_BLANK}), '{_UP}', '{_LOW}') AS key FROM l),
+often AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE o.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN often o ON k.key = o.key GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_quality": _OP3,
+    "op6_url_filter": _OP6,
+    "op8_line_dedup": _OP8,
+}

@@ -27,7 +27,7 @@ from lexigen.llm.common import texts_of, with_columns
 from lexigen.session import spread
 
 #: Unicode white space, as the tokenizer's patterns see it.
-_CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
+_CHUNK = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: The tokenizer's word pattern, on lower-case printable ASCII.
 _ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+")
