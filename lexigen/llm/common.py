@@ -84,3 +84,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def with_columns(batch: pa.RecordBatch, keep: list[str], **new: pa.Array) -> pa.RecordBatch:
     """The kept columns of a batch and new ones."""
     return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *new.values()], names=[*keep, *new])
+
+
+#: Ids handed to every task at most; beyond it Spark joins by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """Semi or anti join of wide rows with a table of distinct ids. The ids are counted: up to
+    ``BROADCAST_IDS`` go to every task, so the wide rows stay where they are."""
+    small = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids, on, how)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexigen.llm.line_dedup import dedup_lines
 from lexigen.llm.line_quality import judge_lines
+from lexigen.llm.minhash import near_duplicates
 from lexigen.llm.packing import pack_documents
 from lexigen.llm.pieces import piece_digests
 from lexigen.llm.token_counts import count_tokens
@@ -37,6 +38,10 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85, bands=20)
+
+
 def op5_subword_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_token_counts,
         op2_best_fit_packing,
         op3_line_quality,
+        op4_minhash_near_dedup,
         op5_subword_pieces,
         op6_url_filter,
         op8_line_dedup,
