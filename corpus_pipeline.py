@@ -2,28 +2,85 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as
 Parquet and read again as the next stage's docs. All stages but the last return the
-columns of documents.
+columns of documents, in their order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexigen.llm.common import by_ids, free_name
+from lexigen.llm.line_dedup import dedup_lines
+from lexigen.llm.line_quality import judge_lines, reject
+from lexigen.llm.minhash import near_duplicates
 from lexigen.llm.packing import pack_documents
+from lexigen.llm.queries import learnable, table
+from lexigen.llm.toxicity import score_toxicity
 from lexigen.session import materialize, ship_package
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing of what is left into sequences of 4096 tokens."""
+def _columns(docs: DataFrame):
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or are depleted by lines frequent on their host go;
+    the others stay as they are."""
+    ship_package(spark)
+    return reject(docs, judge_lines(docs))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at or above their language's threshold go."""
+    ship_package(spark)
+    names = free_name(docs, "score"), free_name(docs, "flagged")
+    scored = score_toxicity(docs, learnable(table(spark, sf_dir, "labels")), extra=docs.columns, names=names)
+    return scored.filter(~F.col(names[1])).select(*_columns(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten documents or more go; every document stays, with n_chars as its text
+    now is. Null texts stay null."""
+    ship_package(spark)
+    rest, before = [c for c in docs.columns if c not in ("doc_id", "text")], free_name(docs, "before_dedup")
+    # the other columns travel in one, so that none can clash with a new one
+    packed = F.struct(F.lit(1).alias(before), *(F.col(f"`{c}`") for c in rest)).alias(before)
+    done = dedup_lines(docs.select("doc_id", "text", packed))
+    new = {c: F.col(f"{before}.`{c}`") for c in rest} | {"doc_id": F.col("doc_id"), "text": F.when(F.col("text").isNotNull(), F.col("dedup_text"))}
+    if "n_chars" in new:
+        new["n_chars"] = F.when(F.col("dedup_dropped") > 0, F.char_length("dedup_text").cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
+    return done.select(*(new[c].alias(c) for c in docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near-duplicates (five-word shingles, 80 %) the smallest id stays; of rows
+    that share an id one stays, of rows without an id all."""
+    ship_package(spark)
+    judged = near_duplicates(docs)
+    gone = judged.filter(~F.col("kept")).select("doc_id").distinct()
+    left = by_ids(docs, gone, "doc_id", "left_anti")
+    rows, ids = judged.filter("doc_id IS NOT NULL").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if rows > ids:
+        left = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
+    return left.select(*_columns(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, packed into sequences of 4096 tokens."""
     ship_package(spark)
     return pack_documents(docs, max_tokens=4096)
 
 
 STAGES = [
-    ("packing", pack_stage),
+    ("quality rules", quality),
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("near-duplicates", near_dedup),
+    ("packing", packing),
 ]
 
-#: Classifier, tokenizer and packing have no SQL form; the stages are tested one by one.
+#: The classifier, the tokenizer and packing have no SQL form; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
@@ -31,5 +88,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; every stage's rows are stored in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs

@@ -75,6 +75,14 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """The input without columns that new ones would clash with: the new one replaces them."""
     taken = {n.lower() for n in names}

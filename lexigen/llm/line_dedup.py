@@ -14,7 +14,7 @@ back. Both ways give the same rows.
 
 Null text is one empty line. Lines with an empty key always stay. A document is a distinct
 id: repeated rows with one id count once; rows with a null id are not counted but lose lines like the others.
-Empty tables give empty results. Clashing extra columns are carried through untouched.
+Empty tables give empty results. Extra columns are carried through, but for those named as the new ones.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigen.llm.common import BLANKS, lower_ascii, texts_of, with_columns, without
-from lexigen.llm.line_quality import text_key
 from lexigen.llm.mph import CountShard
 from lexigen.session import materialize, spread
 
@@ -109,6 +108,11 @@ def _dropped(batch: pa.RecordBatch, columns: list[str], parts: list[tuple[str, i
     return with_columns(batch, columns, dedup_text=pa.array(texts, pa.string()), dedup_lines=pa.array(before, pa.int64()), dedup_dropped=pa.array(gone, pa.int64()))
 
 
+def text_key(text_col: str):
+    """A digest of a text, as a column; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
 _OUT = "dedup_text string, dedup_lines long, dedup_dropped long"
 
 
@@ -191,7 +195,8 @@ def _probe_shuffled(df: DataFrame, text_col: str, shards: DataFrame, bits: int,
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, max_broadcast: int = 64 << 20) -> DataFrame:
     """The input's rows and columns with ``dedup_text`` (the text without dropped lines),
-    ``dedup_lines`` (lines before) and ``dedup_dropped`` (lines dropped)."""
+    ``dedup_lines`` (lines before) and ``dedup_dropped`` (lines dropped); input columns of
+    these names are replaced."""
     if min_docs < INDEX_FROM:
         raise ValueError(f"min_docs must be at least {INDEX_FROM}")
     df = without(df, "dedup_text", "dedup_lines", "dedup_dropped", "text_key", "gone_key", "gone_places")

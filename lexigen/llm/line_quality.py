@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigen.llm.common import HashOf, lower_ascii, texts_of, window_hashes, with_columns, words
+from lexigen.llm.common import HashOf, by_ids, free_name, lower_ascii, texts_of, window_hashes, with_columns, words
 from lexigen.session import materialize, spread
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -61,18 +61,24 @@ def repeated_lines(lines: list[str]) -> int:
     return len(full) - len(set(full))
 
 
+def doc_key(text_col: str, host_col: str):
+    """A digest of a row's host and text, as a column; null text counts as empty."""
+    host = F.when(F.col(host_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(host_col).cast("string")))
+    return F.unhex(F.md5(F.concat(host, F.lit("\n"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary")))
+
+
 _MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
 def measure(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """Per row: id, host, a digest of the text, the base measures, and the hashes and word
+    """Per row: id, host, ``doc_key`` (a digest of host and text), the base measures, and the hashes and word
     counts of its distinct normalised lines."""
     kind = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = HashOf()
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words")}
+            out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words")}
             for text in texts_of(batch, text_col):
                 found = words(text)
                 lines = text.split("\n")
@@ -81,7 +87,6 @@ def measure(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFra
                     if key := normal_line(line):
                         h = xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
                         per_line[h] = per_line.get(h, 0) + key.count(" ") + 1
-                out["text_key"].append(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
                 out["n_words"].append(len(found))
                 out["word_chars"].append(sum(map(len, found)))
                 out["n_symbols"].append(len(_SYMBOLS.findall(text)))
@@ -89,45 +94,50 @@ def measure(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFra
                 out["n_repeat_words"].append(repeated_words(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))))
                 out["lines"].append(np.fromiter(per_line, np.uint64, len(per_line)).view(np.int64))
                 out["line_words"].append(list(per_line.values()))
-            types = {"text_key": pa.binary(), "lines": pa.list_(pa.int64()), "line_words": pa.list_(pa.int64())}
-            yield with_columns(batch, [id_col, host_col], **{k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()})
+            types = {"lines": pa.list_(pa.int64()), "line_words": pa.list_(pa.int64())}
+            yield with_columns(batch, [id_col, host_col, "doc_key"], **{k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()})
 
-    schema = f"`{id_col}` {kind[id_col]}, `{host_col}` {kind[host_col]}, text_key binary, {_MEASURES}, lines array<long>, line_words array<long>"
-    return spread(df.select(id_col, text_col, host_col)).mapInArrow(run, schema)
+    schema = f"`{id_col}` {kind[id_col]}, `{host_col}` {kind[host_col]}, doc_key binary, {_MEASURES}, lines array<long>, line_words array<long>"
+    return spread(df.select(id_col, text_col, host_col, doc_key(text_col, host_col).alias("doc_key"))).mapInArrow(run, schema)
 
 
 def frequent_lines(measured: DataFrame, host_col: str, min_docs: int, share: float) -> tuple[DataFrame, DataFrame]:
     """(the lines of distinct documents per host, the lines above their host's limit)."""
-    texts = measured.groupBy(host_col, "text_key").agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"))
-    lines = texts.select(host_col, "text_key", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select(host_col, "text_key", F.col("x.lines").alias("line"), F.col("x.line_words").alias("line_words"))
-    hosts = measured.groupBy(host_col, "text_key").agg(F.lit(1).alias("one")).groupBy(F.col(host_col).alias("of_host")).agg(F.count("one").alias("host_docs"))
+    texts = measured.groupBy(host_col, "doc_key").agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"))
+    lines = texts.select(host_col, "doc_key", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select(host_col, "doc_key", F.col("x.lines").alias("line"), F.col("x.line_words").alias("line_words"))
+    hosts = measured.groupBy(host_col, "doc_key").agg(F.lit(1).alias("one")).groupBy(F.col(host_col).alias("of_host")).agg(F.count("one").alias("host_docs"))
     counts = lines.groupBy(F.col(host_col).alias("at_host"), F.col("line").alias("at_line")).agg(F.count(F.lit(1)).alias("line_docs")).filter(F.col("line_docs") > min_docs)
     over = counts.join(hosts, F.col("at_host").eqNullSafe(F.col("of_host"))).filter(F.col("line_docs") > share * F.col("host_docs")).drop("of_host")
     return lines, over
 
 
 def judge_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 100, share: float = 0.02, depleted: float = 0.9) -> DataFrame:
-    """Per row: id, host, text_key, base measures, ``base_failed``, ``n_removed_words`` (words in lines
+    """Per row: id, host, doc_key, base measures, ``base_failed``, ``n_removed_words`` (words in lines
     above the limit), ``removed_lines`` (their hashes; null: none) and ``kept``."""
     measured = materialize(measure(df, id_col, text_col, host_col), "line-measures")
     lines, over = frequent_lines(measured, host_col, min_docs, share)
     hit = lines.join(over, lines[host_col].eqNullSafe(over["at_host"]) & (lines["line"] == over["at_line"]))
-    lost = hit.groupBy(F.col(host_col).alias("lost_host"), F.col("text_key").alias("lost_key")).agg(F.sum("line_words").alias("lost_words"), F.collect_set("line").alias("removed_lines"))
-    rows = measured.drop("lines", "line_words")
-    joined = rows.join(lost, rows[host_col].eqNullSafe(lost["lost_host"]) & (rows["text_key"] == lost["lost_key"]), "left")
+    lost = hit.groupBy("doc_key").agg(F.sum("line_words").alias("lost_words"), F.collect_set("line").alias("removed_lines"))
+    joined = measured.drop("lines", "line_words").join(lost, "doc_key", "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     removed = F.coalesce("lost_words", F.lit(0))
     return (
         joined.withColumn("base_failed", failed)
         .withColumn("n_removed_words", removed)
         .withColumn("kept", ~failed & (removed < depleted * F.col("n_words")))
-        .drop("lost_host", "lost_key", "lost_words")
+        .drop("lost_words")
     )
 
 
-def remove_lines(df: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The kept documents, every column, with lines above the limit taken out of the text.
-    ``verdicts`` comes from :func:`judge_lines` over the same rows."""
+def reject(df: DataFrame, verdicts: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of ``df`` that :func:`judge_lines` kept, as they are."""
+    key = free_name(df, "line_key")
+    gone = verdicts.filter(~F.col("kept")).select(F.col("doc_key").alias(key)).distinct()
+    return by_ids(df.withColumn(key, doc_key(text_col, host_col)), gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def remove_lines(df: DataFrame, verdicts: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The kept rows, every column, with lines above the limit taken out of the text."""
 
     def clean(texts, removed):
         import pandas as pd
@@ -141,19 +151,7 @@ def remove_lines(df: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", tex
             out.append("\n".join(x for x in text.split("\n") if xxhash.xxh3_64_intdigest(normal_line(x).encode("utf-8", "surrogatepass")) not in gone))
         return pd.Series(out, dtype=object)
 
-    one = verdicts.filter("kept").groupBy(F.col(id_col).alias("v_id"), F.col(host_col).alias("v_host"), F.col("text_key").alias("v_key")).agg(F.first("removed_lines").alias("v_gone"))
-    keyed = df.withColumn("v_text_key", text_key(text_col))
-    both = keyed.join(one, keyed[id_col].eqNullSafe(one["v_id"]) & keyed[host_col].eqNullSafe(one["v_host"]) & (keyed["v_text_key"] == one["v_key"]))
-    clean_udf = F.pandas_udf(clean, "string")
-    return both.withColumn(text_col, clean_udf(F.col(text_col), F.col("v_gone"))).select(*df.columns)
-
-
-def text_key(text_col: str):
-    """The digest :func:`measure` gives, as a column."""
-
-    def key(texts):
-        import pandas as pd
-
-        return pd.Series([xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
-
-    return F.pandas_udf(key, "binary")(F.col(text_col))
+    key, lost = free_name(df, "line_key"), free_name(df, "lines_gone")
+    one = verdicts.filter("kept").groupBy(F.col("doc_key").alias(key)).agg(F.first("removed_lines").alias(lost))
+    both = df.withColumn(key, doc_key(text_col, host_col)).join(one, key)
+    return both.withColumn(text_col, F.pandas_udf(clean, "string")(F.col(text_col), F.col(lost))).select(*df.columns)

@@ -8,12 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigen.llm.extract import extract_text
 from lexigen.llm.line_dedup import dedup_lines
 from lexigen.llm.line_quality import judge_lines
 from lexigen.llm.minhash import near_duplicates
+from lexigen.llm.nearest import nearest
 from lexigen.llm.packing import pack_documents
 from lexigen.llm.pieces import piece_digests
 from lexigen.llm.token_counts import count_tokens
+from lexigen.llm.toxicity import score_toxicity
 from lexigen.llm.url_filter import filter_urls
 
 #: Rules of the URL query (fixed values).
@@ -50,11 +53,32 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    """The labelled rows that classifiers may learn from; the others are held out."""
+    return labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, learnable(table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "flagged")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return done.select("doc_id", F.col("dedup_lines").alias("n_lines"), F.col("dedup_dropped").alias("n_dropped"), F.sha2("dedup_text", 256).alias("kept_sha256"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,7 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_minhash_near_dedup,
         op5_subword_pieces,
         op6_url_filter,
+        op7_toxicity,
         op8_line_dedup,
+        op9_nearest,
+        op10_main_text,
     )
 }
 
