@@ -10,11 +10,16 @@ candidates and every link is confirmed on the full shingle sets.
 A pair at the default bounds misses all bands with a probability under 1e-5 (16 bands of 4
 at a similarity of 0.85; for 0.8 take ``bands=25``, the default).
 
-Texts with the same words collapse to their smallest id first. In a bucket the document
-that shares most buckets (the middle of a group of copies) is compared with all others,
-which is linear in the bucket. Where members remain outside its component, the next
-such document follows, and after ``star_rounds`` rounds every remaining pair of members in
-different components is compared, so no candidate link is left untested.
+Texts with the same words collapse to their smallest id first. The members of a small bucket
+are compared with one another. In a larger one the document that shares most buckets (the
+middle of a group of copies) leads, and all others are compared with it, which is linear in
+the bucket. A member m that is not linked to the lead L has fewer shingles in common with L
+than a link between equal sizes needs, so a link of m with another member c means that the two share a
+shingle *outside* L (or that c is smaller than L by enough; such pairs are compared
+directly). So buckets with members left outside the lead's component split into the groups
+that share a shingle outside L, and these are treated the same way. Edits of copies are rarely
+the same, so the groups shrink fast; after ``levels`` splits what is left is compared pair by pair.
+Nothing is capped: every candidate pair in different components is either compared or excluded by the counts.
 
 Null or wordless texts have an empty set and are linked with nothing. Rows with a null id
 are returned with their set size, a null component and kept = true. Rows that share an id
@@ -113,6 +118,11 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, shingles array<long>")
 
 
+def similar(common, total, percent: int):
+    """Whether ``common`` of ``total`` (sum of both sizes) shingles make a link, as a column."""
+    return 100 * common >= percent * (total - common)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets are similar enough, exactly."""
     a = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
@@ -121,7 +131,44 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * F.least(F.size("su"), F.size("sv")) >= percent * F.greatest(F.size("su"), F.size("sv"))
     )
     shared = both.select("u", "v", (F.size("su") + F.size("sv")).alias("total"), F.size(F.array_intersect("su", "sv")).alias("common"))
-    return shared.filter(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("u", "v").distinct()
+    return shared.filter(similar(F.col("common"), F.col("total"), percent)).select("u", "v").distinct()
+
+
+def star_rows(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per (lead, id): both set sizes, the shingles they share and those of id outside the lead."""
+    a = sets.select(F.col("id").alias("lead"), F.col("shingles").alias("sl"))
+    both = stars.join(sets, "id").join(a, "lead")
+    return both.select(
+        "lead",
+        "id",
+        F.size("shingles").alias("n"),
+        F.size("sl").alias("n_lead"),
+        F.size(F.array_intersect("shingles", "sl")).alias("common"),
+        F.array_except("shingles", "sl").alias("outside"),
+    )
+
+
+def split_buckets(family: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(groups (band, id) that share a shingle outside their lead and span components, pairs
+    (u, v) that may be linked by shingles of the lead alone) of lead families not yet in one component."""
+    own = labels.select(F.col("node").alias("id"), "component")
+    of_lead = labels.select(F.col("node").alias("lead"), F.col("component").alias("lead_component"))
+    rows = family.join(own, "id").join(of_lead, "lead")
+    split = rows.groupBy("lead").agg(F.max((F.col("component") != F.col("lead_component")).cast("int")).alias("open")).filter("open = 1").select("lead")
+    rows = rows.join(split, "lead")
+    outside = rows.select("lead", "id", "component", F.explode("outside").alias("shingle"))
+    groups = outside.groupBy("lead", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    members = outside.join(groups.select("lead", "shingle"), ["lead", "shingle"]).select(F.xxhash64("lead", "shingle").alias("band"), "id")
+
+    # sizes of a smaller partner for which the shingles shared with the lead could be enough:
+    # a link of sizes a and b has at least percent * (a + b) / (100 + percent) in common
+    least = F.ceil(F.lit(percent) * F.col("n") / 100)
+    most = F.least(F.col("n_lead") - 1, F.floor((100 + percent) * F.col("common") / F.lit(percent)) - F.col("n"))
+    apart = rows.filter("component <> lead_component").withColumn("least", least.cast("int")).withColumn("most", most.cast("int")).filter("least <= most")
+    sizes = apart.select("lead", F.col("id").alias("u"), F.col("component").alias("cu"), F.explode(F.sequence("least", "most")).alias("n"), F.col("n").alias("nu"))
+    partner = rows.select("lead", F.col("id").alias("v"), F.col("component").alias("cv"), "n", "common")
+    direct = sizes.join(partner, ["lead", "n"]).filter((F.col("cu") != F.col("cv")) & (percent * (F.col("nu") + F.col("n")) <= (100 + percent) * F.col("common")))
+    return members, direct.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
 def near_duplicates(
@@ -132,10 +179,12 @@ def near_duplicates(
     percent: int = 80,
     bands: int = 25,
     rows: int = 4,
-    star_rounds: int = 3,
+    levels: int = 4,
+    small: int = 8,
 ) -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id`` (the smallest id reachable over links of
-    ``percent`` % similarity or more) and ``kept`` (id = component_id)."""
+    ``percent`` % similarity or more) and ``kept`` (id = component_id). Buckets of up to
+    ``small`` members are compared pair by pair."""
     signed = materialize(signatures(df, id_col, text_col, shingle, bands, rows), "signatures")
     own = signed.filter((F.col("n_shingles") > 0) & F.col(id_col).isNotNull())
     classes = materialize(own.groupBy("words_key").agg(F.min(id_col).alias("id"), F.first("bands").alias("bands")), "classes")
@@ -144,42 +193,38 @@ def near_duplicates(
 
     banded = classes.select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = banded.join(shared, "band")
-    weight = members.groupBy("id").agg(F.sum("members").alias("weight"))
-    members = materialize(members.join(weight, "id").select("band", "id", F.struct("weight", (-F.col("id")).alias("back")).alias("rank")), "buckets")
-
-    needed = members.select("id").distinct()
-    texts = by_ids(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), needed, "id", "left_semi")
+    buckets = materialize(banded.join(shared, "band"), "buckets")
+    weights = materialize(buckets.groupBy("id").agg(F.sum("members").alias("weight")), "weights")
+    texts = by_ids(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), weights.select("id"), "id", "left_semi")
     sets = materialize(shingle_sets(texts, "id", "text", shingle), "shingle-sets")
 
-    links = materialize(copies.distinct(), "copies")
-    open_rows, labels = members, None
-    for turn in range(star_rounds + 1):
-        if turn < star_rounds:
-            # the first candidate that has not been compared with the whole bucket yet
-            leads = open_rows.groupBy("band").agg(F.max("rank").alias("lead")).select("band", (-F.col("lead.back")).alias("v"))
-        else:
-            leads = open_rows.select("band", F.col("id").alias("v"))
-        now = members if labels is None else members.join(labels, members["id"] == labels["node"]).select("band", "id", "rank", "component")
-        pairs = now.join(leads, "band").filter("id <> v")
-        if labels is not None:
-            lead_labels = labels.select(F.col("node").alias("v"), F.col("component").alias("lead_component"))
-            pairs = pairs.join(lead_labels, "v").filter("component <> lead_component")
-        pairs = pairs.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
-        links = materialize(links.union(confirm(pairs, sets, percent)).distinct(), "links")
-        found = components(links)
-        nodes = needed.withColumnRenamed("id", "node")
-        labels = materialize(
-            found.join(nodes.withColumn("own", F.col("node")), "node", "full_outer").select("node", F.coalesce("component", "node").alias("component")), "labels"
-        )
-        if turn == star_rounds:
+    links, direct = materialize(copies.distinct(), "copies"), None
+    for level in range(levels + 1):
+        little = F.lit(True) if level == levels else F.col("members") <= small
+        one = buckets.filter(little)
+        pairs = one.select("band", F.col("id").alias("u")).join(one.select("band", F.col("id").alias("v")), "band").filter("u > v").select("u", "v")
+        if level:
+            pairs = pairs.union(direct)
+            part = lambda name, c: labels.select(F.col("node").alias(name), F.col("component").alias(c))
+            pairs = pairs.distinct().join(part("u", "cu"), "u").join(part("v", "cv"), "v").filter("cu <> cv").select("u", "v")
+        found = links.union(confirm(pairs.distinct(), sets, percent))
+        if level < levels:
+            large = buckets.filter(~little).join(weights, "id")
+            leads = large.groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("back"))).alias("lead")).select("band", (-F.col("lead.back")).alias("lead"))
+            stars = large.join(leads, "band").filter("id <> lead").select("lead", "id").distinct()
+            family = materialize(star_rows(stars, sets), "stars")
+            found = found.union(family.filter(similar(F.col("common"), F.col("n") + F.col("n_lead"), percent)).select(F.col("id").alias("u"), F.col("lead").alias("v")))
+        links = materialize(found.distinct(), "links")
+        nodes = weights.select(F.col("id").alias("node"), F.col("id").alias("own"))
+        labels = components(links).join(nodes, "node", "full_outer").select("node", F.coalesce("component", "node").alias("component"))
+        labels = materialize(labels, "labels")
+        if level == levels:
             break
-        # buckets whose members are not all in one component; the lead of this turn is done with
-        state = members.join(labels, members["id"] == labels["node"]).select("band", "id", "rank", "component")
-        split = state.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-        rest = open_rows.join(split, "band").join(leads, "band").filter("id <> v").select("band", "id", "rank")
-        open_rows = materialize(rest, "open-buckets")
-        if open_rows.isEmpty():
+        members, direct = split_buckets(family, labels, percent)
+        direct = materialize(direct.distinct(), "direct-pairs")
+        members = materialize(members.distinct(), "split-buckets")
+        buckets = members.join(members.groupBy("band").agg(F.count(F.lit(1)).alias("members")), "band")
+        if members.isEmpty() and direct.isEmpty():
             break
 
     ids = labels.select(F.col("node").alias("label_node"), F.col("component").alias("label_component"))
