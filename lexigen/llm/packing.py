@@ -16,6 +16,8 @@ give empty results.
 
 from __future__ import annotations
 
+import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,26 +31,34 @@ from lexigen.llm.token_counts import chunks, default_vocabulary
 from lexigen.session import materialize, spread
 
 
-class ChunkIds(dict):
-    """chunk between white space -> its ids as little-endian 32-bit bytes, by the
-    library; emptied when it holds ``limit`` chunks."""
+class ChunkIds:
+    """Ids of chunks between white space, as little-endian 32-bit bytes, by the library;
+    remembered, and emptied when more than ``limit`` chunks would be held."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.rules, self.limit = Tokenizer.from_file(path), limit
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.rules.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= self.limit:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+        self._known: dict[str, bytes] = {}
+
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text; all chunks not yet known are encoded in one call."""
+        parts = [chunks(t) for t in texts]
+        held = [list(map(self._known.get, doc)) for doc in parts]
+        lack = [None in ids for ids in held]
+        new = {c for doc, ids, some in zip(parts, held, lack, strict=True) if some for c, x in zip(doc, ids, strict=True) if x is None}
+        if new:
+            order = sorted(new)
+            fresh = {c: array("I", e.ids).tobytes() for c, e in zip(order, self.rules.encode_batch_fast(order, add_special_tokens=False), strict=True)}
+            held = [[fresh[c] if x is None else x for c, x in zip(doc, ids, strict=True)] if some else ids for doc, ids, some in zip(parts, held, lack, strict=True)]
+            if len(self._known) + len(fresh) > self.limit:
+                self._known.clear()
+            self._known.update((c, x) for c, x in fresh.items() if len(c) <= 64)
+        return [b"".join(ids) for ids in held]
 
     def of_text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, chunks(text)))
+        return self.of_texts([text])[0]
 
 
 _ENCODERS: dict[str, ChunkIds] = {}
@@ -73,8 +83,8 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows, pieces, starts, ids = [], [], [], []
-                for row, text in enumerate(texts_of(part, text_col)):
-                    whole = encoder.of_text(text) + end
+                for row, whole in enumerate(encoder.of_texts(texts_of(part, text_col))):
+                    whole += end
                     for piece, start in enumerate(range(0, len(whole), 4 * max_tokens)):
                         rows.append(row)
                         pieces.append(piece)
