@@ -9,7 +9,8 @@ the positions of the maxima receive a gradient, so a step is cheap).
 The model is fitted on a bounded sample of labelled rows: at most ``max_positive`` toxic
 and ``max_negative`` other rows, those of the smallest id hashes, among texts of up to
 ``max_chars`` code points. A quarter of the sample is kept back to choose one decision
-threshold per language (languages with few positives get the common one). Scores read the text alone.
+threshold per language (languages with few positives get the common one; with under
+``ENOUGH`` positives in all, every row is learnt from and the threshold is 0.3). Scores read the text alone.
 
 Scoring reads whole texts in blocks, so memory does not grow with a text. Null and empty texts get the
 score of a text of padding. Null or unknown languages get the common threshold. Without labelled rows of both
@@ -37,6 +38,7 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 DIMS = 8
 BLOCK = 20_000
+ENOUGH = 200
 _EDGES = ".,;:!?\"'()[]{}<>*#%&$|-_¡¿«»…"
 
 
@@ -205,6 +207,8 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray, common: float = 0.3)
 
 def fit_calibrated(texts: list[str], labels: list[int], langs: list[str | None], few: int = 20, seed: int = 7) -> ToxicityModel:
     """Fit on three quarters, choose thresholds on the rest, by language where it has ``few`` positives."""
+    if sum(labels) < ENOUGH:
+        return fit(texts, labels, seed=seed)
     order = list(range(len(texts)))
     random.Random(seed).shuffle(order)
     held = order[: len(order) // 4]
