@@ -1,12 +1,13 @@
 """Supervised fine-tuning examples: token ids, attention mask, loss-masked labels.
 
-All built-in array expressions. Tokens are whitespace words; ids come from a
+Built-in array expressions. Tokens are whitespace words; ids come from a
 hash of the word (no vocabulary to ship) or from a vocabulary table built by
-``build_vocab`` and broadcast (its size is the requested vocabulary size).
+``build_vocab``, which is counted before it goes to the tasks.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ IGNORE = -100  # fixed value: label that the loss skips
 PAD_ID, BOS_ID, EOS_ID, UNK_ID = 0, 1, 2, 3
 RESERVED = 4
 HASH_VOCAB = 32000
+MAX_VOCAB = 1_000_000  # words of a vocabulary that goes to every task
 
 
 def hash_id(tok: Column, vocab: int = HASH_VOCAB) -> Column:
@@ -36,6 +38,7 @@ def sft_examples(
     eos_id: int = EOS_ID,
     pad_id: int | None = None,
     vocab: int = HASH_VOCAB,
+    vocabulary: DataFrame | None = None,
 ) -> DataFrame:
     """pairs(prompt, response) -> key, input_ids, attention_mask, labels (each ``max_len``
     long) and n_supervised.
@@ -47,7 +50,8 @@ def sft_examples(
     Every array is assembled from slices and constant runs; no lambda refers to
     a column outside its own element, so a filter that the optimizer pushes
     below this projection re-evaluates each expression once, not per element.
-    Only words that survive the length cap are hashed.
+    Only words that survive the length cap are turned into ids: by their hash, or by
+    a ``vocabulary`` table from ``build_vocab``.
     """
     pad = eos_id if pad_id is None else pad_id
     L = F.lit(max_len)
@@ -57,7 +61,8 @@ def sft_examples(
     plen = F.least(F.size("_pt"), L)
     n = F.least(F.size("_pt") + F.size("_rt") + 1, L)
     kept = F.slice(F.concat(F.slice("_pt", 1, max_len), "_rt"), 1, max_len)
-    ids = F.slice(F.concat(F.transform(kept, lambda t: hash_id(t, vocab)), F.array(F.lit(eos_id))), 1, max_len)
+    words = F.transform(kept, lambda t: hash_id(t, vocab)) if vocabulary is None else word_ids(kept, vocabulary)
+    ids = F.slice(F.concat(words, F.array(F.lit(eos_id))), 1, max_len)
     x = x.select(key, plen.alias("_plen"), n.alias("_n"), ids.alias("_ids"))
     rest = L - F.col("_n")
     return x.select(
@@ -82,7 +87,8 @@ def drop_unsupervised(examples: DataFrame) -> DataFrame:
 
 def encode_prompt(df: DataFrame, prompt: str = "prompt", max_len: int = MAX_LEN, vocab: int = HASH_VOCAB) -> DataFrame:
     """Rendered prompt ids cut to ``max_len`` and their count (``prompt_len``)."""
-    ids = F.slice(hash_ids(render_completion_prompt(prompt), vocab), 1, max_len)
+    words = F.slice(tokens(render_completion_prompt(prompt)), 1, max_len)
+    ids = F.transform(words, lambda t: hash_id(t, vocab))
     return df.withColumn("prompt_ids", ids).withColumn("prompt_len", F.size("prompt_ids"))
 
 
@@ -115,24 +121,52 @@ def build_vocab(df: DataFrame, col: str, size: int) -> DataFrame:
     """The ``size`` most frequent words (ties by word) with ids from ``RESERVED``.
 
     A map-side partial count keeps a very frequent word from becoming a hot
-    shuffle key; the top-k keeps ``size`` rows per partition before merging.
+    shuffle key; the top-k keeps ``size`` rows per partition before merging. The ids are
+    numbered in one task, so ``size`` is at most ``MAX_VOCAB`` (an error beyond).
     """
+    if size > MAX_VOCAB:
+        raise ValueError(f"a vocabulary has at most {MAX_VOCAB} words")
     counts = df.select(F.explode(tokens(col)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
     w = Window.orderBy(F.desc("n"), F.asc("token"))
     return top.withColumn("token_id", (F.row_number().over(w) - 1 + RESERVED).cast("int"))
 
 
-def vocab_ids(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
-    """Word ids of ``col`` from a vocabulary table (unknown -> UNK_ID), first ``max_len``.
+def word_ids(words, vocab: DataFrame) -> Column:
+    """``array<string>`` -> ids from a vocabulary table (unknown -> UNK_ID), word by word.
 
-    The vocabulary is broadcast (its size is fixed by ``build_vocab``). Words are
-    regrouped by a per-row id, not by ``key``, so a group never holds more than
-    ``max_len`` entries even when one key value repeats across many rows.
-    """
-    rows = df.select(key, F.slice(tokens(col), 1, max_len).alias("_t")).withColumn("_row", F.monotonically_increasing_id())
-    ex = rows.select("_row", key, F.posexplode("_t").alias("pos", "token"))
-    j = ex.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
+    The vocabulary goes to every task, so it is counted first: more than ``MAX_VOCAB``
+    rows are an error, and such a table is joined by ``join_ids`` instead."""
+    rows = vocab.select("token", "token_id").limit(MAX_VOCAB + 1).collect()
+    if len(rows) > MAX_VOCAB:
+        raise ValueError(f"more than {MAX_VOCAB} words: use join_ids")
+    held = vocab.sparkSession.sparkContext.broadcast({r["token"]: r["token_id"] for r in rows})
+
+    @F.pandas_udf("array<int>")
+    def look_up(lists: pd.Series) -> pd.Series:
+        known = held.value
+        return pd.Series([None if ws is None else [known.get(w, UNK_ID) for w in ws] for ws in lists], dtype=object)
+
+    return look_up(_c(words))
+
+
+def join_ids(df: DataFrame, key: str, col: str, vocab: DataFrame) -> DataFrame:
+    """``vocab_ids`` for a vocabulary of any size: texts are told apart by their digest, the
+    words of each distinct text are joined, and the ids go back by a join on the digest."""
+    text = F.coalesce(F.col(col), F.lit(""))
+    rows = df.select(F.col(key), F.md5(text.cast("binary")).alias("__text"), tokens(text).alias("__words"))
+    once = rows.groupBy("__text").agg(F.first("__words").alias("__words"))
+    found = once.select("__text", F.posexplode("__words").alias("pos", "token")).join(vocab.select("token", "token_id"), "token", "left")
     pair = F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id"))
-    g = j.groupBy("_row", key).agg(F.sort_array(F.collect_list(pair)).alias("_p"))
-    return g.select(key, F.transform("_p", lambda s: s["id"]).alias("ids"))
+    ids = found.groupBy("__text").agg(F.transform(F.sort_array(F.collect_list(pair)), lambda s: s["id"]).alias("ids"))
+    none = F.array().cast("array<int>")
+    return rows.join(ids, "__text", "left").select(key, F.coalesce("ids", none).alias("ids"))
+
+
+def vocab_ids(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int | None = None) -> DataFrame:
+    """(key, ids): word ids of ``col``, one row per input row; no ids for an empty or null text.
+    ``max_len`` cuts to the first ids; by default nothing is cut."""
+    none = F.array().cast("array<int>")
+    small = vocab.limit(MAX_VOCAB + 1).count() <= MAX_VOCAB
+    out = df.select(key, F.coalesce(word_ids(tokens(col), vocab), none).alias("ids")) if small else join_ids(df, key, col, vocab)
+    return out if max_len is None else out.select(key, F.slice("ids", 1, max_len).alias("ids"))

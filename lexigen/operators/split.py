@@ -1,146 +1,62 @@
 """Seeded, exact, partition-independent ordering: global rank, 80/20 split,
 per-epoch batches.
 
-A global ``row_number()`` without ``partitionBy`` runs in one task. Instead the
-rows are ordered by an md5 hash (uniform), bucketed by its first hex digits,
-ranked inside each bucket in parallel, and shifted by the row count of all
-earlier buckets. Buckets are defined by hash values, so the bucket counts and
-the ranked rows always agree, however often a stage is recomputed. The offset
-table has at most ``16**prefix_len`` rows per partition group, so
-broadcasting it is bounded whatever the data size.
-
-The order hash covers all key columns. When one key value repeats over a
-large share of rows, pass the columns that tell those rows apart as further
-key columns: each row then hashes on its own and the repeats spread over all
-buckets instead of filling one. Only rows equal in every key column stay
-together (their order among themselves does not matter).
+Every operator uses one total order, whatever the size of the input: rows are ordered by the
+first hex digits of the hash of their key, then by the hash of the whole row. Both
+hashes are seeded, so the order is a shuffle; rows that are equal in every column are
+equal in the order too, and it does not matter which of them comes first.
+
+Leading digits of these hashes cut the order into ranges that are counted and
+ranked in parallel. How many digits are looked at follows the measured sizes and
+changes only how the work is dealt, never the order. A key on a third of the
+rows is cut by the digits of the row hash; copies of one row are counted, not
+gathered, and handed out again in chunks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType
 
+BUCKET_DIGITS = 4  # leading digits of the key hash in the order
+RANGE_ROWS = 100_000  # rows ranked by one task, about
+COPY_CHUNK = 10_000  # copies of one row handed out by one task, at most
 
-def order_hash(keys: list[str], *salt) -> Column:
-    """md5 of ``key|...|salt`` (all parts as text)."""
-    parts = [F.col(k).cast("string") for k in keys] + [F.lit(str(s)) for s in salt]
-    return F.md5(F.concat_ws("|", *parts))
 
+def _text(name: str, kind: DataType) -> Column:
+    """A cell as text from which the cell can be told: null apart from any text."""
+    c = F.col(f"`{name}`")
+    s = F.hex(c) if isinstance(kind, BinaryType) else c.cast("string")
+    return F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-"))
 
-def global_rank(
-    df: DataFrame,
-    hash_col: Column,
-    tiebreak: list[str],
-    partition_by: list[str] | None = None,
-    rank_col: str = "rank",
-    total_col: str | None = None,
-    prefix_len: int = 4,
-) -> DataFrame:
-    """1-based rank of every row by (hash, tiebreak) within ``partition_by`` groups,
-    without a single-task window. ``tiebreak`` should make the order total
-    (a unique key)."""
-    part = list(partition_by or [])
-    h = df.withColumn("_h", hash_col).withColumn("_b", F.substring("_h", 1, prefix_len))
-    counts = h.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*part)
-    offsets = counts.select(
-        *part,
-        "_b",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-        F.sum("_n").over(whole).alias("_tot"),
-    )
-    inner = Window.partitionBy(*part, "_b").orderBy("_h", *tiebreak)
-    out = h.join(F.broadcast(offsets), [*part, "_b"]).withColumn(
-        rank_col, (F.row_number().over(inner) + F.col("_off")).cast("long")
-    )
-    if total_col:
-        out = out.withColumnRenamed("_tot", total_col)
-    return out.drop("_h", "_b", "_off", "_tot")
 
+def row_hash(df: DataFrame, columns: list[str], seed) -> Column:
+    """md5 of the columns' texts and the seed."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    return F.md5(F.concat_ws("|", *[_text(c, kinds[c]) for c in columns], F.lit(str(seed))).cast("binary"))
 
-bucketed_rank = global_rank
 
+def _order(df: DataFrame, keys: list[str], seed) -> Column:
+    """The position of a row in the order, as text."""
+    whole = row_hash(df, df.columns, seed)
+    bucket = F.substring(row_hash(df, keys, seed), 1, BUCKET_DIGITS)
+    return F.concat(bucket, whole)
 
-# Copies of one row beyond this many are generated in chunks spread over tasks.
-COPY_CHUNK = 10_000
 
-
-# A bucket holding at least this many rows and 8 times the mean is split further.
-HOT_BUCKET_MIN = 100_000
-
-
-def _weighted_ranked_copies(
-    g: DataFrame, hash_col: Column, order: list[str], part: list[str], weight: str, prefix_len: int = 4
-) -> DataFrame:
-    """Rows of ``g`` each stand for ``weight`` identical rows. Returns one row per
-    copy with ``_start`` (1-based rank of the first copy), ``_idx`` (0-based copy
-    number) and ``_tot`` (rows in the ``part`` group).
-
-    Rows are bucketed by the first hex digits of the order hash; per-bucket
-    weight sums (at most ``16**prefix_len`` rows per group) are broadcast as
-    offsets and a running sum inside each bucket gives each row its start. A
-    bucket far above the mean (one key value repeated over many distinct rows)
-    is split again by a hash of the whole row, so it spreads over up to 256
-    tasks; the order is then (hash prefix, row-hash prefix, hash, *order), still
-    total and seeded. Copies are regenerated in place for rows standing for at
-    most ``COPY_CHUNK`` rows; larger groups are ranked again within their own
-    buckets only, cut into chunks, spread round-robin and then regenerated.
-    """
-    data_cols = [c for c in g.columns if c != weight]
-    x = g.withColumn("_h", hash_col).withColumn("_b", F.substring("_h", 1, prefix_len))
-    b_sums = x.groupBy(*part, "_b").agg(F.sum(weight).alias("_n"))
-    limit = F.greatest(F.lit(HOT_BUCKET_MIN), F.avg("_n").over(Window.partitionBy(*part)) * 8)
-    hot = (
-        b_sums.withColumn("_limit", limit)
-        .filter(F.col("_n") >= F.col("_limit"))
-        .select(*part, "_b", F.lit(True).alias("_hot"))
-    )
-    row_hash = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in data_cols]))
-    x = x.join(F.broadcast(hot), [*part, "_b"], "left").withColumn(
-        "_s", F.when(F.col("_hot"), F.substring(row_hash, 1, 2)).otherwise(F.lit(""))
-    ).drop("_hot")
-    bk = [*part, "_b", "_s"]
-    # Sums per (bucket, sub-bucket): taken from the bucket sums for ordinary
-    # buckets; only rows of hot buckets are aggregated again.
-    plain = b_sums.join(F.broadcast(hot), [*part, "_b"], "left_anti").select(*part, "_b", F.lit("").alias("_s"), "_n")
-    split_hot = x.join(F.broadcast(hot.drop("_hot")), [*part, "_b"], "left_semi").groupBy(*bk).agg(
-        F.sum(weight).alias("_n")
-    )
-    sums = plain.unionByName(split_hot)
-    before = Window.partitionBy(*part).orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *bk,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-        F.sum("_n").over(Window.partitionBy(*part)).alias("_tot"),
-    )
-    inner = Window.partitionBy(*bk).orderBy("_h", *order).rowsBetween(Window.unboundedPreceding, -1)
-    start = (F.coalesce(F.sum(weight).over(inner), F.lit(0)) + F.col("_off") + 1).cast("long")
-
-    def ranked(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(offsets), bk).withColumn("_start", start)
-
-    c = F.col(weight)
-    small = ranked(x).filter(c <= COPY_CHUNK).withColumn("_idx", F.explode(F.sequence(F.lit(0).cast("long"), c - 1)))
-    big_buckets = x.filter(c > COPY_CHUNK).select(*bk).distinct()
-    in_big = x.join(F.broadcast(big_buckets), bk, "left_semi")
-    lo = F.col("_chunk") * COPY_CHUNK
-    big = (
-        ranked(in_big)
-        .filter(c > COPY_CHUNK)
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((c - 1) / COPY_CHUNK).cast("long"))))
-        .repartition(g.sparkSession.sparkContext.defaultParallelism)
-        .withColumn("_idx", F.explode(F.sequence(lo, F.least(c, lo + COPY_CHUNK) - 1)))
-        .drop("_chunk")
-    )
-    return small.unionByName(big).drop("_h", "_b", "_s", "_off")
+def _names(df: DataFrame, key: str | list[str] | None) -> list[str]:
+    return df.columns if key is None else [key] if isinstance(key, str) else list(key)
 
 
-def _collapse(df: DataFrame) -> DataFrame:
-    """Identical rows -> one row and its count (map-side combined, so a group of
-    copies holding most of the data collapses before the shuffle)."""
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+def _crossing(positions: DataFrame, digits: int, test: float | None, need: int = 0):
+    """Of (position) rows: the range of leading ``digits`` in which the running count reaches
+    ``need`` (or ``ceil(test * rows)``), as (cut, before, size, need). At most 16 ** 4 ranges or
+    ``RANGE_ROWS`` positions meet in the window; one row comes back. None without rows."""
+    sizes = positions.groupBy(F.substring("position", 1, digits).alias("cut")).agg(F.count(F.lit(1)).alias("size"))
+    running = F.sum("size").over(Window.orderBy("cut").rowsBetween(Window.unboundedPreceding, 0))
+    wanted = F.lit(need) if test is None else F.ceil(F.lit(float(test)) * F.sum("size").over(Window.partitionBy()))
+    upto = sizes.withColumn("need", wanted).withColumn("upto", running).filter(F.col("upto") >= F.col("need"))
+    return upto.orderBy("cut").select("cut", (F.col("upto") - F.col("size")).alias("before"), "size", "need").first()
 
 
 def exact_split(
@@ -152,16 +68,89 @@ def exact_split(
 ) -> DataFrame:
     """Seeded shuffle then exact cut: ``ceil(test * n)`` rows labelled ``test``, the rest ``train``.
 
-    Rows are ordered by md5 of the ``key`` columns (all columns when None), ties
-    by the key and then the other columns. Identical rows are counted once and
-    regenerated after ranking, so copies never crowd one task.
+    Only the row at the cut has to be found: counts by leading digits narrow it down four
+    digits at a time (two or three small jobs, one row each to the driver), and every
+    other row is labelled by comparison, so rows are neither shuffled nor changed. Where copies
+    of one row lie on the cut, they are handed out again from one of them and their count.
+    """
+    position = _order(df, _names(df, key), seed)
+    keep = [F.col(f"`{c}`") for c in df.columns if c != split_col]
+    rows = df.select(position.alias("position"))
+    found = _crossing(rows, BUCKET_DIGITS, test)
+    if found is None:
+        return df.select(*keep, F.lit("train").alias(split_col))
+    cut, need, size, digits = found["cut"], found["need"] - found["before"], found["size"], BUCKET_DIGITS
+    while digits < BUCKET_DIGITS + 32:
+        digits = BUCKET_DIGITS + 32 if size <= RANGE_ROWS else digits + 4
+        found = _crossing(rows.filter(F.col("position").startswith(cut)), digits, None, need)
+        cut, need, size = found["cut"], need - found["before"], found["size"]
+    x = df.withColumn("__position", position)
+    if size == 1:
+        return x.select(*keep, F.when(F.col("__position") <= cut if need else F.col("__position") < cut, "test").otherwise("train").alias(split_col))
+    away = x.filter(F.col("__position") != cut).withColumn(split_col, F.when(F.col("__position") < cut, "test").otherwise("train"))
+    one = x.filter(F.col("__position") == cut).limit(1).withColumn("__size", F.lit(size).cast("long"))
+    at = _copies(one, "__size", "__copy").withColumn(split_col, F.when(F.col("__copy") < need, "test").otherwise("train"))
+    return away.select(*keep, split_col).unionByName(at.select(*keep, split_col))
+
+
+def _copies(df: DataFrame, count: str, number: str) -> DataFrame:
+    """Every row ``count`` times, numbered from 0. Large counts are cut into chunks that are
+    dealt to all tasks first."""
+    last = F.floor((F.col(count) - 1) / COPY_CHUNK).cast("long")
+    first = F.col("__chunk") * COPY_CHUNK
+    few = df.filter(F.col(count) <= COPY_CHUNK).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)))
+    many = (
+        df.filter(F.col(count) > COPY_CHUNK)
+        .withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        .repartition(df.sparkSession.sparkContext.defaultParallelism)
+        .withColumn(number, F.explode(F.sequence(first, F.least(F.col(count), first + COPY_CHUNK) - 1)))
+        .drop("__chunk")
+    )
+    return few.unionByName(many)
+
+
+def global_rank(
+    df: DataFrame,
+    key: str | list[str] | None = None,
+    partition_by: list[str] | None = None,
+    rank_col: str = "rank",
+    total_col: str | None = None,
+    seed: int = 42,
+) -> DataFrame:
+    """1-based rank of every row in the seeded order within its ``partition_by`` group (null
+    is a group like any other), and the group's size under ``total_col``.
+
+    Rows are collapsed to one per position with its count, which is the only shuffle of
+    whole rows. Positions are then ranked in ranges of leading digits, as many digits as
+    the range's bucket needs, and shifted by the count of all earlier ranges.
     """
-    cols = list(df.columns)
-    keys = cols if key is None else ([key] if isinstance(key, str) else list(key))
-    order = keys + [c for c in cols if c not in keys]
-    rows = _weighted_ranked_copies(_collapse(df), order_hash(keys, seed), order, [], "_c")
-    is_test = (F.col("_start") + F.col("_idx")) <= F.ceil(F.lit(float(test)) * F.col("_tot"))
-    return rows.select(*cols, F.when(is_test, "test").otherwise("train").alias(split_col))
+    group = row_hash(df, list(partition_by or []), "group") if partition_by else F.lit("")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    x = df.select(group.alias("__group"), _order(df, _names(df, key), seed).alias("__position"), row.alias("__row"))
+    kept = x.groupBy("__group", "__position").agg(F.count(F.lit(1)).alias("__count"), F.first("__row").alias("__row"))
+    counts = x.groupBy("__group", "__position").agg(F.count(F.lit(1)).alias("__count"))
+
+    bucket = F.substring("__position", 1, BUCKET_DIGITS)
+    sizes = counts.groupBy("__group", bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("__distinct"))
+    digits = F.when(F.col("__distinct") <= RANGE_ROWS, 0).otherwise(F.ceil(F.log(16.0, F.col("__distinct") / RANGE_ROWS)))
+    sizes = sizes.select("__group", "__bucket", (digits + BUCKET_DIGITS).cast("int").alias("__digits"))
+    ranged = counts.withColumn("__bucket", bucket).join(sizes, ["__group", "__bucket"])
+    ranged = ranged.withColumn("__range", F.expr("substring(__position, 1, __digits)"))
+    totals = ranged.groupBy("__group", "__range").agg(F.sum("__count").alias("__n"))
+    earlier = Window.partitionBy("__group").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        "__group",
+        "__range",
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
+        F.sum("__n").over(Window.partitionBy("__group")).alias("__total"),
+    )
+    inside = Window.partitionBy("__group", "__range").orderBy("__position").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.join(totals, ["__group", "__range"]).select(
+        "__group", "__position", (F.coalesce(F.sum("__count").over(inside), F.lit(0)) + F.col("__before")).alias("__start"), "__total"
+    )
+    out = _copies(kept.join(starts, ["__group", "__position"]), "__count", "__copy")
+    new = {rank_col: (F.col("__start") + F.col("__copy") + 1).cast("long")} | ({total_col: F.col("__total")} if total_col else {})
+    return out.select(*[F.col(f"__row.`{c}`") for c in df.columns if c not in new], *[v.alias(k) for k, v in new.items()])
 
 
 def assign_batches(
@@ -175,14 +164,11 @@ def assign_batches(
 ) -> DataFrame:
     """Per-epoch reshuffle into batches of ``size`` (last one may be short).
 
-    Every row appears once per epoch; epochs are generated in place (no join).
-    Ordering and copies are handled as in ``exact_split``.
+    Every row appears once per epoch; the epoch is part of the key, so each has an order of
+    its own. Copies and hot keys are handled as in ``global_rank``.
     """
-    cols = list(df.columns)
-    keys = cols if key is None else ([key] if isinstance(key, str) else list(key))
-    order = keys + [c for c in cols if c not in keys]
-    ep = list(range(epochs)) if isinstance(epochs, int) else list(epochs)
-    g = _collapse(df).withColumn(epoch_col, F.explode(F.array(*[F.lit(e) for e in ep])))
-    rows = _weighted_ranked_copies(g, order_hash(keys + [epoch_col], seed), order, [epoch_col], "_c")
-    batch = F.floor((F.col("_start") + F.col("_idx") - 1) / F.lit(size)).cast("long")
-    return rows.select(*cols, epoch_col, batch.alias(batch_col))
+    which = list(range(epochs)) if isinstance(epochs, int) else list(epochs)
+    x = df.withColumn(epoch_col, F.explode(F.array(*[F.lit(e) for e in which])))
+    ranked = global_rank(x, [*_names(df, key), epoch_col], [epoch_col], "__rank", seed=seed)
+    batch = F.floor((F.col("__rank") - 1) / F.lit(size)).cast("long")
+    return ranked.withColumn(batch_col, batch).drop("__rank")

@@ -90,13 +90,25 @@ def q_exact_split(spark, d):
 
 def q_global_rank(spark, d):
     docs = FX.table(spark, d, "documents").select("doc_id")
-    return SP.global_rank(docs, SP.order_hash(["doc_id"], SPLIT_SEED), ["doc_id"])
+    return SP.global_rank(docs, "doc_id", seed=SPLIT_SEED)
+
+
+def q_rank_hot_key(spark, d):
+    """Rank by a key of four values within groups, null one of them."""
+    docs = FX.table(spark, d, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("kind"))
+    return SP.global_rank(docs, "lang", ["kind"], total_col="n_rows", seed=SPLIT_SEED)
+
+
+def q_split_copies(spark, d):
+    """Split of rows that are copies of few: one key value holds most rows."""
+    rows = SP.exact_split(FX.table(spark, d, "documents").select("lang", "source"), "lang", TEST_FRACTION, SPLIT_SEED)
+    return rows.groupBy("lang", "source", "split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def q_split_pairs(spark, d):
     """Preparation job: cases -> pairs -> exact 80/20 split, sizes per split."""
     pairs = SP.exact_split(PA.to_pairs(FX.cases(spark, d)), "case_id", TEST_FRACTION, SPLIT_SEED)
-    return pairs.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("case_id").alias("sum_case_id"))
+    return pairs.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(FX.case_form()).alias("sum_case_id"))
 
 
 def q_assign_batches(spark, d):
@@ -190,10 +202,15 @@ def q_vocab(spark, d):
 
 
 def q_vocab_ids(spark, d):
-    vocab = S.build_vocab(FX.table(spark, d, "documents"), "text", VOCAB_SIZE)
-    ids = S.vocab_ids(FX.cases(spark, d), "case_id", "input_findings", vocab)
-    return ids.select("case_id", F.size("ids").cast("long").alias("n_ids"),
-                      F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+    """Ids of all conversation turns and documents, empty, blank and null texts among them."""
+    ship_package(spark)
+    docs = FX.table(spark, d, "documents")
+    vocab = S.build_vocab(docs, "text", VOCAB_SIZE)
+    odd = F.when(F.col("doc_id") % 5 == 0, "").when(F.col("doc_id") % 5 == 1, None).when(F.col("doc_id") % 5 == 2, "  ").otherwise(F.col("text"))
+    turns = FX.table(spark, d, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("key"), "text")
+    texts = turns.unionByName(docs.select(F.concat(F.lit("d"), "doc_id").alias("key"), odd.alias("text")))
+    ids = S.vocab_ids(texts, "key", "text", vocab)
+    return ids.select("key", F.size("ids").cast("long").alias("n_ids"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
 
 def q_training_rollup(spark, d):

@@ -8,7 +8,7 @@ the same derivations are written in SQL for the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigen.functions.text import WS_CLASS, strip, tokens
@@ -41,10 +41,17 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output_impression")
     )
     return u.join(a, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), "input_findings", "output_impression"
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("case_id"),
+        "input_findings",
+        "output_impression",
     )
 
 
+def case_form() -> Column:
+    """A number from the digits of a case id (not unique), to choose which form a row's text gets."""
+    return F.replace("case_id", F.lit("-"), F.lit("")).cast("bigint")
+
+
 def finetuned_predictions(cases_df: DataFrame) -> DataFrame:
     """Stand-in for the tuned model's output: mostly the whole reference with
     every 7th word replaced, some exact copies, empties and nulls."""
@@ -52,7 +59,7 @@ def finetuned_predictions(cases_df: DataFrame) -> DataFrame:
     noisy = F.array_join(
         F.transform(toks, lambda t, i: F.when((i + 1) % 7 == 0, F.lit("x")).otherwise(t)), " "
     )
-    cid = F.col("case_id")
+    cid = case_form()
     gen = (
         F.when(cid % 19 == 0, F.col("output_impression"))
         .when(cid % 23 == 0, F.lit(""))
@@ -65,7 +72,7 @@ def finetuned_predictions(cases_df: DataFrame) -> DataFrame:
     )
 
 
-def _clean_items(c) -> "F.Column":
+def _clean_items(c) -> Column:
     """Reference sentences with quote, bracket and backslash characters removed
     and all whitespace turned into spaces (not stripped)."""
     pieces = F.split(c, r"\.", -1)
@@ -84,7 +91,7 @@ def list_raw(cases_df: DataFrame) -> DataFrame:
     q2 = F.array_join(F.transform(items, lambda s: F.concat(F.lit('"'), s, F.lit('"'))), ", ")
     adj = F.array_join(F.transform(items, lambda s: F.concat(F.lit("'"), s, F.lit("'"))), " ")
     plain = F.concat(F.lit("["), q1, F.lit("]"))
-    k = F.col("case_id") % 9
+    k = case_form() % 9
     raw = (
         F.when(k == 0, plain)
         .when(k == 1, F.concat(F.lit("Some text Output: ['junk'] Output: "), plain))
@@ -138,7 +145,7 @@ def judge_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sft_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs from the cases plus long documents cut in two halves of words."""
     c = cases(spark, sf_dir).select(
-        F.concat(F.lit("c"), F.col("case_id").cast("string")).alias("key"),
+        F.concat(F.lit("c"), "case_id").alias("key"),
         F.col("input_findings").alias("prompt"), F.col("output_impression").alias("response"),
     )
     docs = table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("t"))

@@ -50,10 +50,12 @@ def list_repr(lst: str) -> str:
 
 
 CASES = """cases AS (
-  SELECT u.conv_id * 1000 + u.turn AS case_id, u.text AS input_findings, a.text AS output_impression
+  SELECT u.conv_id || '-' || u.turn AS case_id, u.text AS input_findings, a.text AS output_impression
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 
+FORM = "CAST(replace(case_id, '-', '') AS BIGINT)"
+
 PREDS = CASES + f""",
 preds AS (
   SELECT 'baseline' AS model, case_id, output_impression AS reference,
@@ -61,9 +63,9 @@ preds AS (
   FROM cases
   UNION ALL
   SELECT 'finetuned' AS model, case_id, output_impression AS reference,
-         CASE WHEN case_id % 19 = 0 THEN output_impression
-              WHEN case_id % 23 = 0 THEN ''
-              WHEN case_id % 29 = 0 THEN NULL
+         CASE WHEN {FORM} % 19 = 0 THEN output_impression
+              WHEN {FORM} % 23 = 0 THEN ''
+              WHEN {FORM} % 29 = 0 THEN NULL
               ELSE array_to_string(list_transform({tok('output_impression')},
                      lambda w_, i_: CASE WHEN i_ % 7 = 0 THEN 'x' ELSE w_ END), ' ') END AS generated
   FROM cases),
@@ -228,37 +230,58 @@ def sql_metric_bleu() -> str:
     return _q(f'SELECT model, case_id, {r6('"BLEU"')} AS "BLEU" FROM bleu', PREDS + ",\n" + BLEU)
 
 
-SPLIT_HASH = "md5(CAST({k} AS VARCHAR) || '|{seed}')"
+def row_md5(cols: list[str]) -> str:
+    """md5 of the cells' texts with their lengths, and the seed."""
+    cells = [f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in cols]
+    return "md5(" + " || '|' || ".join([*cells, f"'{C.SPLIT_SEED}'"]) + ")"
 
 
-def sql_exact_split() -> str:
-    h = SPLIT_HASH.format(k="doc_id", seed=C.SPLIT_SEED)
+def position(keys: list[str], cols: list[str]) -> str:
+    """First four digits of the key's hash, then the row's hash."""
+    return f"substr({row_md5(keys)}, 1, 4) || {row_md5(cols)}"
+
+
+def split_label(keys: list[str], cols: list[str]) -> str:
     return (
-        f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {h}, doc_id) <= "
-        f"ceil({C.TEST_FRACTION}::DOUBLE * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM documents"
+        f"CASE WHEN row_number() OVER (ORDER BY {position(keys, cols)}) <= "
+        f"ceil({C.TEST_FRACTION}::DOUBLE * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split"
     )
 
 
+def sql_exact_split() -> str:
+    return f"SELECT doc_id, {split_label(['doc_id'], ['doc_id'])} FROM documents"
+
+
+def sql_split_copies() -> str:
+    return f"SELECT lang, source, split, count(*) AS n_rows FROM (SELECT lang, source, {split_label(['lang'], ['lang', 'source'])} FROM documents) GROUP BY ALL"
+
+
 def sql_global_rank() -> str:
-    h = SPLIT_HASH.format(k="doc_id", seed=C.SPLIT_SEED)
-    return f'SELECT doc_id, CAST(row_number() OVER (ORDER BY {h}, doc_id) AS BIGINT) AS "rank" FROM documents'
+    return f'SELECT doc_id, CAST(row_number() OVER (ORDER BY {position(["doc_id"], ["doc_id"])}) AS BIGINT) AS "rank" FROM documents'
+
+
+def sql_rank_hot_key() -> str:
+    cols = ["doc_id", "lang", "kind"]
+    return (
+        f'SELECT {", ".join(cols)}, CAST(row_number() OVER (PARTITION BY kind ORDER BY {position(["lang"], cols)}) AS BIGINT) AS "rank", '
+        "count(*) OVER (PARTITION BY kind) AS n_rows FROM "
+        "(SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS kind FROM documents)"
+    )
 
 
 def sql_split_pairs() -> str:
-    h = SPLIT_HASH.format(k="case_id", seed=C.SPLIT_SEED)
+    label = split_label(["case_id"], ["case_id", "input_findings", "output_impression"])
     return _q(
-        "SELECT split, count(*) AS n_rows, CAST(sum(case_id) AS BIGINT) AS sum_case_id FROM ("
-        f"SELECT case_id, CASE WHEN row_number() OVER (ORDER BY {h}, case_id) <= "
-        f"ceil({C.TEST_FRACTION}::DOUBLE * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM cases) GROUP BY split",
+        f"SELECT split, count(*) AS n_rows, CAST(sum({FORM}) AS BIGINT) AS sum_case_id FROM (SELECT case_id, {label} FROM cases) GROUP BY split",
         CASES,
     )
 
 
 def sql_assign_batches() -> str:
-    h = f"md5(CAST(case_id AS VARCHAR) || '|' || CAST(epoch AS VARCHAR) || '|{C.SPLIT_SEED}')"
+    both = ["case_id", "epoch"]
     return _q(
         "SELECT case_id, CAST(epoch AS INTEGER) AS epoch, "
-        f"CAST((row_number() OVER (PARTITION BY epoch ORDER BY {h}, case_id) - 1) // {C.TRAIN_BATCH} AS BIGINT) AS batch_id "
+        f"CAST((row_number() OVER (PARTITION BY epoch ORDER BY {position(both, both)}) - 1) // {C.TRAIN_BATCH} AS BIGINT) AS batch_id "
         f"FROM cases CROSS JOIN (SELECT unnest(range(0, {C.EPOCHS})) AS epoch) e",
         CASES,
     )
@@ -342,7 +365,7 @@ def sql_parse_list() -> str:
         f"WHEN k = 4 THEN array_to_string(['1', 'None'] || {kept}, '|') "
         f"WHEN k = 7 THEN {strip("array_to_string(items, '')")} "
         f"ELSE array_to_string({kept}, '|') END AS parsed "
-        f"FROM (SELECT case_id, case_id % 9 AS k, {items} AS items FROM cases)",
+        f"FROM (SELECT case_id, {FORM} % 9 AS k, {items} AS items FROM cases)",
         CASES,
     )
 
@@ -437,11 +460,16 @@ def sql_vocab() -> str:
 
 
 def sql_vocab_ids() -> str:
-    return _q(
-        f"SELECT case_id, count(*) AS n_ids, md5(string_agg(CAST(coalesce(v.token_id, {S.UNK_ID}) AS VARCHAR), ',' ORDER BY pos)) AS ids_md5 "
-        f"FROM (SELECT case_id, unnest(t) AS token, unnest(range(len(t))) AS pos FROM "
-        f"(SELECT case_id, {tok('input_findings')}[1:{S.MAX_LEN}] AS t FROM cases)) x LEFT JOIN vocab v USING (token) GROUP BY case_id",
-        CASES + ",\n" + VOCAB,
+    return (
+        "WITH " + VOCAB + f""",
+texts AS (
+  SELECT 'c' || conv_id || '-' || turn AS key, text FROM conversations
+  UNION ALL SELECT 'd' || doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '  ' ELSE text END FROM documents),
+words AS (SELECT key, unnest(t) AS token, unnest(range(len(t))) AS pos FROM (SELECT key, {tok('text')} AS t FROM texts WHERE text IS NOT NULL)),
+ids AS (
+  SELECT key, count(*) AS n, string_agg(CAST(coalesce(v.token_id, {S.UNK_ID}) AS VARCHAR), ',' ORDER BY pos) AS ids
+  FROM words LEFT JOIN vocab v USING (token) GROUP BY key)
+SELECT key, coalesce(n, 0) AS n_ids, md5(coalesce(ids, '')) AS ids_md5 FROM texts LEFT JOIN ids USING (key)"""
     )
 
 

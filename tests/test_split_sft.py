@@ -1,7 +1,9 @@
 """Exact split, batches, global rank and fine-tuning examples."""
 
 import math
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL
@@ -24,24 +26,54 @@ def test_exact_split_sizes_disjoint_and_stable(spark):
 
 def test_rank_is_a_permutation(spark):
     docs = FX.table(spark, SF_MID, "documents").select("doc_id")
-    r = SP.global_rank(docs, SP.order_hash(["doc_id"], 42), ["doc_id"], prefix_len=2)
-    ranks = sorted(x[0] for x in r.select("rank").collect())
+    ranks = sorted(x[0] for x in SP.global_rank(docs, "doc_id").select("rank").collect())
     assert ranks == list(range(1, docs.count() + 1))
 
 
-def test_rank_spreads_a_repeated_key(spark):
-    """A key value holding a third of the rows: with the row column as a further
-    key the repeats hash apart, land in many buckets, and still rank exactly."""
-    df = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("row")
-    )
-    h = SP.order_hash(["k", "row"], 1)
-    buckets = df.filter("k = 7").select(F.substring(h, 1, 4).alias("b")).distinct().count()
-    assert buckets > 900
-    r = SP.global_rank(df, h, ["k", "row"])
-    assert sorted(x[0] for x in r.select("rank").collect()) == list(range(1, 3001))
-    split = SP.exact_split(df, ["k", "row"], 0.2, 1)
-    assert split.filter("split = 'test'").count() == 600
+def hot(spark):
+    """One key on a third of 3000 different rows, and 900 copies of one row."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    return df.unionByName(spark.range(900).select(F.lit(-1).cast("long").alias("k"), F.lit(-1).cast("long").alias("v")))
+
+
+@pytest.mark.parametrize("range_rows, chunk", [(3, 50), (1, 7)])
+def test_order_does_not_depend_on_how_work_is_dealt(spark, monkeypatch, range_rows, chunk):
+    """Equal input gives equal output on both sides of every bound."""
+    df = hot(spark)
+    want = sorted(map(tuple, SP.exact_split(df, "k", 0.2, 5).collect()))
+    ranks = sorted(map(tuple, SP.global_rank(df, "k", seed=5).collect()))
+    batches = sorted(map(tuple, SP.assign_batches(df, "k", 7, 2, 5).collect()))
+    monkeypatch.setattr(SP, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(SP, "COPY_CHUNK", chunk)
+    again = df.repartition(7)
+    assert sorted(map(tuple, SP.exact_split(again, "k", 0.2, 5).collect())) == want
+    assert sorted(map(tuple, SP.global_rank(again, "k", seed=5).collect())) == ranks
+    assert sorted(map(tuple, SP.assign_batches(again, "k", 7, 2, 5).collect())) == batches
+    assert sum(r[2] == "test" for r in want) == 780 and len(want) == 3900
+    assert sorted(r[2] for r in ranks) == list(range(1, 3901))
+
+
+def test_split_agrees_with_the_rank(spark):
+    df = hot(spark)
+    for share in (0.0, 0.001, 0.5, 0.7, 1.0):
+        need = math.ceil(share * 3900)
+        first = Counter((r.k, r.v) for r in SP.global_rank(df, "k", seed=9).filter(F.col("rank") <= need).collect())
+        assert Counter((r.k, r.v) for r in SP.exact_split(df, "k", share, 9).filter("split = 'test'").collect()) == first
+
+
+def test_rows_come_back_untouched(spark):
+    rows = [(1, -0.0, {"a": 1}, b"\xff"), (1, 0.0, {"a": 1}, None), (None, float("nan"), None, b""), (2, None, {}, b"x")]
+    df = spark.createDataFrame(rows, "k int, v double, m map<string,int>, b binary")
+    want = sorted(repr(tuple(r)) for r in df.collect())
+    for out in (SP.exact_split(df, "k", 0.5), SP.global_rank(df, "k", ["k"]), SP.assign_batches(df, "k", 2)):
+        assert sorted(repr(tuple(r)) for r in out.select("k", "v", "m", "b").collect()) == want
+    assert SP.exact_split(df.limit(0), "k").count() == SP.global_rank(df.limit(0)).count() == 0
+
+
+def test_null_groups_are_ranked(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, "a"), (5, "")], "id int, g string")
+    got = SP.global_rank(df, "id", ["g"], total_col="n").collect()
+    assert sorted((repr(r.g), r.rank, r.n) for r in got) == sorted([(repr(""), 1, 1), ("None", 1, 2), ("None", 2, 2), (repr("a"), 1, 2), (repr("a"), 2, 2)])
 
 
 def test_batches_full_but_last(spark):
@@ -99,49 +131,42 @@ def test_vocab_top_k_and_ids(spark):
     rows = v.orderBy("token_id").collect()
     assert len(rows) == 50 and rows[0]["token_id"] == S.RESERVED
     assert all(a["n"] >= b["n"] for a, b in zip(rows, rows[1:]))
-    ids = S.vocab_ids(docs, "doc_id", "text", v).collect()
-    assert all(len(r["ids"]) <= S.MAX_LEN for r in ids)
-
-
-def test_split_with_a_group_of_copies(spark):
-    """A third of the rows are one row copied: exact sizes, copies regenerated."""
-    from lexigen.operators import split as SPM
-
-    old = SPM.COPY_CHUNK
-    SPM.COPY_CHUNK = 50  # force the chunked path on a small input
-    try:
-        base = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 5).alias("v"))
-        copies = spark.range(1000).select(F.lit(-1).cast("long").alias("k"), F.lit(9).cast("long").alias("v"))
-        df = base.unionByName(copies)
-        out = SPM.exact_split(df, "k", 0.2, 3)
-        assert out.count() == 3000
-        assert out.filter("split = 'test'").count() == 600
-        assert out.filter("k = -1").count() == 1000
-        b = SPM.assign_batches(df, "k", size=7, epochs=2)
-        sizes = sorted(r["count"] for r in b.groupBy("epoch", "batch_id").count().collect())
-        assert sum(sizes) == 6000 and sizes.count(7) == len(sizes) - 2
-    finally:
-        SPM.COPY_CHUNK = old
-
-
-def test_split_with_a_hot_key_of_distinct_rows(spark):
-    """One key value on a third of the rows, all rows different: the hot bucket is
-    split by row hash and the split stays exact and stable."""
-    from lexigen.operators import split as SPM
-
-    old = SPM.HOT_BUCKET_MIN
-    SPM.HOT_BUCKET_MIN = 100
-    try:
-        df = spark.range(3000).select(
-            F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")
-        )
-        a = SPM.exact_split(df, "k", 0.2, 5)
-        b = SPM.exact_split(df.repartition(7), "k", 0.2, 5)
-        ta = {tuple(r) for r in a.filter("split = 'test'").select("k", "v").collect()}
-        tb = {tuple(r) for r in b.filter("split = 'test'").select("k", "v").collect()}
-        assert len(ta) == 600 and ta == tb
-        assert a.count() == 3000
-        bt = SPM.assign_batches(df, "k", size=10, epochs=1)
-        assert sorted(r["count"] for r in bt.groupBy("batch_id").count().collect()) == [10] * 300
-    finally:
-        SPM.HOT_BUCKET_MIN = old
+    known = {r["token"]: r["token_id"] for r in rows}
+    texts = spark.createDataFrame([*((r.doc_id, r.text) for r in docs.collect()), (-1, None), (-2, ""), (-3, " \t"), (-3, " \t")], "doc_id long, text string")
+    want = sorted((r.doc_id, [known.get(w, S.UNK_ID) for w in (r.text or "").split()]) for r in texts.collect())
+    assert sorted((r.doc_id, r.ids) for r in S.vocab_ids(texts, "doc_id", "text", v).collect()) == want
+    assert sorted((r.doc_id, r.ids) for r in S.join_ids(texts, "doc_id", "text", v).collect()) == want
+    assert max(len(r.ids) for r in S.vocab_ids(texts, "doc_id", "text", v, max_len=5).collect()) == 5
+
+
+def test_vocabulary_bound(spark, monkeypatch):
+    docs = FX.table(spark, SF_SMALL, "documents")
+    with pytest.raises(ValueError):
+        S.build_vocab(docs, "text", S.MAX_VOCAB + 1)
+    v = S.build_vocab(docs, "text", 20)
+    want = sorted(map(tuple, S.vocab_ids(docs, "doc_id", "text", v).collect()))
+    monkeypatch.setattr(S, "MAX_VOCAB", 10)
+    assert sorted(map(tuple, S.vocab_ids(docs, "doc_id", "text", v).collect())) == want
+    with pytest.raises(ValueError):
+        S.word_ids("text", v)
+
+
+def test_sft_examples_by_vocabulary(spark):
+    pairs = FX.sft_input(spark, SF_SMALL)
+    v = S.build_vocab(pairs, "response", 100)
+    known = {r["token"]: r["token_id"] for r in v.collect()}
+    hashed = {r["key"]: r for r in S.sft_examples(pairs, key="key").collect()}
+    source = {r["key"]: r for r in pairs.select("key", S.tokens(S.render_completion_prompt("prompt")).alias("p"), S.tokens("response").alias("r")).collect()}
+    for r in S.sft_examples(pairs, key="key", vocabulary=v).collect():
+        words = (source[r["key"]]["p"] + source[r["key"]]["r"])[: S.MAX_LEN]
+        assert r["input_ids"][: len(words)] == [known.get(w, S.UNK_ID) for w in words]
+        assert r["attention_mask"] == hashed[r["key"]]["attention_mask"] and r["n_supervised"] == hashed[r["key"]]["n_supervised"]
+
+
+def test_long_conversations_keep_case_ids_apart(spark, tmp_dir):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} {t}") for c in (1, 2, 12) for t in range(2000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_dir}/conversations.parquet")
+    cases = FX.cases(spark, tmp_dir)
+    assert cases.count() == cases.select("case_id").distinct().count() == 3000
+
+
