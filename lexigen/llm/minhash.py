@@ -13,13 +13,11 @@ at a similarity of 0.85; for 0.8 take ``bands=25``, the default).
 Texts with the same words collapse to their smallest id first. The members of a small bucket
 are compared with one another. In a larger one the document that shares most buckets (the
 middle of a group of copies) leads, and all others are compared with it, which is linear in
-the bucket. A member m that is not linked to the lead L has fewer shingles in common with L
-than a link between equal sizes needs, so a link of m with another member c means that the two share a
-shingle *outside* L (or that c is smaller than L by enough; such pairs are compared
-directly). So buckets with members left outside the lead's component split into the groups
-that share a shingle outside L, and these are treated the same way. Edits of copies are rarely
-the same, so the groups shrink fast; after ``levels`` splits what is left is compared pair by pair.
-Nothing is capped: every candidate pair in different components is either compared or excluded by the counts.
+the bucket. A member that is not linked to the lead has fewer shingles in common with it than a link
+needs, so its link with another member means that the two share enough shingles *outside* the
+lead, or that the other is smaller than the lead by enough. These two cases give the
+remaining pairs (see :func:`remaining_pairs`), between different components only. Edits of copies are rarely the same, so
+these are few. Nothing is capped: every candidate pair is compared, linked through others, or excluded by the counts.
 
 Null or wordless texts have an empty set and are linked with nothing. Rows with a null id
 are returned with their set size, a null component and kept = true. Rows that share an id
@@ -34,7 +32,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigen.llm.common import HashOf, by_ids, lower_ascii, mix64, texts_of, window_hashes, with_columns, words
@@ -148,27 +146,50 @@ def star_rows(stars: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def split_buckets(family: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(groups (band, id) that share a shingle outside their lead and span components, pairs
-    (u, v) that may be linked by shingles of the lead alone) of lead families not yet in one component."""
+def remaining_pairs(family: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of members of a lead's family that are in different components and could
+    still be linked, by the counts of ``family`` (from :func:`star_rows`).
+
+    A link of sizes a and b has least(a, b) = percent * (a + b) / (100 + percent) shingles in
+    common. A member u apart from the lead shares fewer with it than least(n_u, n_lead), so
+    a partner that is no smaller than the lead shares at least ``lack`` = least(n_u, n_lead)
+    - common shingles with u that the lead has not. If u drops all but its
+    |outside| - lack + 1 rarest ones, every such partner still has one of those left.
+    """
     own = labels.select(F.col("node").alias("id"), "component")
     of_lead = labels.select(F.col("node").alias("lead"), F.col("component").alias("lead_component"))
     rows = family.join(own, "id").join(of_lead, "lead")
     split = rows.groupBy("lead").agg(F.max((F.col("component") != F.col("lead_component")).cast("int")).alias("open")).filter("open = 1").select("lead")
     rows = rows.join(split, "lead")
+    apart = rows.filter("component <> lead_component")
+
     outside = rows.select("lead", "id", "component", F.explode("outside").alias("shingle"))
-    groups = outside.groupBy("lead", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    members = outside.join(groups.select("lead", "shingle"), ["lead", "shingle"]).select(F.xxhash64("lead", "shingle").alias("band"), "id")
-
-    # sizes of a smaller partner for which the shingles shared with the lead could be enough:
-    # a link of sizes a and b has at least percent * (a + b) / (100 + percent) in common
-    least = F.ceil(F.lit(percent) * F.col("n") / 100)
-    most = F.least(F.col("n_lead") - 1, F.floor((100 + percent) * F.col("common") / F.lit(percent)) - F.col("n"))
-    apart = rows.filter("component <> lead_component").withColumn("least", least.cast("int")).withColumn("most", most.cast("int")).filter("least <= most")
-    sizes = apart.select("lead", F.col("id").alias("u"), F.col("component").alias("cu"), F.explode(F.sequence("least", "most")).alias("n"), F.col("n").alias("nu"))
+    counts = outside.groupBy("lead", "shingle").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
+    shared = outside.join(counts.filter("low <> high").select("lead", "shingle", "members"), ["lead", "shingle"])
+    least = F.ceil(F.lit(percent) * (F.col("n") + F.col("n_lead")) / (100 + percent))
+    take = apart.select("lead", "id", (F.size("outside") - (least - F.col("common")) + 1).alias("take"), F.size("outside").alias("all"))
+    mine = shared.join(take, ["lead", "id"]).withColumn("place", F.row_number().over(Window.partitionBy("lead", "id").orderBy("members", "shingle")))
+    # what only one component has comes first, so it uses up places
+    mine = mine.withColumn("alone", F.col("all") - F.count(F.lit(1)).over(Window.partitionBy("lead", "id"))).filter(F.col("place") + F.col("alone") <= F.col("take"))
+    mine = mine.select("lead", "shingle", F.col("id").alias("u"), F.col("component").alias("cu"))
+    theirs = shared.select("lead", "shingle", F.col("id").alias("v"), F.col("component").alias("cv"))
+    by_shingle = mine.join(theirs, ["lead", "shingle"]).filter("cu <> cv").select("u", "v")
+
+    # partners smaller than the lead, of the sizes for which what u shares with the lead may do
+    low = F.ceil(F.lit(percent) * F.col("n") / 100)
+    high = F.least(F.col("n_lead") - 1, F.floor((100 + percent) * F.col("common") / F.lit(percent)) - F.col("n"))
+    sizes = apart.select("lead", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), low.cast("int").alias("low"), high.cast("int").alias("high")).filter("low <= high")
+    sizes = sizes.select("lead", "u", "cu", "nu", F.explode(F.sequence("low", "high")).alias("n"))
     partner = rows.select("lead", F.col("id").alias("v"), F.col("component").alias("cv"), "n", "common")
-    direct = sizes.join(partner, ["lead", "n"]).filter((F.col("cu") != F.col("cv")) & (percent * (F.col("nu") + F.col("n")) <= (100 + percent) * F.col("common")))
-    return members, direct.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    by_size = sizes.join(partner, ["lead", "n"]).filter((F.col("cu") != F.col("cv")) & (percent * (F.col("nu") + F.col("n")) <= (100 + percent) * F.col("common"))).select("u", "v")
+    return by_shingle.union(by_size).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def label(links: DataFrame, weights: DataFrame) -> DataFrame:
+    """(node, component) of every id that is linked or in a bucket."""
+    nodes = weights.select(F.col("id").alias("node"), F.col("id").alias("own"))
+    found = components(links).join(nodes, "node", "full_outer").select("node", F.coalesce("component", "node").alias("component"))
+    return materialize(found, "labels")
 
 
 def near_duplicates(
@@ -179,7 +200,6 @@ def near_duplicates(
     percent: int = 80,
     bands: int = 25,
     rows: int = 4,
-    levels: int = 4,
     small: int = 8,
 ) -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id`` (the smallest id reachable over links of
@@ -198,34 +218,21 @@ def near_duplicates(
     texts = by_ids(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), weights.select("id"), "id", "left_semi")
     sets = materialize(shingle_sets(texts, "id", "text", shingle), "shingle-sets")
 
-    links, direct = materialize(copies.distinct(), "copies"), None
-    for level in range(levels + 1):
-        little = F.lit(True) if level == levels else F.col("members") <= small
-        one = buckets.filter(little)
-        pairs = one.select("band", F.col("id").alias("u")).join(one.select("band", F.col("id").alias("v")), "band").filter("u > v").select("u", "v")
-        if level:
-            pairs = pairs.union(direct)
-            part = lambda name, c: labels.select(F.col("node").alias(name), F.col("component").alias(c))
-            pairs = pairs.distinct().join(part("u", "cu"), "u").join(part("v", "cv"), "v").filter("cu <> cv").select("u", "v")
-        found = links.union(confirm(pairs.distinct(), sets, percent))
-        if level < levels:
-            large = buckets.filter(~little).join(weights, "id")
-            leads = large.groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("back"))).alias("lead")).select("band", (-F.col("lead.back")).alias("lead"))
-            stars = large.join(leads, "band").filter("id <> lead").select("lead", "id").distinct()
-            family = materialize(star_rows(stars, sets), "stars")
-            found = found.union(family.filter(similar(F.col("common"), F.col("n") + F.col("n_lead"), percent)).select(F.col("id").alias("u"), F.col("lead").alias("v")))
-        links = materialize(found.distinct(), "links")
-        nodes = weights.select(F.col("id").alias("node"), F.col("id").alias("own"))
-        labels = components(links).join(nodes, "node", "full_outer").select("node", F.coalesce("component", "node").alias("component"))
-        labels = materialize(labels, "labels")
-        if level == levels:
-            break
-        members, direct = split_buckets(family, labels, percent)
-        direct = materialize(direct.distinct(), "direct-pairs")
-        members = materialize(members.distinct(), "split-buckets")
-        buckets = members.join(members.groupBy("band").agg(F.count(F.lit(1)).alias("members")), "band")
-        if members.isEmpty() and direct.isEmpty():
-            break
+    links = materialize(copies.distinct(), "copies")
+    one = buckets.filter(F.col("members") <= small)
+    pairs = one.select("band", F.col("id").alias("u")).join(one.select("band", F.col("id").alias("v")), "band").filter("u > v").select("u", "v")
+    large = buckets.filter(F.col("members") > small).join(weights, "id")
+    leads = large.groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("back"))).alias("lead")).select("band", (-F.col("lead.back")).alias("lead"))
+    stars = large.join(leads, "band").filter("id <> lead").select("lead", "id").distinct()
+    family = materialize(star_rows(stars, sets), "stars")
+    near = family.filter(similar(F.col("common"), F.col("n") + F.col("n_lead"), percent)).select(F.col("id").alias("u"), F.col("lead").alias("v"))
+    links = materialize(links.union(confirm(pairs.distinct(), sets, percent)).union(near).distinct(), "links")
+    labels = label(links, weights)
+    rest = materialize(remaining_pairs(family, labels, percent), "remaining-pairs")
+    if not rest.isEmpty():
+        more = materialize(confirm(rest, sets, percent), "more-links")
+        if not more.isEmpty():
+            labels = label(links.union(more), weights)
 
     ids = labels.select(F.col("node").alias("label_node"), F.col("component").alias("label_component"))
     out = signed.join(ids, (signed[id_col] == ids["label_node"]) & (signed["n_shingles"] > 0), "left")
