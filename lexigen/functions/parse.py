@@ -1,8 +1,8 @@
 """Parsing model output: a list of impressions, or the eight rubric scores.
 
-The span search (after last ``Output:``, bracket spans, brace span) is built-in
-regex work in the JVM; only the literal evaluation runs in Python, in Arrow
-batches, with ``ast.literal_eval`` (literals only, no code runs).
+Three steps, of which only the middle one leaves the JVM: regular expressions find the
+spans, ``ast.literal_eval`` turns a span into a value in Arrow batches (literals only,
+no code runs), and column expressions apply the rules to what it returns.
 """
 
 from __future__ import annotations
@@ -12,86 +12,98 @@ import ast
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from lexigen.functions.prompts import SCORE_COLUMNS
 from lexigen.functions.text import _c, after_last, brace_span, bracket_spans, strip
 
 SCORE_MIN, SCORE_MAX = 0, 5
+LONGEST_NUMBER = 4300  # digits; a longer whole number in a string counts as no number
 
 
-def first_list(spans) -> list | None:
-    """First span that evaluates to a list -> its items as stripped, non-blank text."""
-    if spans is None:
+def _literal(span: str):
+    """The value of a literal, None for anything else."""
+    try:
+        return ast.literal_eval(span)
+    except Exception:  # whatever a model writes: no value
         return None
-    for cand in spans:
-        try:
-            parsed = ast.literal_eval(cand)
-        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-            continue
-        if isinstance(parsed, list):
-            items = (str(x).strip() for x in parsed)
-            return [s for s in items if s]
-    return []
-
 
-def parse_list_text(text: str) -> list:
-    """Pure-Python reading of one model output (used by tests as brute force)."""
-    import re
 
-    body = text.split("Output:")[-1].strip()
-    return first_list(re.findall(r"\[[\s\S]*?\]", body))
+def _item_texts(span: str) -> list[str] | None:
+    """Texts of a list literal's items; None if it is no list or an item cannot be shown
+    (such as a whole number of more digits than Python prints)."""
+    value = _literal(span)
+    if not isinstance(value, list):
+        return None
+    try:
+        return [str(item) for item in value]
+    except ValueError:
+        return None
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def _first_list_udf(spans: pd.Series) -> pd.Series:
-    return pd.Series([first_list(None if s is None else list(s)) for s in spans])
+def _first_items(spans: pd.Series) -> pd.Series:
+    def first(row):
+        return next((items for items in map(_item_texts, row) if items is not None), None)
+
+    return pd.Series([None if row is None else first(row) for row in spans], dtype=object)
 
 
 def parse_list(c) -> Column:
-    """Free text -> ``array<string>`` (empty when no list literal is found)."""
+    """Free text -> ``array<string>``: the items of the first ``[...]`` span after the last
+    ``Output:`` that is a list, stripped, without blank ones; empty when there is none."""
     spans = bracket_spans(strip(after_last(_c(c), "Output:")))
-    return F.when(F.size(spans) == 0, F.array().cast("array<string>")).otherwise(
-        _first_list_udf(spans)
-    )
+    items = F.transform(_first_items(spans), lambda s: strip(s))
+    found = F.coalesce(F.filter(items, lambda s: s != F.lit("")), F.array().cast("array<string>"))
+    return F.when(_c(c).isNotNull(), found)
 
 
-def scores_from_span(span: str | None) -> dict:
-    raw = {}
-    if span:
-        try:
-            v = ast.literal_eval(span)
-            raw = v if isinstance(v, dict) else {}
-        except Exception:
-            raw = {}
-    out = {}
-    for k in SCORE_COLUMNS:
-        v = raw.get(k)
-        try:
-            v = max(SCORE_MIN, min(SCORE_MAX, int(v)))
-        except (TypeError, ValueError, OverflowError):
-            v = None
-        out[k] = v
-    return out
+_ENTRIES = MapType(StringType(), StructType([StructField("kind", StringType()), StructField("text", StringType())]))
 
 
-def parse_scores_text(text: str) -> dict:
-    import re
-
-    m = re.search(r"\{[\s\S]*\}", text.strip())
-    return scores_from_span(m.group(0) if m else None)
-
-
-_SCORE_SCHEMA = StructType([StructField(k, IntegerType(), True) for k in SCORE_COLUMNS])
-
-
-@F.pandas_udf(_SCORE_SCHEMA)
-def _scores_udf(spans: pd.Series) -> pd.DataFrame:
-    rows = [scores_from_span(s) for s in spans]
-    out = pd.DataFrame(rows, columns=SCORE_COLUMNS)
-    return out.astype("Int32")
+def _entry(value) -> tuple[str, str] | None:
+    """(kind, text) of a dictionary value that could be a number: ``whole`` numbers as a
+    float's text (so any size fits), ``real`` ones, or ``text``."""
+    if isinstance(value, int):
+        try:
+            return "whole", str(float(value))
+        except OverflowError:
+            return "whole", "inf" if value > 0 else "-inf"
+    if isinstance(value, float):
+        return "real", str(value)
+    if isinstance(value, bytes):
+        return "text", value.decode("latin-1")
+    return ("text", value) if isinstance(value, str) else None
+
+
+@F.pandas_udf(_ENTRIES)
+def _raw_entries(spans: pd.Series) -> pd.Series:
+    def entries(span):
+        value = _literal(span) if span else None
+        pairs = value.items() if isinstance(value, dict) else ()
+        return {k: {"kind": e[0], "text": e[1]} for k, v in pairs if isinstance(k, str) and (e := _entry(v))}
+
+    return pd.Series([entries(s) for s in spans], dtype=object)
+
+
+def _score(entry: Column) -> Column:
+    """Whole numbers as they are, real ones cut, texts that hold one whole number; kept within
+    the scale; null for the rest."""
+    text = strip(entry["text"])
+    as_double = F.replace(text, F.lit("_"), F.lit("")).try_cast("double")
+    written = text.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$") & (F.length(text) <= LONGEST_NUMBER)
+    real = entry["text"].try_cast("double")
+    value = (
+        F.when(entry["kind"] == "whole", real)
+        .when((entry["kind"] == "real") & ~F.isnan(real) & (F.abs(real) < F.lit(float("inf"))), real)
+        .when((entry["kind"] == "text") & written, as_double)
+    )
+    within = F.least(F.lit(float(SCORE_MAX)), F.greatest(F.lit(float(SCORE_MIN)), value))
+    return F.when(value.isNotNull(), F.floor(within).cast("int"))
 
 
 def parse_scores(c) -> Column:
-    """Free text -> ``struct<8 x int>``; each 0..5 (truncated, clamped) or null."""
-    return _scores_udf(brace_span(_c(c)))
+    """Free text -> ``struct<8 x int>`` from the span between the first ``{`` and the last ``}``;
+    each 0..5 (cut to a whole number, kept within the scale) or null."""
+    entries = _raw_entries(brace_span(_c(c)))
+    return F.struct(*[F.when(entries[k].isNotNull() & _c(c).isNotNull(), _score(entries[k])).alias(k) for k in SCORE_COLUMNS])
