@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ def prepared(c, policy: str = "literal_nan") -> Column:
 
 
 def exact_match(ref, gen) -> Column:
-    """1 when both sides are equal after strip (case-sensitive), else 0."""
-    return F.when(_c(ref) == _c(gen), F.lit(1)).otherwise(F.lit(0)).cast("int")
+    """1 when both sides are equal after strip (case-sensitive), else 0; null when a side is."""
+    return (_c(ref) == _c(gen)).cast("int")
 
 
 def f_score(overlap: Column, n_hyp: Column, n_ref: Column) -> Column:
@@ -118,27 +119,19 @@ def _lcs_words(x, y):
 
     Table: T[i][j] = T[i-1][j-1] + 1 on equal words, else max(T[i-1][j], T[i][j-1]).
     Back-trace from the end: diagonal on equal words, else up when
-    T[i-1][j] > T[i][j-1], else left."""
-    n, m = len(x), len(y)
-    if n * m > _NUMPY_CELLS:
-        t = _lcs_table_np(x, y)
-    else:
-        t = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(1, n + 1):
-            xi, row, prev = x[i - 1], t[i], t[i - 1]
-            for j in range(1, m + 1):
-                if xi == y[j - 1]:
-                    row[j] = prev[j - 1] + 1
-                else:
-                    row[j] = prev[j] if prev[j] > row[j - 1] else row[j - 1]
+    T[i-1][j] > T[i][j-1], else left. Only that direction is kept, one bit a cell (two
+    texts of 20,000 words take 50 MB), and two rows of the table."""
+    if set(x).isdisjoint(y):
+        return set()
+    up = _up_bits_np(x, y) if len(x) * len(y) > _NUMPY_CELLS else _up_bits(x, y)
     out = set()
-    i, j = n, m
+    i, j = len(x), len(y)
     while i > 0 and j > 0:
         if x[i - 1] == y[j - 1]:
             out.add(x[i - 1])
             i -= 1
             j -= 1
-        elif t[i - 1][j] > t[i][j - 1]:
+        elif up(i, j):
             i -= 1
         else:
             j -= 1
@@ -148,20 +141,32 @@ def _lcs_words(x, y):
 _NUMPY_CELLS = 4096
 
 
-def _lcs_table_np(x, y):
-    """The same table, one row at a time with numpy: a row is the running
-    maximum of max(T[i-1][j], T[i-1][j-1] + [x_i = y_j])."""
-    import numpy as np
+def _up_bits(x, y):
+    """Whether the back-trace goes up at (i, j), for small tables."""
+    above, rows = [0] * (len(y) + 1), []
+    for xi in x:
+        row = [0]
+        for j, yj in enumerate(y):
+            row.append(above[j] + 1 if xi == yj else max(above[j + 1], row[j]))
+        rows.append([a > b for a, b in zip(above[1:], row)])
+        above = row
+    return lambda i, j: rows[i - 1][j - 1]
+
 
+def _up_bits_np(x, y):
+    """The same a row at a time with numpy: a row is the running maximum of
+    max(T[i-1][j], T[i-1][j-1] + [x_i = y_j])."""
     ids: dict = {}
     xa = np.fromiter((ids.setdefault(w, len(ids)) for w in x), dtype=np.int64, count=len(x))
     ya = np.fromiter((ids.setdefault(w, len(ids)) for w in y), dtype=np.int64, count=len(y))
-    t = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)
-    for i in range(1, len(x) + 1):
-        prev = t[i - 1]
-        cand = np.maximum(prev[1:], prev[:-1] + (ya == xa[i - 1]))
-        np.maximum.accumulate(cand, out=t[i, 1:])
-    return t
+    above = np.zeros(len(y) + 1, dtype=np.int32)
+    bits = np.empty((len(x), -(-len(y) // 8)), dtype=np.uint8)
+    for i, xi in enumerate(xa):
+        row = np.zeros_like(above)
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + (ya == xi)), out=row[1:])
+        bits[i] = np.packbits(above[1:] > row[:-1], bitorder="little")
+        above = row
+    return lambda i, j: bool(bits[i - 1, (j - 1) >> 3] >> ((j - 1) & 7) & 1)
 
 
 def rouge_l_summary(ref: str, hyp: str):

@@ -27,8 +27,8 @@ NA_TOKENS = [
     "nan", "null",
 ]
 
-# Separator used to glue the words of an n-gram into one string.
-GRAM_SEP = "\u0001"
+# Separator that glues the words of an n-gram into one string; no word holds white space.
+GRAM_SEP = " "
 
 
 def _c(c) -> Column:
@@ -77,8 +77,10 @@ def ngrams(words, n: int) -> Column:
     return out
 
 
-# Stands for an all-blank sentence while the text is cut into words (a noncharacter).
+# Stands for an all-blank sentence while the text is cut into words; where the text itself
+# holds this character, it is written with a zero behind it meanwhile.
 _BLANK = "\uffff"
+_KEPT = _BLANK + "0"
 
 
 def rouge_words(c) -> Column:
@@ -89,9 +91,10 @@ def rouge_words(c) -> Column:
     Computed without a per-sentence lambda: every all-blank piece is first
     replaced by a marker, then periods become spaces, the text is cut into words
     and the marker turns into the empty word."""
-    marked = F.regexp_replace(_c(c), r"(\A|\.)" + WS_CLASS + r"+(?=\.|\z)", "$1" + _BLANK)
+    kept = F.replace(_c(c), F.lit(_BLANK), F.lit(_KEPT))
+    marked = F.regexp_replace(kept, r"(\A|\.)" + WS_CLASS + r"+(?=\.|\z)", "$1" + _BLANK)
     words = tokens(F.translate(marked, ".", " "))
-    return F.transform(words, lambda w: F.when(w == F.lit(_BLANK), F.lit("")).otherwise(w))
+    return F.transform(words, lambda w: F.when(w == F.lit(_BLANK), F.lit("")).otherwise(F.replace(w, F.lit(_KEPT), F.lit(_BLANK))))
 
 
 def n_sentences(c) -> Column:
@@ -104,6 +107,7 @@ def after_last(c, marker: str) -> Column:
     return F.substring_index(_c(c), marker, -1)
 
 
+# The two span patterns of the parsed model output.
 BRACKET_SPAN = r"\[[\s\S]*?\]"
 BRACE_SPAN = r"\{[\s\S]*\}"
 

@@ -53,7 +53,9 @@ def score_detail(
     base = list(df.columns)
     df = df.select("*", prepared(reference, null_policy).alias("_ref"), prepared(generated, null_policy).alias("_gen"))
     df = df.select("*", n_sentences("_ref").alias("_sr"), n_sentences("_gen").alias("_sg"))
-    undefined = (F.col("_sr") == 0) | (F.col("_sg") == 0)
+    # without a sentence on both sides, and so with a missing side too
+    undefined = F.coalesce((F.col("_sr") == 0) | (F.col("_sg") == 0) | F.col("_ref").isNull() | F.col("_gen").isNull(), F.lit(True))
+    missing = F.col("_ref").isNull() | F.col("_gen").isNull()
     if rouge_ns:
         df = df.select("*", rouge_words("_ref").alias("_wr"), rouge_words("_gen").alias("_wg"))
         df = df.select(
@@ -72,7 +74,7 @@ def score_detail(
         if on_empty == "null":
             return F.when(undefined, F.lit(None).cast("double")).otherwise(v)
         if on_empty == "zero":
-            return F.when(undefined, F.lit(0.0)).otherwise(v)
+            return F.when(missing, F.lit(None).cast("double")).when(undefined, F.lit(0.0)).otherwise(v)
         raise ValueError(f"unknown on_empty {on_empty!r}")
 
     exprs = {

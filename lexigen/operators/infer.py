@@ -1,7 +1,8 @@
 """Batch generation over a DataFrame with a pluggable generator.
 
 A *factory* is a picklable zero-argument callable returning a generator
-``gen(prompts: list[str]) -> list[str]``. It runs once per Python worker (the
+``gen(prompts: list[str]) -> list[str]``; where ``max_new_tokens`` is set, it is called as
+``gen(prompts, max_new_tokens=n)``. It runs once per Python worker (the
 model is loaded once and kept in a module global for later tasks), then the
 partition streams through in Arrow batches, sliced to ``batch_size`` prompts
 per call. Rows keep all their columns, so no join is needed to re-attach
@@ -50,6 +51,7 @@ def batch_generate(
     batch_size: int = GENERATION_BATCH_SIZE,
     strip_output: bool = True,
     partitions: int | None = None,
+    max_new_tokens: int | None = None,
 ) -> DataFrame:
     """Add ``out_col`` = generator(prompt) to every row.
 
@@ -65,13 +67,15 @@ def batch_generate(
     if partitions:
         df = df.repartition(partitions)
 
+    limit = {} if max_new_tokens is None else {"max_new_tokens": max_new_tokens}
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         gen = _generator(factory)
         for prompts_s in batches:
             prompts = prompts_s.tolist()
             outs: list = []
             for i in range(0, len(prompts), batch_size):
-                outs.extend(gen(prompts[i : i + batch_size]))
+                outs.extend(gen(prompts[i : i + batch_size], **limit))
             if strip_output:
                 outs = [None if o is None else o.strip() for o in outs]
             yield pd.Series(outs, dtype=object)
@@ -86,22 +90,25 @@ def predict(
     model: str | None = None,
     key: str | None = "case_id",
     batch_size: int = GENERATION_BATCH_SIZE,
+    max_new_tokens: int | None = None,
 ) -> DataFrame:
     """pairs(prompt, response) -> (key, prompt, reference, generated[, model])."""
     keep = [key] if key and key in pairs.columns else []
     x = pairs.select(*keep, "prompt", F.col("response").alias("reference"),
                      render_completion_prompt("prompt").alias("_input"))
-    out = batch_generate(x, "_input", "generated", factory, batch_size).drop("_input")
+    out = batch_generate(x, "_input", "generated", factory, batch_size, max_new_tokens=max_new_tokens).drop("_input")
     return out if model is None else out.withColumn("model", F.lit(model))
 
 
-def attach(df: DataFrame, outputs: DataFrame, on: str = "case_id", check_unique: bool = True) -> DataFrame:
-    """Left-join outputs to their inputs on a key; the key must be unique in ``outputs``."""
-    if check_unique:
-        dup = outputs.groupBy(on).count().filter("count > 1").limit(1).count()
-        if dup:
-            raise ValueError(f"outputs hold duplicate {on!r} values")
-    return df.join(outputs, on, "left")
+def attach(df: DataFrame, outputs: DataFrame, on: str = "case_id") -> DataFrame:
+    """Left-join outputs to their inputs on a key. A key that ``outputs`` holds twice is an
+    error, raised by the plan itself when it runs."""
+    rest = [c for c in outputs.columns if c != on]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest])
+    one = outputs.filter(F.col(on).isNotNull()).groupBy(on).agg(F.first(row).alias("__row"), F.count(F.lit(1)).alias("__n"))
+    twice = F.raise_error(F.concat(F.lit(f"outputs hold {on} twice: "), F.col(on).cast("string")))
+    checked = one.select(on, F.when(F.col("__n") > 1, twice).otherwise(F.col("__row")).alias("__row"))
+    return df.join(checked, on, "left").select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"__row.`{c}`").alias(c) for c in rest])
 
 
 # ------------------------------------------------------- stand-in generators
@@ -114,22 +121,6 @@ def _between(text: str, head: str, tail: str, last: bool = True) -> str:
     return text[start:] if j < start else text[start:j]
 
 
-class LeadingTokens:
-    """Stand-in completion model: the first ``k`` words of the findings."""
-
-    def __init__(self, k: int = 12):
-        self.k = k
-        self.cache_key = ("leading", k)
-
-    def __call__(self):
-        k = self.k
-
-        def gen(prompts):
-            return [" ".join(_between(p, COMPLETION_HEAD, COMPLETION_TAIL).split()[:k]) for p in prompts]
-
-        return gen
-
-
 class EveryNthWord:
     """Stand-in completion model: every ``n``-th word of the whole findings."""
 
@@ -140,8 +131,8 @@ class EveryNthWord:
     def __call__(self):
         n = self.n
 
-        def gen(prompts):
-            return [" ".join(_between(p, COMPLETION_HEAD, COMPLETION_TAIL).split()[::n]) for p in prompts]
+        def gen(prompts, max_new_tokens=None):
+            return [" ".join(_between(p, COMPLETION_HEAD, COMPLETION_TAIL).split()[::n][:max_new_tokens]) for p in prompts]
 
         return gen
 
@@ -165,6 +156,15 @@ class ListEcho:
         return lambda prompts: [one(p) for p in prompts]
 
 
+class BatchSize:
+    """Stand-in that answers each prompt with the number of prompts in its call."""
+
+    cache_key = ("batch",)
+
+    def __call__(self):
+        return lambda prompts: [str(len(prompts))] * len(prompts)
+
+
 class RubricEcho:
     """Stand-in judge: scores derived from the length of the judged text."""
 

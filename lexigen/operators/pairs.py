@@ -10,8 +10,3 @@ def to_pairs(cases: DataFrame, key: str | None = "case_id") -> DataFrame:
     """``input_findings -> prompt``, ``output_impression -> response`` (key kept when present)."""
     keep = [key] if key and key in cases.columns else []
     return cases.select(*keep, F.col("input_findings").alias("prompt"), F.col("output_impression").alias("response"))
-
-
-def prompt_table(df: DataFrame, prompt, key: str = "case_id") -> DataFrame:
-    """Key plus a single rendered prompt column."""
-    return df.select(key, prompt.alias("prompt"))

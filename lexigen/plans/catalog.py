@@ -34,6 +34,8 @@ TRAIN_BATCH = 6
 EPOCHS = 7
 BASELINE_STRIDE = 8
 VOCAB_SIZE = 1000
+NEW_TOKENS = 7
+EOS = "</s>"
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -125,8 +127,8 @@ def q_prompt_fewshot(spark, d):
 
 
 def q_list_repr(spark, d):
-    conv = FX.table(spark, d, "conversations")
-    return conv.select("conv_id", "turn", T.list_repr(F.split("text", r"\.", -1)).alias("repr"))
+    """Python's text for lists of the pieces of whole pages: quotes, braces and backslashes."""
+    return FX.markup(spark, d).select("page_id", T.list_repr(F.split("marked", r"\.", -1)).alias("repr"))
 
 
 def q_prompt_judge(spark, d):
@@ -221,7 +223,7 @@ def q_training_rollup(spark, d):
 def q_attach(spark, d):
     cases = FX.cases(spark, d)
     outs = FX.finetuned_predictions(cases).select("case_id", "generated")
-    return I.attach(cases.select("case_id", "output_impression"), outs, "case_id", check_unique=False)
+    return I.attach(cases.select("case_id", "output_impression"), outs, "case_id")
 
 
 def q_pairs_json_roundtrip(spark, d):
@@ -239,19 +241,103 @@ def q_predictions_csv_roundtrip(spark, d):
 
 
 def q_text_functions(spark, d):
-    conv = FX.table(spark, d, "conversations")
-    t = F.col("text")
-    return conv.select(
-        "conv_id", "turn",
+    t = F.col("marked")
+    return FX.markup(spark, d).select(
+        "page_id",
         F.length(T.strip(t)).cast("long").alias("stripped_len"),
         F.size(T.tokens(t)).cast("long").alias("n_tokens"),
-        F.length(T.after_last(t, "Output:")).cast("long").alias("after_output_len"),
+        F.md5(T.after_last(t, "Output:").cast("binary")).alias("after_output_md5"),
         F.size(T.bracket_spans(t)).cast("long").alias("n_bracket_spans"),
-        F.length(T.brace_span(t)).cast("long").alias("brace_len"),
-        T.strip(T.nan_str(t)).alias("scored_text"),
+        F.md5(F.array_join(T.bracket_spans(t), "|").cast("binary")).alias("bracket_md5"),
+        F.md5(T.brace_span(t).cast("binary")).alias("brace_md5"),
+        F.md5(T.strip(T.nan_str(t)).cast("binary")).alias("scored_md5"),
     )
 
 
+def q_edge_metrics(spark, d):
+    """Scores of blank, dots-only, missing and separator-holding sides under both policies."""
+    ship_package(spark)
+    odd = FX.odd_predictions(spark, d)
+    out = None
+    for policy in ("literal_nan", "null"):
+        part = E.score_detail(odd, null_policy=policy).withColumn("policy", F.lit(policy))
+        out = part if out is None else out.unionByName(part)
+    return _r6(out.select("policy", "case_id", *[f"`{m}`" for m in E.METRICS], F.col("_undefined").alias("undefined")), E.METRICS[1:])
+
+
+def q_eval_from_csv(spark, d):
+    """Predictions written as CSV, read back by name and scored: cells ``NA``, ``None``, blank and empty."""
+    ship_package(spark)
+    path = scratch_path(spark, "odd_csv")
+    IO.write_predictions(FX.odd_predictions(spark, d).withColumn("prompt", F.col("case_id")), path)
+    preds = IO.read_predictions(spark, path, model="csv")
+    detail, _ = E.evaluate(preds)
+    return _r6(detail.select(F.col("prompt").alias("case_id"), *[f"`{m}`" for m in E.METRICS]), E.METRICS[1:])
+
+
+def q_impressions_csv(spark, d):
+    """A table with a list column through CSV: the list as Python's text."""
+    ship_package(spark)
+    path = scratch_path(spark, "impressions_csv")
+    IO.write_csv(J.generate_impressions(FX.cases(spark, d), I.ListEcho()).select("case_id", "generated_impression"), path)
+    return IO.read_predictions(spark, path, columns=("case_id", "generated_impression"))
+
+
+def q_judge_csv(spark, d):
+    """The judge's table through CSV."""
+    ship_package(spark)
+    path = scratch_path(spark, "judge_csv")
+    IO.write_csv(q_judge_scores(spark, d), path)
+    columns = ("case_id", "generated_impression", "output_impression", *SCORE_COLUMNS)
+    back = IO.read_predictions(spark, path, columns=columns)
+    return back.select(*columns[:3], *[F.col(k).cast("int").alias(k) for k in SCORE_COLUMNS])
+
+
+def q_report(spark, d):
+    """Detail and summary written together; the summary read back."""
+    ship_package(spark)
+    path = scratch_path(spark, "report")
+    IO.write_report(E.evaluate(predictions(spark, d))[0], path, fmt="parquet")
+    return _r6(spark.read.parquet(f"{path}/summary"), E.METRICS)
+
+
+def q_full_text(spark, d):
+    """The training text: prompt, response and end mark."""
+    text = P.full_text(P.render_completion_prompt("prompt"), "response", EOS)
+    return FX.sft_input(spark, d).select("key", F.length(text).cast("long").alias("n_chars"), F.md5(text.cast("binary")).alias("text_md5"))
+
+
+def q_completion(spark, d):
+    """Ids after the prompt in whole sequences of prompt and response."""
+    pairs = FX.sft_input(spark, d)
+    enc = S.encode_prompt(pairs, max_len=S.MAX_LEN)
+    seq = enc.select("key", "prompt_len", F.concat("prompt_ids", S.hash_ids(F.coalesce("response", F.lit("nan")))).alias("out_ids"))
+    done = seq.select("key", S.completion("out_ids", "prompt_len").alias("ids"))
+    return done.select("key", F.size("ids").cast("long").alias("n_ids"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
+def q_sft_vocab(spark, d):
+    """Fine-tuning examples with ids from a vocabulary."""
+    ship_package(spark)
+    vocab = S.build_vocab(FX.table(spark, d, "documents"), "text", VOCAB_SIZE)
+    ex = S.sft_examples(FX.sft_input(spark, d), key="key", vocabulary=vocab)
+    return ex.select("key", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"), F.md5(F.array_join("labels", ",")).alias("labels_md5"))
+
+
+def q_batch_sizes(spark, d):
+    """Every prompt once, and no call of the generator with more than its batch size."""
+    ship_package(spark)
+    out = I.predict(PA.to_pairs(FX.cases(spark, d)), I.BatchSize())
+    size = F.col("generated").cast("int")
+    return out.agg(F.count(F.lit(1)).alias("n_prompts"), F.count_if(size > I.GENERATION_BATCH_SIZE).alias("n_over"), F.count_if(size < 1).alias("n_none"))
+
+
+def q_predict_limited(spark, d):
+    """Generation cut to a number of new tokens."""
+    ship_package(spark)
+    return I.predict(PA.to_pairs(FX.cases(spark, d)), I.EveryNthWord(BASELINE_STRIDE), max_new_tokens=NEW_TOKENS)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)

@@ -72,6 +72,37 @@ def finetuned_predictions(cases_df: DataFrame) -> DataFrame:
     )
 
 
+def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, marked): whole pages, whose html holds braces and double quotes, with brackets,
+    single quotes, backslashes and ``Output:`` worked in."""
+    pages = table(spark, sf_dir, "pages")
+    html = F.coalesce("html", F.lit(""))
+    n = F.col("page_id") % 4
+    marked = (
+        F.when(n == 0, F.concat(F.lit("Output: ['"), html, F.lit("'] Output: "), html, F.lit(" [\\x] tail")))
+        .when(n == 1, F.replace(F.replace(html, F.lit("<p>"), F.lit("[")), F.lit("</p>"), F.lit("]")))
+        .when(n == 2, F.replace(F.replace(html, F.lit('"'), F.lit("'")), F.lit(" "), F.lit("\\ ")))
+        .otherwise(F.concat(F.lit(" \t"), html, F.lit("\n")))
+    )
+    return pages.select("page_id", marked.alias("marked"))
+
+
+def odd_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(case_id, prompt, reference, generated) with sides that metrics treat apart: missing, blank, dots only,
+    cells a CSV reader takes for missing, control characters inside words."""
+    c = cases(spark, sf_dir)
+    ref, gen = F.col("output_impression"), F.col("input_findings")
+    k = case_form() % 12
+    glue = lambda t: F.replace(t, F.lit(" "), F.lit("\u0001"))
+    reference = F.when(k == 0, None).when(k == 1, "...").when(k == 2, "NA").when(k == 3, "  ").when(k == 4, glue(ref)).when(k == 5, F.concat(F.lit("\uffff "), ref)).otherwise(ref)
+    generated = (
+        F.when(k == 0, "None").when(k == 1, ref).when(k == 2, None).when(k == 3, ".").when(k == 4, F.concat(ref, F.lit(" "), glue(ref)))
+        .when(k == 5, F.concat(F.lit("\uffff . . "), ref)).when(k == 6, "").when(k == 7, ref).when(k == 8, F.concat(F.lit(" "), ref, F.lit("\t"))).when(k == 9, "nan")
+        .otherwise(gen)
+    )
+    return c.select("case_id", gen.alias("prompt"), reference.alias("reference"), generated.alias("generated"))
+
+
 def _clean_items(c) -> Column:
     """Reference sentences with quote, bracket and backslash characters removed
     and all whitespace turned into spaces (not stripped)."""

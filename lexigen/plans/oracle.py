@@ -100,11 +100,11 @@ ROUGE12 = """rw AS (
   SELECT model, case_id, ref, gen, {rwr} AS wr, {rwg} AS wg,
          ({nr} = 0 OR {ng} = 0) AS undefined FROM prep),
 r12 AS (
-  SELECT model, case_id, undefined, CASE WHEN ref = gen THEN 1 ELSE 0 END AS em,
+  SELECT model, case_id, undefined, CAST(ref = gen AS INTEGER) AS em,
          list_distinct({g1h}) AS h1, list_distinct({g1r}) AS r1,
          list_distinct({g2h}) AS h2, list_distinct({g2r}) AS r2 FROM rw),
 rouge12 AS (
-  SELECT model, case_id, em::INTEGER AS "EM",
+  SELECT model, case_id, em AS "EM",
          CASE WHEN undefined THEN NULL ELSE {f1} END AS "ROUGE-1",
          CASE WHEN undefined THEN NULL ELSE {f2} END AS "ROUGE-2" FROM r12)""".format(
     rwr=rouge_words("ref"), rwg=rouge_words("gen"), nr=n_sent("ref"), ng=n_sent("gen"),
@@ -318,8 +318,17 @@ def judge_prompt(g: str, r: str) -> str:
             f"{lit(P.JUDGE_TAIL)})")
 
 
+MARKUP = """markup AS (
+  SELECT page_id, CASE page_id % 4
+    WHEN 0 THEN 'Output: [''' || html || '''] Output: ' || html || ' [\\x] tail'
+    WHEN 1 THEN replace(replace(html, '<p>', '['), '</p>', ']')
+    WHEN 2 THEN replace(replace(html, '"', chr(39)), ' ', '\\ ')
+    ELSE ' ' || chr(9) || html || chr(10) END AS marked
+  FROM (SELECT page_id, coalesce(html, '') AS html FROM pages))"""
+
+
 def sql_list_repr() -> str:
-    return f"SELECT conv_id, turn, {list_repr('string_split(text, ' + lit('.') + ')')} AS repr FROM conversations"
+    return _q(f"SELECT page_id, {list_repr('string_split(marked, ' + lit('.') + ')')} AS repr FROM markup", MARKUP)
 
 
 def sql_prompt_judge() -> str:
@@ -500,13 +509,104 @@ def sql_predictions_csv_roundtrip() -> str:
 
 
 def sql_text_functions() -> str:
-    return (
-        f"SELECT conv_id, turn, CAST(length({strip('text')}) AS BIGINT) AS stripped_len, "
-        f"CAST(len({tok('text')}) AS BIGINT) AS n_tokens, "
-        f"CAST(length(string_split(text, 'Output:')[-1]) AS BIGINT) AS after_output_len, "
-        "CAST(len(regexp_extract_all(text, '\\[[\\s\\S]*?\\]')) AS BIGINT) AS n_bracket_spans, "
-        "CAST(length(regexp_extract(text, '\\{[\\s\\S]*\\}')) AS BIGINT) AS brace_len, "
-        f"{strip(nan('text'))} AS scored_text FROM conversations"
+    spans = "regexp_extract_all(marked, '\\[[\\s\\S]*?\\]')"
+    return _q(
+        f"SELECT page_id, CAST(length({strip('marked')}) AS BIGINT) AS stripped_len, "
+        f"CAST(len({tok('marked')}) AS BIGINT) AS n_tokens, "
+        "md5(string_split(marked, 'Output:')[-1]) AS after_output_md5, "
+        f"CAST(len({spans}) AS BIGINT) AS n_bracket_spans, md5(array_to_string({spans}, '|')) AS bracket_md5, "
+        "md5(regexp_extract(marked, '\\{[\\s\\S]*\\}')) AS brace_md5, "
+        f"md5({strip(nan('marked'))}) AS scored_md5 FROM markup",
+        MARKUP,
+    )
+
+
+ODD = CASES + f""",
+odd AS (
+  SELECT case_id,
+    CASE k WHEN 0 THEN NULL WHEN 1 THEN '...' WHEN 2 THEN 'NA' WHEN 3 THEN '  ' WHEN 4 THEN replace(r, ' ', chr(1))
+           WHEN 5 THEN chr(65535) || ' ' || r ELSE r END AS reference,
+    CASE k WHEN 0 THEN 'None' WHEN 1 THEN r WHEN 2 THEN NULL WHEN 3 THEN '.' WHEN 4 THEN r || ' ' || replace(r, ' ', chr(1))
+           WHEN 5 THEN chr(65535) || ' . . ' || r WHEN 6 THEN '' WHEN 7 THEN r WHEN 8 THEN ' ' || r || chr(9) WHEN 9 THEN 'nan' ELSE g END AS generated
+  FROM (SELECT case_id, {FORM} % 12 AS k, output_impression AS r, input_findings AS g FROM cases)),
+prep AS (
+  SELECT 'literal_nan' AS model, case_id, {strip(nan('reference'))} AS ref, {strip(nan('generated'))} AS gen FROM odd
+  UNION ALL
+  SELECT 'null' AS model, case_id, {strip('reference')} AS ref, {strip('generated')} AS gen FROM odd)"""
+
+
+def _odd_scores(columns: str, where: str = "") -> str:
+    b, r1, r2, rl = r6('b."BLEU"'), r6('a."ROUGE-1"'), r6('a."ROUGE-2"'), r6('l."ROUGE-L"')
+    return ("WITH RECURSIVE " + ODD + ",\n" + ROUGE12 + ",\n" + BLEU + ",\n" + ROUGE_L + f"""
+SELECT {columns}, a."EM", CASE WHEN p.ref IS NOT NULL AND p.gen IS NOT NULL THEN {b} END AS "BLEU",
+       {r1} AS "ROUGE-1", {r2} AS "ROUGE-2", {rl} AS "ROUGE-L"
+FROM rouge12 a JOIN bleu b USING (model, case_id) JOIN rouge_l l USING (model, case_id) JOIN prep p USING (model, case_id) {where}""")
+
+
+def sql_edge_metrics() -> str:
+    undefined = f"coalesce({n_sent('p.ref')} = 0 OR {n_sent('p.gen')} = 0, TRUE) AS undefined"
+    return _odd_scores(f"model AS policy, case_id, {undefined}")
+
+
+def sql_eval_from_csv() -> str:
+    return _odd_scores("case_id", "WHERE model = 'literal_nan'")
+
+
+def sql_impressions_csv() -> str:
+    return _q(f"SELECT case_id, {list_repr(ECHO_ITEMS)} AS generated_impression FROM cases", CASES)
+
+
+def sql_judge_csv() -> str:
+    # An empty cell reads back as missing.
+    return f"SELECT * REPLACE (nullif(output_impression, '') AS output_impression) FROM ({sql_judge_scores()})"
+
+
+def sql_report() -> str:
+    return sql_eval_summary()
+
+
+def sql_full_text() -> str:
+    return _q(
+        "SELECT key, length(t) AS n_chars, md5(t) AS text_md5 FROM "
+        f"(SELECT key, {completion_prompt('prompt')} || coalesce(response, 'nan') || {lit(C.EOS)} AS t FROM sft_input)",
+        SFT_INPUT,
+    )
+
+
+def sql_completion() -> str:
+    return _q(
+        "SELECT key, CAST(len(ids) AS BIGINT) AS n_ids, md5(array_to_string(ids, ',')) AS ids_md5 FROM "
+        f"(SELECT key, {hash_ids(tok('coalesce(response, ' + lit('nan') + ')'))} AS ids FROM sft_input)",
+        SFT_INPUT,
+    )
+
+
+def sql_sft_vocab() -> str:
+    size = S.MAX_LEN
+    toks = f"SELECT key, {tok(completion_prompt('prompt'))} AS pt, {tok('coalesce(response, ' + lit('nan') + ')')} AS rt FROM sft_input"
+    labels = f"list_transform(ids, lambda x_, i_: CASE WHEN i_ <= plen THEN {S.IGNORE} ELSE x_ END)"
+    return _q(
+        f"SELECT key, md5(array_to_string(ids, ',') || repeat(',{S.EOS_ID}', {size} - len(ids))) AS ids_md5, "
+        f"md5(array_to_string({labels}, ',') || repeat(',{S.IGNORE}', {size} - len(ids))) AS labels_md5 FROM ex",
+        SFT_INPUT + ",\n" + VOCAB + f""",
+cut AS (SELECT key, least(len(pt), {size}) AS plen, (pt || rt)[1:{size}] AS w FROM ({toks})),
+placed AS (SELECT key, unnest(w) AS token, unnest(range(len(w))) AS pos FROM cut),
+known AS (
+  SELECT key, list(coalesce(v.token_id, {S.UNK_ID}) ORDER BY pos) AS ids FROM placed LEFT JOIN vocab v USING (token) GROUP BY key),
+ex AS (SELECT key, plen, (ids || [{S.EOS_ID}])[1:{size}] AS ids FROM cut JOIN known USING (key))""",
+    )
+
+
+def sql_batch_sizes() -> str:
+    return _q("SELECT count(*) AS n_prompts, 0 AS n_over, 0 AS n_none FROM cases", CASES)
+
+
+def sql_predict_limited() -> str:
+    words = f"list_filter({tok('input_findings')}, lambda w_, i_: (i_ - 1) % {C.BASELINE_STRIDE} = 0)"
+    return _q(
+        f"SELECT case_id, input_findings AS prompt, output_impression AS reference, "
+        f"array_to_string({words}[1:{C.NEW_TOKENS}], ' ') AS generated FROM cases",
+        CASES,
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lexigen.functions.text import list_repr
+from lexigen.session import materialize
 
 PAIR_SCHEMA = StructType([StructField("prompt", StringType(), True), StructField("response", StringType(), True)])
 PRED_SCHEMA = StructType(
@@ -24,22 +25,43 @@ PRED_SCHEMA = StructType(
 )
 
 
-def read_pairs(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """A JSON array of ``{prompt, response}`` (``multiline``) or JSON Lines."""
-    return spark.read.schema(PAIR_SCHEMA).option("multiLine", multiline).json(path)
+def required(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The table with a check in its plan: a missing value in one of the columns is an error."""
+    for name in columns:
+        c = F.col(f"`{name}`")
+        checked = F.when(c.isNull(), F.raise_error(F.lit(f"missing value in {name!r}"))).otherwise(c)
+        df = df.withColumn(name, checked)
+    return df
 
 
-def read_predictions(spark: SparkSession, path: str, model: str | None = None, schema: StructType = PRED_SCHEMA) -> DataFrame:
+def read_pairs(spark: SparkSession, path: str, multiline: bool = True, need: tuple[str, ...] = ("prompt",)) -> DataFrame:
+    """A JSON array of ``{prompt, response}`` (``multiline``) or JSON Lines.
+
+    Input that is no such JSON stops the read, and so does a missing value in one of the
+    ``need`` columns. A bare ``NaN`` is a missing value (Spark reads it as the text ``NaN``,
+    which is therefore taken for missing as well)."""
+    df = spark.read.schema(PAIR_SCHEMA).option("multiLine", multiline).option("mode", "FAILFAST").json(path)
+    known = df.select(*[F.when(F.col(c) != "NaN", F.col(c)).alias(c) for c in df.columns])
+    return required(known, list(need))
+
+
+def read_predictions(spark: SparkSession, path: str, model: str | None = None, columns: tuple[str, ...] = tuple(PRED_SCHEMA.names)) -> DataFrame:
     """Prediction CSV with a header; quoted cells may hold commas, quotes and newlines.
-    An empty cell reads as null (as a pandas reader makes it missing)."""
+
+    Columns go by their names, in any order, and must all be there; further ones are left out. A
+    row with too many or too few cells stops the read. An empty cell reads as null (as a
+    pandas reader makes it missing)."""
     df = (
-        spark.read.schema(schema)
-        .option("header", True)
+        spark.read.option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
-        .option("enforceSchema", False)
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)
         .csv(path)
     )
+    if lack := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"no column {', '.join(lack)} in {path}")
+    df = df.select(*[F.col(f"`{c}`") for c in columns])
     return df if model is None else df.withColumn("model", F.lit(model))
 
 
@@ -79,18 +101,15 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "csv") -> None:
         out.write.mode("overwrite").format(fmt).save(path)
 
 
-def write_report(detail: DataFrame, summary: DataFrame, out_dir: str, fmt: str = "csv") -> None:
-    """Detail and summary side by side; the detail is written once and the
-    summary recomputed from the written copy, so scoring runs once."""
-    base = out_dir.rstrip("/")
-    detail.write.mode("overwrite").parquet(f"{base}/_detail_parquet")
-    stored = detail.sparkSession.read.parquet(f"{base}/_detail_parquet")
+def write_report(detail: DataFrame, out_dir: str, fmt: str = "csv", by: str = "model") -> None:
+    """``detail`` and its ``summary`` side by side. The detail is stored once in the shared
+    scratch folder and both come from that copy, so every row is generated and scored once."""
     from lexigen.operators.evaluate import summarize
 
-    summ = summarize(stored) if summary is None else summary
-    if fmt == "csv":
-        write_csv(stored, f"{base}/detail")
-        write_csv(summ, f"{base}/summary")
-    else:
-        stored.write.mode("overwrite").format(fmt).save(f"{base}/detail")
-        summ.write.mode("overwrite").format(fmt).save(f"{base}/summary")
+    base = out_dir.rstrip("/")
+    stored = materialize(detail, "report")
+    for name, table in (("detail", stored), ("summary", summarize(stored, by))):
+        if fmt == "csv":
+            write_csv(table, f"{base}/{name}")
+        else:
+            table.write.mode("overwrite").format(fmt).save(f"{base}/{name}")

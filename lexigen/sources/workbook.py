@@ -1,47 +1,39 @@
-"""Spreadsheet (xlsx) ingest as a Python data source: one input partition per
-workbook file, parsed with the standard library (zip + streaming XML).
+"""Spreadsheet (xlsx) ingest: files are read by Spark's ``binaryFile`` source, so from any store
+Spark reaches, and parsed one file per row with the standard library (zip + streaming XML).
 
-``read_workbook(spark, path, sheet=0)`` reads a file or a directory of files;
-``sheet`` is a position or a sheet name. Cells come back as text; the first
-row is the header.
+Columns are found by their names in each file's first row; cells come back as text.
 """
 
 from __future__ import annotations
 
-import os
+import io
 import re
-import zipfile
 import xml.etree.ElementTree as ET
+import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StringType, StructField, StructType
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def _files(path: str) -> list[str]:
-    if os.path.isdir(path):
-        return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".xlsx"))
-    return [path]
-
-
 def _col_index(ref: str) -> int:
-    letters = re.match(r"[A-Z]+", ref).group(0)
     n = 0
-    for ch in letters:
+    for ch in re.match(r"[A-Z]+", ref).group(0):
         n = n * 26 + (ord(ch) - 64)
     return n - 1
 
 
-def _sheet_part(z: zipfile.ZipFile, sheet) -> str:
-    wb = ET.fromstring(z.read("xl/workbook.xml"))
-    sheets = wb.find(f"{_NS}sheets").findall(f"{_NS}sheet")
-    chosen = sheets[sheet] if isinstance(sheet, int) else next(s for s in sheets if s.get("name") == sheet)
-    rid = chosen.get(_REL)
+def _sheet_part(z: zipfile.ZipFile, sheet: int | str) -> str:
+    """Where a sheet is in the file: a number is a position, a text a name."""
+    sheets = ET.fromstring(z.read("xl/workbook.xml")).find(f"{_NS}sheets").findall(f"{_NS}sheet")
+    named = [s for i, s in enumerate(sheets) if (i if isinstance(sheet, int) else s.get("name")) == sheet]
+    if not named:
+        raise ValueError(f"no sheet {sheet!r}")
     rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
-    target = next(r.get("Target") for r in rels if r.get("Id") == rid)
+    target = next(r.get("Target") for r in rels if r.get("Id") == named[0].get(_REL))
     return target.lstrip("/") if target.startswith("/") else "xl/" + target
 
 
@@ -56,9 +48,9 @@ def _shared(z: zipfile.ZipFile) -> list[str]:
     return out
 
 
-def iter_rows(path: str, sheet=0):
+def iter_rows(content: bytes, sheet: int | str = 0) -> Iterator[list[str | None]]:
     """Rows of one sheet as lists of text (None for blank cells)."""
-    with zipfile.ZipFile(path) as z:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = _shared(z)
         for _, el in ET.iterparse(z.open(_sheet_part(z, sheet))):
             if el.tag != f"{_NS}row":
@@ -71,61 +63,33 @@ def iter_rows(path: str, sheet=0):
                     val = shared[int(v.text)]
                 elif t == "inlineStr":
                     val = "".join(x.text or "" for x in c.iter(f"{_NS}t"))
-                elif v is not None:
-                    val = v.text
                 else:
-                    val = None
+                    val = None if v is None else v.text
                 cells[_col_index(c.get("r"))] = val
             el.clear()
-            width = max(cells) + 1 if cells else 0
-            yield [cells.get(i) for i in range(width)]
-
-
-class _FilePartition(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, schema: StructType, options: dict):
-        self.schema = schema
-        self.options = options
-
-    def partitions(self):
-        return [_FilePartition(p) for p in _files(self.options["path"])]
-
-    def read(self, partition):
-        sheet = self.options.get("sheet", "0")
-        sheet = int(sheet) if sheet.isdigit() else sheet
-        width = len(self.schema.fields)
-        rows = iter_rows(partition.path, sheet)
-        next(rows, None)  # header
-        for r in rows:
-            if not any(x not in (None, "") for x in r):
-                continue
-            yield tuple((r + [None] * width)[:width])
+            yield [cells.get(i) for i in range(max(cells) + 1 if cells else 0)]
 
 
-class WorkbookDataSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "workbook"
+def named_rows(content: bytes, columns: list[str], sheet: int | str = 0, path: str = "") -> Iterator[list[str | None]]:
+    """The named columns of one sheet's rows that are not blank; a missing column is an error."""
+    rows = iter_rows(content, sheet)
+    header = next(rows, [])
+    if lack := [c for c in columns if c not in header]:
+        raise ValueError(f"no column {', '.join(lack)} in {path}")
+    places = [header.index(c) for c in columns]
+    for r in rows:
+        if any(x not in (None, "") for x in r):
+            yield [r[i] if i < len(r) else None for i in places]
 
-    def schema(self):
-        sheet = self.options.get("sheet", "0")
-        sheet = int(sheet) if sheet.isdigit() else sheet
-        first = _files(self.options["path"])[0]
-        header = next(iter_rows(first, sheet), [])
-        return StructType([StructField(h or f"_c{i}", StringType(), True) for i, h in enumerate(header)])
 
-    def reader(self, schema: StructType):
-        return _Reader(schema, self.options)
+def read_workbook(spark: SparkSession, path: str, columns: list[str], sheet: int | str = 0) -> DataFrame:
+    """The named columns (as text) of one sheet of a file, or of every ``.xlsx`` file in a folder.
+    ``sheet`` is a position (a number) or a name (a text, digits included)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
 
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, content in zip(part["path"], part["content"], strict=True):
+                yield pd.DataFrame(list(named_rows(content, columns, sheet, name)), columns=columns, dtype=object)
 
-def read_workbook(spark: SparkSession, path: str, sheet=0, schema: StructType | None = None) -> DataFrame:
-    spark.dataSource.register(WorkbookDataSource)
-    r = spark.read.format("workbook").option("path", path).option("sheet", str(sheet))
-    if schema is not None:
-        r = r.schema(schema)
-    return r.load()
+    return files.mapInPandas(parse, ", ".join(f"`{c}` string" for c in columns))

@@ -4,6 +4,7 @@ import os
 import sys
 import zipfile
 
+import pytest
 from pyspark import cloudpickle
 
 from pyspark.sql import functions as F
@@ -62,17 +63,49 @@ def test_judge_pipeline(spark):
             assert r[k] is None or 0 <= r[k] <= 5
 
 
-def test_attach_rejects_duplicates(spark):
-    a = spark.createDataFrame([(1,), (2,)], "case_id long")
-    out = spark.createDataFrame([(1, "x"), (1, "y")], "case_id long, generated string")
-    try:
-        I.attach(a, out)
-    except ValueError:
-        pass
-    else:
-        raise AssertionError("duplicate keys accepted")
-    ok = I.attach(a, out.limit(1)).collect()
-    assert len(ok) == 2
+class Counting:
+    """Generator that writes down every prompt it sees."""
+
+    cache_key = None
+
+    def __init__(self, path):
+        self.path = path
+
+    def __call__(self):
+        import uuid
+
+        def gen(prompts, max_new_tokens=None):
+            with open(os.path.join(self.path, uuid.uuid4().hex), "w") as f:
+                f.write("\n".join(p.split("#")[1] for p in prompts))
+            return [f"out {max_new_tokens}"] * len(prompts)
+
+        return gen
+
+
+def test_report_generates_and_scores_once(spark, tmp_dir):
+    from lexigen.operators.evaluate import evaluate
+
+    seen = os.path.join(tmp_dir, "seen")
+    os.makedirs(seen)
+    pairs = spark.createDataFrame([(str(i), f"text #{i}# end", "out 5") for i in range(20)], "case_id string, prompt string, response string")
+    preds = I.predict(pairs, Counting(seen), model="m", max_new_tokens=5)
+    detail, _ = evaluate(preds)
+    IO.write_report(detail, os.path.join(tmp_dir, "report"), fmt="parquet")
+    prompts = [x for f in os.listdir(seen) for x in open(os.path.join(seen, f)).read().split("\n")]
+    assert sorted(map(int, prompts)) == list(range(20))
+    assert sorted(os.listdir(os.path.join(tmp_dir, "report"))) == ["detail", "summary"]
+    summary = spark.read.parquet(os.path.join(tmp_dir, "report", "summary")).first()
+    assert (summary["n_samples"], summary["EM"]) == (20, 1.0)
+
+
+def test_attach_checks_keys_in_its_plan(spark):
+    a = spark.createDataFrame([(1,), (2,), (None,)], "case_id long")
+    out = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (None, "n"), (None, "n")], "case_id long, generated string")
+    joined = I.attach(a, out)  # no job yet
+    with pytest.raises(Exception, match="twice"):
+        joined.collect()
+    once = I.attach(a, out.filter("generated <> 'y'")).collect()
+    assert sorted(((r.case_id, r.generated) for r in once), key=str) == [(1, "x"), (2, None), (None, None)]
 
 
 def test_csv_and_json_round_trip(spark, tmp_dir):
@@ -83,7 +116,7 @@ def test_csv_and_json_round_trip(spark, tmp_dir):
     got = sorted((r["prompt"] or "", r["reference"] or "", r["generated"]) for r in back.collect())
     want = sorted((p, r, g) for p, r, g in rows)
     assert [g[:2] for g in got] == [w[:2] for w in want]
-    pairs = spark.createDataFrame([("héllo\nthere", "NaN"), ("x", None)], "prompt string, response string")
+    pairs = spark.createDataFrame([("héllo\nthere", "nan"), ("x", None)], "prompt string, response string")
     IO.write_pairs(pairs, os.path.join(tmp_dir, "pairs"))
     back = IO.read_pairs(spark, os.path.join(tmp_dir, "pairs"), multiline=False)
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, pairs.collect()), key=str)
@@ -93,6 +126,38 @@ def test_csv_and_json_round_trip(spark, tmp_dir):
     assert txt == repr(["a", "it's"])
 
 
+def _file(folder, name, text):
+    path = os.path.join(folder, name)
+    with open(path, "w") as f:
+        f.write(text)
+    return path
+
+
+def test_damaged_files_stop_the_read(spark, tmp_dir):
+    good = '{"prompt": "a", "response": "b"}'
+    bad = {
+        "line.jsonl": (False, good + '\n{"prompt": "a", "resp'),
+        "array.json": (True, f'[{good}, {{"prompt": "a"'),
+        "none.json": (True, '[{"prompt": null, "response": "b"}]'),
+        "lack.json": (True, '[{"response": "b"}]'),
+    }
+    for name, (multiline, text) in bad.items():
+        with pytest.raises(Exception):
+            IO.read_pairs(spark, _file(tmp_dir, name, text), multiline=multiline).collect()
+    fine = IO.read_pairs(spark, _file(tmp_dir, "fine.json", f'[{good}, {{"prompt": "c", "response": NaN}}, {{"prompt": "d"}}]'))
+    assert sorted(map(tuple, fine.collect())) == [("a", "b"), ("c", None), ("d", None)]
+    head = "prompt,reference,generated\n"
+    for name, row in (("long.csv", "a,b,c,d\n"), ("short.csv", "a,b\n")):
+        path = _file(tmp_dir, name, head + "x,y,z\n" + row)
+        for read in (lambda p: IO.read_predictions(spark, p), lambda p: IO.read_predictions(spark, p).select("prompt")):
+            with pytest.raises(Exception):
+                read(path).collect()
+    with pytest.raises(ValueError, match="generated"):
+        IO.read_predictions(spark, _file(tmp_dir, "lack.csv", "prompt,reference\na,b\n"))
+    other = IO.read_predictions(spark, _file(tmp_dir, "order.csv", "generated,extra,prompt,reference\ng,e,p,r\n"))
+    assert [tuple(r) for r in other.collect()] == [("p", "r", "g")]
+
+
 def _write_xlsx(path, sheets):
     ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rns = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -131,14 +196,21 @@ def test_workbook_reader(spark, tmp_dir):
     os.makedirs(d)
     head = ["case_id", "input_findings", "output_impression"]
     _write_xlsx(os.path.join(d, "a.xlsx"), [("train", [head, [1, "liver ok", "Normal."], [2, None, "Cyst."]]),
-                                             ("test", [head, [3, "kidney", "Stone."]])])
-    _write_xlsx(os.path.join(d, "b.xlsx"), [("train", [head, [4, "lung", "Nodule."]]), ("test", [head])])
-    first = read_workbook(spark, d)
-    assert first.columns == head
-    got = sorted((r["case_id"], r["input_findings"], r["output_impression"]) for r in first.collect())
-    assert got == [("1", "liver ok", "Normal."), ("2", None, "Cyst."), ("4", "lung", "Nodule.")]
-    test = read_workbook(spark, os.path.join(d, "a.xlsx"), sheet="test").collect()
-    assert [tuple(r) for r in test] == [("3", "kidney", "Stone.")]
+                                             ("2024", [head, [3, "kidney", "Stone."]])])
+    # another order of columns, and one more
+    _write_xlsx(os.path.join(d, "b.xlsx"), [("train", [["input_findings", "case_id", "note", "output_impression"], ["lung", 4, "n", "Nodule."]]), ("2024", [head])])
+    want = [("1", "liver ok", "Normal."), ("2", None, "Cyst."), ("4", "lung", "Nodule.")]
+    for path in (d, f"file://{d}"):
+        first = read_workbook(spark, path, columns=head)
+        assert first.columns == head
+        assert sorted(map(tuple, first.collect())) == want
+    for sheet in ("2024", 1):
+        test = read_workbook(spark, os.path.join(d, "a.xlsx"), head, sheet=sheet).collect()
+        assert [tuple(r) for r in test] == [("3", "kidney", "Stone.")]
+    with pytest.raises(Exception, match="note"):
+        read_workbook(spark, d, ["note"]).collect()
+    with pytest.raises(Exception, match="no sheet"):
+        read_workbook(spark, d, head, sheet="2025").collect()
 
 
 def test_streaming_scoring(spark, tmp_dir):
@@ -166,11 +238,10 @@ def test_report_and_materialize(spark, tmp_dir):
     from lexigen.plans.catalog import predictions
     from lexigen.session import materialize
 
-    detail, summary = evaluate(predictions(spark, SF_SMALL))
-    IO.write_report(detail, None, os.path.join(tmp_dir, "report"))
+    detail, _ = evaluate(predictions(spark, SF_SMALL))
+    IO.write_report(detail, os.path.join(tmp_dir, "report"))
     back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(
         os.path.join(tmp_dir, "report", "summary"))
     assert {r["model"] for r in back.collect()} == {"baseline", "finetuned"}
-    assert spark.read.parquet(os.path.join(tmp_dir, "report", "_detail_parquet")).count() == detail.count()
     m = materialize(detail.select("model", "case_id"), "detail-ids")
     assert m.count() == detail.count()

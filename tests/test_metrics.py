@@ -61,7 +61,39 @@ def test_null_policies(spark):
     assert parity["NA"]["EM"] == 1  # both read as the word nan
     assert parity["a"]["EM"] == 0
     keep = score_detail({"m": df}, null_policy="null").collect()
-    assert [r["EM"] for r in keep if r["reference"] == "NA"] == [0]
+    for r in keep:
+        missing = r["generated"] is None
+        assert (r["EM"] is None) == missing and (r["BLEU"] is None) == missing and r["_undefined"]
+    assert summarize(score_detail({"m": df}, null_policy="null"), with_undefined=True).first()["n_undefined"] == 2
+    zero = score_detail({"m": df}, null_policy="null", on_empty="zero").collect()
+    assert sorted(str(r["ROUGE-L"]) for r in zero) == ["0.0", "None"]
+
+
+def test_separators_inside_words(spark):
+    rows = [("x\u0001y z", "x y\u0001z"), ("\uffff a", ". . a"), ("\uffff0 b", "\uffff b"), ("a. \uffff", "a. \uffff")]
+    df = spark.createDataFrame(rows, "reference string, generated string")
+    got = {(r["reference"], r["generated"]): r for r in score_detail({"m": df}).collect()}
+    assert got[rows[0]]["ROUGE-2"] == 0
+    assert got[rows[1]]["ROUGE-1"] == pytest.approx(0.5, abs=1e-6)
+    assert got[rows[2]]["ROUGE-1"] == pytest.approx(0.5, abs=1e-6)
+    assert got[rows[3]]["ROUGE-1"] == pytest.approx(1.0, abs=1e-6)
+
+
+def test_rouge_l_of_long_texts_in_bounded_memory():
+    import random
+    import tracemalloc
+
+    from lexigen.functions.metrics import _lcs_words
+
+    rnd = random.Random(1)
+    x = [f"w{rnd.randrange(500)}" for _ in range(20_000)]
+    y = [f"w{rnd.randrange(500)}" for _ in range(20_000)]
+    tracemalloc.start()
+    assert _lcs_words(x, y) <= set(x) & set(y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # one bit a cell: 50 MB
+    assert _lcs_words(x, ["elsewhere"] * 20_000) == set()
 
 
 def test_properties_on_conversations(spark):

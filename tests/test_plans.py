@@ -39,3 +39,32 @@ def test_generation_and_parsing_add_no_shuffle(spark):
     physical = plan.split("\n\n")[0]
     tail = physical.split("BroadcastHashJoin")[0]
     assert "Exchange" not in tail
+
+
+def test_split_shuffles_no_row(spark):
+    """The labelled rows come straight from the scan: rows are compared with the cut, not moved."""
+    from lexigen.operators import split as SP
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    plan = _plan(SP.exact_split(docs.select("doc_id", "text"), "doc_id"))
+    assert "Exchange" not in plan and "Window" not in plan
+    assert "text:string" in plan
+
+
+def test_rank_moves_whole_rows_once(spark):
+    from lexigen.operators import split as SP
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    plan = _plan(SP.global_rank(docs, "doc_id"))
+    moved = [part for part in plan.split("\n\n") if ") Exchange" in part.split("\n")[0] and "__row" in part]
+    assert 1 <= len(moved) <= 2  # the collapse, and the copies dealt out
+    assert not any("SinglePartition" in part for part in moved)  # only the ranges' sizes meet in one task
+
+
+def test_vocabulary_ids_do_not_shuffle(spark):
+    from lexigen.operators import sft as S
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    vocab = spark.createDataFrame([("the", 4), ("of", 5)], "token string, token_id int")
+    assert "Exchange" not in _plan(S.vocab_ids(docs, "doc_id", "text", vocab))
+    assert "Exchange" not in _plan(S.sft_examples(docs.selectExpr("doc_id AS case_id", "text AS prompt", "lang AS response")))
