@@ -130,3 +130,28 @@ def test_rouge_words_and_sentences_match_python(spark, texts):
         pieces = [" ".join(p.split()) for p in r["t"].split(".") if len(p) > 0]
         assert r["n"] == len(pieces)
         assert r["w"] == [w for p in pieces for w in p.split(" ")]
+
+
+def test_templates_are_unchanged(spark):
+    """The oracle shares the templates with the code, so what they are is fixed here."""
+    import hashlib
+
+    from lexigen.functions import prompts as P
+
+    df = spark.createDataFrame([("X", "R")], "f string, r string")
+    row = df.select(P.render_completion_prompt("f"), P.render_fewshot_prompt("f"), P.render_judge_prompt("f", "r"), P.full_text("f", "r", "</s>")).first()
+    assert row[0] == "Findings:\nX\n\nImpression:\n" and row[3] == "XR</s>"
+    assert hashlib.md5(row[1].encode()).hexdigest() == "5fa9bf1b0f6517c6239a9e05ad377bed"
+    assert hashlib.md5(row[2].encode()).hexdigest() == "257947ce7f3818c3ffc05ec9a4b594ef"
+
+
+def test_whitespace_and_missing_tokens_are_pythons():
+    import sys
+
+    import pandas as pd
+
+    from lexigen.functions.text import NA_TOKENS
+
+    assert set(WS_CHARS) == {chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace()}
+    frame = pd.read_csv(__import__("io").StringIO("a,b\n" + "\n".join(f'"{t}",1' for t in NA_TOKENS)))
+    assert frame["a"].isna().all()
