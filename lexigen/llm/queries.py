@@ -137,6 +137,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_re
 FROM m
 """
 
+_OP4 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_WORD}') AS ws FROM documents
+),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)
+),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id > b.doc_id GROUP BY ALL),
+link AS (
+  SELECT u, v FROM pair JOIN size x ON x.doc_id = u JOIN size y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)
+),
+e AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, e.v FROM reach JOIN e ON reach.r = e.u),
+least_id AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least_id USING (doc_id) LEFT JOIN size USING (doc_id)
+"""
+
 _OP6 = rf"""
 WITH r AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -170,6 +190,7 @@ FROM k LEFT JOIN often o ON k.key = o.key GROUP BY doc_id
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_quality": _OP3,
+    "op4_minhash_near_dedup": _OP4,
     "op6_url_filter": _OP6,
     "op8_line_dedup": _OP8,
 }
