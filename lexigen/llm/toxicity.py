@@ -49,28 +49,6 @@ def word_features(word: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(k.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1 for k in keys]
 
 
-class FeatureTable:
-    """word -> row of a growing table; emptied when it holds ``limit`` words."""
-
-    def __init__(self, limit: int = 150_000):
-        self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.ids: list[list[int]] = [[0] * FEATURES]  # row 0 is padding
-
-    def of(self, found: list[str]) -> np.ndarray:
-        get, out = self.rows.get, []
-        for w in found:
-            r = get(w)
-            if r is None:
-                r = self.rows[w] = len(self.ids)
-                self.ids.append(word_features(w))
-            out.append(r)
-        return np.array(out, np.int64)
-
-
 def padded(rows: np.ndarray) -> np.ndarray:
     """At least as many words as the widest filter, by padding on the right."""
     lack = max(WIDTHS) - len(rows)
@@ -112,9 +90,37 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(np.maximum(best, 0) @ self.out + self.offset, -30, 30))))
 
     def score(self, text: str) -> float:
-        table = FeatureTable()
-        rows = table.of(words(text))
-        return self.score_rows(rows, self.projections(np.array(table.ids)))
+        return ProjectionTable(self, 0).scores([text])[0]
+
+
+class ProjectionTable:
+    """word -> row of a table of projections, filled batch by batch and emptied before it would
+    hold more than ``limit`` words (a batch that has more on its own makes it larger)."""
+
+    def __init__(self, model: ToxicityModel, limit: int = 400_000):
+        self.model = model
+        padding = model.projections(np.zeros((1, FEATURES), np.int64))
+        self.table = np.empty((limit + 1, padding.shape[1]), np.float32)
+        self.table[0] = padding
+        self.rows: dict[str, int] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        for a in range(0, len(new), 4096):
+            part = new[a : a + 4096]
+            at = len(self.rows) + 1
+            self.table[at : at + len(part)] = self.model.projections(np.array([word_features(w) for w in part]))
+            self.rows.update(zip(part, range(at, at + len(part)), strict=True))
+
+    def scores(self, texts: list[str]) -> list[float]:
+        docs = [words(t) for t in texts]
+        new = {w for d in docs for w in d if w not in self.rows}
+        if len(self.rows) + len(new) >= len(self.table):
+            self.rows.clear()
+            new = {w for d in docs for w in d}
+            if len(new) >= len(self.table):
+                self.table = np.concatenate([self.table[:1], np.empty((len(new), self.table.shape[1]), np.float32)])
+        self._learn(sorted(new))
+        return [self.model.score_rows(np.fromiter(map(self.rows.__getitem__, d), np.int64, len(d)), self.table) for d in docs]
 
 
 def log_odds(docs: list[np.ndarray], labels: np.ndarray, floor: float = 0.004) -> np.ndarray:
@@ -268,20 +274,12 @@ def score_toxicity(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        known = FeatureTable()
-        table = model.projections(np.array(known.ids)) if model else None
+        table = ProjectionTable(model) if model else None
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                scores, langs = [], batch.column(lang_col).to_pylist()
-                for text in texts_of(batch, text_col) if model else []:
-                    if len(known.ids) > known.limit:
-                        known.clear()
-                        table = table[:1]
-                    rows = known.of(words(text))
-                    if len(known.ids) > len(table):
-                        table = np.concatenate([table, model.projections(np.array(known.ids[len(table) :]))])
-                    scores.append(model.score_rows(rows, table))
+                langs = batch.column(lang_col).to_pylist()
+                scores = table.scores(texts_of(batch, text_col)) if table else []
                 scores = scores or [0.0] * batch.num_rows
                 flagged = [bool(model) and s >= model.by_lang.get(g, model.threshold) for s, g in zip(scores, langs, strict=True)]
                 yield with_columns(batch, keep, **{names[0]: pa.array(scores, pa.float64()), names[1]: pa.array(flagged, pa.bool_())})

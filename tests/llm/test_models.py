@@ -73,6 +73,15 @@ def test_long_texts_score_as_in_one_piece(monkeypatch):
     assert model.score("") == model.score("   ")
 
 
+def test_bounded_table_scores_the_same():
+    rows, marks = toxic_docs(60)
+    model = toxicity.fit([r[1] for r in rows], [t for _, t in marks], epochs=1)
+    texts = [r[1] for r in rows] + [""]
+    want = toxicity.ProjectionTable(model).scores(texts)
+    small = toxicity.ProjectionTable(model, limit=50)
+    assert [s for k in range(0, len(texts), 3) for s in small.scores(texts[k : k + 3])] == want
+
+
 def test_thresholds_by_language():
     assert toxicity.best_threshold(np.array([0.1, 0.52, 0.6, 0.2]), np.array([0, 0, 1, 0])) == pytest.approx(0.55)
     assert toxicity.best_threshold(np.array([0.0, 0.9]), np.array([0, 1])) == pytest.approx(0.3)
