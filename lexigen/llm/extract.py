@@ -23,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -78,6 +79,7 @@ def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order; scripts, styles and comments hold none."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    held: Counter[str] = Counter()  # how often each tag is open
     parts: list[str] = []
     links = linked = 0
 
@@ -99,7 +101,9 @@ def blocks(page: str) -> list[Block]:
 
     def pop_to(i: int) -> None:
         nonlocal links
-        links -= sum(name == "a" for name, _ in stack[i:])
+        for name, _ in stack[i:]:
+            held[name] -= 1
+            links -= name == "a"
         del stack[i:]
 
     at = 0
@@ -117,7 +121,7 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE:
             flush()
         if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if held[name] else ():
                 if stack[i][0] == name:
                     pop_to(i)
                     break
@@ -142,6 +146,7 @@ def blocks(page: str) -> list[Block]:
         links += name == "a"
         if not m["attrs"].endswith("/"):
             stack.append((name, _marks(name, m["attrs"])))
+            held[name] += 1
         elif name == "a":
             links -= 1
     flush()
