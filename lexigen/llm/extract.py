@@ -6,7 +6,7 @@ names, class and id words, roles) and the mean of those of its words and its sha
 bidirectional LSTM runs over the page's blocks, so each is classified with the whole page in
 view; forward, backward pass and training are numpy.
 
-The labeller is trained on a bounded sample: ``max_pages`` pages of the smallest id hashes
+The labeller is trained on a bounded sample: ``max_pages`` pages of the smallest hashes
 of up to ``max_chars`` code points. Their blocks are labelled by the tags that say what
 they are (article and main against navigation, asides, footers and the like), and are laid out
 anew in many other page shapes, where a container's class or id is the only sign, with
@@ -473,10 +473,18 @@ def texts(pages: list[str], model: Labeller, reader: Reader) -> list[str]:
     return ["\n".join(b.text for b, s in zip(page, own, strict=True) if s >= 0.5) for page, own in zip(found, scores, strict=True)]
 
 
+def sample_pages(df: DataFrame, id_col: str, html_col: str, max_pages: int, max_chars: int) -> list[str]:
+    """Different pages of the smallest hashes of id and html. Hashes alone are compared, so
+    no more pages than asked for leave their tasks."""
+    hashed = df.filter(F.length(html_col).between(1, max_chars)).select(F.xxhash64(id_col, html_col).alias("page_hash"), F.col(html_col).alias("html"))
+    chosen = hashed.select("page_hash").distinct().orderBy("page_hash").limit(max_pages)
+    rows = hashed.join(F.broadcast(chosen), "page_hash").groupBy("page_hash").agg(F.first("html").alias("html"))
+    return [r["html"] for r in sorted(rows.collect(), key=lambda r: r["page_hash"])]
+
+
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_pages: int = 150, max_chars: int = 50_000) -> DataFrame:
     """Per row: id, url, ``text`` and ``n_chars`` (its code points)."""
-    sample = df.filter(F.length(html_col).between(1, max_chars)).orderBy(F.xxhash64(id_col), id_col).select(html_col).limit(max_pages).collect()
-    held = df.sparkSession.sparkContext.broadcast(fit_labeller([r[0] for r in sample]))  # under 1 MB
+    held = df.sparkSession.sparkContext.broadcast(fit_labeller(sample_pages(df, id_col, html_col, max_pages, max_chars)))  # under 1 MB
     kind = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
