@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigen.llm.common import by_ids, free_name
+from lexigen.llm.common import by_ids, free_name, text_batches
 from lexigen.llm.line_dedup import dedup_lines
 from lexigen.llm.line_quality import judge_lines, reject
 from lexigen.llm.minhash import near_duplicates
@@ -20,6 +20,11 @@ from lexigen.llm.toxicity import score_toxicity
 from lexigen.session import materialize, ship_package
 
 
+def _prepare(spark: SparkSession) -> None:
+    ship_package(spark)
+    text_batches(spark)
+
+
 def _columns(docs: DataFrame):
     return [F.col(f"`{c}`") for c in docs.columns]
 
@@ -27,13 +32,13 @@ def _columns(docs: DataFrame):
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are depleted by lines frequent on their host go;
     the others stay as they are."""
-    ship_package(spark)
+    _prepare(spark)
     return reject(docs, judge_lines(docs))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at or above their language's threshold go."""
-    ship_package(spark)
+    _prepare(spark)
     names = free_name(docs, "score"), free_name(docs, "flagged")
     scored = score_toxicity(docs, learnable(table(spark, sf_dir, "labels")), extra=docs.columns, names=names)
     return scored.filter(~F.col(names[1])).select(*_columns(docs))
@@ -42,7 +47,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go; every document stays, with n_chars as its text
     now is. Null texts stay null."""
-    ship_package(spark)
+    _prepare(spark)
     rest, before = [c for c in docs.columns if c not in ("doc_id", "text")], free_name(docs, "before_dedup")
     # the other columns travel in one, so that none can clash with a new one
     packed = F.struct(F.lit(1).alias(before), *(F.col(f"`{c}`") for c in rest)).alias(before)
@@ -56,7 +61,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates (five-word shingles, 80 %) the smallest id stays; of rows
     that share an id one stays, of rows without an id all."""
-    ship_package(spark)
+    _prepare(spark)
     judged = near_duplicates(docs)
     gone = judged.filter(~F.col("kept")).select("doc_id").distinct()
     left = by_ids(docs, gone, "doc_id", "left_anti")
@@ -68,7 +73,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, packed into sequences of 4096 tokens."""
-    ship_package(spark)
+    _prepare(spark)
     return pack_documents(docs, max_tokens=4096)
 
 

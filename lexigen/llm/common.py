@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words and is stripped from lines.
@@ -45,6 +45,31 @@ class HashOf(dict):
         return h
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make=None):
+    """What a Python worker keeps between tasks: one thing at a time, so that the tables of
+    one operator do not stay in memory beside those of the next. Without ``make``, nothing."""
+    if key not in _HELD:
+        _HELD.clear()
+        if make is None:
+            return None
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+#: Rows hold whole documents, so fewer of them than Spark's default go to Python at a time.
+BATCH_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows in this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
 

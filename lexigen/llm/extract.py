@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigen.llm.common import texts_of, with_columns
+from lexigen.llm.common import held, texts_of, with_columns
 from lexigen.session import spread
 
 _TAG = re.compile(
@@ -484,11 +484,12 @@ def sample_pages(df: DataFrame, id_col: str, html_col: str, max_pages: int, max_
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_pages: int = 150, max_chars: int = 50_000) -> DataFrame:
     """Per row: id, url, ``text`` and ``n_chars`` (its code points)."""
-    held = df.sparkSession.sparkContext.broadcast(fit_labeller(sample_pages(df, id_col, html_col, max_pages, max_chars)))  # under 1 MB
+    sent = df.sparkSession.sparkContext.broadcast(fit_labeller(sample_pages(df, id_col, html_col, max_pages, max_chars)))  # under 1 MB
     kind = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, reader = held.value, Reader()
+        held(("nothing",))
+        model, reader = sent.value, Reader()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigen.llm.common import BLANKS, lower_ascii, texts_of, with_columns, without
+from lexigen.llm.common import BLANKS, held, lower_ascii, texts_of, with_columns, without
 from lexigen.llm.mph import CountShard
 from lexigen.session import materialize, spread
 
@@ -117,11 +117,12 @@ _OUT = "dedup_text string, dedup_lines long, dedup_dropped long"
 
 
 def _probe_broadcast(df: DataFrame, text_col: str, shards: DataFrame, bits: int, min_docs: int, min_chars: int) -> DataFrame:
-    held = df.sparkSession.sparkContext.broadcast([(r["shard"], bytes(r["blob"])) for r in shards.collect()])
+    sent = df.sparkSession.sparkContext.broadcast([(r["shard"], bytes(r["blob"])) for r in shards.collect()])
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {s: CountShard.from_bytes(b) for s, b in held.value}
+        held(("nothing",))
+        index = {s: CountShard.from_bytes(b) for s, b in sent.value}
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
@@ -166,10 +167,10 @@ def _probe_shuffled(df: DataFrame, text_col: str, shards: DataFrame, bits: int,
     dealt = probes.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("text_key"), F.col("salts")).cast("int"))
     copies = shards.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("shard", "salt", "blob")
 
-    def probe(docs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs) or not len(held):
+    def probe(docs: pd.DataFrame, copy: pd.DataFrame) -> pd.DataFrame:
+        if not len(docs) or not len(copy):
             return pd.DataFrame({"text_key": [], "places": []})
-        shard = CountShard.from_bytes(held["blob"].iloc[0])
+        shard = CountShard.from_bytes(copy["blob"].iloc[0])
         h1 = np.concatenate(docs["h1"].tolist()).astype(np.int64).view(np.uint64)
         h2 = np.concatenate(docs["h2"].tolist()).astype(np.int64).view(np.uint64)
         gone = shard.count(h1, h2) >= min_docs

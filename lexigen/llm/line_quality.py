@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigen.llm.common import HashOf, by_ids, free_name, lower_ascii, texts_of, window_hashes, with_columns, words
+from lexigen.llm.common import HashOf, by_ids, free_name, held, lower_ascii, texts_of, window_hashes, with_columns, words
 from lexigen.session import materialize, spread
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -76,7 +76,7 @@ def measure(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFra
     kind = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = HashOf()
+        hashes = held(("hashes",), HashOf)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words")}
             for text in texts_of(batch, text_col):

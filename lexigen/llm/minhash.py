@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigen.llm.common import HashOf, by_ids, lower_ascii, mix64, texts_of, window_hashes, with_columns, words
+from lexigen.llm.common import HashOf, by_ids, held, lower_ascii, mix64, texts_of, window_hashes, with_columns, words
 from lexigen.llm.components import components
 from lexigen.session import materialize, spread
 
@@ -84,7 +84,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, n: int, bands: int, ro
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = HashOf()
+        hashes = held(("hashes",), HashOf)
         for batch in batches:
             keys, sizes, sigs = [], [], np.zeros((batch.num_rows, bands * rows), np.uint32)
             for i, text in enumerate(texts_of(batch, text_col)):
@@ -106,7 +106,7 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = HashOf()
+        hashes = held(("hashes",), HashOf)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigen.llm.common import texts_of, without
+from lexigen.llm.common import held, texts_of, without
 from lexigen.llm.token_counts import chunks, default_vocabulary
 from lexigen.session import materialize, spread
 
@@ -61,14 +61,9 @@ class ChunkIds:
         return self.of_texts([text])[0]
 
 
-_ENCODERS: dict[str, ChunkIds] = {}
-
-
 def encoder_for(path: str | None) -> ChunkIds:
     path = path or default_vocabulary()
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkIds(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: ChunkIds(path))
 
 
 def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 4096, end_id: int = 1, vocabulary: str | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexigen.llm.common import texts_of, with_columns
+from lexigen.llm.common import held, texts_of, with_columns
 from lexigen.session import spread
 
 #: What the vocabulary writes for a space.
@@ -167,14 +167,9 @@ def _runs(line: str) -> list[str]:
     return [*out, line[at:]] if line else out
 
 
-_CODERS: dict[str, PieceCoder] = {}
-
-
 def coder_for(path: str | None) -> PieceCoder:
     path = path or default_model()
-    if path not in _CODERS:
-        _CODERS[path] = PieceCoder(path)
-    return _CODERS[path]
+    return held(("pieces", path), lambda: PieceCoder(path))
 
 
 def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:

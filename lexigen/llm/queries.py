@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigen.llm.common import text_batches
 from lexigen.llm.extract import extract_text
 from lexigen.llm.line_dedup import dedup_lines
 from lexigen.llm.line_quality import judge_lines
@@ -24,6 +25,7 @@ URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexigen.llm.common import texts_of, with_columns
+from lexigen.llm.common import held, texts_of, with_columns
 from lexigen.session import spread
 
 #: Unicode white space, as the tokenizer's patterns see it.
@@ -170,15 +170,10 @@ class PrefixTable:
         return self.starts[m]
 
 
-_COUNTERS: dict[str, WordCounter] = {}
-
-
 def counter_for(path: str | None) -> WordCounter:
     """The vocabulary of this worker, loaded once."""
     path = path or default_vocabulary()
-    if path not in _COUNTERS:
-        _COUNTERS[path] = WordCounter(path)
-    return _COUNTERS[path]
+    return held(("counter", path), lambda: WordCounter(path))
 
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budgets: tuple[int, ...] = (2048,), vocabulary: str | None = None, keep_table: bool = False) -> DataFrame:

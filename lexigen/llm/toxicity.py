@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigen.llm.common import texts_of, with_columns, words
+from lexigen.llm.common import held, texts_of, with_columns, words
 from lexigen.session import spread
 
 BUCKETS = 1 << 16
@@ -97,7 +97,7 @@ class ProjectionTable:
     """word -> row of a table of projections, filled batch by batch and emptied before it would
     hold more than ``limit`` words (a batch that has more on its own makes it larger)."""
 
-    def __init__(self, model: ToxicityModel, limit: int = 400_000):
+    def __init__(self, model: ToxicityModel, limit: int = 250_000):
         self.model = model
         padding = model.projections(np.zeros((1, FEATURES), np.int64))
         self.table = np.empty((limit + 1, padding.shape[1]), np.float32)
@@ -268,12 +268,13 @@ def score_toxicity(
     their texts are looked up in ``trained_on`` (``docs`` if not given)."""
     rows = training_sample(docs if trained_on is None else trained_on, labels, id_col, text_col, lang_col, label_col, max_positive, max_negative, max_chars)
     model = fit_calibrated(*(list(x) for x in zip(*rows, strict=True))) if len({r[1] for r in rows}) == 2 else None
-    held = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the data
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the data
     keep = [c for c in dict.fromkeys([id_col, *(extra or [])]) if c not in names]
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        held(("nothing",))
+        model = sent.value
         table = ProjectionTable(model) if model else None
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
