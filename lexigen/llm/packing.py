@@ -33,25 +33,47 @@ from lexigen.session import materialize, spread
 
 class ChunkIds:
     """Ids of chunks between white space, as little-endian 32-bit bytes, by the library;
-    remembered, and emptied when more than ``limit`` chunks would be held."""
+    remembered, and emptied when more than ``limit`` chunks would be held.
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    Words of A-Z with or without a full stop or comma behind them go straight to the library's
+    merges: normalisation only lower-cases them, and the word pattern parts the stop."""
+
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.rules, self.limit = Tokenizer.from_file(path), limit
         self._known: dict[str, bytes] = {}
+        self._merge = self.rules.model.tokenize
+        whole = lambda c: self.rules.encode(c, add_special_tokens=False).ids
+        self._stops = {c: array("I", whole(c)).tobytes() for c in ".,"}
+        probes = ("a", "word", "abcdefghijklmnopqrstuvwxyz")
+        self._direct = all([t.id for t in self._merge(w)] == whole(w.upper()) and whole(w + ".") == whole(w) + whole(".") for w in probes)
+
+    def _encode(self, new: set[str]) -> dict[str, bytes]:
+        out, rest, merge = {}, [], self._merge
+        for c in new:
+            stop = self._stops.get(c[-1], b"")
+            word = c[:-1] if stop else c
+            if self._direct and word.isascii() and word.isalpha():
+                out[c] = array("I", [t.id for t in merge(word.lower())]).tobytes() + stop
+            else:
+                rest.append(c)
+        found = self.rules.encode_batch_fast(rest, add_special_tokens=False)
+        out.update((c, array("I", e.ids).tobytes()) for c, e in zip(rest, found, strict=True))
+        return out
 
     def of_texts(self, texts: list[str]) -> list[bytes]:
         """Ids of every text; all chunks not yet known are encoded in one call."""
         parts = [chunks(t) for t in texts]
         held = [list(map(self._known.get, doc)) for doc in parts]
-        lack = [None in ids for ids in held]
-        new = {c for doc, ids, some in zip(parts, held, lack, strict=True) if some for c, x in zip(doc, ids, strict=True) if x is None}
+        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in held]
+        new = {doc[i] for doc, at in zip(parts, gaps, strict=True) for i in at}
         if new:
-            order = sorted(new)
-            fresh = {c: array("I", e.ids).tobytes() for c, e in zip(order, self.rules.encode_batch_fast(order, add_special_tokens=False), strict=True)}
-            held = [[fresh[c] if x is None else x for c, x in zip(doc, ids, strict=True)] if some else ids for doc, ids, some in zip(parts, held, lack, strict=True)]
+            fresh = self._encode(new)
+            for doc, ids, at in zip(parts, held, gaps, strict=True):
+                for i in at:
+                    ids[i] = fresh[doc[i]]
             if len(self._known) + len(fresh) > self.limit:
                 self._known.clear()
             self._known.update((c, x) for c, x in fresh.items() if len(c) <= 64)
