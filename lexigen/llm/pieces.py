@@ -7,9 +7,9 @@ merging gives. The pass keeps only a window of boundaries no wider than the long
 plus what is not yet decided: when the paths back from all boundaries that a later piece
 could start at meet in one boundary, the ids up to it are committed and forgotten.
 
-White space always is such a meeting point (no piece runs on past it), and so is a
-character that no piece holds (written as byte pieces); segments between them are
-remembered in a bounded table per worker.
+White space always is such a meeting point (no piece runs on past it), and so are a
+character that no piece holds (written as byte pieces) and a place between two characters that
+stand side by side in no piece; segments between them are remembered in a bounded table per worker.
 
 Null text is empty and has no ids; empty tables give empty results; repeated rows are
 encoded each.
@@ -18,6 +18,7 @@ encoded each.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ def default_model() -> str:
 class PieceCoder:
     """Encoder and decoder for one vocabulary file."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 900_000):
         import sentencepiece
 
         from lexigen.llm.merge_dp import PrefixDP
@@ -56,6 +57,8 @@ class PieceCoder:
         self.dp = PrefixDP(frozenset(self.ids), lambda a, b: None if (s := score.get(a + b)) is None else -s)
         self.alphabet = {t for t in self.ids if len(t) == 1}
         self.bounded = not any(SPACE in t.lstrip(SPACE) for t in self.ids)
+        #: characters that stand side by side in some piece; between others every path meets
+        self.joined = {a + b for t in self.ids for a, b in zip(t, t[1:])}
         self.limit = limit
         self._segments: dict[str, bytes] = {}
         self._shown = [t.replace(SPACE, " ") for t in self.text]
@@ -102,16 +105,34 @@ class PieceCoder:
             at.add(back[top])
         return at.pop()
 
+    def _window(self, text: str) -> bytes:
+        """Ids of a run of characters between two boundaries where all paths meet."""
+        if len(text) > 4 * self.dp.longest or not self.alphabet.issuperset(text):
+            return np.fromiter(self.stream(text), dtype="<u4").tobytes()
+        last, _ = self.dp.open_prefixes(text)
+        return array("I", self._path(last, len(text))).tobytes()
+
+    def _keep(self, text: str, ids: bytes) -> bytes:
+        if len(self._segments) >= self.limit:
+            self._segments.clear()
+        if len(text) <= 64:
+            self._segments[text] = ids
+        return ids
+
     def segment(self, text: str) -> bytes:
         """Ids of a segment as little-endian 32-bit bytes."""
         ids = self._segments.get(text)
-        if ids is None:
-            ids = np.fromiter(self.stream(text), dtype="<u4").tobytes()
-            if len(self._segments) >= self.limit:
-                self._segments.clear()
-            if len(text) <= 64:
-                self._segments[text] = ids
-        return ids
+        if ids is not None:
+            return ids
+        joined = self.joined
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joined]
+        if not cuts:
+            return self._keep(text, self._window(text))
+        known, out = self._segments.get, []
+        for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
+            part = text[a:b]
+            out.append(known(part) or self._keep(part, self._window(part)))
+        return self._keep(text, b"".join(out))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
