@@ -151,29 +151,42 @@ def remaining_pairs(family: DataFrame, labels: DataFrame, percent: int) -> DataF
     still be linked, by the counts of ``family`` (from :func:`star_rows`).
 
     A link of sizes a and b has least(a, b) = percent * (a + b) / (100 + percent) shingles in
-    common. A member u apart from the lead shares fewer with it than least(n_u, n_lead), so
-    a partner that is no smaller than the lead shares at least ``lack`` = least(n_u, n_lead)
-    - common shingles with u that the lead has not. If u drops all but its
-    |outside| - lack + 1 rarest ones, every such partner still has one of those left.
+    common, of which at most common_u lie in the lead. So a member u and its partner share
+    at least t = least(n_u, n_v) - common_u shingles outside the lead, and if both drop all but
+    their |outside| - t + 1 rarest ones, they still have one in common. For partners no smaller
+    than the lead t is at least least(n_u, n_lead) - common_u (the ``few`` rarest), for any
+    partner percent * n_u / 100 - common_u (the ``many``). Where t is not positive, what both
+    share with the lead may do, and the pair is found by its sizes instead.
     """
     own = labels.select(F.col("node").alias("id"), "component")
     of_lead = labels.select(F.col("node").alias("lead"), F.col("component").alias("lead_component"))
     rows = family.join(own, "id").join(of_lead, "lead")
     split = rows.groupBy("lead").agg(F.max((F.col("component") != F.col("lead_component")).cast("int")).alias("open")).filter("open = 1").select("lead")
-    rows = rows.join(split, "lead")
-    apart = rows.filter("component <> lead_component")
-
-    outside = rows.select("lead", "id", "component", F.explode("outside").alias("shingle"))
-    counts = outside.groupBy("lead", "shingle").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
-    shared = outside.join(counts.filter("low <> high").select("lead", "shingle", "members"), ["lead", "shingle"])
-    least = F.ceil(F.lit(percent) * (F.col("n") + F.col("n_lead")) / (100 + percent))
-    take = apart.select("lead", "id", (F.size("outside") - (least - F.col("common")) + 1).alias("take"), F.size("outside").alias("all"))
-    mine = shared.join(take, ["lead", "id"]).withColumn("place", F.row_number().over(Window.partitionBy("lead", "id").orderBy("members", "shingle")))
-    # what only one component has comes first, so it uses up places
-    mine = mine.withColumn("alone", F.col("all") - F.count(F.lit(1)).over(Window.partitionBy("lead", "id"))).filter(F.col("place") + F.col("alone") <= F.col("take"))
-    mine = mine.select("lead", "shingle", F.col("id").alias("u"), F.col("component").alias("cu"))
-    theirs = shared.select("lead", "shingle", F.col("id").alias("v"), F.col("component").alias("cv"))
-    by_shingle = mine.join(theirs, ["lead", "shingle"]).filter("cu <> cv").select("u", "v")
+    rows = rows.join(split, "lead").withColumn("apart", F.col("component") != F.col("lead_component"))
+    apart = rows.filter("apart")
+
+    outside = F.size("outside")
+    few = outside - (F.ceil(F.lit(percent) * (F.col("n") + F.col("n_lead")) / (100 + percent)) - F.col("common")) + 1
+    many = outside - F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("n") / 100) - F.col("common")) + 1
+    each = rows.select("lead", "id", "component", "apart", (F.col("n") >= F.col("n_lead")).alias("large"), outside.alias("all"), few.alias("few"), many.alias("many"), F.explode("outside").alias("shingle"))
+    # shingles of one edit are held by the same members: such a set counts once, by its digest
+    digest = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"d{k}") for k in (1, 2)]
+    counts = each.groupBy("lead", "shingle").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), *digest)
+    shared = each.join(counts.filter("low <> high").drop("low", "high"), ["lead", "shingle"])
+    one = Window.partitionBy("lead", "id")
+    # shingles of one component alone come first, so they use up places
+    place = F.row_number().over(one.orderBy("members", "shingle")) + F.col("all") - F.count(F.lit(1)).over(one)
+    ranked = shared.withColumn("place", place).withColumn("in_few", F.col("place") <= F.col("few")).filter(~F.col("apart") | (F.col("place") <= F.col("many")))
+    held = ranked.groupBy("lead", "members", "d1", "d2", "id").agg(*[F.max(c).alias(c) for c in ("component", "apart", "large", "in_few")])
+    key = ["lead", "members", "d1", "d2"]
+    mine = held.filter("apart").select(*key, F.col("id").alias("u"), F.col("component").alias("cu"), F.col("large").alias("large_u"), F.col("in_few").alias("few_u"))
+    theirs = held.select(*key, F.col("id").alias("v"), F.col("component").alias("cv"), F.col("large").alias("large_v"), F.col("in_few").alias("few_v"), F.col("apart").alias("apart_v"))
+    by_shingle = mine.join(theirs, key).filter(
+        (F.col("cu") != F.col("cv"))
+        & (~F.col("large_v") | F.col("few_u"))
+        & (~F.col("apart_v") | ~F.col("large_u") | F.col("few_v"))
+        & (~F.col("apart_v") | (F.col("u") > F.col("v")))
+    ).select("u", "v")
 
     # partners smaller than the lead, of the sizes for which what u shares with the lead may do
     low = F.ceil(F.lit(percent) * F.col("n") / 100)
