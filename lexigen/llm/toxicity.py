@@ -8,9 +8,11 @@ the positions of the maxima receive a gradient, so a step is cheap).
 
 The model is fitted on a bounded sample of labelled rows: at most ``max_positive`` toxic
 and ``max_negative`` other rows, those of the smallest id hashes, among texts of up to
-``max_chars`` code points. A quarter of the sample is kept back to choose one decision
-threshold per language (languages with few positives get the common one; with under
-``ENOUGH`` positives in all, every row is learnt from and the threshold is 0.3). Scores read the text alone.
+``max_chars`` code points. The decision threshold of each language is chosen on all rows that may be learnt
+from, whatever their number: rows of the sample are scored by models fitted without them (``FOLDS`` parts, dealt
+by text, so that copies stay together), all others by the model itself, on Spark, which returns counts per language
+and grid step. The threshold of best F1 over n positives then counts n parts and the common one ``ENOUGH`` parts
+(the common one likewise against 0.3). Scores read the text alone.
 
 Scoring reads whole texts in blocks, so memory does not grow with a text. Null and empty texts get the
 score of a text of padding. Null or unknown languages get the common threshold. Without labelled rows of both
@@ -19,17 +21,19 @@ kinds every score is 0. Repeated rows are scored each; an id labelled twice is t
 
 from __future__ import annotations
 
+import pickle
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigen.llm.common import held, texts_of, with_columns, words
+from lexigen.llm.common import BROADCAST_IDS, held, texts_of, with_columns, words
 from lexigen.session import spread
 
 BUCKETS = 1 << 16
@@ -38,7 +42,10 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 DIMS = 8
 BLOCK = 20_000
-ENOUGH = 200
+FOLDS = 4
+#: Positives with which an own threshold weighs as much as the common one.
+ENOUGH = 20
+GRID = np.arange(0.1, 0.91, 0.05)
 _EDGES = ".,;:!?\"'()[]{}<>*#%&$|-_¡¿«»…"
 
 
@@ -199,47 +206,97 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.05
     return ToxicityModel(embed.astype(np.float32), [f.astype(np.float32) for f in filters], bias, out, float(offset))
 
 
+def steps(scores) -> np.ndarray:
+    """Per score, how many thresholds of the grid it reaches."""
+    return np.searchsorted(GRID, scores, side="right")
+
+
+def best_step(counts: np.ndarray, common: float = 0.3) -> float:
+    """The threshold of best F1 on the grid, from the rows at each step (steps, 2: other, toxic); on ties the
+    one nearest to ``common``."""
+    reached = counts[::-1].cumsum(axis=0)[::-1][1:]
+    f1 = 2 * reached[:, 1] / np.maximum(1.0, reached.sum(axis=1) + counts[:, 1].sum())
+    return float(GRID[max(np.argsort(abs(GRID - common), kind="stable"), key=lambda k: round(float(f1[k]), 6))])
+
+
+def step_counts(scores: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    counts = np.zeros((len(GRID) + 1, 2), np.int64)
+    np.add.at(counts, (steps(scores), np.asarray(labels, int)), 1)
+    return counts
+
+
 def best_threshold(scores: np.ndarray, labels: np.ndarray, common: float = 0.3) -> float:
-    """The threshold of best F1 on a grid; on ties the one nearest to ``common``."""
-    grid = sorted(np.arange(0.1, 0.91, 0.05), key=lambda t: abs(t - common))
-
-    def f1(t: float) -> float:
-        hit = scores >= t
-        true = float((hit & (labels == 1)).sum())
-        return 2 * true / max(1.0, hit.sum() + (labels == 1).sum())
-
-    return float(max(grid, key=lambda t: round(f1(t), 6)))
-
-
-def fit_calibrated(texts: list[str], labels: list[int], langs: list[str | None], few: int = 20, seed: int = 7) -> ToxicityModel:
-    """Fit on three quarters, choose thresholds on the rest, by language where it has ``few`` positives."""
-    if sum(labels) < ENOUGH:
-        return fit(texts, labels, seed=seed)
-    order = list(range(len(texts)))
-    random.Random(seed).shuffle(order)
-    held = order[: len(order) // 4]
-    own = order[len(order) // 4 :]
-    if len({labels[i] for i in own}) < 2:
-        own = order
-    model = fit([texts[i] for i in own], [labels[i] for i in own], seed=seed)
-    scores = np.array([model.score(texts[i]) for i in held])
-    y = np.array([labels[i] for i in held])
-    if y.sum() >= few:
-        model.threshold = best_threshold(scores, y)
-    for lang in {langs[i] for i in held} - {None}:
-        here = np.array([langs[i] == lang for i in held])
-        if y[here].sum() >= few:
-            model.by_lang[lang] = best_threshold(scores[here], y[here], model.threshold)
+    """The threshold of best F1 on the grid; on ties the one nearest to ``common``."""
+    return best_step(step_counts(scores, labels), common)
+
+
+def set_thresholds(model: ToxicityModel, by_lang: dict[str | None, np.ndarray], few: int = ENOUGH) -> None:
+    """Choose the common threshold and those of the languages with a positive, from counts per step."""
+
+    def shrunk(counts: np.ndarray, towards: float) -> float:
+        n = counts[:, 1].sum()
+        return float((n * best_step(counts, towards) + few * towards) / (n + few))
+
+    if by_lang:
+        model.threshold = shrunk(sum(by_lang.values()), 0.3)
+    model.by_lang = {g: shrunk(c, model.threshold) for g, c in by_lang.items() if g is not None and c[:, 1].sum()}
+
+
+def unseen_counts(texts: list[str], labels: list[int], langs: list[str | None], seed: int, fold: int) -> dict[str | None, np.ndarray]:
+    """Rows of a fold per language and step, scored by a model fitted without them; none if
+    the fold holds all rows of a label."""
+    folds = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) % FOLDS for t in texts]
+    own, rest = ([i for i, f in enumerate(folds) if (f == fold) == mine] for mine in (True, False))
+    out: dict[str | None, np.ndarray] = {}
+    if own and len({labels[i] for i in rest}) == 2:
+        model = fit([texts[i] for i in rest], [labels[i] for i in rest], seed=seed)
+        for i, s in zip(own, ProjectionTable(model, 0).scores([texts[i] for i in own]), strict=True):
+            out[langs[i]] = out.get(langs[i], 0) + step_counts(np.array([s]), np.array([labels[i]]))
+    return out
+
+
+def on_tasks(spark: SparkSession, f, items: range) -> list:
+    """``f`` of every item, each in a task of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("nothing",))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f(i)) for i in batch.column("id").to_pylist()], pa.binary())], names=["done"])
+
+    done = spark.range(items.start, items.stop, 1, len(items)).mapInArrow(run, "done binary").collect()
+    return [pickle.loads(r[0]) for r in done]
+
+
+def fit_calibrated(texts: list[str], labels: list[int], langs: list[str | None], few: int = ENOUGH, seed: int = 7, each=map, others=None) -> ToxicityModel:
+    """Fit on all rows; choose thresholds on the same rows as scored by models that have not seen them (``each``
+    maps over the folds), and on what ``others`` returns for the model: counts per language and step of further rows."""
+    model = fit(texts, labels, seed=seed)
+    by_lang: dict[str | None, np.ndarray] = {}
+    for part in [*each(partial(unseen_counts, texts, labels, langs, seed), range(FOLDS)), others(model) if others else {}]:
+        for lang, counts in part.items():
+            by_lang[lang] = by_lang.get(lang, 0) + counts
+    set_thresholds(model, by_lang, few)
     return model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str, max_positive: int, max_negative: int, max_chars: int) -> list[tuple[str, int, str | None]]:
-    """The bounded sample: the rows of the smallest id hashes of either label."""
-    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("mark"))
+def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """One row per labelled id; ``mark`` is 1 if either label says so."""
+    return labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("mark"))
+
+
+def chosen_ids(labels: DataFrame, id_col: str, label_col: str, max_positive: int, max_negative: int) -> DataFrame:
+    """The labelled ids of the bounded sample: those of the smallest hashes of either label."""
+    marks = labelled(labels, id_col, label_col)
     chosen = None
     for mark, most in ((1, max_positive), (0, max_negative)):
         part = marks.filter(F.col("mark") == mark).orderBy(F.xxhash64(id_col), id_col).limit(most)
         chosen = part if chosen is None else chosen.union(part)
+    return chosen
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str, max_positive: int, max_negative: int, max_chars: int) -> list[tuple[str, int, str | None]]:
+    """The bounded sample: the rows of the smallest id hashes of either label."""
+    chosen = chosen_ids(labels, id_col, label_col, max_positive, max_negative)
     rows = (
         docs.select(id_col, text_col, lang_col)
         .filter(F.length(text_col) <= max_chars)
@@ -249,6 +306,34 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return [(r[0], int(r[1]), r[2]) for r in sorted(rows.collect(), key=lambda r: (r[3], r[0]))]
 
 
+def other_counts(model: ToxicityModel, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str, max_positive: int, max_negative: int, max_chars: int) -> dict[str | None, np.ndarray]:
+    """Counts per language and step of all labelled rows outside the sample, whole texts, scored on Spark."""
+    chosen = chosen_ids(labels, id_col, label_col, max_positive, max_negative).select(id_col, F.lit(True).alias("chosen"))
+    marks = labelled(labels, id_col, label_col).filter(F.col("mark").isin(0, 1)).join(F.broadcast(chosen), id_col, "left")
+    small = marks.count() <= BROADCAST_IDS
+    names = {id_col: "id", text_col: "text", lang_col: "lang"}
+    rows = (
+        spread(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())))
+        .join(F.broadcast(marks.withColumnRenamed(id_col, "id")) if small else marks.withColumnRenamed(id_col, "id"), "id")
+        .filter(F.col("chosen").isNull() | F.coalesce(F.length("text") > max_chars, F.lit(True)))
+        .select("text", F.col("lang").cast("string").alias("lang"), F.col("mark").cast("int").alias("mark"))
+    )
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("nothing",))
+        table = ProjectionTable(sent.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                yield with_columns(batch, ["lang", "mark"], step=pa.array(steps(table.scores(texts_of(batch, "text"))), pa.int32()))
+
+    out: dict[str | None, np.ndarray] = {}
+    for r in rows.mapInArrow(run, "lang string, mark int, step int").groupBy("lang", "mark", "step").count().collect():
+        out.setdefault(r["lang"], np.zeros((len(GRID) + 1, 2), np.int64))[r["step"], r["mark"]] += r["count"]
+    return out
+
+
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -266,8 +351,9 @@ def score_toxicity(
     """Per row of ``docs``: id, ``extra`` columns and, under ``names``, ``score`` and ``flagged`` (score at or above the
     threshold of the row's language). ``labels`` must hold only rows that may be learnt from;
     their texts are looked up in ``trained_on`` (``docs`` if not given)."""
-    rows = training_sample(docs if trained_on is None else trained_on, labels, id_col, text_col, lang_col, label_col, max_positive, max_negative, max_chars)
-    model = fit_calibrated(*(list(x) for x in zip(*rows, strict=True))) if len({r[1] for r in rows}) == 2 else None
+    given = (docs if trained_on is None else trained_on, labels, id_col, text_col, lang_col, label_col, max_positive, max_negative, max_chars)
+    rows = training_sample(*given)
+    model = fit_calibrated(*(list(x) for x in zip(*rows, strict=True)), each=partial(on_tasks, docs.sparkSession), others=lambda m: other_counts(m, *given)) if len({r[1] for r in rows}) == 2 else None
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the data
     keep = [c for c in dict.fromkeys([id_col, *(extra or [])]) if c not in names]
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}

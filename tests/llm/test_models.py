@@ -52,6 +52,41 @@ def test_thresholds_are_fitted_with_enough_rows(monkeypatch):
     assert set(model.by_lang) == {"en", "de"} and all(0.1 <= t <= 0.9 for t in model.by_lang.values())
 
 
+def test_thresholds_are_fitted_with_few_rows():
+    rows, marks = toxic_docs(150)
+    model = toxicity.fit_calibrated([r[1] for r in rows], [t for _, t in marks], [r[3] for r in rows])
+    plain = toxicity.fit([r[1] for r in rows], [t for _, t in marks])
+    assert 0 < sum(t for _, t in marks) < 200 and set(model.by_lang) == {"en", "de"}
+    assert all(model.score(r[1]) == plain.score(r[1]) for r in rows[:20])  # weights from every row
+
+
+def test_thresholds_count_every_labelled_row(spark):
+    rows, marks = toxic_docs(300)
+    rows.append((900, "vilest " + prose(random.Random(1), 4000), "s", "fr"))
+    docs, labels = docs_of(spark, [*rows, rows[0]]), spark.createDataFrame([*marks, (900, 1)], "doc_id long, toxic int")
+    given = (docs, labels, "doc_id", "text", "lang", "toxic", 20, 30, 20_000)
+    sample = toxicity.training_sample(*given)
+    model = toxicity.fit([t for t, _, _ in sample], [m for _, m, _ in sample], epochs=1)
+    got = toxicity.other_counts(model, *given)
+    mark, want = {**dict(marks), 900: 1}, {}
+    for i, text, _, lang in [*rows, rows[0]]:
+        want.setdefault(lang, np.zeros((len(toxicity.GRID) + 1, 2), int))[toxicity.steps(model.score(text)), mark[i]] += 1
+    for text, m, lang in sample:
+        want[lang][toxicity.steps(model.score(text)), m] -= 1
+    assert len(sample) in (50, 51) and {k: c.tolist() for k, c in got.items()} == {k: c.tolist() for k, c in want.items() if c.any()}
+    assert got["fr"].sum() == 1  # longer than the sample takes
+
+
+def test_thresholds_shrink_by_a_fixed_rule():
+    model = toxicity.ToxicityModel(np.zeros(1), [], [], np.zeros(1), 0.0)
+    scores, labels = np.array([0.0, 0.52, 0.58]), np.array([0, 0, 1])
+    counts = toxicity.step_counts(scores, labels)
+    toxicity.set_thresholds(model, {"en": counts * 1000, "de": counts * 10, "fr": np.zeros_like(counts), None: counts}, few=20)
+    assert model.threshold == pytest.approx(0.55, abs=0.01) and set(model.by_lang) == {"en", "de"}
+    toxicity.set_thresholds(model, {"de": counts * 20}, few=20)
+    assert model.threshold == pytest.approx((0.55 + 0.3) / 2)
+
+
 def test_toxicity_odd_rows(spark):
     rows, marks = toxic_docs(80)
     docs = docs_of(spark, [*((i + 100, *r) for i, *r in rows), *ODD])
