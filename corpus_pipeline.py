@@ -20,6 +20,10 @@ from lexigen.llm.toxicity import score_toxicity
 from lexigen.session import materialize, ship_package
 
 
+#: Lines in so few distinct texts of a host may be there by chance; beyond, the share of the host's texts decides.
+FEW_TEXTS = 5
+
+
 def _prepare(spark: SparkSession) -> None:
     ship_package(spark)
     text_batches(spark)
@@ -30,10 +34,10 @@ def _columns(docs: DataFrame):
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are depleted by lines frequent on their host go;
-    the others stay as they are."""
+    """Documents that fail the base rules or are depleted by lines frequent on their host (in over
+    ``FEW_TEXTS`` distinct texts and 2 % of the host's) go; the others stay as they are."""
     _prepare(spark)
-    return reject(docs, judge_lines(docs))
+    return reject(docs, judge_lines(docs, min_docs=FEW_TEXTS))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,3 +90,16 @@ def test_null_texts_stay_null_in_line_dedup(spark):
     got = corpus_pipeline.line_dedup(spark, docs, "")
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted((tuple(r) for r in docs.collect()), key=repr)
     assert got.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+
+
+def test_quality_rejects_boilerplate_of_small_hosts(spark):
+    rng = random.Random(8)
+    menu = " ".join(f"entry{chr(97 + i // 6)}{chr(97 + i % 6)}" for i in range(40))
+    notice = " ".join(f"notice{chr(97 + i // 6)}{chr(97 + i % 6)}" for i in range(40))
+    own = lambda i: "".join(chr(97 + int(c)) for c in str(100 + i))
+    rows = [(i, prose(rng, 40), "small") for i in range(48)]
+    rows += [(100 + i, f"{menu}\n{own(i)} page", "small") for i in range(12)]
+    rows += [(200 + i, f"{notice}\n{own(i)} note", "small") for i in range(5)]  # by chance
+    rows += [(300 + i, f"{menu}\n{own(i)} page", "other") for i in range(3)]
+    left = {r.doc_id for r in corpus_pipeline.quality(spark, docs_of(spark, rows), "").collect()}
+    assert left == {i for i, *_ in rows if not 100 <= i < 200}
