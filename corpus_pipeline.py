@@ -50,7 +50,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go; every document stays, with n_chars as its text
-    now is. Null texts stay null."""
+    now is. Null texts stay null. As this comes before near-duplicates, a group of ten or more copies
+    loses every line in every copy: no copy keeps the text, and all stay on as empty documents."""
     _prepare(spark)
     rest, before = [c for c in docs.columns if c not in ("doc_id", "text")], free_name(docs, "before_dedup")
     # the other columns travel in one, so that none can clash with a new one
@@ -64,7 +65,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates (five-word shingles, 80 %) the smallest id stays; of rows
-    that share an id one stays, of rows without an id all."""
+    that share an id one stays, of rows without an id all. Empty texts are linked with nothing, so
+    all stay."""
     _prepare(spark)
     judged = near_duplicates(docs)
     gone = judged.filter(~F.col("kept")).select("doc_id").distinct()

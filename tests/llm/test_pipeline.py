@@ -103,3 +103,13 @@ def test_quality_rejects_boilerplate_of_small_hosts(spark):
     rows += [(300 + i, f"{menu}\n{own(i)} page", "other") for i in range(3)]
     left = {r.doc_id for r in corpus_pipeline.quality(spark, docs_of(spark, rows), "").collect()}
     assert left == {i for i, *_ in rows if not 100 <= i < 200}
+
+
+def test_ten_copies_lose_their_text_and_keep_their_ids(spark):
+    rng = random.Random(12)
+    ten, nine = prose(rng, 40), prose(rng, 40)
+    docs = docs_of(spark, [(i, ten) for i in range(10)] + [(20 + i, nine) for i in range(9)])
+    done = corpus_pipeline.line_dedup(spark, docs, "")
+    assert {r.doc_id: (r.text, r.n_chars) for r in done.collect()} == {**{i: ("", 0) for i in range(10)}, **{20 + i: (nine, len(nine)) for i in range(9)}}
+    left = corpus_pipeline.near_dedup(spark, done, "")
+    assert sorted(r.doc_id for r in left.collect()) == [*range(10), 20]
