@@ -10,6 +10,8 @@ could start at meet in one boundary, the ids up to it are committed and forgotte
 White space always is such a meeting point (no piece runs on past it), and so are a
 character that no piece holds (written as byte pieces) and a place between two characters that
 stand side by side in no piece; segments between them are remembered in a bounded table per worker.
+Segments of up to four times the longest piece are solved whole by the same programme; longer ones, and
+those with a character outside the vocabulary, run through the pass, which commits once that many are undecided.
 
 Null text is empty and has no ids; empty tables give empty results; repeated rows are
 encoded each.
