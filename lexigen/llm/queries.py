@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigen.llm.centroids import centroid_digest, cluster
 from lexigen.llm.common import text_batches
 from lexigen.llm.extract import extract_text
 from lexigen.llm.line_dedup import dedup_lines
@@ -81,6 +82,11 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroid_digest(F.col("centroid")).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_nearest,
         op10_main_text,
+        op13_centroid_clustering,
     )
 }
 
@@ -190,9 +197,44 @@ SELECT doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
 FROM k LEFT JOIN often o ON k.key = o.key GROUP BY doc_id
 """
 
+
+
+def _op13(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds one after another, a row per vector and component."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, embedding AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64),
+cell AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, floor(1024 * unnest(v)::DOUBLE)::BIGINT AS x FROM kept),
+start AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c FROM kept),
+c0 AS MATERIALIZED (SELECT c, i, x AS y FROM start JOIN cell USING (r) WHERE c < {k})"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"""d{n} AS MATERIALIZED (
+  SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT r, c, sum((x - y) * (x - y))::BIGINT AS d FROM cell JOIN c{n} USING (i) GROUP BY r, c) GROUP BY r)"""
+        )
+        if n < rounds:
+            steps.append(
+                f"""m{n} AS (SELECT c, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS q FROM cell JOIN d{n} USING (r) GROUP BY c, i),
+c{n + 1} AS MATERIALIZED (
+  SELECT c, i, coalesce((s - ((s % q) + q) % q) // q, y)::BIGINT AS y FROM c{n} LEFT JOIN m{n} USING (c, i))"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + f"""
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+FROM d{rounds} JOIN kept USING (r) JOIN (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c) USING (c)"""
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_line_quality": _OP3,
     "op4_minhash_near_dedup": _OP4,
     "op6_url_filter": _OP6,
     "op8_line_dedup": _OP8,
+    "op13_centroid_clustering": _op13(),
 }
