@@ -17,6 +17,7 @@ from lexigen.llm.minhash import near_duplicates
 from lexigen.llm.nearest import nearest
 from lexigen.llm.packing import pack_documents
 from lexigen.llm.pieces import piece_digests
+from lexigen.llm.repair import damage, repair
 from lexigen.llm.token_counts import count_tokens
 from lexigen.llm.toxicity import score_toxicity
 from lexigen.llm.url_filter import filter_urls
@@ -82,6 +83,11 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damage(table(spark, sf_dir, "conversations"))
+    return repair(rows, live=~F.col("dropped")).withColumnRenamed("repaired", "repaired_sha256")
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10)
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroid_digest(F.col("centroid")).alias("centroid_sha256"))
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_nearest,
         op10_main_text,
+        op12_conversation_repair,
         op13_centroid_clustering,
     )
 }
