@@ -18,6 +18,7 @@ from lexigen.llm.nearest import nearest
 from lexigen.llm.packing import pack_documents
 from lexigen.llm.pieces import piece_digests
 from lexigen.llm.repair import damage, repair
+from lexigen.llm.spotsigs import CHAIN, COMMON, DIGITS, FLOOR, fingerprints
 from lexigen.llm.token_counts import count_tokens
 from lexigen.llm.toxicity import score_toxicity
 from lexigen.llm.url_filter import filter_urls
@@ -83,6 +84,11 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = damage(table(spark, sf_dir, "conversations"))
     return repair(rows, live=~F.col("dropped")).withColumnRenamed("repaired", "repaired_sha256")
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_nearest,
         op10_main_text,
+        op11_spot_signatures,
         op12_conversation_repair,
         op13_centroid_clustering,
     )
@@ -205,6 +212,41 @@ FROM k LEFT JOIN often o ON k.key = o.key GROUP BY doc_id
 """
 
 
+_COMMON = ", ".join(f"'{w}'" for w in dict.fromkeys(COMMON))
+
+_OP11 = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+ids AS (SELECT doc_id, arg_min(text, (md5(text), text)) AS text FROM t GROUP BY doc_id),
+ring AS (
+  SELECT doc_id, coalesce(lead(text) OVER o, first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST)) AS next
+  FROM ids WINDOW o AS (ORDER BY doc_id DESC NULLS LAST)
+),
+e AS MATERIALIZED (
+  SELECT r, t.doc_id, text, next, left(text, (length(text) - length(text) // 2)::BIGINT) || left(next, (length(text) // 2)::BIGINT) AS edited
+  FROM t JOIN ring ON t.doc_id IS NOT DISTINCT FROM ring.doc_id
+),
+x AS (SELECT r, 'own' AS what, text AS x FROM e UNION ALL SELECT r, 'edited', edited FROM e UNION ALL SELECT r, 'next', next FROM e),
+w AS (SELECT r, what, list_prepend('^', regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+')) AS ws FROM x),
+p AS (SELECT r, what, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
+q AS (SELECT *, i = 0 OR word IN ({_COMMON}) OR length(word) <= 2 AS common FROM p),
+b AS (SELECT *, lag(word) OVER o AS last_word, lag(common) OVER o AS anchored FROM q WINDOW o AS (PARTITION BY r, what ORDER BY i)),
+c AS (SELECT *, {", ".join(f"lead(word, {k}) OVER o AS c{k}" for k in range(1, CHAIN))} FROM b WHERE NOT common WINDOW o AS (PARTITION BY r, what ORDER BY i)),
+s AS (SELECT DISTINCT r, what, substr(md5(concat_ws(' ', last_word, word, {", ".join(f"c{k}" for k in range(1, CHAIN))})), 1, {DIGITS}) AS sig FROM c WHERE anchored),
+f AS MATERIALIZED (SELECT r, what, list(sig ORDER BY sig) AS sigs FROM s GROUP BY r, what),
+g AS (
+  SELECT e.r, coalesce(o.sigs, []) AS o, coalesce(d.sigs, []) AS d, coalesce(n.sigs, []) AS n FROM e
+  LEFT JOIN f o ON o.r = e.r AND o.what = 'own' LEFT JOIN f d ON d.r = e.r AND d.what = 'edited' LEFT JOIN f n ON n.r = e.r AND n.what = 'next'
+),
+j AS (
+  SELECT r, o, d, len(list_intersect(o, d))::DOUBLE / nullif(len(o) + len(d) - len(list_intersect(o, d)), 0) AS od,
+    len(list_intersect(o, n))::DOUBLE / nullif(len(o) + len(n) - len(list_intersect(o, n)), 0) AS o_n FROM g
+)
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(o, '') AS fingerprint, array_to_string(d, '') AS edited_fingerprint,
+  CASE WHEN od IS NULL THEN 1.0::DOUBLE WHEN od >= {FLOOR} THEN od ELSE 0.0::DOUBLE END AS near_edited,
+  CASE WHEN o_n IS NULL THEN 1.0::DOUBLE WHEN o_n >= {FLOOR} THEN o_n ELSE 0.0::DOUBLE END AS near_next
+FROM j JOIN e USING (r)
+"""
+
 
 def _op13(k: int = 8, rounds: int = 10) -> str:
     """Lloyd's rounds one after another, a row per vector and component."""
@@ -243,5 +285,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_minhash_near_dedup": _OP4,
     "op6_url_filter": _OP6,
     "op8_line_dedup": _OP8,
+    "op11_spot_signatures": _OP11,
     "op13_centroid_clustering": _op13(),
 }
