@@ -15,26 +15,43 @@ gathered, and handed out again in chunks.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DataType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StructType, TimestampType, VariantType
 
 BUCKET_DIGITS = 4  # leading digits of the key hash in the order
 RANGE_ROWS = 100_000  # rows ranked by one task, about
 COPY_CHUNK = 10_000  # copies of one row handed out by one task, at most
 
 
-def _text(name: str, kind: DataType) -> Column:
-    """A cell as text from which the cell can be told: null apart from any text."""
-    c = F.col(f"`{name}`")
-    s = F.hex(c) if isinstance(kind, BinaryType) else c.cast("string")
+def _cell(c: Column, kind: DataType) -> Column:
+    """A cell as text from which the cell can be told, null apart from any text: its length, a colon, its
+    content. Lists and structs are the cells in them one after another, maps their entries sorted."""
+    if isinstance(kind, ArrayType):
+        s = F.array_join(F.transform(c, lambda x: _cell(x, kind.elementType)), "")
+    elif isinstance(kind, StructType):
+        fields = [_cell(c.getField(f.name), f.dataType) for f in kind]
+        s = F.when(c.isNotNull(), F.concat(F.lit(""), *fields))
+    elif isinstance(kind, MapType):
+        entry = lambda x: F.concat(_cell(x["key"], kind.keyType), _cell(x["value"], kind.valueType))
+        s = F.array_join(F.array_sort(F.transform(F.map_entries(c), entry)), "")
+    elif isinstance(kind, BinaryType):
+        s = F.hex(c)
+    elif isinstance(kind, TimestampType):
+        s = F.unix_micros(c).cast("string")  # its text repeats in the hour that clocks are put back
+    elif isinstance(kind, VariantType):
+        s = F.concat(F.schema_of_variant(c), F.lit(" "), F.to_json(c))
+    else:
+        s = c.cast("string")
     return F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-"))
 
 
 def row_hash(df: DataFrame, columns: list[str], seed) -> Column:
-    """md5 of the columns' texts and the seed."""
+    """md5 of the columns' cells and the seed."""
     kinds = {f.name: f.dataType for f in df.schema}
-    return F.md5(F.concat_ws("|", *[_text(c, kinds[c]) for c in columns], F.lit(str(seed))).cast("binary"))
+    return F.md5(F.concat_ws("|", *[_cell(F.col(f"`{c}`"), kinds[c]) for c in columns], F.lit(str(seed))).cast("binary"))
 
 
 def _order(df: DataFrame, keys: list[str], seed) -> Column:
@@ -153,6 +170,27 @@ def global_rank(
     return out.select(*[F.col(f"__row.`{c}`") for c in df.columns if c not in new], *[v.alias(k) for k, v in new.items()])
 
 
+PERMUTATION_ROUNDS = 24
+
+
+def permutation_keys(seed, epoch) -> list[int]:
+    """One number a round, from md5."""
+    return [int(hashlib.md5(f"{seed}|{epoch}|{r}".encode()).hexdigest()[:13], 16) for r in range(PERMUTATION_ROUNDS)]
+
+
+def permuted(x: Column, n: Column, keys: Column) -> Column:
+    """The place of ``x`` (0 to n - 1) under a keyed permutation of these n numbers. In each round every
+    number has a partner, (key - x) mod n, and a hash of the larger of the two says whether both change
+    places; so each round maps the n numbers onto themselves, whatever n is."""
+
+    def turn(at: Column, key: Column) -> Column:
+        partner = F.pmod(key - at, n)
+        pair = F.concat(F.greatest(at, partner).cast("string"), F.lit(":"), key.cast("string"))
+        return F.when(F.substring(F.md5(pair.cast("binary")), 1, 1) >= "8", partner).otherwise(at)
+
+    return F.aggregate(keys, x, turn)
+
+
 def assign_batches(
     df: DataFrame,
     key: str | list[str] | None = None,
@@ -164,11 +202,13 @@ def assign_batches(
 ) -> DataFrame:
     """Per-epoch reshuffle into batches of ``size`` (last one may be short).
 
-    Every row appears once per epoch; the epoch is part of the key, so each has an order of
-    its own. Copies and hot keys are handled as in ``global_rank``.
+    Every row appears once per epoch. Rows are ranked once, as in :func:`global_rank`; each epoch's order is a
+    permutation of the ranks reckoned row by row, so the number of epochs adds no shuffle.
     """
     which = list(range(epochs)) if isinstance(epochs, int) else list(epochs)
-    x = df.withColumn(epoch_col, F.explode(F.array(*[F.lit(e) for e in which])))
-    ranked = global_rank(x, [*_names(df, key), epoch_col], [epoch_col], "__rank", seed=seed)
-    batch = F.floor((F.col("__rank") - 1) / F.lit(size)).cast("long")
-    return ranked.withColumn(batch_col, batch).drop("__rank")
+    ranked = global_rank(df, key, None, "__rank", "__rows", seed)
+    turns = [F.struct(F.lit(e).alias("epoch"), F.array(*[F.lit(k).cast("long") for k in permutation_keys(seed, e)]).alias("keys")) for e in which]
+    each = ranked.withColumn("__turn", F.explode(F.array(*turns)))
+    place = permuted(F.col("__rank") - 1, F.col("__rows"), F.col("__turn.keys"))
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in (epoch_col, batch_col)]
+    return each.select(*keep, F.col("__turn.epoch").alias(epoch_col), F.floor(place / F.lit(size)).cast("long").alias(batch_col))

@@ -113,6 +113,23 @@ def q_split_pairs(spark, d):
     return pairs.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(FX.case_form()).alias("sum_case_id"))
 
 
+def q_split_lists(spark, d):
+    """Split of rows that are a list of words, a struct and a map: copies and lists of like text stay apart."""
+    words = F.split(F.coalesce("text", F.lit("")), " ", -1)
+    rows = FX.table(spark, d, "documents").select(
+        words.alias("words"), F.struct("lang", F.col("n_chars").alias("size")).alias("facts"), F.create_map(F.lit("source"), "source").alias("tags")
+    )
+    split = SP.exact_split(rows, "words", TEST_FRACTION, SPLIT_SEED)
+    return split.groupBy(F.md5(F.array_join("words", " ").cast("binary")).alias("words_md5"), F.col("facts.lang").alias("lang"), "split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_rank_vectors(spark, d):
+    """Rank by a list of numbers."""
+    vectors = FX.table(spark, d, "embeddings")
+    whole = F.transform("embedding", lambda x: F.floor(x * 1024).cast("long")).alias("cells")
+    return SP.global_rank(vectors.select("vec_id", whole), "cells", seed=SPLIT_SEED).select("vec_id", "rank")
+
+
 def q_assign_batches(spark, d):
     pairs = PA.to_pairs(FX.cases(spark, d)).select("case_id")
     return SP.assign_batches(pairs, "case_id", TRAIN_BATCH, EPOCHS, SPLIT_SEED)

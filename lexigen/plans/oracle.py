@@ -277,13 +277,48 @@ def sql_split_pairs() -> str:
     )
 
 
+def _cell(x: str) -> str:
+    return f"coalesce(length({x}) || ':' || {x}, '-')"
+
+
+def _md5_of(cells: list[str]) -> str:
+    return "md5(" + " || '|' || ".join([*cells, f"'{C.SPLIT_SEED}'"]) + ")"
+
+
+def sql_split_lists() -> str:
+    words = _cell("array_to_string(list_transform(words, lambda w_: length(w_) || ':' || w_), '')")
+    facts = _cell(f"({_cell('lang')} || {_cell('CAST(n_chars AS VARCHAR)')})")
+    tags = _cell(f"('6:source' || {_cell('source')})")
+    order = f"substr({_md5_of([words])}, 1, 4) || {_md5_of([words, facts, tags])}"
+    label = f"CASE WHEN row_number() OVER (ORDER BY {order}) <= ceil({C.TEST_FRACTION}::DOUBLE * count(*) OVER ()) THEN 'test' ELSE 'train' END"
+    return (
+        "SELECT md5(array_to_string(words, ' ')) AS words_md5, lang, split, count(*) AS n_rows FROM "
+        f"(SELECT words, lang, {label} AS split FROM (SELECT *, string_split(coalesce(text, ''), ' ') AS words FROM documents)) GROUP BY ALL"
+    )
+
+
+def sql_rank_vectors() -> str:
+    cells = _cell("array_to_string(list_transform(embedding, lambda x_: length(CAST(CAST(floor(CAST(x_ AS DOUBLE) * 1024) AS BIGINT) AS VARCHAR)) || ':' || CAST(CAST(floor(CAST(x_ AS DOUBLE) * 1024) AS BIGINT) AS VARCHAR)), '')")
+    order = f"substr({_md5_of([cells])}, 1, 4) || {_md5_of([_cell('CAST(vec_id AS VARCHAR)'), cells])}"
+    return f'SELECT vec_id, CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS "rank" FROM embeddings'
+
+
 def sql_assign_batches() -> str:
-    both = ["case_id", "epoch"]
+    """Ranks, then 24 rounds in which numbers change places with their partners."""
+    case = ["case_id"]
+    steps = [
+        f"x0 AS (SELECT case_id, epoch, count(*) OVER (PARTITION BY epoch) AS n, row_number() OVER (PARTITION BY epoch ORDER BY {position(case, case)}) - 1 AS x "
+        f"FROM cases CROSS JOIN (SELECT unnest(range(0, {C.EPOCHS})) AS epoch) e)"
+    ]
+    for r in range(24):
+        key = f"CAST('0x' || substr(md5('{C.SPLIT_SEED}|' || epoch || '|{r}'), 1, 13) AS BIGINT)"
+        steps.append(
+            f"x{r + 1} AS (SELECT case_id, epoch, n, CASE WHEN substr(md5(greatest(x, p) || ':' || k), 1, 1) >= '8' THEN p ELSE x END AS x "
+            f"FROM (SELECT *, ((k - x) % n + n) % n AS p FROM (SELECT *, {key} AS k FROM x{r})))"
+        )
     return _q(
-        "SELECT case_id, CAST(epoch AS INTEGER) AS epoch, "
-        f"CAST((row_number() OVER (PARTITION BY epoch ORDER BY {position(both, both)}) - 1) // {C.TRAIN_BATCH} AS BIGINT) AS batch_id "
-        f"FROM cases CROSS JOIN (SELECT unnest(range(0, {C.EPOCHS})) AS epoch) e",
-        CASES,
+        f"SELECT case_id, CAST(epoch AS INTEGER) AS epoch, CAST(x // {C.TRAIN_BATCH} AS BIGINT) AS batch_id FROM x24",
+        ",\n".join([CASES, *steps]),
     )
 
 

@@ -68,3 +68,15 @@ def test_vocabulary_ids_do_not_shuffle(spark):
     vocab = spark.createDataFrame([("the", 4), ("of", 5)], "token string, token_id int")
     assert "Exchange" not in _plan(S.vocab_ids(docs, "doc_id", "text", vocab))
     assert "Exchange" not in _plan(S.sft_examples(docs.selectExpr("doc_id AS case_id", "text AS prompt", "lang AS response")))
+
+
+def test_epochs_add_no_shuffle(spark):
+    """Rows are ranked once; each epoch's order is reckoned in place."""
+    from lexigen.operators import split as SP
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    plans = [_plan(SP.assign_batches(docs, "doc_id", 6, epochs)) for epochs in (1, 9)]
+    headers = [[part.split("\n")[0].split(") ")[-1] for part in plan.split("\n\n") if ") Exchange" in part.split("\n")[0]] for plan in plans]
+    assert headers[0] == headers[1]
+    moved = [part for part in plans[1].split("\n\n") if ") Exchange" in part.split("\n")[0] and "__row#" in part]
+    assert 1 <= len(moved) <= 2

@@ -4,6 +4,8 @@ import math
 from collections import Counter
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL
@@ -170,3 +172,86 @@ def test_long_conversations_keep_case_ids_apart(spark, tmp_dir):
     assert cases.count() == cases.select("case_id").distinct().count() == 3000
 
 
+
+
+NESTED = "a array<string>, s struct<x:string,y:string>, m map<string,array<string>>, n array<array<int>>"
+
+
+@pytest.fixture(scope="module")
+def nested(spark):
+    rows = [
+        (["a, b"], ("1", "2"), {"k": ["v"]}, [[1], [2]]),
+        (["a", "b"], ("1", "2"), {"k": ["v"]}, [[1], [2]]),
+        (["a", "b"], ("1, 2", None), {"k": ["v"]}, [[1], [2]]),
+        (["a", "b"], ("1, 2", "null"), {"k": ["v"]}, [[1], [2]]),
+        (["a", "b"], None, {"k": ["v"]}, [[1], [2]]),
+        (["a", "b"], (None, None), {"k": ["v"]}, [[1], [2]]),
+        (["a", "b"], ("1", "2"), {"k": ["v", None]}, [[1], [2]]),
+        (["a", "b"], ("1", "2"), {"k": ["v", "null"]}, [[1], [2]]),
+        (["a", "b"], ("1", "2"), {"k": ["v"]}, [[1, 2]]),
+        (["a", "b"], ("1", "2"), {"k": ["v"]}, [[1], [], [2]]),
+        (["a", "b"], ("1", "2"), {"k": None}, [[1], None]),
+        (["a", "b"], ("1", "2"), {}, []),
+        (["a", "b"], ("1", "2"), None, None),
+        ([], ("1", "2"), None, None),
+        ([""], ("1", "2"), None, None),
+        ([None], ("1", "2"), None, None),
+        (None, ("1", "2"), None, None),
+    ]
+    return spark.createDataFrame(rows, NESTED)
+
+
+def test_nested_rows_stay_apart(spark, nested):
+    """Rows that differ only inside lists, structs or maps are different rows, and every one comes back."""
+    want = sorted(repr(tuple(r)) for r in nested.collect())
+    assert len(set(want)) == len(want)
+    cells = nested.select(SP.row_hash(nested, nested.columns, 1).alias("h"))
+    assert cells.distinct().count() == len(want)
+    for key in (None, "s", "m"):
+        for out in (SP.exact_split(nested, key, 0.5), SP.global_rank(nested, key), SP.assign_batches(nested, key, 2)):
+            assert sorted(repr(tuple(r)) for r in out.select(*nested.columns).collect()) == want
+    assert sorted(r["rank"] for r in SP.global_rank(nested, "a").collect()) == list(range(1, len(want) + 1))
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.none(), st.text(alphabet="a1:-, ", max_size=3)), max_size=4), min_size=2, max_size=12))
+def test_cells_tell_lists_apart(spark, lists):
+    df = spark.createDataFrame([(x, {"k": x}, (x, 1)) for x in lists], "a array<string>, m map<string,array<string>>, s struct<a:array<string>,n:int>")
+    different = len({repr(x) for x in lists})
+    for c in df.columns:
+        assert df.select(SP.row_hash(df, [c], 0)).distinct().count() == different
+
+
+def test_equal_maps_and_instants(spark):
+    """Maps are equal in any order; two instants that a clock shows alike are different."""
+    maps = spark.sql("SELECT map('a', 1, 'b', 2) AS m UNION ALL SELECT map('b', 2, 'a', 1)")
+    assert maps.select(SP.row_hash(maps, ["m"], 0)).distinct().count() == 1
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        times = spark.sql("SELECT timestamp_micros(1698539400000000) AS t UNION ALL SELECT timestamp_micros(1698543000000000)")
+        assert times.select(F.col("t").cast("string")).distinct().count() == 1
+        assert times.select(SP.row_hash(times, ["t"], 0)).distinct().count() == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    odd = spark.sql("SELECT parse_json('[1, 2]') AS v UNION ALL SELECT parse_json('[1,2]') UNION ALL SELECT parse_json('\"[1,2]\"')")
+    assert odd.select(SP.row_hash(odd, ["v"], 0)).distinct().count() == 2
+
+
+def test_permutation_of_any_size(spark):
+    """Every number once, another order for every epoch and seed."""
+    for n in (1, 2, 3, 7, 64, 1000):
+        seen = set()
+        for epoch, seed in ((0, 42), (1, 42), (0, 43)):
+            keys = F.array(*[F.lit(k).cast("long") for k in SP.permutation_keys(seed, epoch)])
+            got = [r[0] for r in spark.range(n).select(SP.permuted(F.col("id"), F.lit(n).cast("long"), keys)).collect()]
+            assert sorted(got) == list(range(n))
+            seen.add(tuple(got))
+        assert len(seen) == 3 or n < 64
+
+
+def test_epochs_are_unlike(spark):
+    """Neighbours of one epoch are rarely neighbours in another."""
+    df = spark.range(4000)
+    both = SP.assign_batches(df, "id", 4, 2).groupBy("id").pivot("epoch", [0, 1]).agg(F.first("batch_id"))
+    pairs = both.groupBy("0", "1").count()
+    assert pairs.count() > 3950
