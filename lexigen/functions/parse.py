@@ -1,8 +1,13 @@
 """Parsing model output: a list of impressions, or the eight rubric scores.
 
-Three steps, of which only the middle one leaves the JVM: regular expressions find the
-spans, ``ast.literal_eval`` turns a span into a value in Arrow batches (literals only,
-no code runs), and column expressions apply the rules to what it returns.
+Regular expressions find the spans. A span takes one of two routes to its value. Plain spans
+(a strict grammar: quoted strings without escapes, whole and decimal numbers, up to ``PLAIN_CHARS``
+characters) are read by column expressions and never leave the JVM; all others go to
+``ast.literal_eval`` in Arrow batches (literals only, no code runs). Both routes give the same value
+where both apply. The rules (which span counts, scale, blank items) are column expressions.
+
+No value aborts a job: what cannot be read is no value, and half a surrogate pair, which no column can hold,
+is shown as its escape (``\\ud800``).
 """
 
 from __future__ import annotations
@@ -12,13 +17,35 @@ import ast
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from lexigen.functions.prompts import SCORE_COLUMNS
 from lexigen.functions.text import _c, after_last, brace_span, bracket_spans, strip
 
 SCORE_MIN, SCORE_MAX = 0, 5
-LONGEST_NUMBER = 4300  # digits; a longer whole number in a string counts as no number
+
+PLAIN_CHARS = 2000
+_GAP = r"[ \t\n]*+"
+_QUOTED = r"""(?:'[^'\\\x00-\x1f]*+'|"[^"\\\x00-\x1f]*+")"""
+_NUMBER = r"-?(?:0|[1-9][0-9]{0,8})(?:\.[0-9]{1,9})?"
+_ENTRY = rf"{_QUOTED}{_GAP}:{_GAP}{_NUMBER}"
+
+
+def _all_of(opening: str, item: str, closing: str) -> str:
+    """A literal of items parted by commas, with or without a last one."""
+    return rf"\A{opening}{_GAP}(?:{item}{_GAP}(?:,{_GAP}{item}{_GAP})*+,?{_GAP})?{closing}\z"
+
+
+PLAIN_LIST = _all_of(r"\[", _QUOTED, r"\]")
+PLAIN_SCORES = _all_of(r"\{", _ENTRY, r"\}")
+
+
+def _plain(span: Column, grammar: str) -> Column:
+    return F.coalesce((F.length(span) <= PLAIN_CHARS) & span.rlike(grammar), F.lit(False))
+
+
+def _unquoted(c: Column) -> Column:
+    return F.substring(c, F.lit(2), F.length(c) - 2)
 
 
 def _literal(span: str):
@@ -36,7 +63,7 @@ def _item_texts(span: str) -> list[str] | None:
     if not isinstance(value, list):
         return None
     try:
-        return [str(item) for item in value]
+        return [str(item).encode("utf-8", "backslashreplace").decode() for item in value]
     except ValueError:
         return None
 
@@ -49,55 +76,61 @@ def _first_items(spans: pd.Series) -> pd.Series:
     return pd.Series([None if row is None else first(row) for row in spans], dtype=object)
 
 
+def _plain_items(span: Column) -> Column:
+    return F.transform(F.regexp_extract_all(span, F.lit(_QUOTED), 0), _unquoted)
+
+
 def parse_list(c) -> Column:
     """Free text -> ``array<string>``: the items of the first ``[...]`` span after the last
     ``Output:`` that is a list, stripped, without blank ones; empty when there is none."""
     spans = bracket_spans(strip(after_last(_c(c), "Output:")))
-    items = F.transform(_first_items(spans), lambda s: strip(s))
-    found = F.coalesce(F.filter(items, lambda s: s != F.lit("")), F.array().cast("array<string>"))
+    plain = _plain(F.get(spans, F.lit(0)), PLAIN_LIST)
+    items = F.when(plain, _plain_items(F.get(spans, F.lit(0)))).otherwise(_first_items(F.when(~plain & (F.size(spans) > 0), spans)))
+    shown = F.transform(items, lambda s: strip(s))
+    found = F.coalesce(F.filter(shown, lambda s: s != F.lit("")), F.array().cast("array<string>"))
     return F.when(_c(c).isNotNull(), found)
 
 
-_ENTRIES = MapType(StringType(), StructType([StructField("kind", StringType()), StructField("text", StringType())]))
-
-
-def _entry(value) -> tuple[str, str] | None:
-    """(kind, text) of a dictionary value that could be a number: ``whole`` numbers as a
-    float's text (so any size fits), ``real`` ones, or ``text``."""
+def _number(value) -> float | None:
+    """A dictionary value as a number: whole ones of any size, finite real ones, and texts
+    that Python reads as one whole number."""
+    if isinstance(value, (str, bytes)):
+        try:
+            value = int(value)
+        except ValueError:
+            return None
     if isinstance(value, int):
         try:
-            return "whole", str(float(value))
+            return float(value)
         except OverflowError:
-            return "whole", "inf" if value > 0 else "-inf"
-    if isinstance(value, float):
-        return "real", str(value)
-    if isinstance(value, bytes):
-        return "text", value.decode("latin-1")
-    return ("text", value) if isinstance(value, str) else None
+            return float("inf") if value > 0 else float("-inf")
+    return value if isinstance(value, float) and abs(value) < float("inf") else None
 
 
-@F.pandas_udf(_ENTRIES)
-def _raw_entries(spans: pd.Series) -> pd.Series:
-    def entries(span):
+@F.pandas_udf(ArrayType(DoubleType()))
+def _raw_numbers(spans: pd.Series) -> pd.Series:
+    def numbers(span):
         value = _literal(span) if span else None
-        pairs = value.items() if isinstance(value, dict) else ()
-        return {k: {"kind": e[0], "text": e[1]} for k, v in pairs if isinstance(k, str) and (e := _entry(v))}
-
-    return pd.Series([entries(s) for s in spans], dtype=object)
-
-
-def _score(entry: Column) -> Column:
-    """Whole numbers as they are, real ones cut, texts that hold one whole number; kept within
-    the scale; null for the rest."""
-    text = strip(entry["text"])
-    as_double = F.replace(text, F.lit("_"), F.lit("")).try_cast("double")
-    written = text.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$") & (F.length(text) <= LONGEST_NUMBER)
-    real = entry["text"].try_cast("double")
-    value = (
-        F.when(entry["kind"] == "whole", real)
-        .when((entry["kind"] == "real") & ~F.isnan(real) & (F.abs(real) < F.lit(float("inf"))), real)
-        .when((entry["kind"] == "text") & written, as_double)
-    )
+        return [_number(value.get(k)) for k in SCORE_COLUMNS] if isinstance(value, dict) else None
+
+    return pd.Series([numbers(s) for s in spans], dtype=object)
+
+
+def _under_names(names: Column, numbers: Column) -> Column:
+    return F.transform(F.array(*map(F.lit, SCORE_COLUMNS)), lambda k: F.get(numbers, (F.array_position(names, k) - 1).cast("int")).cast("double"))
+
+
+def _plain_numbers(span: Column) -> Column:
+    """The numbers of a plain dictionary under the score names; of equal names the last one counts."""
+    pair = F.lit(rf"({_QUOTED}){_GAP}:{_GAP}({_NUMBER})")
+    names = F.reverse(F.transform(F.regexp_extract_all(span, pair, 1), _unquoted))
+    numbers = F.reverse(F.regexp_extract_all(span, pair, 2))
+    both = F.array(F.struct(names.alias("names"), numbers.alias("numbers")))
+    return F.get(F.transform(both, lambda x: _under_names(x["names"], x["numbers"])), F.lit(0))
+
+
+def _score(value: Column) -> Column:
+    """Kept within the scale and cut to a whole number."""
     within = F.least(F.lit(float(SCORE_MAX)), F.greatest(F.lit(float(SCORE_MIN)), value))
     return F.when(value.isNotNull(), F.floor(within).cast("int"))
 
@@ -105,5 +138,9 @@ def _score(entry: Column) -> Column:
 def parse_scores(c) -> Column:
     """Free text -> ``struct<8 x int>`` from the span between the first ``{`` and the last ``}``;
     each 0..5 (cut to a whole number, kept within the scale) or null."""
-    entries = _raw_entries(brace_span(_c(c)))
-    return F.struct(*[F.when(entries[k].isNotNull() & _c(c).isNotNull(), _score(entries[k])).alias(k) for k in SCORE_COLUMNS])
+    span = brace_span(_c(c))
+    plain = _plain(span, PLAIN_SCORES)
+    numbers = F.when(plain, _plain_numbers(span)).otherwise(_raw_numbers(F.when(~plain & (span != ""), span)))
+    scores = F.coalesce(F.transform(numbers, _score), F.array().cast("array<int>"))
+    row = F.transform(F.array(scores), lambda s: F.struct(*[F.get(s, F.lit(i)).alias(k) for i, k in enumerate(SCORE_COLUMNS)]))
+    return F.get(row, F.lit(0))

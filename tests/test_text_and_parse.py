@@ -25,6 +25,25 @@ LISTS = [
     ("[" + "[" * 300 + "'deep'" + "]" * 301 + " and ['x']", ["x"]),
     ("Output: ['\\u00e9\\n ', b'z', 2.5]", ["\u00e9", "b'z'", "2.5"]),
     (None, None),
+    # half a surrogate pair
+    ("Output: ['\\ud800 x','ok']", ["\\ud800 x", "ok"]),
+    ("['\\ud83d\\ude00', 'y']", ["\\ud83d\\ude00", "y"]),
+    # at the edges of the plain grammar
+    ("[ 'a' , \"b's\" ,\n\t'' ]", ["a", "b's"]),
+    ("['a',, 'b'] ['c']", ["c"]),
+    ("[, 'a'] ['c']", ["c"]),
+    ("['''a''', 'b']", ["a", "b"]),
+    ("['a\x0b', 'b']", ["a", "b"]),
+    ("['a' ,\x0b'b'] ['c']", ["c"]),
+    ("[' é\U0001f600']", ["é\U0001f600"]),
+    ("['a\nb'] ['c']", ["c"]),
+    ("['a\x00'] ['c']", ["c"]),
+    ("[ ]", []),
+    ("[,]", []),
+    ("['" + "x" * 3000 + "', 'b']", ["x" * 3000, "b"]),
+    ("[" + "'a', " * 6000 + "]", ["a"] * 6000),
+    ("[" + "'a'," * 490 + "]", ["a"] * 490),
+    ("[u'a', r'b\\n', 'c']", ["a", "b\\n", "c"]),
 ]
 
 SCORES = [
@@ -57,6 +76,32 @@ SCORES = [
     ("{'coherence': 1, 'coherence': 2}", 2),
     ("[1, {'coherence': 3}]", 3),
     (None, None),
+    ("{'coherence': '\\ud800'}", None),
+    ("{'\\ud800': 3, 'coherence': 4}", 4),
+    ("{'coherence': '٣'}", 3),
+    ("{'coherence': '  4 '}", 4),
+    ("{'coherence': b' 4\\n'}", 4),
+    ("{'coherence': b'\\xff'}", None),
+    ("{'coherence': '" + "1" * 5000 + "'}", None),
+    # at the edges of the plain grammar
+    ("{}", None),
+    ("{ 'coherence' :\t3 , \"correctness\":0,\n}", 3),
+    ("{'coherence': 03}", None),
+    ("{'coherence': 03.5}", 3),
+    ("{'coherence': -0}", 0),
+    ("{'coherence': 2.}", 2),
+    ("{'coherence': .5}", 0),
+    ("{'coherence': +2}", 2),
+    ("{'coherence': 1234567890}", 5),
+    ("{'coherence': 2,, 'x': 1}", None),
+    ("{'coherence': 2 'x': 1}", None),
+    ("{'co' 'herence': 2}", 2),
+    ("{\"coherence\": 5, 'coherence': 1}", 1),
+    ("{'a\\n': 1, 'coherence': 2}", 2),
+    ("{'coherence': 1_0}", 5),
+    ("{'coherence': 2j}", None),
+    ("{" + ", ".join(f"'k{i}': {i}" for i in range(2000)) + ", 'coherence': 2}", 2),
+    ("{" + ", ".join(f"'k{i}': {i}" for i in range(140)) + ", 'coherence': 2}", 2),
 ]
 
 
@@ -88,6 +133,38 @@ def test_parse_scores_golden(spark):
         assert got[i] == want, t
 
 
+def test_both_routes_agree(spark, monkeypatch):
+    """Whatever the plain grammar takes, Python reads alike."""
+    from lexigen.functions import parse
+
+    lists = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LISTS)], "i int, t string")
+    scores = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SCORES)], "i int, t string")
+
+    def both():
+        return [sorted(map(tuple, df.select("i", f("t")).collect())) for df, f in ((lists, parse_list), (scores, parse_scores))]
+
+    two = both()
+    assert lists.filter(parse._plain(F.get(parse.bracket_spans("t"), F.lit(0)), parse.PLAIN_LIST)).count() >= 8
+    assert scores.filter(parse._plain(parse.brace_span("t"), parse.PLAIN_SCORES)).count() >= 8
+    monkeypatch.setattr(parse, "PLAIN_CHARS", -1)
+    assert both() == two
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("{}[]'\",: \\\n\t013.-a")), max_size=14), min_size=30, max_size=60))
+def test_both_routes_agree_on_any_text(spark, texts):
+    from lexigen.functions import parse
+
+    rows = [(t,) for t in texts] + [("{'coherence'" + t[:5] + ": 3" + t[5:] + "}",) for t in texts] + [("['a'" + t + "]",) for t in texts]
+    df = spark.createDataFrame(rows, "t string")
+    two = [tuple(r) for r in df.select(parse_list("t"), parse_scores("t")).collect()]
+    limit, parse.PLAIN_CHARS = parse.PLAIN_CHARS, -1
+    try:
+        assert [tuple(r) for r in df.select(parse_list("t"), parse_scores("t")).collect()] == two
+    finally:
+        parse.PLAIN_CHARS = limit
+
+
 _alphabet = st.sampled_from(list("ab '\"\\\t\n\r\x0b\x00\x7f\xa0\xe9 ​　[]") + ["\U0001F600"])
 
 
