@@ -44,6 +44,11 @@ def _plain(span: Column, grammar: str) -> Column:
     return F.coalesce((F.length(span) <= PLAIN_CHARS) & span.rlike(grammar), F.lit(False))
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _unquoted(c: Column) -> Column:
     return F.substring(c, F.lit(2), F.length(c) - 2)
 
@@ -84,8 +89,9 @@ def parse_list(c) -> Column:
     """Free text -> ``array<string>``: the items of the first ``[...]`` span after the last
     ``Output:`` that is a list, stripped, without blank ones; empty when there is none."""
     spans = bracket_spans(strip(after_last(_c(c), "Output:")))
-    plain = _plain(F.get(spans, F.lit(0)), PLAIN_LIST)
-    items = F.when(plain, _plain_items(F.get(spans, F.lit(0)))).otherwise(_first_items(F.when(~plain & (F.size(spans) > 0), spans)))
+    first = lambda s: F.get(s, F.lit(0))
+    others = _once(spans, lambda s: F.when((F.size(s) > 0) & ~_plain(first(s), PLAIN_LIST), s))
+    items = F.coalesce(_once(spans, lambda s: F.when(_plain(first(s), PLAIN_LIST), _plain_items(first(s)))), _first_items(others))
     shown = F.transform(items, lambda s: strip(s))
     found = F.coalesce(F.filter(shown, lambda s: s != F.lit("")), F.array().cast("array<string>"))
     return F.when(_c(c).isNotNull(), found)
@@ -125,8 +131,7 @@ def _plain_numbers(span: Column) -> Column:
     pair = F.lit(rf"({_QUOTED}){_GAP}:{_GAP}({_NUMBER})")
     names = F.reverse(F.transform(F.regexp_extract_all(span, pair, 1), _unquoted))
     numbers = F.reverse(F.regexp_extract_all(span, pair, 2))
-    both = F.array(F.struct(names.alias("names"), numbers.alias("numbers")))
-    return F.get(F.transform(both, lambda x: _under_names(x["names"], x["numbers"])), F.lit(0))
+    return _once(F.struct(names.alias("names"), numbers.alias("numbers")), lambda x: _under_names(x["names"], x["numbers"]))
 
 
 def _score(value: Column) -> Column:
@@ -139,8 +144,7 @@ def parse_scores(c) -> Column:
     """Free text -> ``struct<8 x int>`` from the span between the first ``{`` and the last ``}``;
     each 0..5 (cut to a whole number, kept within the scale) or null."""
     span = brace_span(_c(c))
-    plain = _plain(span, PLAIN_SCORES)
-    numbers = F.when(plain, _plain_numbers(span)).otherwise(_raw_numbers(F.when(~plain & (span != ""), span)))
+    others = _once(span, lambda s: F.when((s != "") & ~_plain(s, PLAIN_SCORES), s))
+    numbers = F.coalesce(_once(span, lambda s: F.when(_plain(s, PLAIN_SCORES), _plain_numbers(s))), _raw_numbers(others))
     scores = F.coalesce(F.transform(numbers, _score), F.array().cast("array<int>"))
-    row = F.transform(F.array(scores), lambda s: F.struct(*[F.get(s, F.lit(i)).alias(k) for i, k in enumerate(SCORE_COLUMNS)]))
-    return F.get(row, F.lit(0))
+    return _once(scores, lambda s: F.struct(*[F.get(s, F.lit(i)).alias(k) for i, k in enumerate(SCORE_COLUMNS)]))
