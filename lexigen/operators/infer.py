@@ -14,9 +14,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lexigen.functions.prompts import (
     COMPLETION_HEAD,
@@ -84,6 +85,44 @@ def batch_generate(
     return df.withColumn(out_col, udf(F.col(prompt_col)))
 
 
+def _checked_keys(df: DataFrame, key: str) -> None:
+    """Keys say which rows are done, so each row needs one of its own."""
+    own = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(key).isNull()).first()
+    if own is not None:
+        raise ValueError(f"{key} has to be set and different in every row: {own[0]!r}")
+
+
+def generate_missing(
+    df: DataFrame,
+    prompt_col: str,
+    out_col: str,
+    factory: Callable,
+    path: str,
+    key: str = "case_id",
+    **how,
+) -> DataFrame:
+    """Add ``out_col`` like :func:`batch_generate`, keeping what is generated under ``path`` (a shared folder).
+
+    Every task's file is committed as the task ends (Hadoop's second commit algorithm), so a run that breaks off keeps
+    the partitions it finished, and a lost executor costs its running tasks. The next run reads the keys that are there and calls
+    the generator for the others alone; a run over a table that has grown generates the new rows. Returns the rows of ``df`` with what
+    ``path`` holds for them. Keys are set and unique; a key's prompt is taken not to change between runs.
+    """
+    _checked_keys(df, key)
+    spark, out = df.sparkSession, StructField(out_col, StringType(), True)
+    kept = StructType([df.schema[key], out])
+    try:
+        done = spark.read.schema(kept).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        done = None
+    missing = df.select(key, prompt_col) if done is None else df.select(key, prompt_col).join(done.select(key), key, "left_anti")
+    made = batch_generate(missing, prompt_col, out_col, factory, **how).select(key, out_col)
+    made.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+    return df.join(spark.read.schema(kept).parquet(path), key)
+
+
 def predict(
     pairs: DataFrame,
     factory: Callable,
@@ -91,12 +130,17 @@ def predict(
     key: str | None = "case_id",
     batch_size: int = GENERATION_BATCH_SIZE,
     max_new_tokens: int | None = None,
+    resume: str | None = None,
 ) -> DataFrame:
-    """pairs(prompt, response) -> (key, prompt, reference, generated[, model])."""
+    """pairs(prompt, response) -> (key, prompt, reference, generated[, model]). With ``resume``, a shared folder,
+    a broken run is taken up where it ended (:func:`generate_missing`)."""
     keep = [key] if key and key in pairs.columns else []
     x = pairs.select(*keep, "prompt", F.col("response").alias("reference"),
                      render_completion_prompt("prompt").alias("_input"))
-    out = batch_generate(x, "_input", "generated", factory, batch_size, max_new_tokens=max_new_tokens).drop("_input")
+    if resume is None:
+        out = batch_generate(x, "_input", "generated", factory, batch_size, max_new_tokens=max_new_tokens).drop("_input")
+    else:
+        out = generate_missing(x, "_input", "generated", factory, resume, key, batch_size=batch_size, max_new_tokens=max_new_tokens).drop("_input")
     return out if model is None else out.withColumn("model", F.lit(model))
 
 

@@ -32,6 +32,7 @@ SPLIT_SEED = 42
 TEST_FRACTION = 0.2
 TRAIN_BATCH = 6
 EPOCHS = 7
+SHORT_PROMPT = 400
 BASELINE_STRIDE = 8
 VOCAB_SIZE = 1000
 NEW_TOKENS = 7
@@ -81,6 +82,14 @@ def q_predict_baseline(spark, d):
     return I.predict(PA.to_pairs(FX.cases(spark, d)), I.EveryNthWord(BASELINE_STRIDE))
 
 
+def q_predict_resumed(spark, d):
+    """A run over the short prompts, taken up by a run over all: what is there is not generated again."""
+    ship_package(spark)
+    pairs, path = PA.to_pairs(FX.cases(spark, d)), scratch_path(spark, "predictions")
+    I.predict(pairs.filter(F.length("prompt") < SHORT_PROMPT), I.EveryNthWord(BASELINE_STRIDE), resume=path)
+    return I.predict(pairs, I.EveryNthWord(BASELINE_STRIDE), resume=path)
+
+
 def q_pairs(spark, d):
     return PA.to_pairs(FX.cases(spark, d))
 

@@ -339,6 +339,10 @@ def sql_predict_baseline() -> str:
     )
 
 
+def sql_predict_resumed() -> str:
+    return sql_predict_baseline()
+
+
 def sql_prompt_completion() -> str:
     return _q(f"SELECT case_id, {completion_prompt('input_findings')} AS prompt FROM cases", CASES)
 

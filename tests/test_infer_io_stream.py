@@ -2,7 +2,9 @@
 
 import os
 import sys
+import time
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark import cloudpickle
@@ -51,6 +53,59 @@ def test_predict_keeps_rows(spark):
     assert r["generated"] == " ".join(r["prompt"].split()[::3])
 
 
+class Tally:
+    """Generator that writes down every prompt it answers, and stops at ``bad`` while the file ``stop`` is there."""
+
+    cache_key = None
+
+    def __init__(self, folder, bad=()):
+        self.folder, self.bad = folder, set(bad)
+
+    def __call__(self):
+        import uuid
+
+        def gen(prompts):
+            if self.bad & set(prompts) and os.path.exists(f"{self.folder}/stop"):
+                while len(os.listdir(self.folder)) < 4:  # the other partitions are under way
+                    time.sleep(0.1)
+                time.sleep(2)
+                raise RuntimeError("broken off")
+            with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\n".join(prompts))
+            return [p.upper() for p in prompts]
+
+        return gen
+
+
+def answered(folder):
+    return Counter(p for f in os.listdir(folder) if f != "stop" for p in open(f"{folder}/{f}").read().split("\n"))
+
+
+def test_broken_generation_is_taken_up(spark, tmp_dir):
+    """The finished partitions of a run that broke off stay; every prompt is answered once in all."""
+    path, folder = f"{tmp_dir}/made", f"{tmp_dir}/calls"
+    os.makedirs(folder)
+    open(f"{folder}/stop", "w").close()
+    df = spark.range(40).select(F.col("id").alias("case_id"), F.concat(F.lit("p"), "id").alias("p")).repartitionByRange(4, "case_id")
+    with pytest.raises(Exception, match="broken off"):
+        I.generate_missing(df, "p", "g", Tally(folder, ["p5"]), path)
+    first = answered(folder)
+    assert 0 < len(first) < 40 and set(first.values()) == {1}
+    os.remove(f"{folder}/stop")
+    out = I.generate_missing(df, "p", "g", Tally(folder, ["p5"]), path)
+    assert sorted((r.case_id, r.g) for r in out.collect()) == [(i, f"P{i}") for i in range(40)]
+    assert answered(folder) == Counter(f"p{i}" for i in range(40))
+    # nothing is missing: no call; a grown table: its new rows alone
+    I.generate_missing(df, "p", "g", Tally(folder), path)
+    assert answered(folder) == Counter(f"p{i}" for i in range(40))
+    more = df.unionByName(spark.createDataFrame([(99, "p99")], df.schema))
+    assert I.generate_missing(more, "p", "g", Tally(folder), path).count() == 41
+    assert answered(folder) == Counter([f"p{i}" for i in range(40)] + ["p99"])
+    for bad in (df.union(df), more.withColumn("case_id", F.lit(None).cast("long")).limit(1)):
+        with pytest.raises(ValueError, match="case_id"):
+            I.generate_missing(bad, "p", "g", Tally(folder), path)
+
+
 def test_judge_pipeline(spark):
     cases = FX.cases(spark, SF_SMALL)
     gen = J.generate_impressions(cases, I.ListEcho())
