@@ -9,6 +9,8 @@ prefix follows from the last tokens of shorter prefixes, in time linear in the s
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Callable, Sequence
 
 
@@ -39,6 +41,7 @@ class PrefixDP:
         self.longest = max(len(t) - (len(end) if end and t.endswith(end) else 0) for t in vocab)
         self._whole: dict[str, bool] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
+        self._latest: tuple = (None, None)
 
     def whole(self, token: str) -> bool:
         """Whether merging the token's own characters gives the token."""
@@ -92,11 +95,29 @@ class PrefixDP:
                         break
         return last, count
 
+    def latest_prefixes(self, word: str) -> tuple[list[str | None], list[int]]:
+        """:meth:`open_prefixes`, kept for the word asked last."""
+        if self._latest[0] != word:
+            self._latest = (word, self.open_prefixes(word))
+        return self._latest[1]
+
     def closed_count(self, word: str) -> int:
         """Tokens of the word with its end mark."""
-        last, count = self.open_prefixes(word[:-1])
+        last, count = self.latest_prefixes(word) if len(word) > 64 else self.open_prefixes(word[:-1])
         return count[len(word) - self.step(word, len(word), last, self.end)] + 1
 
+    def longest_closed(self, opened: tuple[list[str | None], list[int]], word: str, budget: int) -> int:
+        """Length of the longest prefix that makes at most ``budget`` tokens as a closed word, from the open prefixes. A closed prefix
+        has one token more than an open one at most ``longest`` letters shorter, so only those that could
+        do are looked at."""
+        last, count = opened
+        least = list(itertools.accumulate(reversed(count), min))[::-1]  # of this prefix and all longer ones
+        i = bisect.bisect_left(least, budget)  # no open prefix from here on has fewer
+        for n in range(min(len(word), i - 1 + self.longest), 0, -1):
+            if count[n - self.step(word, n, last, self.end)] + 1 <= budget:
+                return n
+        return 0
+
     def closed_counts(self, word: str) -> list[int]:
         """Tokens of every prefix 0..len(word), each taken as a closed word."""
         last, count = self.open_prefixes(word)

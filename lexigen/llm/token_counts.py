@@ -2,7 +2,10 @@
 
 For each text a table of running token counts is built, one entry per chunk between
 white space, with the prefix dynamic programme of :mod:`merge_dp` inside chunks. Any
-prefix's count and any budget's cut are then read off the table: nothing is encoded again.
+prefix's count and any budget's cut are then read off the table. Where a cut falls inside a chunk, the chunk gets a table of its
+own (:class:`ChunkTable`): running counts at its words, and the programme's counts at every prefix of the one word at the cut, so
+a chunk without white space costs time in proportion to its length. Only a prefix that ends within a character (between a letter
+and its combining marks) is counted from its word's beginning.
 
 Chunks are independent for this tokenizer: normalisation, special strings, the word
 pattern and merges never reach across white space. Words seen before are remembered in a
@@ -15,12 +18,14 @@ input other than those asked for are not returned; repeated rows are counted eac
 from __future__ import annotations
 
 import bisect
+import itertools
 import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from lexigen.llm.common import held, texts_of, with_columns
@@ -32,6 +37,7 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: The tokenizer's word pattern, on lower-case printable ASCII.
 _ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+")
 _PRINTABLE = re.compile("[!-~]*")
+_CHARACTER = regex.compile(r"\X|.", regex.DOTALL)
 
 
 def chunks(text: str) -> list[str]:
@@ -85,6 +91,15 @@ class WordCounter:
                 out += [w for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(norm)]
         return out
 
+    def words(self, text: str) -> list[tuple[str, int, int]]:
+        """Words of a normal form in the vocabulary's alphabet (a letter a byte), and where they start and end in it."""
+        if _PRINTABLE.fullmatch(text):
+            return [(m[0], *m.span()) for m in _ASCII_PIECES.finditer(text)]
+        return [(w, a, b) for w, (a, b) in self.rules.pre_tokenizer.pre_tokenize_str(text)]
+
+    def of_words(self, text: str) -> int:
+        return sum(self.of_word(w) for w, _, _ in self.words(text))
+
     def of_word(self, word: str) -> int:
         n = self._words.get(word)
         if n is None:
@@ -114,6 +129,83 @@ class WordCounter:
         return PrefixTable(self, text, parts, np.cumsum(np.array(counts, dtype=np.int64)))
 
 
+class ChunkTable:
+    """Token counts at the prefixes of a chunk without special strings."""
+
+    def __init__(self, counter: WordCounter, chunk: str):
+        self.counter, self.chunk = counter, chunk
+        norm = counter.rules.normalizer.normalize_str
+        #: Characters with their combining marks, and where each ends in the chunk and in its normal form.
+        self.marks = [m.end() for m in _CHARACTER.finditer(chunk)]
+        parts = [chunk.lower()] if chunk.isascii() else [norm(chunk[a:b]) for a, b in zip([0, *self.marks], self.marks, strict=False)]
+        self.text = "".join(parts)
+        #: False where characters act on one another beyond their marks; prefixes are then counted one by one.
+        self.local = chunk.isascii() or self.text == norm(chunk)
+        ends = range(1, len(chunk) + 1) if chunk.isascii() else itertools.accumulate(map(len, parts))
+        self.ends = list(ends)
+        words = counter.words(self.text) if self.local else []
+        self.words, self.word_starts, self.word_ends = ([w[k] for w in words] for k in range(3))
+        self.running = list(itertools.accumulate(map(counter.of_word, self.words), initial=0))
+        self._word: tuple = (-1, None, [])
+
+    def _of(self, text: str) -> int:
+        return sum(map(self.counter.of_word, self.counter.pieces(text)))
+
+    def _at(self, q: int) -> int:
+        """Tokens of the first ``q`` characters of the normal form."""
+        j = bisect.bisect_left(self.word_starts, q) - 1
+        if j < 0:
+            return 0
+        if q >= self.word_ends[j]:
+            return self.running[j + 1]
+        begun = self.text[self.word_starts[j] : q]
+        if begun.startswith("'"):  # a contraction: its beginning is read as other words
+            return self.running[j] + self.counter.of_words(begun)
+        (last, count), letters = self._opened(j)
+        n = letters[q - self.word_starts[j]]
+        return self.running[j] + count[n - self.counter.dp.step(self.words[j], n, last, self.counter.end)] + 1
+
+    def _opened(self, j: int) -> tuple[tuple[list, list[int]], list[int]]:
+        """The open prefixes of word ``j``, and its letters (bytes) before each of its places."""
+        if self._word[0] != j:
+            own = self.text[self.word_starts[j] : self.word_ends[j]]
+            sizes = itertools.repeat(1, len(own)) if own.isascii() else (len(c.encode("utf-8", "surrogatepass")) for c in own)
+            self._word = (j, self.counter.dp.latest_prefixes(self.words[j]), list(itertools.accumulate(sizes, initial=0)))
+        return self._word[1:]
+
+    def count(self, chars: int) -> int:
+        """Tokens of the first ``chars`` characters."""
+        if not self.local:
+            return self._of(self.chunk[:chars])
+        at = bisect.bisect_right(self.marks, chars) - 1
+        whole, done = (self.marks[at], self.ends[at]) if at >= 0 else (0, 0)
+        if whole == chars:
+            return self._at(done)
+        # part of a character: its word up to there, and what it makes by itself
+        j = max(0, bisect.bisect_left(self.word_starts, done) - 1)
+        start = self.word_starts[j] if self.word_starts and self.word_starts[j] < done else done
+        tail = self.text[start:done] + self.counter.rules.normalizer.normalize_str(self.chunk[whole:chars])
+        return self._at(start) + self.counter.of_words(tail)
+
+    def cut(self, budget: int) -> int:
+        """Characters of the longest prefix of at most ``budget`` tokens."""
+        inside = len(self.chunk)
+        if self.local and self.words and self.running[-1] > budget:
+            # the word in which the budget runs out; every prefix beyond it has more
+            j = bisect.bisect_left(self.running, budget, hi=len(self.words) - 1)
+            j -= self.running[j] > budget
+            end = self.word_ends[j]
+            if not self.text.startswith("'", self.word_starts[j]):
+                opened, letters = self._opened(j)
+                n = self.counter.dp.longest_closed(opened, self.words[j], budget - self.running[j])
+                end = self.word_starts[j] + bisect.bisect_right(letters, n) - 1
+            at = bisect.bisect_right(self.ends, end)  # the character after it may have a beginning that still fits
+            inside = self.marks[min(at, len(self.marks) - 1)]
+        while inside and self.count(inside) > budget:
+            inside -= 1
+        return inside
+
+
 class PrefixTable:
     """Running token counts of one text; answers prefix and budget questions."""
 
@@ -136,10 +228,31 @@ class PrefixTable:
                 at += len(p)
         return self._starts
 
+    def _segments(self, m: int) -> list[tuple[str, str]]:
+        """Chunk ``m`` as plain runs, each with the special string behind it ('' behind the last)."""
+        special = self.counter.special
+        found = special.split(self.parts[m]) if special else [self.parts[m]]
+        return list(zip(found[::2], [*found[1::2], ""], strict=True))
+
     def _inside(self, m: int, chars: int) -> int:
         """Tokens of the first ``chars`` characters of chunk ``m``."""
-        words = self.counter.pieces(self.parts[m][:chars])
-        return sum(map(self.counter.of_word, words))
+        done = 0
+        for plain, mark in self._segments(m):
+            if chars < len(plain) + max(1, len(mark)):
+                return done + ChunkTable(self.counter, plain + mark[:-1]).count(chars)
+            done += sum(map(self.counter.of_word, self.counter.pieces(plain))) + 1
+            chars -= len(plain) + len(mark)
+        return done
+
+    def _cut_inside(self, m: int, budget: int) -> int:
+        """Characters of the longest prefix of chunk ``m`` of at most ``budget`` tokens."""
+        at = 0
+        for plain, mark in self._segments(m):
+            own = sum(map(self.counter.of_word, self.counter.pieces(plain))) if mark else 0
+            if not mark or own + 1 > budget:
+                return at + ChunkTable(self.counter, plain + mark[:-1]).cut(budget)
+            budget, at = budget - own - 1, at + len(plain) + len(mark)
+        return at
 
     def count(self, chars: int) -> int:
         """Tokens of the text's first ``chars`` code points, exactly."""
@@ -160,14 +273,9 @@ class PrefixTable:
         if m == len(self.parts):
             return len(self.text)
         left = budget - (int(self.running[m - 1]) if m else 0)
-        part = self.parts[m]
         if left <= 0:
             return self.starts[m]
-        word = self.counter.dp.closed_counts(part) if part.isascii() and part.isalpha() and part.islower() else None
-        for inside in range(len(part) - 1, 0, -1):
-            if (word[inside] if word else self._inside(m, inside)) <= left:
-                return self.starts[m] + inside
-        return self.starts[m]
+        return self.starts[m] + self._cut_inside(m, left)
 
 
 def counter_for(path: str | None) -> WordCounter:

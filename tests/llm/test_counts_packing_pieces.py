@@ -1,6 +1,7 @@
 """Operators 1, 2 and 5 against the libraries, whole and at every prefix."""
 
 import random
+import time
 import zlib
 from functools import cache
 
@@ -62,6 +63,30 @@ def test_every_prefix_and_cut(text):
         assert table.cut(budget) == max(p for p, n in enumerate(real) if n <= budget)
 
 
+@settings(max_examples=120, deadline=None)
+@given(st.text(alphabet="abst'REéÉß漢字\u0301\u0323e가ᄀ1.,!<|endoftext|>\U0001f600", max_size=30), st.sampled_from(["", "<|endoftext|>", "<|startoftext|>x", "don't", "\u1100\u1161"]), st.integers(0, 12))
+def test_cut_inside_a_chunk(text, middle, budget):
+    tok, counter = library(), token_counts.counter_for(None)
+    text = text[: len(text) // 2] + middle + text[len(text) // 2 :]
+    real = [len(tok.encode(text[:p], add_special_tokens=False).ids) for p in range(len(text) + 1)]
+    table = counter.table(text)
+    assert table.every_prefix() == real
+    assert table.cut(budget) == max(p for p, n in enumerate(real) if n <= budget)
+
+
+@pytest.mark.parametrize("alphabet", ["漢字人大中国日本語学生先", "abcdefgh", "ab1,.", "éèüß", "a\u0301e\u0323", "漢a1!'s", "한국어"])
+def test_long_chunks_are_cut_in_linear_time(alphabet):
+    tok, counter, rng = library(), token_counts.counter_for(None), random.Random(4)
+    text = "".join(rng.choice(alphabet) for _ in range(100_000))
+    table = counter.table(text)
+    began = time.process_time()
+    at = table.cut(table.total // 3)
+    assert time.process_time() - began < 1.5
+    count = lambda p: len(tok.encode(text[:p], add_special_tokens=False).ids)
+    assert count(at) <= table.total // 3 < count(at + 1)
+    assert table.count(at) == count(at) and table.count(at + 1) == count(at + 1)
+
+
 def test_streaming_in_a_bounded_window(coder, piece_bpe):
     rng = random.Random(3)
     for alphabet in ("etaoinshr", "abc ", " ", "in", "漢字e\U0001f600 "):
