@@ -14,7 +14,8 @@ menus, notices, adverts, forms, comments and sidebars before, inside and after t
 Decisions are made page by page on the whole html.
 
 Null and empty html have an empty text; so have pages without a block of main text.
-Unclosed tags and comments, tags cut off by the end and stray end tags are read as browsers do, roughly.
+Unclosed tags and comments, tags cut off by the end and stray end tags are read as browsers do, roughly. Nested tags
+share their paths and are found by their places, so time and memory follow a page's length however deep its tags nest.
 Repeated rows are extracted each; empty tables give empty results; extra columns are ignored.
 """
 
@@ -23,9 +24,10 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,9 +61,28 @@ PATH_DIMS, WORD_DIMS, HIDDEN = 16, 8, 16
 SHAPE = 4  # marks of a block's shape, after its words
 
 
+class Path:
+    """Marks of the tags above a block, outermost first: a tag's own and the path it stands under, so that nested tags
+    share theirs. ``bits`` is the set of the marks' hash buckets."""
+
+    __slots__ = ("above", "marks", "bits")
+
+    def __init__(self, above: Path | None = None, marks: tuple[str, ...] = ()):
+        self.above, self.marks, self.bits = above, marks, above.bits if above else 0
+        for m in marks:
+            self.bits |= _bit(m)
+
+    def __iter__(self) -> Iterator[str]:
+        chain, at = [], self
+        while at is not None:
+            chain.append(at.marks)
+            at = at.above
+        return (m for marks in reversed(chain) for m in marks)
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]  # marks of the tags above, outermost first
+    path: Path
     text: str
     linked: int  # code points inside links
 
@@ -78,8 +99,10 @@ def _marks(name: str, attrs: str) -> tuple[str, ...]:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order; scripts, styles and comments hold none."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    held: Counter[str] = Counter()  # how often each tag is open
+    root = Path()
+    stack: list[tuple[str, Path]] = []
+    solid: list[int] = []  # places of the block-level tags in the stack
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of each tag
     parts: list[str] = []
     links = linked = 0
 
@@ -88,8 +111,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                path = tuple(m for name, marks in stack if name not in INLINE for m in marks)
-                out.append(Block(path, text, min(linked, len(text))))
+                out.append(Block(stack[-1][1] if stack else root, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -102,10 +124,15 @@ def blocks(page: str) -> list[Block]:
     def pop_to(i: int) -> None:
         nonlocal links
         for name, _ in stack[i:]:
-            held[name] -= 1
+            places[name].pop()
             links -= name == "a"
+        while solid and solid[-1] >= i:
+            solid.pop()
         del stack[i:]
 
+    def nearest(names) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=-1)
+
     at = 0
     while True:
         m = _TAG.search(page, at)
@@ -121,12 +148,9 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE:
             flush()
         if m["close"]:
-            for i in range(len(stack) - 1, -1, -1) if held[name] else ():
-                if stack[i][0] == name:
-                    pop_to(i)
-                    break
-                if name in INLINE and stack[i][0] not in INLINE:
-                    break
+            own = places[name]
+            if own and (name not in INLINE or not solid or own[-1] > solid[-1]):
+                pop_to(own[-1])
             continue
         if name == "br":
             parts.append(" ")
@@ -137,16 +161,17 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         if name not in INLINE:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] in CLOSES.get(name, ()):
-                    pop_to(i)
-                    break
-                if stack[i][0] not in INLINE and (stack[i][0] in _HOLDS or name not in CLOSES):
-                    break
+            ended = nearest({"p", *CLOSES[name]}) if name in CLOSES else nearest({"p"})
+            if ended >= 0 and (ended > nearest(_HOLDS) if name in CLOSES else ended == solid[-1]):
+                pop_to(ended)
         links += name == "a"
         if not m["attrs"].endswith("/"):
-            stack.append((name, _marks(name, m["attrs"])))
-            held[name] += 1
+            above = stack[-1][1] if stack else root
+            if name not in INLINE:
+                solid.append(len(stack))
+                above = Path(above, _marks(name, m["attrs"]))
+            places[name].append(len(stack))
+            stack.append((name, above))
         elif name == "a":
             links -= 1
     flush()
@@ -157,6 +182,11 @@ def _bucket(key: str, size: int) -> int:
     return xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass")) % (size - 1) + 1
 
 
+@lru_cache(100_000)
+def _bit(mark: str) -> int:
+    return 1 << _bucket(mark, PATHS)
+
+
 class Reader:
     """Blocks to hash buckets, remembered."""
 
@@ -177,13 +207,13 @@ class Reader:
         ends = block.text[-1] in ".!?…:;\"”»"
         return [*out, *(known.setdefault(k, _bucket(k, WORDS)) for k in (f"#size {size}", f"#links {share}", f"#ends {ends}", f"#copy {'©' in block.text}"))]
 
-    def path(self, path: tuple[str, ...]) -> list[int]:
-        out = self._paths.get(path)
+    def path(self, path: Path) -> list[int]:
+        bits = path.bits | (_bit(f"leaf {path.marks[-1]}") if path.marks else 0)
+        out = self._paths.get(bits)
         if out is None:
-            if len(self._paths) >= self.limit:
+            if len(self._paths) >= self.limit // 10:
                 self._paths.clear()
-            leaf = [f"leaf {m}" for m in path[-1:]]
-            out = self._paths[path] = sorted({_bucket(m, PATHS) for m in [*path, *leaf]})
+            out = self._paths[bits] = [i for i, b in enumerate(reversed(bin(bits))) if b == "1"]
         return out
 
 
