@@ -41,9 +41,14 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return lower_ascii(host), _PATH.match(url, at + 3 + len(host)).group()
 
 
-def suffixes(host: str) -> list[str]:
-    """The host and the domains it is in."""
-    return [host, *(host[i + 1 :] for i, c in enumerate(host) if c == ".")]
+def suffixes(host: str, labels: list[int]) -> list[str]:
+    """The host and the domains it is in, as far as they have one of these numbers of labels (ascending)."""
+    out, at, n = [], len(host), 0
+    while at >= 0 and labels and n < labels[-1]:
+        at, n = host.rfind(".", 0, at), n + 1
+        if n in labels:
+            out.append(host[at + 1 :])
+    return out
 
 
 def digest(text: str) -> int:
@@ -94,9 +99,9 @@ class DigestArray:
         return out
 
 
-def ship_rules(spark: SparkSession, rules: list[tuple[str, str]], name: str = "") -> tuple[str, list[int]]:
+def ship_rules(spark: SparkSession, rules: list[tuple[str, str]], name: str = "") -> tuple[str, list[int], list[int]]:
     """Write the digest array of (``host/path``, ``allow`` or ``block``) rules and hand its files
-    to all executors; returns its name and the rules' path lengths."""
+    to all executors; returns its name, the rules' path lengths and their hosts' numbers of labels."""
     for rule, verdict in rules:
         if verdict not in ("allow", "block"):
             raise ValueError(f"no verdict: {verdict!r} of {rule!r}")
@@ -106,16 +111,17 @@ def ship_rules(spark: SparkSession, rules: list[tuple[str, str]], name: str = ""
         DigestArray.write(((r, int(v == "block")) for r, v in rules), prefix)
         for part in DigestArray.PARTS:
             spark.sparkContext.addFile(f"{prefix}.{part}")
-    return name, sorted({len(r) - len(r.split("/", 1)[0]) for r, _ in rules})
+    hosts = [r.split("/", 1)[0] for r, _ in rules]
+    return name, sorted({len(r) - len(h) for (r, _), h in zip(rules, hosts, strict=True)}), sorted({h.count(".") + 1 for h in hosts})
 
 
-def judge(urls: list[str | None], array: DigestArray, lengths: list[int], default: str = "allow") -> list[tuple[str, str, str | None, str]]:
+def judge(urls: list[str | None], array: DigestArray, lengths: list[int], labels: list[int], default: str = "allow") -> list[tuple[str, str, str | None, str]]:
     """(host, path, rule, verdict) of each URL."""
     parts = [host_and_path(u) for u in urls]
     probes, owner, host_len = [], [], []
     for row, (host, path) in enumerate(parts):
         heads = [path[:n] for n in lengths if n <= len(path)]
-        for s in suffixes(host):
+        for s in suffixes(host, labels):
             for head in heads:
                 probes.append(s + head)
                 owner.append(row)
@@ -142,7 +148,7 @@ _ARRAYS: dict[str, DigestArray] = {}
 
 def filter_urls(df: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """Per row: id, ``host``, ``path``, ``rule`` (null: none fits) and ``verdict``."""
-    name, lengths = ship_rules(df.sparkSession, rules)
+    name, lengths, labels = ship_rules(df.sparkSession, rules)
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +156,7 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str]], id_col: str = "page
         if where not in _ARRAYS:
             _ARRAYS[where] = DigestArray(where)
         for batch in batches:
-            rows = judge(batch.column(url_col).to_pylist(), _ARRAYS[where], lengths, default)
+            rows = judge(batch.column(url_col).to_pylist(), _ARRAYS[where], lengths, labels, default)
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield with_columns(batch, [id_col], **{k: pa.array(v, pa.string()) for k, v in zip(("host", "path", "rule", "verdict"), columns, strict=True)})
 
