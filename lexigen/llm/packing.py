@@ -166,7 +166,8 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", max_tokens: int = 4096, max_
     pieces = without(pieces, "pack_group", "sequence_id", "offset")
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, -(-total // (max_tokens * group_sequences)))
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups)))
+    # the place in the stored table parts rows that share an id, have none or are equal in everything
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(id_col, "piece", F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values([id_col, "piece"], kind="stable")
