@@ -8,7 +8,7 @@ once every unvisited row lies farther off in the projection than the law's ``con
 quantile times the k-th best distance, a nearer row has been missed with a probability of at
 most 1 - confidence, and the search stops.
 
-Rows are dealt to blocks by a hash of the id; every block of queries meets every block of
+Rows are dealt to blocks by a hash of the id and their place in the table, so rows of one id spread; every block of queries meets every block of
 rows, and a query's best rows per block are merged. Every row is indexed.
 
 Vectors that are null, all zero, or hold a null or non-finite component take no part;
@@ -34,6 +34,7 @@ from lexigen.session import materialize
 LEAF = 64
 MAX_BLOCK_ROWS = 65_536
 MIN_BLOCK_ROWS = 4_096
+BLOCKS = 64  # before blocks grow beyond MIN_BLOCK_ROWS
 BLOCK_QUERIES = 512
 
 
@@ -136,7 +137,8 @@ def _blocks(rows: DataFrame, name: str, blocks: int) -> DataFrame:
         blob = _pack(part["id"].to_numpy(np.int64), np.stack(part["vector"].to_numpy()).astype(np.float64))
         return pd.DataFrame({"dims": [part["dims"].iloc[0]], name: [part[name].iloc[0]], f"{name}_blob": [blob]})
 
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    # the place in the table parts rows that share an id
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     return dealt.groupBy("dims", name).applyInPandas(gather, f"dims int, {name} int, {name}_blob binary")
 
 
@@ -154,8 +156,7 @@ def nearest(df: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_
     rows = usable(df)
     asked = rows if queries is None else usable(queries)
     n, n_asked = rows.count(), asked.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-n // MAX_BLOCK_ROWS), min(-(-n // MIN_BLOCK_ROWS), 2 * cores))
+    blocks = max(1, -(-n // min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, n // BLOCKS))))  # by the data alone
     index = _blocks(rows, "block", blocks)
     ask = materialize(_blocks(asked, "ask", max(1, -(-n_asked // BLOCK_QUERIES))), "query-blocks")
     met = ask.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index, ["dims", "block"])
