@@ -4,8 +4,8 @@ Lines are normalised (words joined by one space, A-Z lower-cased, digits as 0) a
 For each host the distinct documents of every line are counted; documents with the same
 text count once, so a page copied many times does not turn its own lines into boilerplate.
 A line above the host's limit is removed, and a document that loses ``depleted`` of its
-words or more is rejected. The limit of a host is the larger of ``min_docs`` and
-``share`` of its distinct documents.
+words or more is rejected. The limit of a host is ``share`` of its distinct documents, and at least ``min_docs``, a handful
+against chance.
 
 Base rules come first: too few words, or too many words in repeated 5-word windows.
 
@@ -29,6 +29,8 @@ from lexigen.session import materialize, spread
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _DIGITS = re.compile(r"[0-9]+")
+#: Lines in so few distinct texts of a host may be there by chance; beyond, the share of the host's texts decides.
+FEW_TEXTS = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
@@ -111,7 +113,7 @@ def frequent_lines(measured: DataFrame, host_col: str, min_docs: int, share: flo
     return lines, over
 
 
-def judge_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 100, share: float = 0.02, depleted: float = 0.9) -> DataFrame:
+def judge_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = FEW_TEXTS, share: float = 0.02, depleted: float = 0.9) -> DataFrame:
     """Per row: id, host, doc_key, base measures, ``base_failed``, ``n_removed_words`` (words in lines
     above the limit), ``removed_lines`` (their hashes; null: none) and ``kept``."""
     measured = materialize(measure(df, id_col, text_col, host_col), "line-measures")

@@ -142,7 +142,7 @@ norm AS (
   FROM (SELECT doc_id, source, t, regexp_extract_all(line, '{_WORD}') AS x FROM ln) WHERE len(x) > 0
 ),
 hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
-freq AS (SELECT source, line, count(DISTINCT t) AS n FROM norm GROUP BY source, line HAVING count(DISTINCT t) > 100),
+freq AS (SELECT source, line, count(DISTINCT t) AS n FROM norm GROUP BY source, line HAVING count(DISTINCT t) > 5),
 over AS (SELECT f.source, f.line FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 0.02 * h.n),
 lost AS (
   SELECT n.doc_id, sum(n.n_words) AS n FROM norm n JOIN over o ON n.source IS NOT DISTINCT FROM o.source AND n.line = o.line

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -21,7 +22,7 @@ from lexigen.llm.common import HashOf, lower_ascii
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_agrees(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     got = queries.QUERIES[name](spark, SF_SMALL)
     want = con.execute(queries.ORACLE_SQL[name])
@@ -218,3 +219,28 @@ def test_colliding_digests_are_told_apart(tmp_dir):
     found = array.find(asked, weak)
     assert [array.string(i) if i >= 0 else None for i in found] == [*stored, None, None, None]
     assert [int(array.verdicts[i]) for i in found[:40]] == list(stored.values())
+
+
+def test_hosts_of_many_labels():
+    """A long host costs no more than the labels of the rules."""
+    host = ".".join(["a"] * 20_000)
+    began = time.process_time()
+    assert url_filter.suffixes(f"{host}.example.net", [1, 2]) == ["net", "example.net"]
+    assert url_filter.suffixes(host, [20_000]) == [host]
+    assert time.process_time() - began < 0.2
+    for given in ("a.b.c", "", ".", "a..b", "net.", "net"):
+        every = [given, *(given[i + 1 :] for i, c in enumerate(given) if c == ".")]
+        assert sorted(url_filter.suffixes(given, list(range(1, 9)))) == sorted(every)
+        assert url_filter.suffixes(given, [2]) == [x for x in every if x.count(".") == 1]
+
+
+def test_line_rule_acts_on_small_hosts(spark):
+    """With the registered limits a share of a small host's texts decides: kept is more than the base rules."""
+    rng = random.Random(18)
+    letters = lambda i: "".join(chr(97 + int(c)) for c in str(100 + i))
+    menu = " ".join(f"entry{letters(i)}" for i in range(60))
+    rows = [(i, prose(rng, 50), "small") for i in range(60)] + [(100 + i, f"{menu}\n{letters(i)} page", "small") for i in range(9)]
+    rows += [(200 + i, f"{menu}\n{letters(i)} page", "other") for i in range(4)]
+    got = {r.doc_id: r for r in line_quality.judge_lines(docs_of(spark, rows)).collect()}
+    assert all(got[i].n_removed_words == 60 and not got[i].base_failed and not got[i].kept for i in range(100, 109))
+    assert all(got[i].kept for i, _, h in rows if h == "other" or i < 100)
