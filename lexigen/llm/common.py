@@ -119,12 +119,19 @@ def with_columns(batch: pa.RecordBatch, keep: list[str], **new: pa.Array) -> pa.
     return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *new.values()], names=[*keep, *new])
 
 
-#: Ids handed to every task at most; beyond it Spark joins by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Bytes of a table handed to every task at most; beyond it Spark joins by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def handed_out(df: DataFrame) -> DataFrame:
+    """A narrow table, marked to go to every task if it is measured to be small: 32 bytes a row and cell, and the
+    length of its texts and digests."""
+    cells = [F.lit(32) + (F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.simpleString() in ("string", "binary") else 0) for f in df.schema]
+    size = df.agg(F.sum(sum(cells[1:], cells[0]).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def by_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
-    """Semi or anti join of wide rows with a table of distinct ids. The ids are counted: up to
-    ``BROADCAST_IDS`` go to every task, so the wide rows stay where they are."""
-    small = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, on, how)
+    """Semi or anti join of wide rows with a table of distinct ids. A small one goes to every task,
+    so the wide rows stay where they are."""
+    return df.join(handed_out(ids), on, how)

@@ -10,8 +10,9 @@ The model is fitted on a bounded sample of labelled rows: at most ``max_positive
 and ``max_negative`` other rows, those of the smallest id hashes, among texts of up to
 ``max_chars`` code points. The decision threshold of each language is chosen on all rows that may be learnt
 from, whatever their number: rows of the sample are scored by models fitted without them (``FOLDS`` parts, dealt
-by text, so that copies stay together), all others by the model itself, on Spark, which returns counts per language
-and grid step. The threshold of best F1 over n positives then counts n parts and the common one ``ENOUGH`` parts
+by text, so that copies stay together), all others by the model itself. Every document is scored once; its id, language and score
+are stored, and labels join the stored scores, so thresholds read no text. Rows are counted per language and grid step on Spark. The
+threshold of best F1 over n positives then counts n parts and the common one ``ENOUGH`` parts
 (the common one likewise against 0.3). Scores read the text alone.
 
 Scoring reads whole texts in blocks, so memory does not grow with a text. Null and empty texts get the
@@ -33,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigen.llm.common import BROADCAST_IDS, held, texts_of, with_columns, words
-from lexigen.session import spread
+from lexigen.llm.common import by_ids, free_name, handed_out, held, texts_of, with_columns, words
+from lexigen.session import materialize, spread
 
 BUCKETS = 1 << 16
 FEATURES = 4
@@ -230,16 +231,17 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray, common: float = 0.3)
     return best_step(step_counts(scores, labels), common)
 
 
-def set_thresholds(model: ToxicityModel, by_lang: dict[str | None, np.ndarray], few: int = ENOUGH) -> None:
-    """Choose the common threshold and those of the languages with a positive, from counts per step."""
+def shrunk(counts: np.ndarray, towards: float, few: int = ENOUGH) -> float:
+    """The best step of some rows, drawn towards a threshold as if ``few`` positives spoke for that."""
+    n = counts[:, 1].sum()
+    return float((n * best_step(counts, towards) + few * towards) / (n + few))
 
-    def shrunk(counts: np.ndarray, towards: float) -> float:
-        n = counts[:, 1].sum()
-        return float((n * best_step(counts, towards) + few * towards) / (n + few))
 
+def set_thresholds(model: ToxicityModel, by_lang: dict[str | None, np.ndarray], few: int = ENOUGH) -> None:
+    """Choose the common threshold and those of the languages with a positive, from counts per step."""
     if by_lang:
-        model.threshold = shrunk(sum(by_lang.values()), 0.3)
-    model.by_lang = {g: shrunk(c, model.threshold) for g, c in by_lang.items() if g is not None and c[:, 1].sum()}
+        model.threshold = shrunk(sum(by_lang.values()), 0.3, few)
+    model.by_lang = {g: shrunk(c, model.threshold, few) for g, c in by_lang.items() if g is not None and c[:, 1].sum()}
 
 
 def unseen_counts(texts: list[str], labels: list[int], langs: list[str | None], seed: int, fold: int) -> dict[str | None, np.ndarray]:
@@ -267,14 +269,19 @@ def on_tasks(spark: SparkSession, f, items: range) -> list:
     return [pickle.loads(r[0]) for r in done]
 
 
-def fit_calibrated(texts: list[str], labels: list[int], langs: list[str | None], few: int = ENOUGH, seed: int = 7, each=map, others=None) -> ToxicityModel:
-    """Fit on all rows; choose thresholds on the same rows as scored by models that have not seen them (``each``
-    maps over the folds), and on what ``others`` returns for the model: counts per language and step of further rows."""
-    model = fit(texts, labels, seed=seed)
+def fit_counted(texts: list[str], labels: list[int], langs: list[str | None], seed: int = 7, each=map) -> tuple[ToxicityModel, dict[str | None, np.ndarray]]:
+    """A model of all rows, and the rows per language and step as scored by models that have not seen them
+    (``each`` maps over the folds)."""
     by_lang: dict[str | None, np.ndarray] = {}
-    for part in [*each(partial(unseen_counts, texts, labels, langs, seed), range(FOLDS)), others(model) if others else {}]:
+    for part in each(partial(unseen_counts, texts, labels, langs, seed), range(FOLDS)):
         for lang, counts in part.items():
             by_lang[lang] = by_lang.get(lang, 0) + counts
+    return fit(texts, labels, seed=seed), by_lang
+
+
+def fit_calibrated(texts: list[str], labels: list[int], langs: list[str | None], few: int = ENOUGH, seed: int = 7) -> ToxicityModel:
+    """Fit on all rows; choose thresholds on the same rows."""
+    model, by_lang = fit_counted(texts, labels, langs, seed)
     set_thresholds(model, by_lang, few)
     return model
 
@@ -306,34 +313,67 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return [(r[0], int(r[1]), r[2]) for r in sorted(rows.collect(), key=lambda r: (r[3], r[0]))]
 
 
-def other_counts(model: ToxicityModel, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str, max_positive: int, max_negative: int, max_chars: int) -> dict[str | None, np.ndarray]:
-    """Counts per language and step of all labelled rows outside the sample, whole texts, scored on Spark."""
-    chosen = chosen_ids(labels, id_col, label_col, max_positive, max_negative).select(id_col, F.lit(True).alias("chosen"))
-    marks = labelled(labels, id_col, label_col).filter(F.col("mark").isin(0, 1)).join(F.broadcast(chosen), id_col, "left")
-    small = marks.count() <= BROADCAST_IDS
-    names = {id_col: "id", text_col: "text", lang_col: "lang"}
-    rows = (
-        spread(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())))
-        .join(F.broadcast(marks.withColumnRenamed(id_col, "id")) if small else marks.withColumnRenamed(id_col, "id"), "id")
-        .filter(F.col("chosen").isNull() | F.coalesce(F.length("text") > max_chars, F.lit(True)))
-        .select("text", F.col("lang").cast("string").alias("lang"), F.col("mark").cast("int").alias("mark"))
+def text_key(text_col: str, lang_col: str):
+    """A digest of a row's language and text, as a column: rows with the same one have the same verdict."""
+    lang = F.coalesce(F.concat(F.lit("="), F.col(f"`{lang_col}`").cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(lang, F.lit("\n"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("binary")))
+
+
+def stored_scores(docs: DataFrame, model: ToxicityModel | None, id_col: str, text_col: str, lang_col: str, max_chars: int) -> DataFrame:
+    """(id, lang, text_key, long, score) of every row, scored once and stored; ``long``: over ``max_chars``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the data
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(
+        F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{lang_col}`").cast("string").alias("lang"),
+        text_key(text_col, lang_col).alias("text_key"),
+        F.coalesce(F.length(f"`{text_col}`") > max_chars, F.lit(True)).alias("long"),
+        F.col(f"`{text_col}`").alias("text"),
     )
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(("nothing",))
-        table = ProjectionTable(sent.value)
+        table = ProjectionTable(sent.value) if sent.value else None
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                yield with_columns(batch, ["lang", "mark"], step=pa.array(steps(table.scores(texts_of(batch, "text"))), pa.int32()))
+                scores = table.scores(texts_of(batch, "text")) if table else [0.0] * batch.num_rows
+                yield with_columns(batch, ["id", "lang", "text_key", "long"], score=pa.array(scores, pa.float64()))
 
-    out: dict[str | None, np.ndarray] = {}
-    for r in rows.mapInArrow(run, "lang string, mark int, step int").groupBy("lang", "mark", "step").count().collect():
-        out.setdefault(r["lang"], np.zeros((len(GRID) + 1, 2), np.int64))[r["step"], r["mark"]] += r["count"]
+    return materialize(spread(rows).mapInArrow(run, f"id {id_type}, lang string, text_key binary, long boolean, score double"), "toxicity-scores")
+
+
+def other_counts(scores: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_positive: int, max_negative: int) -> DataFrame:
+    """(lang, mark, step, n): the labelled rows outside the sample, from their stored scores."""
+    chosen = chosen_ids(labels, id_col, label_col, max_positive, max_negative).select(F.col(id_col).alias("id"), F.lit(True).alias("chosen"))
+    marks = labelled(labels, id_col, label_col).filter(F.col("mark").isin(0, 1)).select(F.col(id_col).alias("id"), F.col("mark").cast("int").alias("mark"))
+    marks = marks.join(F.broadcast(chosen), "id", "left")  # at most max_positive + max_negative rows
+    step = F.size(F.filter(F.array(*[F.lit(float(g)) for g in GRID]), lambda g: g <= F.col("score")))
+    others = scores.join(marks, "id").filter(F.col("chosen").isNull() | F.col("long"))
+    return others.groupBy("lang", "mark", step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _table(rows) -> np.ndarray:
+    """Counts (steps, 2) of rows (mark, step, n)."""
+    out = np.zeros((len(GRID) + 1, 2), np.int64)
+    for mark, step, n in rows:
+        out[step, mark] += n
     return out
 
 
+def thresholds(counts: DataFrame, few: int = ENOUGH) -> tuple[float, DataFrame]:
+    """The common threshold, and (lang, threshold) of the languages with a positive, from (lang, mark, step, n)."""
+    total = _table(counts.groupBy("mark", "step").agg(F.sum("n")).collect())  # two marks, some twenty steps
+    common = shrunk(total, 0.3, few)
+
+    def of_lang(rows: pa.Table) -> pa.Table:
+        own = _table(zip(*(rows.column(c).to_pylist() for c in ("mark", "step", "n")), strict=True))
+        found = [(rows.column("lang")[0].as_py(), shrunk(own, common, few))] if own[:, 1].sum() else []
+        return pa.table({"lang": pa.array([f[0] for f in found], pa.string()), "threshold": pa.array([f[1] for f in found], pa.float64())})
+
+    return common, counts.filter("lang IS NOT NULL").groupBy("lang").applyInArrow(of_lang, "lang string, threshold double")
+
+
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -344,33 +384,33 @@ def score_toxicity(
     max_positive: int = 1500,
     max_negative: int = 2500,
     max_chars: int = 20_000,
-    extra: list[str] | None = None,
-    names: tuple[str, str] = ("score", "flagged"),
     trained_on: DataFrame | None = None,
 ) -> DataFrame:
-    """Per row of ``docs``: id, ``extra`` columns and, under ``names``, ``score`` and ``flagged`` (score at or above the
+    """Per row of ``docs``: id, ``text_key``, ``score`` and ``flagged`` (score at or above the
     threshold of the row's language). ``labels`` must hold only rows that may be learnt from;
     their texts are looked up in ``trained_on`` (``docs`` if not given)."""
-    given = (docs if trained_on is None else trained_on, labels, id_col, text_col, lang_col, label_col, max_positive, max_negative, max_chars)
-    rows = training_sample(*given)
-    model = fit_calibrated(*(list(x) for x in zip(*rows, strict=True)), each=partial(on_tasks, docs.sparkSession), others=lambda m: other_counts(m, *given)) if len({r[1] for r in rows}) == 2 else None
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the data
-    keep = [c for c in dict.fromkeys([id_col, *(extra or [])]) if c not in names]
-    kind = {f.name: f.dataType.simpleString() for f in docs.schema}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held(("nothing",))
-        model = sent.value
-        table = ProjectionTable(model) if model else None
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                langs = batch.column(lang_col).to_pylist()
-                scores = table.scores(texts_of(batch, text_col)) if table else []
-                scores = scores or [0.0] * batch.num_rows
-                flagged = [bool(model) and s >= model.by_lang.get(g, model.threshold) for s, g in zip(scores, langs, strict=True)]
-                yield with_columns(batch, keep, **{names[0]: pa.array(scores, pa.float64()), names[1]: pa.array(flagged, pa.bool_())})
-
-    columns = list(dict.fromkeys([*keep, text_col, lang_col]))
-    schema = ", ".join(f"`{c}` {kind[c]}" for c in keep)
-    return spread(docs.select(*columns)).mapInArrow(run, f"{schema}, `{names[0]}` double, `{names[1]}` boolean")
+    spark, source = docs.sparkSession, docs if trained_on is None else trained_on
+    rows = training_sample(source, labels, id_col, text_col, lang_col, label_col, max_positive, max_negative, max_chars)
+    model, sample = None, {}
+    if len({r[1] for r in rows}) == 2:
+        model, sample = fit_counted(*(list(x) for x in zip(*rows, strict=True)), each=partial(on_tasks, spark))
+    scores = stored_scores(docs, model, id_col, text_col, lang_col, max_chars)
+    out = scores.select(F.col("id").alias(id_col), "text_key", "score", "lang")
+    if model is None:
+        return out.select(id_col, "text_key", "score", F.lit(False).alias("flagged"))
+    learnt = scores if trained_on is None else stored_scores(trained_on, model, id_col, text_col, lang_col, max_chars)
+    seen = [(lang, mark, step, int(n)) for lang, c in sample.items() for (step, mark), n in np.ndenumerate(c) if n]  # rows of the sample at most
+    counts = other_counts(learnt, labels, id_col, label_col, max_positive, max_negative)
+    counts = counts.union(spark.createDataFrame(seen, "lang string, mark int, step int, n long"))
+    common, by_lang = thresholds(materialize(counts, "toxicity-counts"))
+    by_lang = by_lang.withColumnRenamed("lang", "of_lang")
+    flagged = F.col("score") >= F.coalesce("threshold", F.lit(common))
+    return out.join(handed_out(by_lang), F.col("lang") == F.col("of_lang"), "left").select(id_col, "text_key", "score", flagged.alias("flagged"))
+
+
+def reject_toxic(docs: DataFrame, scored: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are not flagged, as they are."""
+    key = free_name(docs, "text_key")
+    gone = scored.filter("flagged").select(F.col("text_key").alias(key)).distinct()
+    left = by_ids(docs.withColumn(key, text_key(text_col, lang_col)), gone, key, "left_anti")
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,6 +1,8 @@
 """Operators 7, 9 and 10: held-out accuracy, recall against brute force, other page layouts."""
 
+import copy
 import random
+import time
 import zlib
 
 import numpy as np
@@ -64,10 +66,13 @@ def test_thresholds_count_every_labelled_row(spark):
     rows, marks = toxic_docs(300)
     rows.append((900, "vilest " + prose(random.Random(1), 4000), "s", "fr"))
     docs, labels = docs_of(spark, [*rows, rows[0]]), spark.createDataFrame([*marks, (900, 1)], "doc_id long, toxic int")
-    given = (docs, labels, "doc_id", "text", "lang", "toxic", 20, 30, 20_000)
-    sample = toxicity.training_sample(*given)
+    sample = toxicity.training_sample(docs, labels, "doc_id", "text", "lang", "toxic", 20, 30, 20_000)
     model = toxicity.fit([t for t, _, _ in sample], [m for _, m, _ in sample], epochs=1)
-    got = toxicity.other_counts(model, *given)
+    stored = toxicity.stored_scores(docs, model, "doc_id", "text", "lang", 20_000)
+    counts = toxicity.other_counts(stored, labels, "doc_id", "toxic", 20, 30)
+    got = {}
+    for r in counts.collect():
+        got.setdefault(r.lang, np.zeros((len(toxicity.GRID) + 1, 2), int))[r.step, r.mark] += r.n
     mark, want = {**dict(marks), 900: 1}, {}
     for i, text, _, lang in [*rows, rows[0]]:
         want.setdefault(lang, np.zeros((len(toxicity.GRID) + 1, 2), int))[toxicity.steps(model.score(text)), mark[i]] += 1
@@ -75,6 +80,82 @@ def test_thresholds_count_every_labelled_row(spark):
         want[lang][toxicity.steps(model.score(text)), m] -= 1
     assert len(sample) in (50, 51) and {k: c.tolist() for k, c in got.items()} == {k: c.tolist() for k, c in want.items() if c.any()}
     assert got["fr"].sum() == 1  # longer than the sample takes
+    toxicity.set_thresholds(model, got)
+    common, by_lang = toxicity.thresholds(counts)
+    assert common == model.threshold and {r.lang: r.threshold for r in by_lang.collect()} == model.by_lang
+
+
+def straight_score(model, text):
+    """The convolution written out: every filter at every place of the whole text."""
+    ids = [toxicity.word_features(w) for w in text.split()]
+    ids += [[0] * toxicity.FEATURES] * (3 - len(ids))
+    x = [sum(model.embed[f].astype(float) for f in row) for row in ids]
+    z = model.offset
+    for k, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            places = [sum(float(x[p + o] @ model.filters[k][o][:, f].astype(float)) for o in range(width)) for p in range(len(x) - width + 1)]
+            z += max(0.0, max(places) + model.bias[k][f]) * model.out[k * toxicity.FILTERS + f]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_equal_a_straight_convolution():
+    rows, marks = toxic_docs(80)
+    model = toxicity.fit([r[1] for r in rows], [t for _, t in marks], epochs=2)
+    for text in ["", "one", "two words", *(r[1] for r in rows[:25])]:
+        assert model.score(text) == pytest.approx(straight_score(model, text), abs=1e-4)
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_gradient(label):
+    """The first step's sizes give the gradients back; they equal differences of the loss."""
+    text, rate, start = "alpha Nasty, beta gamma vilest delta", 0.05, None
+    texts, labels = [text], [label]
+    start, after = (toxicity.fit(texts, labels, epochs=e, rate=rate) for e in (0, 1))
+
+    def loss(model):
+        p = straight_score(model, text)
+        return -np.log(p if label else 1 - p)
+
+    def gradient(step):
+        r = np.clip(-np.asarray(step, float) / rate, -0.999999, 0.999999)
+        return np.sign(r) * np.sqrt(1e-2 * r * r / (1 - r * r))
+
+    def slope(change, h=1e-4):
+        up, down = copy.deepcopy(start), copy.deepcopy(start)
+        change(up, h)
+        change(down, -h)
+        return (loss(up) - loss(down)) / (2 * h)
+
+    def at_out(k):
+        def change(m, h):
+            m.out[k] += h
+
+        return change
+
+    def at_bias(k, f):
+        def change(m, h):
+            m.bias[k][f] += h
+
+        return change
+
+    def at_filter(k, place):
+        def change(m, h):
+            m.filters[k] = m.filters[k].astype(float)
+            m.filters[k][place] += h
+
+        return change
+
+    def at_offset(m, h):
+        m.offset += h
+
+    assert gradient(after.offset - start.offset) == pytest.approx(slope(at_offset), rel=1e-3)
+    for k in range(len(start.out)):
+        assert gradient(after.out[k] - start.out[k]) == pytest.approx(slope(at_out(k)) + 1e-4 * start.out[k], rel=0.01, abs=1e-5)
+    for k in range(len(toxicity.WIDTHS)):
+        for f in range(toxicity.FILTERS):
+            assert gradient(after.bias[k][f] - start.bias[k][f]) == pytest.approx(slope(at_bias(k, f)), rel=0.01, abs=1e-5)
+            for place in [(o, d, f) for o in range(toxicity.WIDTHS[k]) for d in (0, 3)]:
+                assert gradient(after.filters[k][place] - start.filters[k][place]) == pytest.approx(slope(at_filter(k, place)), rel=0.02, abs=1e-4)
 
 
 def test_thresholds_shrink_by_a_fixed_rule():
@@ -91,9 +172,11 @@ def test_toxicity_odd_rows(spark):
     rows, marks = toxic_docs(80)
     docs = docs_of(spark, [*((i + 100, *r) for i, *r in rows), *ODD])
     labels = spark.createDataFrame([(i + 100, t) for i, t in marks] + [(5, 1), (5, 0), (None, 1), (6, None), (9999, 1)], "doc_id long, toxic int")
-    done = toxicity.score_toxicity(docs, labels, extra=docs.columns, names=("score_", "flagged"))
-    assert done.columns == [*docs.columns, "score_", "flagged"]
-    assert done.count() == len(rows) + len(ODD) and all(0 <= r.score_ <= 1 for r in done.collect())
+    done = toxicity.score_toxicity(docs, labels)
+    assert done.columns == ["doc_id", "text_key", "score", "flagged"]
+    assert done.count() == len(rows) + len(ODD) and all(0 <= r.score <= 1 for r in done.collect())
+    left = toxicity.reject_toxic(docs, done)
+    assert left.columns == docs.columns and left.count() == done.filter("NOT flagged").count()
     assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.score_toxicity(docs.limit(0), labels, trained_on=docs).count() == 0
 
@@ -265,3 +348,16 @@ def test_backward_pass():
         down = loss()[0]
         model.p[name][at] = keep
         assert (up - down) / (2 * step) == pytest.approx(g[name][at], rel=0.05, abs=2e-3)
+
+
+def test_deep_pages_in_linear_time():
+    for page in ("<div>x" * 20_000, "<div class=a><b>x" * 10_000, "<b>x" * 20_000 + "<p>y" * 5_000, "<ul>" + "<div>" * 5_000 + "<li>x" * 5_000, "<b><i>" * 8_000 + "</b>" * 8_000 + "<p>z" * 4_000):
+        began = time.process_time()
+        found = extract.blocks(page)
+        paths = [extract.Reader().path(b.path) for b in found[:3]] + [extract.Reader().path(found[-1].path)]
+        assert all(paths[1:]) and time.process_time() - began < 3
+    distinct = extract.blocks("".join(f"<div class=c{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100 % 10]}>x" for k in range(6000)))
+    assert len(distinct) == 6000 and len(set(distinct[-1].path)) == 1001
+    nest = [list(b.path) for b in extract.blocks("<div id=main>a<p>b<p>c<ul><li>d<li><b>e</ul></div>f")]
+    item = ["div", ".main", "ul", "li"]
+    assert nest == [["div", ".main"], ["div", ".main", "p"], ["div", ".main", "p"], item, item, []]
