@@ -73,6 +73,12 @@ def band_hashes(signatures: np.ndarray, bands: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def words_key(text):
+    """A digest of a text's words in order, A-Z lower-cased, as a column."""
+    plain = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.md5(F.array_join(F.regexp_extract_all(plain, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), " ").cast("binary"))
+
+
 def shingle_set(text: str, hashes: HashOf, n: int) -> np.ndarray:
     """Distinct 64-bit shingle hashes of a text."""
     found = words(lower_ascii(text))
@@ -150,12 +156,11 @@ def remaining_pairs(family: DataFrame, labels: DataFrame, percent: int) -> DataF
     """Pairs (u, v) of members of a lead's family that are in different components and could
     still be linked, by the counts of ``family`` (from :func:`star_rows`).
 
-    A link of sizes a and b has least(a, b) = percent * (a + b) / (100 + percent) shingles in
-    common, of which at most common_u lie in the lead. So a member u and its partner share
-    at least t = least(n_u, n_v) - common_u shingles outside the lead, and if both drop all but
-    their |outside| - t + 1 rarest ones, they still have one in common. For partners no smaller
-    than the lead t is at least least(n_u, n_lead) - common_u (the ``few`` rarest), for any
-    partner percent * n_u / 100 - common_u (the ``many``). Where t is not positive, what both
+    A link of sizes a and b has t = percent * (a + b) / (100 + percent) shingles in common, of which at most
+    c = least(common_u, common_v) lie in the lead. So two linked members share k = t - c shingles outside the lead. Order those of
+    either by how many members hold them: the first they share lies among the first |outside| - k + 1 of both. A pair is
+    made only where this holds for its own sizes. Before that, each member drops what lies too far back for a partner of any size
+    (the ``reach``, for t = percent * a / 100). Where k is not positive, what both
     share with the lead may do, and the pair is found by its sizes instead.
     """
     own = labels.select(F.col("node").alias("id"), "component")
@@ -166,9 +171,8 @@ def remaining_pairs(family: DataFrame, labels: DataFrame, percent: int) -> DataF
     apart = rows.filter("apart")
 
     outside = F.size("outside")
-    few = outside - (F.ceil(F.lit(percent) * (F.col("n") + F.col("n_lead")) / (100 + percent)) - F.col("common")) + 1
-    many = outside - F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("n") / 100) - F.col("common")) + 1
-    each = rows.select("lead", "id", "component", "apart", (F.col("n") >= F.col("n_lead")).alias("large"), outside.alias("all"), few.alias("few"), many.alias("many"), F.explode("outside").alias("shingle"))
+    reach = outside - F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("n") / 100) - F.col("common")) + 1
+    each = rows.select("lead", "id", "component", "apart", "n", "common", outside.alias("all"), reach.alias("reach"), F.explode("outside").alias("shingle"))
     # shingles of one edit are held by the same members: such a set counts once, by its digest
     digest = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"d{k}") for k in (1, 2)]
     counts = each.groupBy("lead", "shingle").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), *digest)
@@ -176,16 +180,19 @@ def remaining_pairs(family: DataFrame, labels: DataFrame, percent: int) -> DataF
     one = Window.partitionBy("lead", "id")
     # shingles of one component alone come first, so they use up places
     place = F.row_number().over(one.orderBy("members", "shingle")) + F.col("all") - F.count(F.lit(1)).over(one)
-    ranked = shared.withColumn("place", place).withColumn("in_few", F.col("place") <= F.col("few")).filter(~F.col("apart") | (F.col("place") <= F.col("many")))
-    held = ranked.groupBy("lead", "members", "d1", "d2", "id").agg(*[F.max(c).alias(c) for c in ("component", "apart", "large", "in_few")])
+    ranked = shared.withColumn("place", place).filter(F.col("place") <= F.col("reach"))
+    facts = ("component", "apart", "n", "common", "all")
+    held = ranked.groupBy("lead", "members", "d1", "d2", "id").agg(F.min("place").alias("place"), *[F.max(c).alias(c) for c in facts])
     key = ["lead", "members", "d1", "d2"]
-    mine = held.filter("apart").select(*key, F.col("id").alias("u"), F.col("component").alias("cu"), F.col("large").alias("large_u"), F.col("in_few").alias("few_u"))
-    theirs = held.select(*key, F.col("id").alias("v"), F.col("component").alias("cv"), F.col("large").alias("large_v"), F.col("in_few").alias("few_v"), F.col("apart").alias("apart_v"))
-    by_shingle = mine.join(theirs, key).filter(
-        (F.col("cu") != F.col("cv"))
-        & (~F.col("large_v") | F.col("few_u"))
-        & (~F.col("apart_v") | ~F.col("large_u") | F.col("few_v"))
+    side = lambda x: [*key, F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("place", *facts)]]
+    total = F.col("n_u") + F.col("n_v")
+    least = F.ceil(F.lit(percent) * total / (100 + percent)) - F.least("common_u", "common_v")
+    by_shingle = held.filter("apart").select(*side("u")).join(held.select(*side("v")), key).filter(
+        (F.col("component_u") != F.col("component_v"))
         & (~F.col("apart_v") | (F.col("u") > F.col("v")))
+        & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
+        & (F.col("place_u") <= F.col("all_u") - least + 1)
+        & (F.col("place_v") <= F.col("all_v") - least + 1)
     ).select("u", "v")
 
     # partners smaller than the lead, of the sizes for which what u shares with the lead may do

@@ -69,6 +69,33 @@ def test_groups_of_copies(spark, small):
     assert Counter(want.values()).most_common(1)[0][1] > 20
 
 
+def test_texts_put_together_from_shared_passages(spark):
+    """Many texts that share passages with one another, few of them linked: every link is found, and few pairs are made for it."""
+    rng = random.Random(21)
+    pool = [prose(rng, rng.randrange(15, 45)) for _ in range(14)]
+    rows = []
+    for i in range(260):
+        parts = rng.sample(pool, rng.randrange(2, 6)) + ([prose(rng, rng.randrange(1, 25))] if i % 3 else [])
+        rows.append((i, " ".join(parts)))
+    for i in range(40):
+        rows.append((300 + i, edited(rng, rng.choice(rows)[1], 0.02)))
+    made = []
+    pairs = minhash.remaining_pairs
+
+    def counted(*given):
+        made.append(pairs(*given))
+        return made[-1]
+
+    minhash.remaining_pairs = counted
+    try:
+        got = minhash.near_duplicates(docs_of(spark, rows), small=2, bands=60, rows=2).collect()
+    finally:
+        minhash.remaining_pairs = pairs
+    want = plain_components(rows, 5, 80)
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert len(set(want.values())) < len(rows) and made[0].count() < 2 * len(rows)
+
+
 def test_odd_rows(spark):
     docs = docs_of(spark, [*ODD, (8, "ONE"), (9, "x" * 5000)])
     got = sorted((tuple(r) for r in minhash.near_duplicates(docs, shingle=3, percent=85).collect()), key=repr)

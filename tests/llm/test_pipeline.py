@@ -113,3 +113,15 @@ def test_ten_copies_lose_their_text_and_keep_their_ids(spark):
     assert {r.doc_id: (r.text, r.n_chars) for r in done.collect()} == {**{i: ("", 0) for i in range(10)}, **{20 + i: (nine, len(nine)) for i in range(9)}}
     left = corpus_pipeline.near_dedup(spark, done, "")
     assert sorted(r.doc_id for r in left.collect()) == [*range(10), 20]
+
+
+def test_rows_of_one_id(spark):
+    """Unlike texts under one id both stay; of rows equal in id and words one stays."""
+    rng = random.Random(14)
+    a, b, c = prose(rng, 30), prose(rng, 30), prose(rng, 30)
+    docs = docs_of(spark, [(1, a), (1, b), (2, c), (2, c), (2, c.upper()), (3, c), (None, a), (None, a)])
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    assert left.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text) for r in left.collect())
+    assert [i for i, _ in got] == [0, 0, 1, 1, 2] and {t for i, t in got if i == 1} == {a, b}
+    assert got[-1][1] == min(c, c.upper())
