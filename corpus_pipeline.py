@@ -7,16 +7,18 @@ columns of documents, in their order.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigen.llm.common import by_ids, free_name, text_batches
 from lexigen.llm.line_dedup import dedup_lines
 from lexigen.llm.line_quality import judge_lines, reject
-from lexigen.llm.minhash import near_duplicates
+from lexigen.llm.minhash import near_duplicates, words_key
 from lexigen.llm.packing import pack_documents
 from lexigen.llm.queries import learnable, table
-from lexigen.llm.toxicity import score_toxicity
+from lexigen.llm.toxicity import reject_toxic, score_toxicity
 from lexigen.session import materialize, ship_package
 
 
@@ -43,9 +45,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at or above their language's threshold go."""
     _prepare(spark)
-    names = free_name(docs, "score"), free_name(docs, "flagged")
-    scored = score_toxicity(docs, learnable(table(spark, sf_dir, "labels")), extra=docs.columns, names=names)
-    return scored.filter(~F.col(names[1])).select(*_columns(docs))
+    return reject_toxic(docs, score_toxicity(docs, learnable(table(spark, sf_dir, "labels"))))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,16 +64,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates (five-word shingles, 80 %) the smallest id stays; of rows
-    that share an id one stays, of rows without an id all. Empty texts are linked with nothing, so
-    all stay."""
+    """Of every group of near-duplicates (five-word shingles, 80 %) the smallest id stays. Of rows equal in id and
+    words the least stays (in the order of the columns); rows of one id with other words all stay or go together, rows
+    without an id stay. Empty texts are linked with nothing, so all ids of them stay."""
     _prepare(spark)
+    key = free_name(docs, "words_key")
+    # an id and its words; null ids stand apart, as they are linked with nothing
+    keyed = docs.withColumn(key, words_key(F.col("text")))
     judged = near_duplicates(docs)
     gone = judged.filter(~F.col("kept")).select("doc_id").distinct()
-    left = by_ids(docs, gone, "doc_id", "left_anti")
-    rows, ids = judged.filter("doc_id IS NOT NULL").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if rows > ids:
-        left = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
+    left = by_ids(keyed, gone, "doc_id", "left_anti")
+    own = keyed.filter("doc_id IS NOT NULL").groupBy("doc_id", key)
+    if not own.agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
+        whole = F.struct(*(F.col(f"`{c}`") for c in keyed.columns))
+        order = F.struct(*(F.col(f"`{f.name}`") for f in keyed.schema if not re.search("map<|variant", f.dataType.simpleString())))
+        one = left.filter("doc_id IS NOT NULL").groupBy("doc_id", key).agg(F.min_by(whole, order).alias("row")).select("row.*")
+        left = one.unionByName(left.filter("doc_id IS NULL"))
     return left.select(*_columns(docs))
 
 
