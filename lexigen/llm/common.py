@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 
 import numpy as np
@@ -48,11 +51,20 @@ class HashOf(dict):
 _HELD: dict[tuple, object] = {}
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def held(key: tuple, make=None):
     """What a Python worker keeps between tasks: one thing at a time, so that the tables of
     one operator do not stay in memory beside those of the next. Without ``make``, nothing."""
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            _trim()
         if make is None:
             return None
         _HELD[key] = make()
