@@ -226,6 +226,18 @@ def test_recall(spark):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 10 * len(want)
 
 
+def test_recall_of_many_queries(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = {}
+    for r in nearest.nearest(df, df.filter("vec_id % 10 = 0"), k=10).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    rows = df.collect()
+    ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    want = brute(ids, vectors, [(int(i), v) for i, v in zip(ids, vectors, strict=True) if i % 10 == 0], 10)
+    assert got.keys() == want.keys() and len(want) >= 100
+    assert sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+
+
 def test_ties_few_rows_and_unusable_vectors(spark):
     rng = np.random.default_rng(2)
     same = [(i, [1.0, 2.0, 3.0, 4.0], 1) for i in range(0, 400)]
