@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigen.llm.common import HashOf, by_ids, held, lower_ascii, mix64, texts_of, window_hashes, with_columns, words
-from lexigen.llm.components import components
+from lexigen.llm.components import components, joined_components
 from lexigen.session import materialize, spread
 
 PLACES = 1 << 20
@@ -135,7 +135,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * F.least(F.size("su"), F.size("sv")) >= percent * F.greatest(F.size("su"), F.size("sv"))
     )
     shared = both.select("u", "v", (F.size("su") + F.size("sv")).alias("total"), F.size(F.array_intersect("su", "sv")).alias("common"))
-    return shared.filter(similar(F.col("common"), F.col("total"), percent)).select("u", "v").distinct()
+    return shared.filter(similar(F.col("common"), F.col("total"), percent)).select("u", "v")
 
 
 def star_rows(stars: DataFrame, sets: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def remaining_pairs(family: DataFrame, labels: DataFrame, percent: int) -> DataF
     of_lead = labels.select(F.col("node").alias("lead"), F.col("component").alias("lead_component"))
     rows = family.join(own, "id").join(of_lead, "lead")
     split = rows.groupBy("lead").agg(F.max((F.col("component") != F.col("lead_component")).cast("int")).alias("open")).filter("open = 1").select("lead")
-    rows = rows.join(split, "lead").withColumn("apart", F.col("component") != F.col("lead_component"))
+    rows = materialize(rows.join(split, "lead").withColumn("apart", F.col("component") != F.col("lead_component")), "open-families")
     apart = rows.filter("apart")
 
     outside = F.size("outside")
@@ -238,7 +238,6 @@ def near_duplicates(
     texts = by_ids(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), weights.select("id"), "id", "left_semi")
     sets = materialize(shingle_sets(texts, "id", "text", shingle), "shingle-sets")
 
-    links = materialize(copies.distinct(), "copies")
     one = buckets.filter(F.col("members") <= small)
     pairs = one.select("band", F.col("id").alias("u")).join(one.select("band", F.col("id").alias("v")), "band").filter("u > v").select("u", "v")
     large = buckets.filter(F.col("members") > small).join(weights, "id")
@@ -246,13 +245,13 @@ def near_duplicates(
     stars = large.join(leads, "band").filter("id <> lead").select("lead", "id").distinct()
     family = materialize(star_rows(stars, sets), "stars")
     near = family.filter(similar(F.col("common"), F.col("n") + F.col("n_lead"), percent)).select(F.col("id").alias("u"), F.col("lead").alias("v"))
-    links = materialize(links.union(confirm(pairs.distinct(), sets, percent)).union(near).distinct(), "links")
+    links = materialize(copies.union(confirm(pairs.distinct(), sets, percent)).union(near).distinct(), "links")
     labels = label(links, weights)
     rest = materialize(remaining_pairs(family, labels, percent), "remaining-pairs")
     if not rest.isEmpty():
         more = materialize(confirm(rest, sets, percent), "more-links")
         if not more.isEmpty():
-            labels = label(links.union(more), weights)
+            labels = materialize(joined_components(labels, more), "labels")
 
     ids = labels.select(F.col("node").alias("label_node"), F.col("component").alias("label_component"))
     out = signed.join(ids, (signed[id_col] == ids["label_node"]) & (signed["n_shingles"] > 0), "left")

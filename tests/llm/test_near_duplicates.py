@@ -12,7 +12,7 @@ from llm_helpers import ODD, VOCAB, WORD, docs_of, prose
 
 from lexigen.llm import minhash, queries
 from lexigen.llm.common import HashOf, lower_ascii, window_hashes
-from lexigen.llm.components import components
+from lexigen.llm.components import components, joined_components
 
 
 def plain_set(text, n):
@@ -161,3 +161,13 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for x in parent}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_further_links_join_components(spark):
+    first = [(2, 1), (2, 1), (1, 2), (4, 3), (6, 5), (7, 7)]
+    labels = components(spark.createDataFrame(first, "u long, v long"))
+    more = spark.createDataFrame([(4, 2), (4, 2), (5, 6)], "u long, v long")
+    got = {r.node: r.component for r in joined_components(labels, more).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5}
+    same = {r.node: r.component for r in joined_components(labels, more.limit(0)).collect()}
+    assert same == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
