@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigen.functions.metrics import bleu4, exact_match, f_score, prepared, rouge_l_raw
+from lexigen.functions.metrics import bleu4, exact_match, exact_mean, f_score, prepared, rouge_l_raw
 from lexigen.functions.text import n_sentences, ngrams, rouge_words
 
 METRICS = ["EM", "BLEU", "ROUGE-1", "ROUGE-2", "ROUGE-L"]
@@ -91,13 +91,14 @@ def score_detail(
 def summarize(detail: DataFrame, by: str = "model", with_undefined: bool = False) -> DataFrame:
     """``n_samples`` and the mean of each metric per model.
 
-    Means skip missing values (as pandas does); NaN counts as missing.
+    Means skip missing values (as pandas does); NaN counts as missing. They are sums of whole
+    numbers, so partitions and order do not change a bit of them.
     One partial + final hash aggregate: a model holding most rows costs one
     row per partition in the shuffle.
     """
     present = [m for m in METRICS if m in detail.columns]
     aggs = [F.count(F.lit(1)).alias("n_samples")]
-    aggs += [F.avg(F.nanvl(F.col(m).cast("double"), F.lit(None).cast("double"))).alias(m) for m in present]
+    aggs += [exact_mean(F.col(f"`{m}`")).alias(m) for m in present]
     if with_undefined and "_undefined" in detail.columns:
         aggs.append(F.count_if(F.col("_undefined")).alias("n_undefined"))
     return detail.groupBy(by).agg(*aggs)

@@ -92,7 +92,7 @@ def test_rouge_l_of_long_texts_in_bounded_memory():
     assert _lcs_words(x, y) <= set(x) & set(y)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 100e6  # one bit a cell: 50 MB
+    assert peak < 10e6  # every 800th row, and the bits of one band
     assert _lcs_words(x, ["elsewhere"] * 20_000) == set()
 
 
@@ -151,3 +151,45 @@ def test_lcs_numpy_table_equals_loop():
         finally:
             M._NUMPY_CELLS = old
         assert slow == fast
+
+
+def test_back_trace_in_bands_equals_the_whole_table(monkeypatch):
+    import random
+
+    from lexigen.functions import metrics as M
+
+    rnd = random.Random(3)
+    for n, m in [(70, 90), (300, 40), (41, 500), (200, 200), (1000, 7)] * 4:
+        x, y = ([f"w{rnd.randrange(rnd.choice([3, 30]))}" for _ in range(k)] for k in (n, m))
+        monkeypatch.setattr(M, "_NUMPY_CELLS", 1 << 30)
+        want = M._lcs_words(x, y)
+        monkeypatch.setattr(M, "_NUMPY_CELLS", 0)
+        assert M._lcs_words(x, y) == want
+        monkeypatch.setattr(M, "_BAND_CELLS", 0)
+        assert M._lcs_words(x, y) == want
+        monkeypatch.undo()
+
+
+def test_means_do_not_depend_on_order(spark):
+    import math
+    import random
+
+    rnd = random.Random(5)
+    values = {
+        "spread": [rnd.random() * 10.0 ** rnd.randrange(-30, 1) for _ in range(4000)],
+        "signed": [rnd.gauss(0, 1e6) for _ in range(4000)],
+        "cancels": [1e15, 1e-3, -1e15, 1e-3] * 500,
+        "gaps": [None, float("nan"), 0.1, 0.2, 0.7],
+        "none": [None, float("nan")],
+        "huge": [1e300, 1.0],
+    }
+    rows = [(m, v) for m, vs in values.items() for v in vs]
+    seen = []
+    for parts in (1, 16, 211):
+        rnd.shuffle(rows)
+        df = spark.createDataFrame(rows, "model string, BLEU double").repartition(parts)
+        seen.append({r["model"]: r["BLEU"] for r in summarize(df).collect()})
+    assert seen[0] == seen[1] == seen[2]
+    for m in ("spread", "signed", "cancels"):
+        assert seen[0][m] == pytest.approx(math.fsum(values[m]) / len(values[m]), rel=4e-16)
+    assert seen[0]["gaps"] == pytest.approx(1 / 3, rel=4e-16) and seen[0]["none"] is None and seen[0]["huge"] == 5e299
