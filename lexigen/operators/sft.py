@@ -7,12 +7,16 @@ hash of the word (no vocabulary to ship) or from a vocabulary table built by
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigen.functions.prompts import render_completion_prompt
 from lexigen.functions.text import _c, tokens
+from lexigen.session import materialize, spread
 
 MAX_LEN = 512  # fixed value: sequence length of a training example
 IGNORE = -100  # fixed value: label that the loss skips
@@ -20,6 +24,7 @@ PAD_ID, BOS_ID, EOS_ID, UNK_ID = 0, 1, 2, 3
 RESERVED = 4
 HASH_VOCAB = 32000
 MAX_VOCAB = 1_000_000  # words of a vocabulary that goes to every task
+MAX_VOCAB_BYTES = 32 << 20  # of the candidates of a bounded count
 
 
 def hash_id(tok: Column, vocab: int = HASH_VOCAB) -> Column:
@@ -127,11 +132,86 @@ def build_vocab(df: DataFrame, col: str, size: int) -> DataFrame:
     if size > MAX_VOCAB:
         raise ValueError(f"a vocabulary has at most {MAX_VOCAB} words")
     counts = df.select(F.explode(tokens(col)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return _numbered(counts, size)
+
+
+def _numbered(counts: DataFrame, size: int) -> DataFrame:
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
     w = Window.orderBy(F.desc("n"), F.asc("token"))
     return top.withColumn("token_id", (F.row_number().over(w) - 1 + RESERVED).cast("int"))
 
 
+def _cut(counts: Counter, held: int) -> int:
+    """Keep the ``held`` largest counts, each less the largest that goes (returned)."""
+    if len(counts) <= held:
+        return 0
+    missed = sorted(counts.values(), reverse=True)[held]
+    for word in [w for w, n in counts.items() if n <= missed]:
+        del counts[word]
+    for word in counts:
+        counts[word] -= missed
+    return missed
+
+
+def word_summaries(df: DataFrame, col: str, held: int) -> DataFrame:
+    """(token, n): per partition at most ``held`` words with lower bounds of their counts there, and a row
+    without a token: no word of the partition, summarised or not, is more than that n above its bound.
+
+    A task holds at most twice ``held`` words and those of one text; summaries merge by adding."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, missed = Counter(), 0
+        for batch in batches:
+            for text in batch["text"]:
+                if text is not None:
+                    counts.update(text.split())
+                    if len(counts) > 2 * held:
+                        missed += _cut(counts, held)
+        missed += _cut(counts, held)
+        yield pd.DataFrame({"token": [None, *counts], "n": [missed, *counts.values()]})
+
+    return spread(df.select(F.col(col).alias("text"))).mapInPandas(run, "token string, n long")
+
+
+def build_vocab_bounded(df: DataFrame, col: str, size: int, held: int | None = None) -> DataFrame:
+    """``build_vocab`` without a shuffle of every distinct word: the same rows, but at most ``held`` words
+    (by default 32 a word of the vocabulary, 10,000 at least) leave a partition.
+
+    Partitions are summarised first (:func:`word_summaries`). Let ``missed`` be the sum of what the
+    partitions may have missed of a word. If none missed anything, the summaries are the counts. Else the bound of the
+    ``size``-th word says how frequent a word of the vocabulary is at least; words that cannot reach it are left out, the others
+    are counted exactly by a second pass. Where ``missed`` itself reaches that bound, a word that no summary
+    holds might belong to the vocabulary, and where too many words remain they cannot go to every
+    task: then ``build_vocab`` counts them all."""
+    if size > MAX_VOCAB:
+        raise ValueError(f"a vocabulary has at most {MAX_VOCAB} words")
+    held = held or max(32 * size, 10_000)
+    parts = materialize(word_summaries(df, col, held), "word-summaries")
+    missed = parts.filter("token IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bounds = parts.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
+    if not missed:
+        return _numbered(bounds, size)
+    last = bounds.select("n").orderBy(F.desc("n")).limit(size).agg(F.min("n"), F.count(F.lit(1))).first()
+    if last[1] < size or missed >= last[0]:
+        return build_vocab(df, col, size)
+    left = materialize(bounds.filter(F.col("n") + missed >= last[0]).select("token"), "word-candidates")
+    n_left, chars = left.agg(F.count(F.lit(1)), F.sum(F.octet_length("token"))).first()
+    if n_left > MAX_VOCAB or chars > MAX_VOCAB_BYTES:
+        return build_vocab(df, col, size)
+    sent = df.sparkSession.sparkContext.broadcast({r["token"] for r in left.collect()})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted, counts = sent.value, Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                if text is not None:
+                    counts.update(w for w in text.split() if w in wanted)
+        yield pd.DataFrame({"token": [*counts], "n": [*counts.values()]}).astype({"n": "int64"})
+
+    exact = spread(df.select(F.col(col).alias("text"))).mapInPandas(count, "token string, n long")
+    return _numbered(exact.groupBy("token").agg(F.sum("n").alias("n")), size)
+
+
 def word_ids(words, vocab: DataFrame) -> Column:
     """``array<string>`` -> ids from a vocabulary table (unknown -> UNK_ID), word by word.
 

@@ -229,6 +229,12 @@ def q_vocab(spark, d):
     return S.build_vocab(docs, "text", VOCAB_SIZE).select("token", F.col("n").cast("long").alias("n"), "token_id")
 
 
+def q_vocab_bounded(spark, d):
+    """The same vocabulary from summaries of the partitions and a second count of the words left."""
+    ship_package(spark)
+    return S.build_vocab_bounded(FX.table(spark, d, "documents"), "text", VOCAB_SIZE).select("token", "n", "token_id")
+
+
 def q_vocab_ids(spark, d):
     """Ids of all conversation turns and documents, empty, blank and null texts among them."""
     ship_package(spark)

@@ -507,6 +507,10 @@ def sql_vocab() -> str:
     return _q("SELECT token, CAST(n AS BIGINT) AS n, token_id FROM vocab", VOCAB)
 
 
+def sql_vocab_bounded() -> str:
+    return sql_vocab()
+
+
 def sql_vocab_ids() -> str:
     return (
         "WITH " + VOCAB + f""",

@@ -141,6 +141,29 @@ def test_vocab_top_k_and_ids(spark):
     assert max(len(r.ids) for r in S.vocab_ids(texts, "doc_id", "text", v, max_len=5).collect()) == 5
 
 
+def test_bounded_vocabulary_equals_the_full_count(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rnd.choices(words, [1 / (i + 1) for i in range(3000)], k=60)) for _ in range(600)] + [None, "", " \u2003 "]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8).cache()
+    full = S.build_vocab
+    for size, held, counted in [(20, None, 0), (20, 600, 0), (20, 40, None), (2000, 5, 1), (2999, 50, 1)]:
+        want = sorted(map(tuple, full(df, "text", size).collect()))
+        calls = []
+        monkeypatch.setattr(S, "build_vocab", lambda *a: calls.append(a) or full(*a))
+        assert sorted(map(tuple, S.build_vocab_bounded(df, "text", size, held).collect())) == want, (size, held)
+        assert counted is None or len(calls) == counted, (size, held)
+        monkeypatch.undo()
+    parts = S.word_summaries(df, "text", 600)
+    assert parts.filter("token IS NULL AND n > 0").count() > 0
+    assert parts.filter("token IS NOT NULL").count() <= 600 * parts.rdd.getNumPartitions()
+    assert S.build_vocab_bounded(df.limit(0), "text", 5).count() == 0
+    with pytest.raises(ValueError, match="at most"):
+        S.build_vocab_bounded(df, "text", S.MAX_VOCAB + 1)
+
+
 def test_vocabulary_bound(spark, monkeypatch):
     docs = FX.table(spark, SF_SMALL, "documents")
     with pytest.raises(ValueError):
