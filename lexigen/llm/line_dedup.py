@@ -10,7 +10,7 @@ and drop those of at least ``min_docs`` documents; the lines themselves are not
 While all shards together stay below ``max_broadcast`` bytes (measured), every task gets
 them and the texts never shuffle. Beyond it the documents' line hashes go to the shards:
 grouped by shard, large groups split by a salt, and only the places of dropped lines come
-back. Both ways give the same rows.
+back, where one join by the text's digest takes them to the texts. Both ways give the same rows.
 
 Null text is one empty line. Lines with an empty key always stay. A document is a distinct
 id: repeated rows with one id count once; rows with a null id are not counted but lose lines like the others.
@@ -161,8 +161,9 @@ def _probe_shuffled(df: DataFrame, text_col: str, shards: DataFrame, bits: int,
 
     columns = df.columns
     keyed = df.withColumn("text_key", text_key(text_col))
-    one = keyed.groupBy("text_key").agg(F.first(text_col).alias(text_col))
-    probes = materialize(one.mapInArrow(hashes, "text_key binary, shard long, places array<long>, h1 array<long>, h2 array<long>"), "line-probes")
+    # copies of a text send the same hashes: its digest stands for all of them, so the text itself stays
+    found = keyed.select("text_key", text_col).mapInArrow(hashes, "text_key binary, shard long, places array<long>, h1 array<long>, h2 array<long>")
+    probes = materialize(found.dropDuplicates(["text_key", "shard"]), "line-probes")
     salts = probes.groupBy("shard").agg(F.ceil(F.sum(F.size("places")) / PROBES_PER_TASK).cast("int").alias("salts"))
     dealt = probes.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("text_key"), F.col("salts")).cast("int"))
     copies = shards.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("shard", "salt", "blob")
