@@ -74,33 +74,96 @@ def _ngram_counts(toks, n):
     return Counter(tuple(toks[i : i + n]) for i in range(len(toks) - n + 1))
 
 
+def _bleu(n_ref: int, n_hyp: int, clipped) -> float:
+    """The score of a pair from its word counts and its clipped counts of 1- to 4-grams."""
+    if clipped[0] == 0:
+        return 0.0
+    logs = [
+        math.log((num if num else BLEU_SMOOTH_EPSILON) / max(1, n_hyp - n))
+        for n, num in enumerate(clipped)
+    ]
+    bp = 1.0 if n_hyp > n_ref else math.exp(1 - n_ref / n_hyp)
+    return bp * math.exp(math.fsum(x / BLEU_MAX_N for x in logs))
+
+
 def sentence_bleu(ref: str, hyp: str) -> float:
     """Sentence BLEU-4, one reference, uniform weights, epsilon smoothing of zero counts."""
     r, h = ref.split(), hyp.split()
-    logs = []
+    clipped = []
     for n in range(1, BLEU_MAX_N + 1):
-        hc = _ngram_counts(h, n)
         rc = _ngram_counts(r, n)
-        num = sum(min(c, rc[g]) for g, c in hc.items())
-        den = max(1, sum(hc.values()))
-        if n == 1 and num == 0:
-            return 0.0
-        logs.append(math.log((num if num else BLEU_SMOOTH_EPSILON) / den))
-    if len(h) > len(r):
-        bp = 1.0
-    elif not h:
-        bp = 0.0
-    else:
-        bp = math.exp(1 - len(r) / len(h))
-    return bp * math.exp(math.fsum(w * x for w, x in zip([1 / BLEU_MAX_N] * BLEU_MAX_N, logs)))
+        clipped.append(sum(min(c, rc[g]) for g, c in _ngram_counts(h, n).items()))
+    return _bleu(len(r), len(h), clipped)
+
+
+_BLEU_CHARS = 1 << 22  # texts counted at once
+
+
+def _pairs_bleu(refs: list[str], hyps: list[str]) -> list[float]:
+    """``sentence_bleu`` of many pairs, counted together.
+
+    Words become numbers in one dictionary. An n-gram is numbered by its pair's number, its (n-1)-gram's and
+    its last word's, so equal numbers are equal n-grams of the same pair; n-grams that stand on one side alone drop
+    out before the next length. One sort a length brings equal ones together, and the smaller of the two
+    sides' counts is added up by pair."""
+    words, lengths = [], []
+    for text in [*refs, *hyps]:
+        toks = text.split()
+        words += toks
+        lengths.append(len(toks))
+    lengths = np.array(lengths, dtype=np.int64)
+    n_pairs, ends = len(refs), np.cumsum(lengths)
+    ids: dict = {}
+    word = np.fromiter((ids.setdefault(w, len(ids)) for w in words), dtype=np.int64, count=len(words))
+    at = np.arange(len(word))
+    text = np.repeat(np.arange(2 * n_pairs), lengths)
+    gram = text % max(1, n_pairs)  # before the first word: the pair
+    left = ends[text] - at  # words from here to the text's end
+    clipped = np.zeros((BLEU_MAX_N, n_pairs), dtype=np.int64)
+    for n in range(BLEU_MAX_N):
+        here = left > n
+        at, text, gram, left = at[here], text[here], gram[here], left[here]
+        if not len(at):
+            break
+        keys, gram = np.unique(gram * len(ids) + word[at + n], return_inverse=True)
+        in_ref = text < n_pairs
+        low = np.minimum(
+            np.bincount(gram[in_ref], minlength=len(keys)), np.bincount(gram[~in_ref], minlength=len(keys))
+        )
+        pair = np.zeros(len(keys), dtype=np.int64)
+        pair[gram] = text % n_pairs
+        np.add.at(clipped[n], pair, low)
+        shared = low[gram] > 0
+        at, text, gram, left = at[shared], text[shared], gram[shared], left[shared]
+    n_ref, n_hyp = lengths[:n_pairs].tolist(), lengths[n_pairs:].tolist()
+    return [_bleu(r, h, c) for r, h, c in zip(n_ref, n_hyp, clipped.T.tolist())]
+
+
+def batch_bleu(refs, hyps) -> list[float | None]:
+    """``sentence_bleu`` of every pair, None where a side is; pairs of about 4 million characters at a time."""
+    out: list[float | None] = [None] * len(refs)
+    held, size = [], 0
+
+    def count():
+        for i, v in zip(held, _pairs_bleu([refs[i] for i in held], [hyps[i] for i in held])):
+            out[i] = v
+
+    for i, (r, h) in enumerate(zip(refs, hyps)):
+        if r is None or h is None:
+            continue
+        held.append(i)
+        size += len(r) + len(h)
+        if size >= _BLEU_CHARS:
+            count()
+            held, size = [], 0
+    if held:
+        count()
+    return out
 
 
 @F.pandas_udf(DoubleType())
 def _bleu_udf(ref: pd.Series, gen: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if a is None or b is None else sentence_bleu(a, b) for a, b in zip(ref, gen)],
-        dtype="float64",
-    )
+    return pd.Series(batch_bleu(ref.tolist(), gen.tolist()), dtype="float64")
 
 
 def bleu4(ref, gen) -> Column:
@@ -255,5 +318,5 @@ def exact_mean(c) -> Column:
 
 __all__ = [
     "prepared", "exact_match", "rouge_n", "bleu4", "rouge_l", "round6", "exact_mean",
-    "sentence_bleu", "rouge_l_summary", "tokens",
+    "sentence_bleu", "batch_bleu", "rouge_l_summary", "tokens",
 ]

@@ -1,5 +1,8 @@
 """Driver contract: entry runs, every query has an oracle, oracles agree at sf0.001."""
 
+import importlib.util
+import sys
+
 import duckdb
 import pytest
 
@@ -23,6 +26,25 @@ def test_every_query_has_oracle():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
+@pytest.mark.parametrize("gone, fine", [("corpus_pipeline", True), ("lexigen.llm", True), ("lexigen.plan", False), ("numpi", False)])
+def test_only_the_optional_part_may_be_missing(monkeypatch, gone, fine):
+    class Missing:
+        def find_spec(self, name, path=None, target=None):
+            if name == "corpus_pipeline":
+                raise ModuleNotFoundError(f"No module named {gone!r}", name=gone)
+
+    monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
+    monkeypatch.setattr(sys, "meta_path", [Missing(), *sys.meta_path])
+    spec = importlib.util.spec_from_file_location("entry_again", E.__file__)
+    module = importlib.util.module_from_spec(spec)
+    if fine:
+        spec.loader.exec_module(module)
+        assert set(module.queries()) == set(catalog.all_queries())
+    else:
+        with pytest.raises(ModuleNotFoundError):
+            spec.loader.exec_module(module)
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()

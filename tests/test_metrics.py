@@ -1,9 +1,12 @@
 """Golden metric values (FIXTURES.md §4) and metric properties."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexigen.functions.metrics import rouge_l_summary, sentence_bleu
+from lexigen.functions import metrics
+from lexigen.functions.metrics import batch_bleu, rouge_l_summary, sentence_bleu
 from lexigen.operators.evaluate import evaluate, score_detail, summarize
 
 GOLDEN = [
@@ -45,6 +48,25 @@ def test_python_helpers_match_golden():
         assert rouge_l_summary(ref, gen) == pytest.approx(rl, abs=1e-6)
 
 
+_BLEU_TEXTS = st.one_of(st.none(), st.lists(st.sampled_from(["a", "b", "c", "d."]), max_size=12).map(" ".join))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(_BLEU_TEXTS, _BLEU_TEXTS), max_size=12), st.sampled_from([1, 30, 1 << 22]))
+def test_bleu_of_a_batch_is_that_of_its_pairs(pairs, chars):
+    before, metrics._BLEU_CHARS = metrics._BLEU_CHARS, chars
+    try:
+        got = batch_bleu([r for r, _ in pairs], [h for _, h in pairs])
+    finally:
+        metrics._BLEU_CHARS = before
+    assert got == [None if r is None or h is None else sentence_bleu(r, h) for r, h in pairs]
+
+
+def test_bleu_of_a_very_long_pair():
+    ref, hyp = "w x " * 100_000, "x w y " * 60_000
+    assert batch_bleu([ref, "a"], [hyp, "a"]) == [sentence_bleu(ref, hyp), sentence_bleu("a", "a")]
+
+
 def test_undefined_rouge_is_null_or_zero(spark):
     df = spark.createDataFrame([("x", "."), ("x", " "), ("...", "x")], "reference string, generated string")
     rows = score_detail({"m": df}).collect()
