@@ -36,6 +36,7 @@ MAX_BLOCK_ROWS = 65_536
 MIN_BLOCK_ROWS = 4_096
 BLOCKS = 64  # before blocks grow beyond MIN_BLOCK_ROWS
 BLOCK_QUERIES = 512
+ROUNDING = 1e-14
 
 
 def chi_square_below(x: float, m: int) -> float:
@@ -93,7 +94,9 @@ class ProjectedTree:
         """The best (distance, id), nearest first, ties to the smaller id."""
         limit = chi_square_quantile(confidence, self.m)
         at = query @ directions(len(query), self.m)
-        gaps = np.maximum(0, np.maximum(self.low - at, at - self.high))
+        # a projection may be rounded one way alone and another in a table: equal vectors are at no distance all the same
+        slack = ROUNDING * len(query) * float(np.linalg.norm(query))
+        gaps = np.maximum(0, np.maximum(self.low - at, at - self.high) - slack)
         bound = (gaps * gaps).sum(axis=1)
         best: list[tuple[float, int]] = []
         heap = [(float(bound[0]), 0)]

@@ -255,6 +255,17 @@ def test_ties_few_rows_and_unusable_vectors(spark):
     assert nearest.nearest(df.limit(0)).count() == 0
 
 
+def test_equal_vectors_are_found_in_the_order_of_their_ids():
+    """However the projections of one and of many vectors are rounded."""
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        one = rng.normal(size=24) * 10.0 ** rng.integers(-3, 4)
+        vectors = np.concatenate([np.tile(one, (400, 1)), one + rng.normal(size=(300, 24))])
+        tree = nearest.ProjectedTree(np.arange(700), vectors, 8)
+        for q in (0, 3, 250):
+            assert [v for _, v in tree.search(q, one, 5, 0.98)] == [v for v in range(6) if v != q][:5]
+
+
 def test_stopping_test():
     assert nearest.chi_square_below(15.507, 8) == pytest.approx(0.95, abs=1e-4)
     assert nearest.chi_square_quantile(0.5, 2) == pytest.approx(1.3863, abs=1e-3)
