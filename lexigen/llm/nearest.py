@@ -9,7 +9,8 @@ quantile times the k-th best distance, a nearer row has been missed with a proba
 most 1 - confidence, and the search stops.
 
 Rows are dealt to blocks by a hash of the id and their place in the table, so rows of one id spread; every block of queries meets every block of
-rows, and a query's best rows per block are merged. Every row is indexed.
+rows, and a query's best rows per block are merged. Every row is indexed. A block of rows is sent once for up to ``TURN``
+blocks of queries: it comes first in its task's order, and the queries stream past its tree.
 
 Vectors that are null, all zero, or hold a null or non-finite component take no part;
 only vectors of a query's own length are its candidates. Ties go to the smaller id. Rows that share an id
@@ -37,6 +38,7 @@ MIN_BLOCK_ROWS = 4_096
 BLOCKS = 64  # before blocks grow beyond MIN_BLOCK_ROWS
 BLOCK_QUERIES = 512
 ROUNDING = 1e-14
+TURN = 64  # blocks of queries that one reading of a block of rows serves
 
 
 def chi_square_below(x: float, m: int) -> float:
@@ -160,19 +162,28 @@ def nearest(df: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_
     asked = rows if queries is None else usable(queries)
     n, n_asked = rows.count(), asked.count()
     blocks = max(1, -(-n // min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, n // BLOCKS))))  # by the data alone
-    index = _blocks(rows, "block", blocks)
-    ask = materialize(_blocks(asked, "ask", max(1, -(-n_asked // BLOCK_QUERIES))), "query-blocks")
-    met = ask.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index, ["dims", "block"])
+    asks = max(1, -(-n_asked // BLOCK_QUERIES))
+    # a task reads a block of rows once, ahead of the blocks of queries that meet it
+    index = materialize(_blocks(rows, "block", blocks), "row-blocks")
+    index = index.select("dims", "block", F.explode(F.sequence(F.lit(0), F.lit((asks - 1) // TURN))).alias("turn"), F.lit(-1).alias("ask"), F.col("block_blob").alias("blob"))
+    ask = materialize(_blocks(asked, "ask", asks), "query-blocks")
+    ask = ask.select("dims", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.expr(f"ask div {TURN}").cast("int").alias("turn"), "ask", F.col("ask_blob").alias("blob"))
+    key = ["dims", "block", "turn"]
+    dealt = index.unionByName(ask).repartition(*key).sortWithinPartitions(*key, "ask")
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, held = None, None
         for part in parts:
-            for blob, ask_blob, key in zip(part["block_blob"], part["ask_blob"], zip(part["dims"], part["block"], strict=True), strict=True):
-                if held != key:
-                    tree, held = ProjectedTree(*_unpack(blob), m), key
-                found = [(int(i), v, d) for i, q in zip(*_unpack(ask_blob), strict=True) for d, v in tree.search(int(i), q, k, confidence)]
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    best = met.select("dims", "block", "block_blob", "ask_blob").mapInPandas(search, "query_id long, vec_id long, score double")
+            for row in part.itertuples(index=False):
+                if row.ask < 0:
+                    tree, held = None, (row.dims, row.block, row.turn)
+                    raw = row.blob
+                elif held == (row.dims, row.block, row.turn):
+                    if tree is None:
+                        tree = ProjectedTree(*_unpack(raw), m)
+                    found = [(int(i), v, d) for i, q in zip(*_unpack(row.blob), strict=True) for d, v in tree.search(int(i), q, k, confidence)]
+                    yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+
+    best = dealt.mapInPandas(search, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -266,6 +266,20 @@ def test_equal_vectors_are_found_in_the_order_of_their_ids():
             assert [v for _, v in tree.search(q, one, 5, 0.98)] == [v for v in range(6) if v != q][:5]
 
 
+def test_rows_of_a_block_are_sent_once_a_turn(spark, monkeypatch):
+    """Many small blocks, several turns of queries: the same rows as with one block; what is shuffled is
+    a blob of rows a block and turn, not one a pair of blocks."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 6)))], "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id % 3 = 0")
+    want = sorted(map(tuple, nearest.nearest(df, asked, k=4, confidence=0.999999).collect()))
+    for name, value in [("MIN_BLOCK_ROWS", 40), ("MAX_BLOCK_ROWS", 40), ("BLOCK_QUERIES", 10), ("TURN", 3)]:
+        monkeypatch.setattr(nearest, name, value)
+    cut = nearest.nearest(df, asked, k=4, confidence=0.999999)
+    assert sorted(map(tuple, cut.collect())) == want
+    assert "Join" not in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_stopping_test():
     assert nearest.chi_square_below(15.507, 8) == pytest.approx(0.95, abs=1e-4)
     assert nearest.chi_square_quantile(0.5, 2) == pytest.approx(1.3863, abs=1e-3)
