@@ -206,7 +206,8 @@ def build_vocab_bounded(df: DataFrame, col: str, size: int, held: int | None = N
             for text in batch["text"]:
                 if text is not None:
                     counts.update(w for w in text.split() if w in wanted)
-        yield pd.DataFrame({"token": [*counts], "n": [*counts.values()]}).astype({"n": "int64"})
+        if counts:  # a partition without a row or a wanted word has no column of words to show
+            yield pd.DataFrame({"token": [*counts], "n": [*counts.values()]})
 
     exact = spread(df.select(F.col(col).alias("text"))).mapInPandas(count, "token string, n long")
     return _numbered(exact.groupBy("token").agg(F.sum("n").alias("n")), size)

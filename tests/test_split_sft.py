@@ -164,6 +164,17 @@ def test_bounded_vocabulary_equals_the_full_count(spark, monkeypatch):
         S.build_vocab_bounded(df, "text", S.MAX_VOCAB + 1)
 
 
+def test_bounded_vocabulary_with_partitions_that_count_nothing(spark):
+    """Partitions without a row (a file read as more splits than row groups), without a text and without a wanted word."""
+    held = [["a b c"] * 60, [None] * 3, [" ".join(f"r{i}" for i in range(30))]]
+    n = max(16, spark.sparkContext.defaultParallelism)
+    rows = spark.sparkContext.parallelize(range(n), n).flatMap(lambda i: [(t,) for t in held[i]] if i < len(held) else [])
+    df = spark.createDataFrame(rows, "text string")
+    assert df.rdd.getNumPartitions() == n
+    want = sorted(map(tuple, S.build_vocab(df, "text", 2).collect()))
+    assert sorted(map(tuple, S.build_vocab_bounded(df, "text", 2, held=4).collect())) == want
+
+
 def test_vocabulary_bound(spark, monkeypatch):
     docs = FX.table(spark, SF_SMALL, "documents")
     with pytest.raises(ValueError):
