@@ -253,6 +253,25 @@ def _up_bits_np(x, y):
     return up
 
 
+def _lcs_union(r_words, h_words):
+    """The union of ``_lcs_words`` of every reference sentence with every hypothesis sentence.
+
+    A pair adds shared words alone, so it is left out where all of these are in the union already. Equal
+    sentences add all of their words and a single shared word is always on the back-trace, without a table. Pairs that
+    share most go first, as they fill the union soonest."""
+    union: set = set()
+    hyps = [(list(h), set(h)) for h in dict.fromkeys(map(tuple, h_words))]
+    for ref in dict.fromkeys(map(tuple, r_words)):
+        words = set(ref)
+        if words <= union:
+            continue
+        pairs = [(shared, h) for h, own in hyps if not (shared := words & own) <= union]
+        for shared, h in sorted(pairs, key=lambda p: -len(p[0])):
+            if not shared <= union:
+                union |= shared if len(shared) == 1 or list(ref) == h else _lcs_words(list(ref), h)
+    return union
+
+
 def rouge_l_summary(ref: str, hyp: str):
     """Summary-level ROUGE-L F (union of per-sentence LCS word sets); None if undefined."""
     rs, hs = _rouge_sentences(ref), _rouge_sentences(hyp)
@@ -262,11 +281,7 @@ def rouge_l_summary(ref: str, hyp: str):
     h_words = [s.split(" ") for s in hs]
     m = len({w for s in r_words for w in s})
     n = len({w for s in h_words for w in s})
-    union = set()
-    for rw in r_words:
-        for hw in h_words:
-            union |= _lcs_words(rw, hw)
-    total = len(union)
+    total = len(_lcs_union(r_words, h_words))
     r, p = total / m, total / n
     return 2.0 * ((p * r) / (p + r + ROUGE_F_EPSILON))
 

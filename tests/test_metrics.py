@@ -215,3 +215,26 @@ def test_means_do_not_depend_on_order(spark):
     for m in ("spread", "signed", "cancels"):
         assert seen[0][m] == pytest.approx(math.fsum(values[m]) / len(values[m]), rel=4e-16)
     assert seen[0]["gaps"] == pytest.approx(1 / 3, rel=4e-16) and seen[0]["none"] is None and seen[0]["huge"] == 5e299
+
+
+def test_rouge_l_fills_few_tables(monkeypatch):
+    """A pair of sentences that can add no word, equal sentences and a single shared word need no table; the union is that of all pairs."""
+    import itertools
+    import random
+
+    rnd, tables = random.Random(5), []
+    lcs = metrics._lcs_words
+    monkeypatch.setattr(metrics, "_lcs_words", lambda x, y: tables.append(1) or lcs(x, y))
+    for size in (3, 8, 40, 400):
+        for _ in range(40):
+            words = [f"w{i}" for i in range(size)] + [""]
+            sides = [[rnd.choices(words, k=rnd.randrange(1, 12)) for _ in range(rnd.randrange(1, 9))] for _ in range(2)]
+            if rnd.random() < 0.5:  # the reference with some words replaced
+                sides[1] = [[w if rnd.random() < 0.8 else "x" for w in s] for s in sides[0]]
+            want = set().union(*(lcs(r, h) for r, h in itertools.product(*sides)))
+            assert metrics._lcs_union(*sides) == want
+    tables.clear()
+    text = ". ".join(" ".join(f"w{rnd.randrange(60)}" for _ in range(10)) for _ in range(25))
+    noisy = " ".join("x" if i % 7 == 6 else w for i, w in enumerate(text.split()))
+    assert rouge_l_summary(text, text) == pytest.approx(1.0) and not tables
+    assert 0 < rouge_l_summary(text, noisy) < 1 and len(tables) < 60  # of 625 pairs
