@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigen.functions.text import WS_CLASS, strip, tokens
-from lexigen.session import spread
+from lexigen.session import dealt, spread
 
 
 # Tables whose rows carry long text; CPU work on them is worth spreading.
@@ -33,18 +33,22 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user turn followed by an assistant turn -> (case_id, input_findings, output_impression).
 
     Joined on the unique (conv_id, turn) pair, so one very long conversation
-    still spreads over all shuffle partitions.
+    still spreads over all shuffle partitions. Cases are scored and generated from row
+    by row, so they are dealt over tasks by the number of turns (counted from the
+    file's metadata, no column is read).
     """
     conv = table(spark, sf_dir, "conversations")
+    n_turns = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").count()
     u = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("input_findings"))
     a = conv.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output_impression")
     )
-    return u.join(a, ["conv_id", "turn"]).select(
+    found = u.join(a, ["conv_id", "turn"]).select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("case_id"),
         "input_findings",
         "output_impression",
     )
+    return dealt(found, n_turns)
 
 
 def case_form() -> Column:

@@ -61,6 +61,19 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df
 
 
+TASK_ROWS = 4000  # rows of text that one task works on
+
+
+def dealt(df: DataFrame, n_rows: int) -> DataFrame:
+    """``df``, with about ``n_rows`` rows, dealt evenly over tasks of at most ``TASK_ROWS``; up to that many rows stay where they are.
+
+    What a join leaves in a task goes by bytes and by how its sides were read, so costly work on each row may
+    end up in one task. Here the number of tasks grows with the input and a task's time and memory do not."""
+    if n_rows <= TASK_ROWS:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n_rows // TASK_ROWS)))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
     import uuid
